@@ -17,7 +17,7 @@ KEY = ["type", "ref"]
 # Fixed value: how deep records are merged.
 MERGE_DEPTH = 3
 # What the sync rules read from a row's record.
-ORIGIN = ("b4mod struct<dt: timestamp, txt: string, sts: array<string>>, prev_dt: timestamp")
+ORIGIN = "struct<b4mod: struct<dt: timestamp, txt: string, sts: array<string>>, prev_dt: timestamp>"
 
 ACCEPTED = ("ins", "upd")
 SENT_BACK = ("toMerge", "newer")

@@ -20,8 +20,8 @@ PREFIX = "tags"
 
 def content_hash(df: DataFrame) -> DataFrame:
     """(row_count, content_hash) of a table, whatever its row order."""
-    h = F.xxhash64(*[F.to_json(c) if df.schema[c].dataType.typeName() in ("map", "struct") else F.col(c)
-                     for c in df.columns])
+    # Hashed as JSON, so that null, empty and shifted values stay apart.
+    h = F.xxhash64(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
     return df.agg(
         F.count(F.lit(1)).alias("row_count"),
         # Summed as decimals: 64-bit sums overflow, and equal rows would cancel in an xor.
@@ -100,5 +100,5 @@ def backup_rows(df: DataFrame, root: str, key: str, now) -> None:
 
 
 def read_backups(spark: SparkSession, root: str, schema: T.StructType = TAGS) -> DataFrame:
-    full = T.StructType(schema.fields).add("backup_at", "timestamp").add("backup_key", "string")
+    full = T.StructType(list(schema.fields)).add("backup_at", "timestamp").add("backup_key", "string")
     return spark.read.schema(full).parquet(f"{root}/backups")
