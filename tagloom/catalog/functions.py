@@ -112,7 +112,7 @@ def escape_xml(spark, folder):
 
 
 @query("diff_days", """
-    SELECT event_id, (epoch_ms(TIMESTAMP '2024-05-01 12:00:00') - epoch_ms(ts)) / CAST(86400000 AS DOUBLE) AS days FROM events""")
+    SELECT event_id, (epoch_ms(TIMESTAMP '2024-05-01 12:00:00') - (epoch_us(ts) // 1000)) / CAST(86400000 AS DOUBLE) AS days FROM events""")
 def diff_days(spark, folder):
     days = dates.diff_days(views.at(views.NOW), F.col("ts"))
     return views.table(spark, folder, "events").select("event_id", days.alias("days"))

@@ -44,12 +44,6 @@ def similarity_graph(spark, folder):
         "src", "dst", F.round("w", 6).alias("w"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("lsh_pairs")
-def lsh_pairs(spark, folder):
-    """Approximate, so it has no SQL that must agree."""
-    return similarity.lsh_pairs(views.vecs(spark, folder), 0.3).select("src", "dst", F.round("w", 6).alias("w"))
-
-
 @query("segment_offsets", """
     SELECT doc_id, seq, length(seg) AS len, CAST(coalesce(sum(length(seg)) OVER (
                PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start

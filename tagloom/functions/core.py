@@ -68,13 +68,13 @@ def running_starts(lengths: Column, step: int = 256) -> Column:
 
 def common_prefix(a: Column, b: Column, bits: int = 30) -> Column:
     """Length of the common prefix, found by halving: one comparison per bit."""
-    limit = F.least(F.length(a), F.length(b))
     steps = F.array(*[F.lit(1 << k) for k in range(bits, -1, -1)])
-    return let(limit, lambda top: F.aggregate(
+    pair = F.struct(a.alias("a"), b.alias("b"), F.least(F.length(a), F.length(b)).alias("top"))
+    return let(pair, lambda p: F.aggregate(
         steps, F.lit(0),
         lambda got, step: F.when(
-            (step <= top - got)
-            & (F.substring(a, got + 1, step) == F.substring(b, got + 1, step)),
+            (step <= p["top"] - got)
+            & (F.substring(p["a"], got + 1, step) == F.substring(p["b"], got + 1, step)),
             got + step).otherwise(got)))
 
 

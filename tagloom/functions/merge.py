@@ -30,27 +30,27 @@ def merge3_text(before: Column, mine: Column, theirs: Column) -> Column:
     two insertions at one place keep mine first. Edits that overlap leave ``theirs``
     as it is, as a patch that finds no place does.
     """
-    def with_mine(m: Column) -> Column:
-        def with_theirs(t: Column) -> Column:
-            mine_first = F.concat(
-                slice_text(before, F.lit(0), m["start"]), m["put"],
-                slice_text(before, m["end"], t["start"]), t["put"],
-                slice_text(before, t["end"], F.length(before)))
-            theirs_first = F.concat(
-                slice_text(before, F.lit(0), t["start"]), t["put"],
-                slice_text(before, t["end"], m["start"]), m["put"],
-                slice_text(before, m["end"], F.length(before)))
-            return (F.when(m["end"] <= t["start"], mine_first)
-                    .when(t["end"] <= m["start"], theirs_first)
-                    .otherwise(theirs))
-        return let(_hunk(before, theirs), with_theirs)
-
-    merged = let(_hunk(before, mine), with_mine)
-    return (F.when(before.isNull() | mine.isNull() | theirs.isNull(), theirs)
-            .when(before == mine, theirs)
-            .when(before == theirs, mine)
-            .when(mine == theirs, theirs)
-            .otherwise(merged))
+    def merge(texts: Column) -> Column:
+        b, m, t = texts["before"], texts["mine"], texts["theirs"]
+        edits = F.struct(_hunk(b, m).alias("mine"), _hunk(b, t).alias("theirs"))
+        return (F.when(b.isNull() | m.isNull() | t.isNull(), t)
+                .when((b == m) | (m == t), t).when(b == t, m)
+                .otherwise(let(edits, lambda e: both(texts, e["mine"], e["theirs"]))))
+
+    def both(texts: Column, m: Column, t: Column) -> Column:
+        b = texts["before"]
+
+        def put(first: Column, second: Column) -> Column:
+            return F.concat(
+                slice_text(b, F.lit(0), first["start"]), first["put"],
+                slice_text(b, first["end"], second["start"]), second["put"],
+                slice_text(b, second["end"], F.length(b)))
+
+        return (F.when(m["end"] <= t["start"], put(m, t))
+                .when(t["end"] <= m["start"], put(t, m))
+                .otherwise(texts["theirs"]))
+
+    return let(F.struct(before.alias("before"), mine.alias("mine"), theirs.alias("theirs")), merge)
 
 
 def merge3_tags(before: Column, mine: Column, theirs: Column) -> Column:

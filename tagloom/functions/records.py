@@ -65,45 +65,46 @@ def outline(record: Column, depth: int = 4) -> Column:
 
     Levels below ``depth`` are shown as JSON text.
     """
-    return _outline(record, F.parse_json(record), 0, depth)
+    return _outline(record, F.parse_json(record), F.lit(""), depth)
 
 
 def _is_nested(typed: Column) -> Column:
     return F.substring(F.schema_of_variant(typed), 1, 5).isin("OBJEC", "ARRAY")
 
 
-def _outline(text: Column, typed: Column, indent: int, depth: int) -> Column:
-    """``text`` keeps the written key order; ``typed`` tells objects from strings."""
-    pad = "  " * indent
-
-    def scalar(v: Column) -> Column:
-        return F.concat(F.lit(f"{pad}- "), F.coalesce(v["text"], F.lit("null")))
-
-    def from_object(v: Column) -> Column:
-        members = F.struct(F.from_json(v["text"], "map<string,string>").alias("texts"),
-                           v["typed"].try_cast("map<string,variant>").alias("types"))
-
-        def entry(m: Column, key: Column) -> Column:
-            head = F.concat(F.lit(f"{pad}- **"), key, F.lit("**: "))
-            own = F.struct(F.element_at(m["texts"], key).alias("text"),
-                           F.element_at(m["types"], key).alias("typed"))
-            return let(own, lambda o: F.concat(head, F.when(
-                _is_nested(o["typed"]),
-                F.concat(F.lit("\n"), _outline(o["text"], o["typed"], indent + 1, depth - 1)),
-            ).otherwise(F.coalesce(o["text"], F.lit("null")))))
-
-        return let(members, lambda m: F.array_join(
-            F.transform(F.map_keys(m["texts"]), lambda key: entry(m, key)), "\n"))
-
-    def from_list(v: Column) -> Column:
-        pairs = F.arrays_zip(F.from_json(v["text"], "array<string>").alias("text"),
-                             v["typed"].try_cast("array<variant>").alias("typed"))
-        return F.array_join(F.transform(
-            pairs, lambda p: _outline(p["text"], p["typed"], indent, depth - 1)), "\n")
+def _entries(text: Column, typed: Column) -> Column:
+    """Members of an object, or items of a list (without key), in written order.
 
+    ``text`` keeps the order in which keys are written; ``typed`` tells objects from
+    strings that look like one.
+    """
+    members = F.struct(F.from_json(text, "map<string,string>").alias("texts"),
+                       typed.try_cast("map<string,variant>").alias("types"))
+    items = F.arrays_zip(F.from_json(text, "array<string>").alias("text"),
+                         typed.try_cast("array<variant>").alias("typed"))
+    from_object = let(members, lambda m: F.transform(F.map_keys(m["texts"]), lambda key: F.struct(
+        key.alias("key"), F.element_at(m["texts"], key).alias("text"),
+        F.element_at(m["types"], key).alias("typed"))))
+    from_list = F.transform(items, lambda p: F.struct(
+        F.lit(None).cast("string").alias("key"), p["text"].alias("text"), p["typed"].alias("typed")))
+    return F.when(F.startswith(F.schema_of_variant(typed), F.lit("OBJEC")), from_object).otherwise(from_list)
+
+
+def _outline(text: Column, typed: Column, pad: Column, depth: int) -> Column:
+    shown = F.concat(pad, F.lit("- "), F.coalesce(text, F.lit("null")))
     if depth <= 0:
-        return F.concat(F.lit(f"{pad}- "), F.coalesce(text, F.lit("null")))
-    value = F.struct(text.alias("text"), typed.alias("typed"),
-                     F.substring(F.schema_of_variant(typed), 1, 5).alias("kind"))
-    return let(value, lambda v: F.when(v["kind"] == "OBJEC", from_object(v))
-               .when(v["kind"] == "ARRAY", from_list(v)).otherwise(scalar(v)))
+        return shown
+
+    def line(node: Column, e: Column) -> Column:
+        head = F.concat(node["pad"], F.lit("- **"), e["key"], F.lit("**: "))
+        below = F.when(e["key"].isNull(), node["pad"]).otherwise(F.concat(node["pad"], F.lit("  ")))
+        return F.when(_is_nested(e["typed"]), F.concat(
+            F.coalesce(F.concat(head, F.lit("\n")), F.lit("")),
+            _outline(e["text"], e["typed"], below, depth - 1),
+        )).otherwise(F.concat(
+            F.coalesce(head, F.concat(node["pad"], F.lit("- "))), F.coalesce(e["text"], F.lit("null"))))
+
+    node = F.struct(text.alias("text"), typed.alias("typed"), pad.alias("pad"))
+    return let(node, lambda n: F.when(_is_nested(n["typed"]), F.array_join(F.transform(
+        _entries(n["text"], n["typed"]), lambda e: line(n, e)), "\n")
+    ).otherwise(F.concat(n["pad"], F.lit("- "), F.coalesce(n["text"], F.lit("null")))))

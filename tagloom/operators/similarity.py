@@ -7,9 +7,7 @@ leave it. Blocks lie around pivots, and the angle between unit vectors obeys the
 triangle inequality, so blocks too far apart for the threshold never meet; how much
 that saves depends on how clustered the vectors are. No pair is missed or capped.
 
-The work still grows with the square of the vectors where they are not clustered; for
-collections where that is too much, ``lsh_pairs`` gives approximate candidates with
-exact similarities.
+The work still grows with the square of the vectors where they are not clustered.
 """
 
 from __future__ import annotations
@@ -34,8 +32,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 EDGE_THRESHOLD = 0.8
 EDGES_PER_NODE = 6
 
-# Vectors per block: two blocks of 64 doubles each take 8 MB, their product 512 MB in
-# slices of at most SLICE_ROWS rows.
+# Vectors per block, and rows of a block multiplied at a time: 64 MB per product.
 BLOCK_ROWS = 8192
 SLICE_ROWS = 1024
 # Pivots are collected and shipped to every task, so their number is bounded.
@@ -129,7 +126,7 @@ def _block_pairs(vectors: DataFrame, threshold: float, block_rows: int) -> DataF
     return salted.mapInPandas(spread, "lo bigint, hi bigint, own bigint, tid bigint, vec array<float>")
 
 
-def _meet(threshold: float, best: int | None, key_at: int = 0):
+def _meet(threshold: float, best: int | None):
     """Grouped function: similar pairs between the two blocks that meet in a task."""
 
     def strongest(ids: np.ndarray, others: np.ndarray, sims: np.ndarray) -> pd.DataFrame:
@@ -141,7 +138,7 @@ def _meet(threshold: float, best: int | None, key_at: int = 0):
         return found
 
     def meet(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lo, hi = key[key_at], key[key_at + 1]
+        lo, hi = key
         pdf = pd.concat(list(batches), ignore_index=True)  # two blocks
         a = pdf[pdf["own"] == lo]
         b = pdf[pdf["own"] == hi] if hi != lo else a
@@ -162,7 +159,7 @@ def _meet(threshold: float, best: int | None, key_at: int = 0):
 
 def vector_copies(vectors: DataFrame) -> DataFrame:
     """(tid, content): which vectors are the same, number for number."""
-    return vectors.select("tid", _content())
+    return vectors.where("vec is not null").select("tid", _content())
 
 
 def _content():
@@ -175,7 +172,7 @@ def distinct_vectors(vectors: DataFrame) -> DataFrame:
     Copies collapse before the exchange, so a group of copies of any size is one row
     per map task.
     """
-    return (vectors.groupBy(_content())
+    return (vectors.where("vec is not null").groupBy(_content())
             .agg(F.min("tid").alias("tid"), F.any_value("vec").alias("vec")))
 
 
@@ -240,42 +237,3 @@ def cosine_with(vectors: DataFrame, other: list[float]) -> DataFrame:
     """Similarity of every vector with one given vector."""
     given = F.array(*[F.lit(float(x)) for x in other])
     return vectors.select("tid", cosine(F.col("vec"), given).alias("w"))
-
-
-def lsh_pairs(vectors: DataFrame, threshold: float = EDGE_THRESHOLD, bands: int = 8,
-              bits: int = 12, seed: int = 7) -> DataFrame:
-    """Approximate pairs: vectors that share the signs of ``bits`` random projections.
-
-    The similarities are exact, but a pair may be missed; vectors are named as in
-    ``cosine_pairs``. A bucket holding more than a
-    block is cut like the exact operator's blocks, so no task gets a whole hot bucket.
-    """
-    dim = len(vectors.select("vec").first()["vec"])
-    planes = np.random.default_rng(seed).standard_normal((bands, dim, bits))
-    weights = (1 << np.arange(bits)).astype(np.int64)
-
-    def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            unit = _unit_rows(pdf["vec"])
-            for band in range(bands):
-                code = ((unit @ planes[band]) > 0) @ weights
-                yield pd.DataFrame({"band": band, "code": code, "tid": pdf["tid"], "vec": pdf["vec"]})
-
-    coded = distinct_vectors(vectors).select("tid", "vec").mapInPandas(
-        buckets, "band int, code bigint, tid bigint, vec array<float>")
-    sizes = coded.groupBy("band", "code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("tid"), F.col("parts"))
-    spread = (
-        coded.join(sizes, ["band", "code"]).withColumn("parts", parts)
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("band", "code", "tid", "vec", "own",
-                F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")))
-
-    found = spread.groupBy("band", "code", "lo", "hi").applyInPandas(
-        _meet(threshold, None, key_at=2), PAIR_SCHEMA)
-    # A pair may share several buckets; it is reported once.
-    return found.groupBy("src", "dst").agg(F.max("w").alias("w"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.core import let
 from ..functions.merge import merge3_tags, merge3_text, rec_merge
 from ..schema import TAG_COLUMNS, TAGS, tag_struct
 from .tables import reassign_pk
@@ -64,6 +65,11 @@ def ack_clean(local: DataFrame, acked: DataFrame, server_now) -> DataFrame:
         .select(*local.columns))
 
 
+def _struct_with(row: Column, **changed: Column) -> Column:
+    """A struct of tag columns with some of them replaced."""
+    return F.struct(*[changed.get(c, row[c]).cast(TAGS[c].dataType).alias(c) for c in TAG_COLUMNS])
+
+
 def merge_row(mine: Column, theirs: Column, now: Column) -> Column:
     """Merge a locally edited row with the server's; both are structs of tag columns.
 
@@ -71,18 +77,17 @@ def merge_row(mine: Column, theirs: Column, now: Column) -> Column:
     server's previous time, my edit is applied to the server's row, the records are
     merged and the row stays dirty. Otherwise my row stays and takes the server's time.
     """
-    origin = F.from_json(mine["rec"], ORIGIN)["b4mod"]
-    same_origin = F.coalesce(
-        origin["dt"] == F.from_json(theirs["rec"], ORIGIN)["prev_dt"], F.lit(False))
-    patched = {
-        "txt": merge3_text(origin["txt"], mine["txt"], theirs["txt"]),
-        "sts": merge3_tags(origin["sts"], mine["sts"], theirs["sts"]),
-        "rec": rec_merge(mine["rec"], theirs["rec"], MERGE_DEPTH),
-        "modAt": now,
-    }
-    merged = F.struct(*[patched.get(c, theirs[c]).alias(c) for c in TAG_COLUMNS])
-    kept = F.struct(*[(theirs[c] if c == "dt" else mine[c]).alias(c) for c in TAG_COLUMNS])
-    return F.when(same_origin, merged).otherwise(kept)
+    def decide(origin: Column) -> Column:
+        same_origin = F.coalesce(
+            origin["dt"] == F.from_json(theirs["rec"], ORIGIN)["prev_dt"], F.lit(False))
+        patched = _struct_with(
+            theirs, modAt=now,
+            txt=merge3_text(origin["txt"], mine["txt"], theirs["txt"]),
+            sts=merge3_tags(origin["sts"], mine["sts"], theirs["sts"]),
+            rec=rec_merge(mine["rec"], theirs["rec"], MERGE_DEPTH))
+        return F.when(same_origin, patched).otherwise(_struct_with(mine, dt=theirs["dt"]))
+
+    return let(F.from_json(mine["rec"], ORIGIN)["b4mod"], decide)
 
 
 def with_prev_dt(rec: Column, prev_dt: Column) -> Column:
@@ -106,16 +111,12 @@ def sync_reconcile(local: DataFrame, incoming: DataFrame, now) -> DataFrame:
         incoming.select(*KEY, "tid", tag_struct().alias("theirs"))
         .join(dirty, KEY, "left").join(holders, "tid", "left"))
     theirs, mine, holder = F.col("theirs"), F.col("mine"), F.col("holder")
-    put = F.when(mine.isNotNull(), merge_row(mine, theirs, stamp)).otherwise(theirs)
-    put = F.struct(*[
-        (F.coalesce(theirs["tid"], put["tid"]) if c == "tid"
-         else F.when(mine.isNotNull(), put[c]) if c == "modAt" else put[c]).cast(TAGS[c].dataType).alias(c)
-        for c in TAG_COLUMNS])
+    merged = let(merge_row(mine, theirs, stamp), lambda m: _struct_with(
+        m, tid=F.coalesce(theirs["tid"], m["tid"])))
+    put = F.when(mine.isNotNull(), merged).otherwise(_struct_with(theirs, modAt=F.lit(None)))
     other = holder.isNotNull() & ~(
         (holder["type"] == theirs["type"]) & (holder["ref"] == theirs["ref"]))
-    moved = F.struct(*[
-        (F.lit(None) if c == "tid" else stamp if c == "modAt" else holder[c])
-        .cast(TAGS[c].dataType).alias(c) for c in TAG_COLUMNS])
+    moved = _struct_with(holder, tid=F.lit(None), modAt=stamp)
     outputs = F.array(
         F.struct(F.when(mine.isNotNull(), "merged").otherwise("server").alias("action"), put.alias("row")),
         F.when(other, F.struct(F.lit("moved").alias("action"), moved.alias("row"))))
@@ -158,11 +159,9 @@ def bulk_merge(live: DataFrame, incoming: DataFrame, now) -> DataFrame:
               .join(incoming.select("tid", tag_struct().alias("inc")), "tid"))
     inc, old = F.col("inc"), F.col("live")
     same = (inc["type"] == old["type"]) & (inc["ref"] == old["ref"])
-    placed = F.when(same, merge_row(inc, old, stamp)).otherwise(inc)
-    placed = F.struct(*[(stamp if c == "modAt" else placed[c]).alias(c) for c in TAG_COLUMNS])
-    displaced = F.struct(*[
-        (F.lit(None) if c == "tid" else stamp if c == "modAt" else old[c])
-        .cast(TAGS[c].dataType).alias(c) for c in TAG_COLUMNS])
+    placed = let(F.when(same, merge_row(inc, old, stamp)).otherwise(inc),
+                 lambda row: _struct_with(row, modAt=stamp))
+    displaced = _struct_with(old, tid=F.lit(None), modAt=stamp)
     outputs = F.array(
         F.struct(F.when(same, "merged").otherwise("placed").alias("action"), placed.alias("row")),
         F.when(~same, F.struct(F.lit("displaced").alias("action"), displaced.alias("row"))))
