@@ -67,9 +67,9 @@ def sync_once(base: DataFrame, local: DataFrame, now, parts: int | None = None,
     cleaned = ack_clean(local, accepted, now)
     if sizes["downloaded"] == 0:
         # Nothing came back: dirty rows forget their time, so that they count as new.
-        cleaned = cleaned.withColumn("dt", F.when(F.col("modAt").isNull(), F.col("dt")))
-        puts = sync_reconcile(cleaned, incoming, now)
-        next_local = cleaned.select(*TAG_COLUMNS)
+        next_local = cleaned.withColumn("dt", F.when(F.col("modAt").isNull(), F.col("dt"))).select(
+            *TAG_COLUMNS)
+        puts = incoming.select(F.lit("server").alias("action"), *TAG_COLUMNS)  # no rows
     else:
         puts = through_table(sync_reconcile(cleaned, incoming, now), "puts")
         next_local = apply_reconciled(cleaned, incoming, puts, top, parts)

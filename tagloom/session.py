@@ -27,6 +27,8 @@ def local_session(cores: int | str = 8, partitions: int = 8, **conf: str) -> Spa
         SparkSession.builder.master(f"local[{cores}]").appName("tagloom")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        # Call sites of single columns are not recorded: large expressions build faster.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
