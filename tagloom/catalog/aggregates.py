@@ -102,11 +102,11 @@ def distinct_values(spark, folder):
     SELECT scope, round(list_reduce(list(ms ORDER BY ts, id), lambda a, x: a * 0.5 + x * 0.5), 6) AS ema,
            count(*) AS n FROM durations GROUP BY scope""")
 def ema_duration(spark, folder):
-    return stats.ema_duration(views.durations(spark, folder), parts=4).withColumn("ema", F.round("ema", 6))
+    return stats.ema_duration(views.durations(spark, folder)).withColumn("ema", F.round("ema", 6))
 
 
 @query("max_duration", """
     SELECT scope, id, ms, max(ms) OVER (PARTITION BY scope ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS max_ms
     FROM durations""")
 def max_duration(spark, folder):
-    return stats.max_duration(views.durations(spark, folder), parts=4).select("scope", "id", "ms", "max_ms")
+    return stats.max_duration(views.durations(spark, folder)).select("scope", "id", "ms", "max_ms")

@@ -75,7 +75,7 @@ def live_query(spark, folder):
     SELECT key, id, value FROM (SELECT *, lead(ts) OVER (PARTITION BY key ORDER BY ts, id) AS nxt FROM bursts) b
     WHERE nxt IS NULL OR epoch_us(nxt) - epoch_us(ts) >= 3600000000 OR value = 0""")
 def debounce_events(spark, folder):
-    return live.debounce_events(views.bursts(spark, folder), 3600, parts=4).select("key", "id", "value")
+    return live.debounce_events(views.bursts(spark, folder), 3600).select("key", "id", "value")
 
 
 @query("debounce_stream")

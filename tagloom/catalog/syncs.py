@@ -90,7 +90,7 @@ def rec_merge_(spark, folder):
            + row_number() OVER (ORDER BY type, ref) AS tid FROM local_snap""")
 def reassign_pk(spark, folder):
     top = views.tags_documents(spark, folder).agg(F.max("tid").alias("t")).first()["t"]
-    return tables.reassign_pk(views.local_snap(spark, folder), ["type", "ref"], top, parts=4).select(
+    return tables.reassign_pk(views.local_snap(spark, folder), ["type", "ref"], top).select(
         "ref", "type", "txt", "tid")
 
 

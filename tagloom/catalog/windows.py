@@ -28,12 +28,12 @@ def rows_around(spark, folder):
     SELECT a.tid AS anchor, k.tid FROM a JOIN keys k ON k.pos BETWEEN a.pos - 16 AND a.pos + 16""")
 def rows_around_each(spark, folder):
     anchors = views.table(spark, folder, "labels").select(F.col("doc_id").alias("tid"))
-    return context.rows_around_each(views.local_snap(spark, folder), anchors, parts=4)
+    return context.rows_around_each(views.local_snap(spark, folder), anchors)
 
 
 @query("topk_neighbours", EDGES)
 def topk_neighbours(spark, folder):
-    pairs = similarity.cosine_pairs(views.vecs(spark, folder), 0.2, block_rows=256)
+    pairs = similarity.cosine_pairs(views.vecs(spark, folder), 0.2)
     return similarity.topk_neighbours(pairs, 6, 0.3).select(
         "src", "dst", F.round("w", 6).alias("w"), F.col("rank").cast("bigint").alias("rank"))
 

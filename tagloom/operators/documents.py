@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.records import line_segments, outline, segment_tags
+from ..plans.ordered import running_sum
 
 
 def segment_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -13,14 +14,14 @@ def segment_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             .select(doc_id, F.col("seq").cast("bigint").alias("seq"), "s.start", "s.seg", "s.kind"))
 
 
-def segment_offsets(segments: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+def segment_offsets(segments: DataFrame, doc_id: str = "doc_id", parts: int | None = None) -> DataFrame:
     """Where each segment starts, for segments that come without their text's row.
 
-    Only (doc_id, seq, length) is shuffled; a group is the lines of one document.
+    Only (doc_id, seq, length) is shuffled, and a document of very many segments is
+    split between tasks.
     """
-    before = Window.partitionBy(doc_id).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return (segments.select(doc_id, "seq", F.length("seg").cast("bigint").alias("len"))
-            .withColumn("start", F.coalesce(F.sum("len").over(before), F.lit(0).cast("bigint"))))
+    lengths = segments.select(doc_id, "seq", F.length("seg").cast("bigint").alias("len"))
+    return running_sum(lengths, [doc_id], ["seq"], "len", "start", parts)
 
 
 def rebuild_documents(segments: DataFrame, doc_id: str = "doc_id") -> DataFrame:

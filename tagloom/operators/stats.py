@@ -69,7 +69,7 @@ def update_stats(tags: DataFrame, now, k: int = REPORTED_TIMES) -> DataFrame:
                   F.col("type"), F.lit(": "), F.col("txt"),
                   F.coalesce(F.array_join(F.transform("sts", lambda t: F.concat(F.lit(" #"), t)), ","),
                              F.lit(""))).alias("detail")))
-    newest_dt = tags.select(F.max("dt")).scalar()
+    newest_dt = F.max("dt").over(Window.partitionBy())  # over the k rows of `times`
     return (times.join(detail, "dt", "left")
             .select("dt", fmt_mdwhm(F.col("dt")).alias("shown"), "n", "max_tid",
                     diff_days(F.lit(now).cast("timestamp"), newest_dt).alias("days_since_newest"),

@@ -32,14 +32,28 @@ def require_unique(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
-def occ_classify(base: DataFrame, mods: DataFrame, last_dt) -> DataFrame:
+def occ_relevant(base: DataFrame, mods: DataFrame, last_dt) -> DataFrame:
+    """The server rows a round can touch: changed since ``last_dt``, or sent as edited.
+
+    The first part is a filter that reaches the scan. The second is a semi join with
+    the edited keys, which are few, so the server's rows are not shuffled for it.
+    """
+    if last_dt is None:
+        return base
+    changed = F.col("dt") > F.lit(last_dt).cast("timestamp")
+    sent = base.where(~changed | F.col("dt").isNull()).join(mods.select(*KEY), KEY, "left_semi")
+    return base.where(changed).unionByName(sent.select(*base.columns))
+
+
+def occ_classify(base: DataFrame, mods: DataFrame, last_dt, newest: Column | None = None) -> DataFrame:
     """Category of every key: (type, ref, category, mod, base), the rows as structs.
 
     ins / blocked: the server lacks the key, and the client is / is not up to date;
     upd / toMerge: it has it, at the same / another time; newer: not sent, and changed
     since ``last_dt``; unchanged: not sent, not changed. ``last_dt`` is a time or null.
+    ``newest`` is the server's latest time, needed when ``base`` is only a part of it.
     """
-    newest = base.select(F.max("dt")).scalar()
+    newest = base.select(F.max("dt")).scalar() if newest is None else newest
     seen = last_dt if isinstance(last_dt, Column) else F.lit(last_dt).cast("timestamp")
     up_to_date = F.coalesce(seen == newest, newest.isNull())
     joined = (
@@ -57,12 +71,15 @@ def occ_classify(base: DataFrame, mods: DataFrame, last_dt) -> DataFrame:
 def ack_clean(local: DataFrame, acked: DataFrame, server_now) -> DataFrame:
     """Dirty rows whose key was accepted become clean and take the server's time."""
     now = F.lit(server_now).cast("timestamp")
-    hit = F.col("_ok").isNotNull() & F.col("modAt").isNotNull()
-    return (
-        local.join(acked.select(*KEY).distinct().withColumn("_ok", F.lit(True)), KEY, "left")
+    hit = F.col("_ok").isNotNull()
+    # Only dirty rows can be accepted; the clean ones take no part in the join.
+    dirty = (
+        local.where("modAt is not null")
+        .join(acked.select(*KEY).distinct().withColumn("_ok", F.lit(True)), KEY, "left")
         .withColumn("dt", F.when(hit, now).otherwise(F.col("dt")))
         .withColumn("modAt", F.when(~hit, F.col("modAt")))
         .select(*local.columns))
+    return local.where("modAt is null").unionByName(dirty)
 
 
 def _struct_with(row: Column, **changed: Column) -> Column:
@@ -105,7 +122,9 @@ def sync_reconcile(local: DataFrame, incoming: DataFrame, now) -> DataFrame:
     """
     stamp = F.lit(now).cast("timestamp")
     dirty = local.where("modAt is not null").select(*KEY, tag_struct().alias("mine"))
+    # Reduced by a semi join first: the incoming keys are few, the local rows many.
     holders = (local.where("tid is not null")
+               .join(incoming.select("tid").distinct(), "tid", "left_semi")
                .select("tid", tag_struct().alias("holder")))
     joined = (
         incoming.select(*KEY, "tid", tag_struct().alias("theirs"))
@@ -124,18 +143,23 @@ def sync_reconcile(local: DataFrame, incoming: DataFrame, now) -> DataFrame:
             .select("action", "row.*"))
 
 
-def apply_reconciled(local: DataFrame, incoming: DataFrame, puts: DataFrame,
-                     above: int, parts: int | None = None) -> DataFrame:
-    """The next local table: put rows in, what they replace out, moved rows renumbered.
+def renumber_moved(puts: DataFrame, incoming: DataFrame, above: int,
+                   parts: int | None = None) -> DataFrame:
+    """Moved rows with new keys above ``above``, the largest key in use anywhere.
 
     A moved row is left out when the server sent its unique key too: that key's own
-    put row already stands for it. ``above`` is the largest key in use anywhere.
+    put row already stands for it.
     """
-    settled = puts.where("action <> 'moved'").drop("action")
     moved = puts.where("action = 'moved'").drop("action")
+    orphans = moved.join(incoming.select(*KEY).distinct(), KEY, "left_anti")
+    return reassign_pk(orphans.select(*TAG_COLUMNS).dropDuplicates(KEY), KEY, above, parts)
+
+
+def apply_reconciled(local: DataFrame, incoming: DataFrame, puts: DataFrame,
+                     renumbered: DataFrame) -> DataFrame:
+    """The next local table: put and renumbered rows in, what they replace out."""
+    settled = puts.where("action <> 'moved'").drop("action")
     server_keys = incoming.select(*KEY).distinct()
-    orphans = (moved.join(server_keys, KEY, "left_anti").select(*TAG_COLUMNS)
-               .dropDuplicates(KEY))
     keyless = local.where("tid is null")
     untouched = (
         local.where("tid is not null")
@@ -143,7 +167,7 @@ def apply_reconciled(local: DataFrame, incoming: DataFrame, puts: DataFrame,
         .select(*TAG_COLUMNS).unionByName(keyless.select(*TAG_COLUMNS))
         .join(server_keys, KEY, "left_anti").select(*TAG_COLUMNS))
     return (settled.select(*TAG_COLUMNS)
-            .unionByName(reassign_pk(orphans, KEY, above, parts))
+            .unionByName(renumbered)
             .unionByName(untouched))
 
 

@@ -85,8 +85,10 @@ def insert_if_absent(tags: DataFrame, candidates: DataFrame) -> DataFrame:
     The table's side is reduced to distinct pairs first, so a pair that fills a third
     of the table reaches the join as one row.
     """
-    one = candidates.dropDuplicates(["ref", "type"])
-    return one.join(tags.select("ref", "type").distinct(), ["ref", "type"], "left_anti")
+    one = (candidates.groupBy("ref", "type").agg(F.min(F.struct(*candidates.columns)).alias("c"))
+           .select("c.*"))
+    return one.join(tags.select("ref", "type").distinct(), ["ref", "type"], "left_anti").select(
+        *candidates.columns)
 
 
 def tag_rows(names: DataFrame, now) -> DataFrame:

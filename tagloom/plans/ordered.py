@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # Sampled rows per wanted chunk: evens out chunk sizes, and bounds what is collected.
 SAMPLE_PER_CHUNK = 20
 # Below this many rows per chunk, more chunks cost more than they help.
-MIN_ROWS_PER_CHUNK = 50_000
+MIN_ROWS_PER_CHUNK = 4_096
 
 
 class Chunks:
@@ -131,6 +131,30 @@ def running_max(df: DataFrame, keys: list[str], order: list[str], value: str,
             .drop("_chunk", "_before"))
 
 
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str,
+                name: str = "before", parts: int | None = None) -> DataFrame:
+    """Add the sum of ``value`` over all earlier rows within ``keys`` along ``order``."""
+    chunks = split(df, keys + order, parts)
+    chunked = df.withColumn("_chunk", chunks.index())
+    zero = F.lit(0).cast("bigint")
+    here = F.coalesce(F.sum(value).over(
+        Window.partitionBy(*keys, "_chunk").orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, -1)), zero)
+    local = chunked.withColumn(name, here)
+    if chunks.count == 1:
+        return local.drop("_chunk")
+    carry = (
+        _spanning(chunked, keys, chunks).groupBy(*keys, "_chunk").agg(F.sum(value).alias("_sum"))
+        .withColumn("_before", F.sum("_sum").over(
+            Window.partitionBy(*keys).orderBy("_chunk")
+            .rowsBetween(Window.unboundedPreceding, -1)))
+        .drop("_sum")
+    )
+    return (local.join(F.broadcast(carry), [*keys, "_chunk"], "left")
+            .withColumn(name, F.col(name) + F.coalesce("_before", zero))
+            .drop("_chunk", "_before"))
+
+
 def with_next(df: DataFrame, keys: list[str], order: list[str], value: str,
               name: str = "next", parts: int | None = None) -> DataFrame:
     """Add the ``value`` of the following row within ``keys`` along ``order``."""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.search import dirty_rows
 from ..operators.sync import (
     ACCEPTED, KEY, SENT_BACK, ack_clean, apply_reconciled, audit_rows, occ_classify,
-    require_unique, sync_reconcile, with_prev_dt,
+    occ_relevant, renumber_moved, require_unique, sync_reconcile, with_prev_dt,
 )
 from ..schema import TAG_COLUMNS
 from .shared import through_table
@@ -36,54 +36,60 @@ def sync_once(base: DataFrame, local: DataFrame, now, parts: int | None = None,
               check_keys: bool = False) -> Round:
     """One round: classify, accept on the server, clean what was accepted, reconcile.
 
-    Both tables are written as new versions, so the next round's plan starts at them.
-    The numbers that come to the driver are counts and maxima, one row in all.
+    What the round changes is written as tables of its own size: categories, accepted
+    rows, put rows and renumbered rows. The next base and local table are the old ones
+    with these laid over, as plans; no round rewrites a whole table. The numbers that
+    come to the driver are counts and maxima.
     """
     mods = dirty_rows(local)
     if check_keys:
         require_unique(base, "server table")
         require_unique(mods, "dirty rows")
-    last_dt = local.select(F.max("dt")).scalar()
-    classified = through_table(occ_classify(base, mods, last_dt), "classified")
+    marks = local.agg(F.max("dt").alias("dt"), F.max("tid").alias("tid")).first()
+    server = base.agg(F.max("dt").alias("dt"), F.max("tid").alias("tid")).first()
+    classified = through_table(occ_classify(
+        occ_relevant(base, mods, marks["dt"]), mods, marks["dt"],
+        newest=F.lit(server["dt"]).cast("timestamp"),
+    ).where("category <> 'unchanged'"), "classified")
     accepted = classified.where(F.col("category").isin(*ACCEPTED)).select("mod.*")
     incoming = classified.where(F.col("category").isin(*SENT_BACK)).select("base.*")
-
     sizes = classified.agg(
         F.count("mod").alias("dirty"),
         F.count_if(F.col("category").isin(*ACCEPTED)).alias("accepted"),
-        F.count_if(F.col("category").isin(*SENT_BACK)).alias("downloaded"),
-        F.max("base.tid").alias("top"),
-    ).first()
-    local_top = local.agg(F.max("tid").alias("t")).first()["t"]
-    top = max(local_top or 0, sizes["top"] or 0)
-
-    stored = (accepted.withColumn("rec", with_prev_dt(F.col("rec"), F.col("dt")))
-              .withColumn("dt", F.lit(now).cast("timestamp"))
-              .withColumn("modAt", F.lit(None).cast("timestamp")))
-    # The server identifies rows by unique key; an edited row replaces its old version.
-    next_base = base.join(stored.select(*KEY), KEY, "left_anti").select(
-        *TAG_COLUMNS).unionByName(stored.select(*TAG_COLUMNS))
-
-    cleaned = ack_clean(local, accepted, now)
-    if sizes["downloaded"] == 0:
+        F.count_if(F.col("category").isin(*SENT_BACK)).alias("downloaded")).first()
+
+    next_base, cleaned = base, local
+    if sizes["accepted"]:
+        stored = through_table(
+            accepted.withColumn("rec", with_prev_dt(F.col("rec"), F.col("dt")))
+            .withColumn("dt", F.lit(now).cast("timestamp"))
+            .withColumn("modAt", F.lit(None).cast("timestamp")).select(*TAG_COLUMNS), "stored")
+        # The server identifies rows by unique key; an edited row replaces its old version.
+        next_base = base.join(stored.select(*KEY), KEY, "left_anti").select(
+            *TAG_COLUMNS).unionByName(stored)
+        cleaned = ack_clean(local, accepted, now)
+    if sizes["downloaded"]:
+        puts = through_table(sync_reconcile(cleaned, incoming, now), "puts")
+        top = max(marks["tid"] or 0, server["tid"] or 0)
+        renumbered = through_table(renumber_moved(puts, incoming, top, parts), "renumbered")
+        next_local = apply_reconciled(cleaned, incoming, puts, renumbered)
+    else:
         # Nothing came back: dirty rows forget their time, so that they count as new.
         next_local = cleaned.withColumn("dt", F.when(F.col("modAt").isNull(), F.col("dt"))).select(
             *TAG_COLUMNS)
         puts = incoming.select(F.lit("server").alias("action"), *TAG_COLUMNS)  # no rows
-    else:
-        puts = through_table(sync_reconcile(cleaned, incoming, now), "puts")
-        next_local = apply_reconciled(cleaned, incoming, puts, top, parts)
     return Round(
-        base=through_table(next_base, "base"),
-        local=through_table(next_local, "local"),
-        audit=audit_rows(incoming, cleaned, puts, now),
+        base=next_base, local=next_local, audit=audit_rows(incoming, cleaned, puts, now),
         dirty=sizes["dirty"], accepted=sizes["accepted"], downloaded=sizes["downloaded"],
     )
 
 
 def sync_until_settled(base: DataFrame, local: DataFrame, times: list,
                        parts: int | None = None) -> tuple[DataFrame, DataFrame, list[Round]]:
-    """Rounds until nothing moves, at most ``MAX_ROUNDS``; ``times`` are the rounds' clocks."""
+    """Rounds until nothing moves, at most ``MAX_ROUNDS``; ``times`` are the rounds' clocks.
+
+    The two tables are written once, at the end.
+    """
     rounds: list[Round] = []
     for now in times[:MAX_ROUNDS]:
         done = sync_once(base, local, now, parts)
@@ -91,7 +97,7 @@ def sync_until_settled(base: DataFrame, local: DataFrame, times: list,
         base, local = done.base, done.local
         if done.settled:
             break
-    return base, local, rounds
+    return through_table(base, "base"), through_table(local, "local"), rounds
 
 
 __all__ = ["MAX_ROUNDS", "Round", "sync_once", "sync_until_settled"]

@@ -64,23 +64,21 @@ def write_snapshot(df: DataFrame, root: str, now: datetime, prefix: str = PREFIX
     over the limit is reported in ``oversize``; Parquet has no such limit of its own.
     """
     spark = df.sparkSession
-    facts = is_unchanged(df, read_manifest(spark, root), prefix).first()
-    if skip_unchanged and facts["unchanged"]:
+    if skip_unchanged and is_unchanged(df, read_manifest(spark, root), prefix).first()["unchanged"]:
         return spark.createDataFrame([], MANIFEST)
     stamp: Column = F.lit(now).cast("timestamp")
-    label = spark.range(1).select(fmt_ym(stamp).alias("ym"), F.date_format(stamp, "yyyyMMddHHmmssSSS").alias("s")).first()
-    name = f"{prefix}{label['ym']}.{facts['row_count']}"
-    path = f"{root}/data/{name}.{label['s']}"
+    label = spark.range(1).select(
+        fmt_ym(stamp).alias("month"), F.date_format(stamp, "yyyyMMddHHmmssSSS").alias("time")).first()
+    path = f"{root}/data/{prefix}.{label['time']}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    row = (
-        spark.read.schema(df.schema).parquet(path)
-        .select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b"))
-        .distinct().agg(F.coalesce(F.sum("b"), F.lit(0)).cast("bigint").alias("bytes"))
-        .select(F.lit(name).alias("name"), F.lit(path).alias("path"),
-                F.lit(facts["row_count"]).cast("bigint").alias("row_count"), "bytes",
-                F.lit(facts["content_hash"]).cast("decimal(38,0)").alias("content_hash"),
-                (F.col("bytes") > OVERSIZE_BYTES).alias("oversize"), stamp.alias("created_at")))
-    row = spark.createDataFrame(row.collect(), MANIFEST)  # the one new manifest row
+    # Counted on what was written, so that ``df`` is computed once.
+    written = spark.read.schema(df.schema).parquet(path)
+    facts = content_hash(written).first()
+    files = written.select("_metadata.file_path", "_metadata.file_size").distinct()
+    size = files.agg(F.coalesce(F.sum("file_size"), F.lit(0)).alias("b")).first()["b"]
+    row = spark.createDataFrame([(
+        f"{prefix}{label['month']}.{facts['row_count']}", path, facts["row_count"], size,
+        facts["content_hash"], size > OVERSIZE_BYTES, now)], MANIFEST)
     row.coalesce(1).write.mode("append").parquet(f"{root}/manifest")
     return row
 

@@ -118,3 +118,16 @@ def test_debounce(spark):
     for parts in (1, 4):
         got = sorted(r["id"] for r in debounce_events(events, parts=parts).collect())
         assert got == [2, 4, 5, 6]
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_running_sum(df, rows, parts):
+    whole = df.withColumn("n", F.col("v").cast("bigint"))
+    got = {r["id"]: r["s"] for r in ordered.running_sum(whole, ["k"], ["t", "id"], "n", "s", parts).collect()}
+    want = {}
+    for group in by_key(rows).values():
+        total = 0
+        for row in group:
+            want[row[2]] = total
+            total += int(row[3])
+    assert got == want
