@@ -24,7 +24,8 @@ def content_digest(ref="ref", txt="txt", type_="type", sts="sts") -> Column:
     packed = F.to_json(F.struct(
         _col(ref).alias("a"), _col(txt).alias("b"), _col(type_).alias("c"), _col(sts).alias("d"),
     ), {"ignoreNullFields": "false"})
-    return F.unhex(F.sha2(packed, 256))
+    # Never null, so that no join has to test the digest, and compute it again, for that.
+    return F.coalesce(F.unhex(F.sha2(packed, 256)), F.lit(b""))
 
 
 def row_equal(left: str, right: str) -> Column:

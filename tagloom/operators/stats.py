@@ -62,9 +62,11 @@ def update_stats(tags: DataFrame, now, k: int = REPORTED_TIMES) -> DataFrame:
     times = (tags.where("dt is not null").groupBy("dt")
              .agg(F.count(F.lit(1)).alias("n"), F.max("tid").alias("max_tid"))
              .orderBy(F.desc("dt")).limit(k))
-    lone = times.where("n = 1").select("dt")
-    # At most k rows by the limit above.
-    detail = (tags.select("dt", "type", "txt", "sts").join(F.broadcast(lone), "dt", "left_semi")
+    # At most k rows by the limit above. Both columns are kept, so that the counting is
+    # shared with `times` and not done again.
+    lone = times.where("n = 1").select(F.col("dt").alias("at"), "max_tid")
+    same = (F.col("dt") == F.col("at")) & F.col("tid").eqNullSafe(F.col("max_tid"))
+    detail = (tags.select("tid", "dt", "type", "txt", "sts").join(F.broadcast(lone), same, "left_semi")
               .select("dt", F.concat(
                   F.col("type"), F.lit(": "), F.col("txt"),
                   F.coalesce(F.array_join(F.transform("sts", lambda t: F.concat(F.lit(" #"), t)), ","),

@@ -19,6 +19,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 SAMPLE_PER_CHUNK = 20
 # Below this many rows per chunk, more chunks cost more than they help.
 MIN_ROWS_PER_CHUNK = 4_096
+# Several chunks per shuffle partition even out what each partition gets; the upper
+# bound keeps split points, sample and summaries small however large the table is.
+CHUNKS_PER_PARTITION = 4
+MAX_CHUNKS = 8_192
 
 
 class Chunks:
@@ -61,7 +65,8 @@ def split(df: DataFrame, columns: list[str], parts: int | None = None) -> Chunks
     total = keys.count()
     if parts is None:
         wanted = math.ceil(total / MIN_ROWS_PER_CHUNK)
-        parts = max(1, min(wanted, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(1, min(wanted, CHUNKS_PER_PARTITION * shuffle, MAX_CHUNKS))
     if parts <= 1 or total <= 1:
         return Chunks(columns, [], [])
     fraction = min(1.0, SAMPLE_PER_CHUNK * parts / total)

@@ -10,7 +10,7 @@ from tagloom.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, 8)
+    session = local_session(8, 4)
     yield session
     session.stop()
 
