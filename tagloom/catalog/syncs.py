@@ -73,12 +73,12 @@ def rec_merge_(spark, folder):
     source = F.concat(F.lit('{"gone":null,"list":[3],"o":{"theirs":"yes","k":'),
                       F.get_json_object("props", "$.k"), F.lit('},"replaced":{"y":2},"plain":"'),
                       F.col("event_type"), F.lit('"}'))
-    merged = F.parse_json(rec_merge(target, source, 3))
+    merged = F.col("merged")
 
     def field(path, name):
         return F.variant_get(merged, path, "string").alias(name)
 
-    return events.select(
+    return events.select("event_id", F.parse_json(rec_merge(target, source, 3)).alias("merged")).select(
         "event_id", field("$.o.k", "k"), field("$.plain", "plain"),
         F.to_json(F.variant_get(merged, "$.gone", "variant")).alias("gone"),
         F.to_json(F.variant_get(merged, "$.list", "variant")).alias("list"), field("$.o.mine", "mine"),

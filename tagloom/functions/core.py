@@ -67,17 +67,35 @@ def running_starts(lengths: Column, step: int = 256) -> Column:
 
 
 def common_prefix(a: Column, b: Column, bits: int = 30) -> Column:
-    """Length of the common prefix, found by halving: one comparison per bit."""
+    """Length of the common prefix, found by halving.
+
+    Each step compares the first halves and goes on with the halves that still matter,
+    so the texts get shorter and the whole costs a few passes over them.
+    """
     steps = F.array(*[F.lit(1 << k) for k in range(bits, -1, -1)])
-    pair = F.struct(a.alias("a"), b.alias("b"), F.least(F.length(a), F.length(b)).alias("top"))
-    return let(pair, lambda p: F.aggregate(
-        steps, F.lit(0),
-        lambda got, step: F.when(
-            (step <= p["top"] - got)
-            & (F.substring(p["a"], got + 1, step) == F.substring(p["b"], got + 1, step)),
-            got + step).otherwise(got)))
+
+    def state(got: Column, x: Column, y: Column, top: Column) -> Column:
+        return F.struct(got.alias("got"), x.alias("x"), y.alias("y"), top.alias("top"))
+
+    def halve(s: Column, step: Column) -> Column:
+        heads = F.struct(F.substring(s["x"], F.lit(1), step).alias("x"),
+                         F.substring(s["y"], F.lit(1), step).alias("y"))
+        rest = s["top"] - step
+        return F.when(step > s["top"], s).otherwise(let(heads, lambda h: F.when(
+            h["x"] == h["y"],
+            state(s["got"] + step, F.substring(s["x"], step + 1, rest), F.substring(s["y"], step + 1, rest), rest),
+        ).otherwise(state(s["got"], h["x"], h["y"], step - 1))))
+
+    def fold(p: Column) -> Column:
+        start = state(F.lit(0), p["a"], p["b"], F.least(F.length(p["a"]), F.length(p["b"])))
+        return F.aggregate(steps, start, halve, lambda s: s["got"])
+
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda p: (
+        F.when(F.startswith(p["b"], p["a"]), F.length(p["a"]))
+        .when(F.startswith(p["a"], p["b"]), F.length(p["b"])).otherwise(fold(p))))
 
 
 def common_suffix(a: Column, b: Column, bits: int = 30) -> Column:
     """Length of the common suffix."""
-    return common_prefix(F.reverse(a), F.reverse(b), bits)
+    return F.when(F.endswith(b, a), F.length(a)).otherwise(
+        common_prefix(F.reverse(a), F.reverse(b), bits))

@@ -103,8 +103,12 @@ def _by_place(values: Column) -> Column:
 
 
 def _merge(left: Column, right: Column, depth: int) -> Column:
-    both_objects = (_kind(left) == "OBJEC") & (_kind(right) == "OBJEC")
-    both_lists = (_kind(left) == "ARRAY") & (_kind(right) == "ARRAY")
+    kinds = F.concat(_kind(left), _kind(right))
+    return let(kinds, lambda k: _merge_as(k == "OBJECOBJEC", k == "ARRAYARRAY", left, right, depth))
+
+
+def _merge_as(both_objects: Column, both_lists: Column, left: Column, right: Column,
+              depth: int) -> Column:
 
     def overlay(a: Column, b: Column) -> Column:
         return F.to_variant_object(F.map_zip_with(a, b, lambda _, x, y: F.coalesce(y, x)))

@@ -12,7 +12,7 @@ SITE_SEPARATORS = [" - ", " | ", "-", "|", " _", " · ", " — ", " – ", "/ X"
 SENTENCE_ENDS = [". ", "。", "; ", "；"]
 # Longest site name, and the shortest title that is cut at a sentence.
 TITLE_MARK = 33
-# Hashtag patterns.
+# Patterns of hashtags, link lines and addresses.
 HASHTAG = SPACE + r"#[\p{L}\p{N}_]+"
 TRAILING_HASHTAGS = "(?:" + SPACE + r"+#[\p{L}\p{N}_]+#?)+$"
 TAG_SYMBOLS = r"[^\p{L}\p{N}_]"

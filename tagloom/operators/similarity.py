@@ -224,10 +224,12 @@ def similarity_graph(vectors: DataFrame, threshold: float = EDGE_THRESHOLD,
         .select("src", F.explode("ids").alias("dst"), "w")
         .groupBy("src").agg(F.slice(F.array_sort(F.collect_list(
             F.struct((-F.col("w")).alias("nw"), F.col("dst").alias("dst")))), 1, k + 1).alias("best")))
-    nodes = (vector_copies(vectors).join(members.select("content", "rep"), "content")
-             .select("tid", F.col("rep").alias("src")))
+    # One list per content; its copies, however many, meet it in one join whose hot side
+    # adaptive execution can split.
+    lists = choices.join(members.select("content", F.col("rep").alias("src")), "src").select(
+        "content", "best")
     return (
-        nodes.join(choices, "src")
+        vector_copies(vectors).join(lists, "content")
         .withColumn("best", F.slice(F.filter("best", lambda b: b["dst"] != F.col("tid")), 1, k))
         .select(F.col("tid").alias("src"), F.posexplode("best").alias("rank", "b"))
         .select("src", "b.dst", (-F.col("b.nw")).alias("w"), (F.col("rank") + 1).alias("rank")))

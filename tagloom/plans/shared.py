@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Folders made for single-machine sessions, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; a fresh local one only when unset.
 
@@ -18,11 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app in _LOCAL:
+        return _LOCAL[app]
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    made = tempfile.mkdtemp(prefix="tagloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    _LOCAL[app] = tempfile.mkdtemp(prefix="tagloom-")
+    return _LOCAL[app]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

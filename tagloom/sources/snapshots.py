@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.dates import fmt_ym
@@ -30,10 +31,12 @@ def content_hash(df: DataFrame) -> DataFrame:
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
     """Manifest rows; an empty table while there is no snapshot."""
-    path = f"{root}/manifest"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(MANIFEST).parquet(path) if there else spark.createDataFrame([], MANIFEST)
+    try:
+        return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MANIFEST)
 
 
 def latest_snapshot(manifest: DataFrame, prefix: str = PREFIX) -> DataFrame:
