@@ -2,19 +2,24 @@
 
 A window over a key runs each key in one task, and a window without a key runs
 everything in one. Here the rows are first cut into chunks of about equal size along
-``(key, order)``, at split points taken from a bounded sample. A chunk is a pure
-function of the row, so a recomputed task puts each row where it was before. Windows
-then run inside (key, chunk), and what one chunk hands to the next is worked out on a
-summary of at most two rows per chunk. With a unique last order column even a key that
-holds a third of all rows, at one point in time, is split evenly.
+``(key, order)``, at split points taken from a bounded sample. Keys that hold more than
+a chunk show up with several split points; only they are divided, all others keep a
+window of their own. A chunk is a pure function of the row, so a recomputed task puts
+each row where it was before. Windows then run inside (key, chunk), and what one chunk
+hands to the next is worked out on a summary with a row per chunk. With a unique last
+order column even a key that holds a third of all rows, at one point in time, is split
+evenly.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.core import let
+
 # Sampled rows per wanted chunk: evens out chunk sizes, and bounds what is collected.
 SAMPLE_PER_CHUNK = 20
 # Below this many rows per chunk, more chunks cost more than they help.
@@ -35,25 +40,42 @@ class Chunks:
     def count(self) -> int:
         return len(self.points) + 1
 
+    def _row(self, values: list[Column]) -> Column:
+        return values[0] if len(values) == 1 else F.struct(
+            *[v.alias(f"k{i}") for i, v in enumerate(values)])
+
     def index(self) -> Column:
         """Zero-based chunk: how many split points are at or below the row."""
         if not self.points:
             return F.lit(0)
-        key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(self.columns)])
         bounds = F.array(*[
-            F.struct(*[F.lit(v).cast(t).alias(f"k{i}")
-                       for i, (v, t) in enumerate(zip(point, self.types))])
-            for point in self.points])
-        steps = [1 << k for k in range(len(self.points).bit_length() - 1, -1, -1)]
-        return F.aggregate(
-            F.array(*[F.lit(s) for s in steps]), F.lit(0),
-            lambda got, step: F.when(
+            self._row([F.lit(v).cast(t) for v, t in zip(point, self.types)]) for point in self.points])
+        steps = F.array(*[F.lit(1 << k) for k in range(len(self.points).bit_length() - 1, -1, -1)])
+        return let(self._row([F.col(c) for c in self.columns]), lambda key: F.aggregate(
+            steps, F.lit(0), lambda got, step: F.when(
                 (got + step <= len(self.points)) & (F.get(bounds, got + step - 1) <= key),
-                got + step).otherwise(got))
-
-    def split_keys(self, width: int) -> list[tuple]:
-        """Distinct leading key values of the split points: keys that may span chunks."""
-        return list(dict.fromkeys(p[:width] for p in self.points))
+                got + step).otherwise(got)))
+
+    def heavy_keys(self, width: int) -> list[tuple]:
+        """Leading keys with two split points or more: those larger than a chunk."""
+        found = Counter(p[:width] for p in self.points)
+        return [key for key, n in found.items() if n > 1]
+
+    def is_heavy(self, keys: list[str]) -> Column:
+        found = self.heavy_keys(len(keys))
+        if not found:
+            return F.lit(False)
+        if len(keys) == 1:
+            return F.coalesce(F.col(keys[0]).isin([values[0] for values in found]), F.lit(False))
+        return F.struct(*keys).isin([
+            F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, values, self.types)])
+            for values in found])
+
+    def within(self, keys: list[str]) -> Column:
+        """Chunk of a row of a heavy key; all rows of any other key share one."""
+        if not self.heavy_keys(len(keys)):
+            return F.lit(0)
+        return F.when(self.is_heavy(keys), self.index()).otherwise(-1)
 
 
 def split(df: DataFrame, columns: list[str], parts: int | None = None) -> Chunks:
@@ -100,37 +122,25 @@ def with_position(df: DataFrame, order: list[str], name: str = "pos", start: int
     return chunked.withColumn(name, base + in_chunk - 1).drop("_chunk")
 
 
-def _spanning(df: DataFrame, keys: list[str], chunks: Chunks) -> DataFrame:
-    """Rows of those keys that may lie in more than one chunk."""
-    found = chunks.split_keys(len(keys))
-    if len(keys) == 1:
-        wanted = F.col(keys[0]).isin([values[0] for values in found])
-    else:
-        wanted = F.struct(*keys).isin(
-            [F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, values, chunks.types)])
-             for values in found])
-    return df.where(wanted)
-
-
 def running_max(df: DataFrame, keys: list[str], order: list[str], value: str,
                 name: str = "running_max", parts: int | None = None) -> DataFrame:
     """Add the largest ``value`` so far within ``keys`` along ``order``."""
     chunks = split(df, keys + order, parts)
-    chunked = df.withColumn("_chunk", chunks.index())
+    chunked = df.withColumn("_chunk", chunks.within(keys))
     here = F.max(value).over(
         Window.partitionBy(*keys, "_chunk").orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = chunked.withColumn(name, here)
-    if chunks.count == 1:
+    if not chunks.heavy_keys(len(keys)):
         return local.drop("_chunk")
     carry = (
-        _spanning(chunked, keys, chunks).groupBy(*keys, "_chunk").agg(F.max(value).alias("_top"))
+        chunked.where(chunks.is_heavy(keys)).groupBy(*keys, "_chunk").agg(F.max(value).alias("_top"))
         .withColumn("_before", F.max("_top").over(
             Window.partitionBy(*keys).orderBy("_chunk")
             .rowsBetween(Window.unboundedPreceding, -1)))
         .drop("_top")
     )
-    # At most two rows per chunk, so the broadcast is bounded by the number of chunks.
+    # A row per chunk and heavy key, so the broadcast is bounded by the number of chunks.
     return (local.join(F.broadcast(carry), [*keys, "_chunk"], "left")
             .withColumn(name, F.greatest(F.col(name), F.col("_before")))
             .drop("_chunk", "_before"))
@@ -140,16 +150,16 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str,
                 name: str = "before", parts: int | None = None) -> DataFrame:
     """Add the sum of ``value`` over all earlier rows within ``keys`` along ``order``."""
     chunks = split(df, keys + order, parts)
-    chunked = df.withColumn("_chunk", chunks.index())
+    chunked = df.withColumn("_chunk", chunks.within(keys))
     zero = F.lit(0).cast("bigint")
     here = F.coalesce(F.sum(value).over(
         Window.partitionBy(*keys, "_chunk").orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)), zero)
     local = chunked.withColumn(name, here)
-    if chunks.count == 1:
+    if not chunks.heavy_keys(len(keys)):
         return local.drop("_chunk")
     carry = (
-        _spanning(chunked, keys, chunks).groupBy(*keys, "_chunk").agg(F.sum(value).alias("_sum"))
+        chunked.where(chunks.is_heavy(keys)).groupBy(*keys, "_chunk").agg(F.sum(value).alias("_sum"))
         .withColumn("_before", F.sum("_sum").over(
             Window.partitionBy(*keys).orderBy("_chunk")
             .rowsBetween(Window.unboundedPreceding, -1)))
@@ -164,14 +174,14 @@ def with_next(df: DataFrame, keys: list[str], order: list[str], value: str,
               name: str = "next", parts: int | None = None) -> DataFrame:
     """Add the ``value`` of the following row within ``keys`` along ``order``."""
     chunks = split(df, keys + order, parts)
-    chunked = df.withColumn("_chunk", chunks.index())
+    chunked = df.withColumn("_chunk", chunks.within(keys))
     local = chunked.withColumn(
         name, F.lead(value).over(Window.partitionBy(*keys, "_chunk").orderBy(*order)))
-    if chunks.count == 1:
+    if not chunks.heavy_keys(len(keys)):
         return local.drop("_chunk")
     first = F.min_by(F.col(value), F.struct(*order)).alias("_first")
     carry = (
-        _spanning(chunked, keys, chunks).groupBy(*keys, "_chunk").agg(first)
+        chunked.where(chunks.is_heavy(keys)).groupBy(*keys, "_chunk").agg(first)
         .withColumn("_after", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_chunk")))
         .drop("_first")
     )
@@ -192,7 +202,7 @@ def moving_average(df: DataFrame, keys: list[str], order: list[str], value: str,
     within = Window.partitionBy(*keys, "_chunk")
     place = F.row_number().over(within.orderBy(*order))
     weighed = (
-        df.withColumn("_chunk", chunks.index())
+        df.withColumn("_chunk", chunks.within(keys))
         .withColumn("_behind", F.count(F.lit(1)).over(within) - place)
         .withColumn("_part", F.lit(alpha) * F.pow(F.lit(1 - alpha), F.col("_behind")) * F.col(value))
     )
