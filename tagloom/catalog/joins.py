@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import diff, search, similarity, sync, tables
 from . import views
-from .reads import TAG_SQL, tags
+from .reads import tags
 from .registry import query
 from .sqlviews import joined, ts
 

@@ -176,6 +176,18 @@ def extract_links(spark, folder):
         "place", F.col("place").cast("bigint"))
 
 
+@query("extract_links_absolute", r"""
+    WITH found AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS origin,
+                          regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM pages),
+    each_one AS (SELECT page_id, origin, unnest(hrefs) AS href, unnest(generate_series(1, len(hrefs))) AS i FROM found),
+    once AS (SELECT page_id, CASE WHEN starts_with(href, '/') THEN origin || href ELSE href END AS link, min(i) AS i
+             FROM each_one GROUP BY 1, 2)
+    SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS place FROM once""")
+def extract_links_absolute(spark, folder):
+    return links.page_links(views.table(spark, folder, "pages"), keep=["page_id"], url="url").withColumn(
+        "place", F.col("place").cast("bigint"))
+
+
 @query("feed_first_post", r"""
     SELECT page_id, CASE WHEN page_id % 4 = 0 THEN '(no post found)'
            ELSE regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '^\s+|\s+$', '', 'g') END AS post

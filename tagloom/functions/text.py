@@ -104,6 +104,22 @@ def extract_links(html: Column) -> Column:
     return F.array_distinct(F.concat(hrefs, F.regexp_extract_all(text, F.lit(PLAIN_URL), F.lit(1))))
 
 
+def absolute_link(link: Column, page: Column) -> Column:
+    """A link as seen from a page's address; dot segments are left as they are."""
+    origin = F.regexp_extract(page, r"^([A-Za-z][\w+.-]*://[^/?#]*)", 1)
+    scheme = F.regexp_extract(page, r"^([A-Za-z][\w+.-]*:)", 1)
+    path = F.regexp_extract(page, r"^[A-Za-z][\w+.-]*://[^/?#]*([^?#]*)", 1)
+    document = F.concat(origin, F.when(path == "", F.lit("/")).otherwise(path))
+    folder = F.regexp_replace(F.when(path == "", F.lit("/")).otherwise(path), r"[^/]*$", "")
+    query = F.regexp_extract(page, r"(\?[^#]*)", 1)
+    return (F.when(F.rlike(link, F.lit(r"^[A-Za-z][\w+.-]*:")), link)
+            .when(F.startswith(link, F.lit("//")), F.concat(scheme, link))
+            .when(F.startswith(link, F.lit("/")), F.concat(origin, link))
+            .when(F.startswith(link, F.lit("#")), F.concat(document, query, link))
+            .when(F.startswith(link, F.lit("?")), F.concat(document, link))
+            .otherwise(F.concat(origin, folder, link)))
+
+
 def strip_html(text: Column) -> Column:
     return trim_space(F.regexp_replace(text, "<[^>]+>", ""))
 

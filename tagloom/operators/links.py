@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import clean_title, extract_links, link_line
+from ..functions.text import absolute_link, clean_title, extract_links, link_line
 
 # Fixed value: tag of rows that were pasted as markdown.
 PASTED_TAG = "markdown_pasted"
@@ -28,7 +28,15 @@ def ingest_md_links(docs: DataFrame, text: str, now) -> DataFrame:
             .withColumn("type", F.lit("tab")).withColumn("dt", F.lit(now).cast("timestamp")))
 
 
-def page_links(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
-    """One row per link of a page, in order of first sight."""
+def page_links(pages: DataFrame, html: str = "html", keep: list[str] | None = None,
+               url: str | None = None) -> DataFrame:
+    """One row per link of a page, in order of first sight.
+
+    Links are given as written; with ``url``, the column of the page's address, as
+    absolute addresses, and two ways to write one address count once.
+    """
     kept: list[str | Column] = list(keep or [c for c in pages.columns if c != html])
-    return (pages.select(*kept, F.posexplode(extract_links(F.col(html))).alias("place", "link")))
+    found = extract_links(F.col(html))
+    if url is not None:
+        found = F.array_distinct(F.transform(found, lambda link: absolute_link(link, F.col(url))))
+    return pages.select(*kept, F.posexplode(found).alias("place", "link"))

@@ -163,7 +163,7 @@ def vector_copies(vectors: DataFrame) -> DataFrame:
 
 
 def _content():
-    return F.sha2(F.to_json(F.struct("vec")), 256).alias("content")
+    return F.unhex(F.sha2(F.to_json(F.struct("vec")), 256)).alias("content")
 
 
 def distinct_vectors(vectors: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.core import let
 from ..functions.merge import merge3_tags, merge3_text, rec_merge
 from ..schema import TAG_COLUMNS, TAGS, tag_struct
-from .tables import reassign_pk
+from .tables import reassign_pk, upsert
 
 KEY = ["type", "ref"]
 # Fixed value: how deep records are merged.
@@ -193,6 +193,15 @@ def bulk_merge(live: DataFrame, incoming: DataFrame, now) -> DataFrame:
             .select("action", "row.*"))
 
 
+def apply_bulk_merge(live: DataFrame, merged: DataFrame, above: int,
+                     parts: int | None = None) -> DataFrame:
+    """The next table after ``bulk_merge``: displaced rows get new keys above ``above``."""
+    placed = merged.where("action <> 'displaced'").select(*TAG_COLUMNS)
+    displaced = merged.where("action = 'displaced'").select(*TAG_COLUMNS)
+    return upsert(live.select(*TAG_COLUMNS), placed).unionByName(
+        reassign_pk(displaced, KEY, above, parts))
+
+
 def audit_rows(incoming: DataFrame, local: DataFrame, puts: DataFrame, now) -> DataFrame:
     """What a reconciliation read and wrote: (key, action, at, row as JSON)."""
     at = F.lit(now).cast("timestamp")

@@ -65,6 +65,17 @@ def test_extract_links_orders_and_removes_copies(value):
     assert value(text.extract_links(L(html))) == ["/b", "/a", "http://p.example/x"]
 
 
+@pytest.mark.parametrize("link, absolute", [
+    ("http://other.example/x", "http://other.example/x"), ("mailto:a@b.example", "mailto:a@b.example"),
+    ("//cdn.example/x", "https://cdn.example/x"), ("/top", "https://a.example/top"),
+    ("next.html", "https://a.example/dir/next.html"), ("#part", "https://a.example/dir/page?q=1#part"),
+    ("?p=2", "https://a.example/dir/page?p=2"),
+])
+def test_absolute_link(value, link, absolute):
+    assert value(text.absolute_link(L(link), L("https://a.example/dir/page?q=1#top"))) == absolute
+    assert value(text.absolute_link(L("x"), L("https://a.example"))) == "https://a.example/x"
+
+
 def test_feed_first_post(value):
     feed = {"data": {"cards": [{"card_type": 11}, {"card_type": 9, "mblog": {"text": " <b>first</b> "}},
                                {"card_type": 9, "mblog": {"text": "second"}}]}}

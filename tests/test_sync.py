@@ -122,6 +122,9 @@ def test_bulk_merge(spark):
                  for r in sync.bulk_merge(live, incoming, day(150)).collect())
     assert got == [("displaced", None, "b", "live b", True), ("merged", 1, "a", "new a", True),
                    ("placed", 2, "B", "new b", True)]
+    merged_rows = sync.bulk_merge(live, incoming, day(150))
+    rows = sorted((r["tid"], r["ref"]) for r in sync.apply_bulk_merge(live, merged_rows, 9).collect())
+    assert rows == [(1, "a"), (2, "B"), (3, "c"), (10, "b")]
 
 
 class Device:
