@@ -1,0 +1,19 @@
+"""Dealing rows out before work that is heavy per row."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash rows over all cores when the input has too few partitions to use them.
+
+    A file with a single row group is read by one task. Where each row then costs far
+    more than moving it, as merging JSON or long texts does, it pays to deal the rows
+    out first. Inputs with a partition per core or more, as on a cluster, stay as they
+    are and get no exchange. Meant for plans that only read and project: asking a plan
+    with a shuffle for its partitions would run the shuffle. ``key`` should be unique: hashing it is even, and puts
+    each row where it was before when a task is run again.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators.context import rows_around, rows_around_each
 from tagloom.plans import ordered
+from tagloom.plans.spread import spread
 from tagloom.streaming.live import debounce_events
 
 
@@ -131,3 +132,10 @@ def test_running_sum(df, rows, parts):
             want[row[2]] = total
             total += int(row[3])
     assert got == want
+
+
+def test_spread_only_where_partitions_are_few(spark):
+    cores = spark.sparkContext.defaultParallelism
+    few, many = spark.range(100).coalesce(1), spark.range(0, 100, 1, cores)
+    assert spread(few, "id").rdd.getNumPartitions() == cores
+    assert spread(many, "id") is many
