@@ -41,8 +41,8 @@ class Chunks:
         return len(self.points) + 1
 
     def _row(self, values: list[Column]) -> Column:
-        return values[0] if len(values) == 1 else F.struct(
-            *[v.alias(f"k{i}") for i, v in enumerate(values)])
+        """Structs compare field by field, with null before everything else."""
+        return F.struct(*[v.alias(f"k{i}") for i, v in enumerate(values)])
 
     def index(self) -> Column:
         """Zero-based chunk: how many split points are at or below the row."""
@@ -66,7 +66,9 @@ class Chunks:
         if not found:
             return F.lit(False)
         if len(keys) == 1:
-            return F.coalesce(F.col(keys[0]).isin([values[0] for values in found]), F.lit(False))
+            key, values = F.col(keys[0]), [v for (v,) in found if v is not None]
+            hit = F.coalesce(key.isin(values), F.lit(False)) if values else F.lit(False)
+            return hit | key.isNull() if (None,) in found else hit
         return F.struct(*keys).isin([
             F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, values, self.types)])
             for values in found])
@@ -79,10 +81,7 @@ class Chunks:
 
 
 def split(df: DataFrame, columns: list[str], parts: int | None = None) -> Chunks:
-    """Choose split points so that each chunk gets about the same number of rows.
-
-    Nulls are not used as split points; rows with them fall into the first chunk.
-    """
+    """Choose split points so that each chunk gets about the same number of rows."""
     keys = df.select(*columns)
     total = keys.count()
     if parts is None:
@@ -94,7 +93,8 @@ def split(df: DataFrame, columns: list[str], parts: int | None = None) -> Chunks
     fraction = min(1.0, SAMPLE_PER_CHUNK * parts / total)
     drawn = keys if fraction >= 1.0 else keys.sample(False, fraction, seed=17)
     # The sample's size is set by `parts`, not by the table; limit only guards the tail.
-    rows = sorted(tuple(r) for r in drawn.na.drop().limit(4 * SAMPLE_PER_CHUNK * parts).collect())
+    rows = sorted((tuple(r) for r in drawn.limit(4 * SAMPLE_PER_CHUNK * parts).collect()),
+                  key=lambda row: [(v is not None, v) for v in row])
     points = dict.fromkeys(rows[len(rows) * i // parts] for i in range(1, parts)) if rows else {}
     return Chunks(columns, list(points), [f.dataType.simpleString() for f in keys.schema.fields])
 
@@ -103,8 +103,8 @@ def with_position(df: DataFrame, order: list[str], name: str = "pos", start: int
                   parts: int | None = None) -> DataFrame:
     """Add a dense number along ``order``, counting from ``start``.
 
-    ``order`` must be a total order of non-null columns. Pass a narrow table: all its
-    columns go through the exchange.
+    ``order`` must be a total order. Pass a narrow table: all its columns go through the
+    exchange.
     """
     chunks = split(df, order, parts)
     chunked = df.withColumn("_chunk", chunks.index())
@@ -122,6 +122,19 @@ def with_position(df: DataFrame, order: list[str], name: str = "pos", start: int
     return chunked.withColumn(name, base + in_chunk - 1).drop("_chunk")
 
 
+def _join_carry(local: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    """Bring each chunk what the chunks before or after it hand over.
+
+    A row per chunk and heavy key, so the broadcast is bounded by the number of chunks.
+    """
+    names = {k: f"_key{i}" for i, k in enumerate([*keys, "_chunk"])}
+    right = carry.withColumnsRenamed(names)
+    same = F.lit(True)
+    for own, other in names.items():
+        same = same & F.col(own).eqNullSafe(F.col(other))
+    return local.join(F.broadcast(right), same, "left").drop(*names.values(), "_chunk")
+
+
 def running_max(df: DataFrame, keys: list[str], order: list[str], value: str,
                 name: str = "running_max", parts: int | None = None) -> DataFrame:
     """Add the largest ``value`` so far within ``keys`` along ``order``."""
@@ -140,10 +153,8 @@ def running_max(df: DataFrame, keys: list[str], order: list[str], value: str,
             .rowsBetween(Window.unboundedPreceding, -1)))
         .drop("_top")
     )
-    # A row per chunk and heavy key, so the broadcast is bounded by the number of chunks.
-    return (local.join(F.broadcast(carry), [*keys, "_chunk"], "left")
-            .withColumn(name, F.greatest(F.col(name), F.col("_before")))
-            .drop("_chunk", "_before"))
+    return _join_carry(local, carry, keys).withColumn(
+        name, F.greatest(F.col(name), F.col("_before"))).drop("_before")
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str,
@@ -165,9 +176,8 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str,
             .rowsBetween(Window.unboundedPreceding, -1)))
         .drop("_sum")
     )
-    return (local.join(F.broadcast(carry), [*keys, "_chunk"], "left")
-            .withColumn(name, F.col(name) + F.coalesce("_before", zero))
-            .drop("_chunk", "_before"))
+    return _join_carry(local, carry, keys).withColumn(
+        name, F.col(name) + F.coalesce("_before", zero)).drop("_before")
 
 
 def with_next(df: DataFrame, keys: list[str], order: list[str], value: str,
@@ -185,9 +195,8 @@ def with_next(df: DataFrame, keys: list[str], order: list[str], value: str,
         .withColumn("_after", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_chunk")))
         .drop("_first")
     )
-    return (local.join(F.broadcast(carry), [*keys, "_chunk"], "left")
-            .withColumn(name, F.coalesce(F.col(name), F.col("_after")))
-            .drop("_chunk", "_after"))
+    return _join_carry(local, carry, keys).withColumn(
+        name, F.coalesce(F.col(name), F.col("_after"))).drop("_after")
 
 
 def moving_average(df: DataFrame, keys: list[str], order: list[str], value: str,

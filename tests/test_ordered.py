@@ -139,3 +139,22 @@ def test_spread_only_where_partitions_are_few(spark):
     few, many = spark.range(100).coalesce(1), spark.range(0, 100, 1, cores)
     assert spread(few, "id").rdd.getNumPartitions() == cores
     assert spread(many, "id") is many
+
+
+def test_a_null_key_may_be_the_hot_one(df, rows):
+    nulled = df.withColumn("k", F.when(F.col("k") != "hot", F.col("k")))
+    chunks = ordered.split(nulled, ["k", "t", "id"], 9)
+    sizes = nulled.groupBy("k", chunks.within(["k"])).count().agg(F.max("count")).first()[0]
+    assert (None,) in chunks.heavy_keys(1) and sizes < len(rows) / 3
+    top = {r["id"]: r["m"] for r in ordered.running_max(nulled, ["k"], ["t", "id"], "v", "m", 9).collect()}
+    nxt = {r["id"]: r["n"] for r in ordered.with_next(nulled, ["k"], ["t", "id"], "v", "n", 9).collect()}
+    ema = {r["k"]: r["ema"] for r in ordered.moving_average(nulled, ["k"], ["t", "id"], "v", parts=9).collect()}
+    group = by_key(rows)["hot"]
+    high, state = group[0][3], group[0][3]
+    for row, following in zip(group, group[1:] + [None]):
+        high, state = max(high, row[3]), (state + row[3]) / 2
+        assert top[row[2]] == high and nxt[row[2]] == (following and following[3])
+    assert ema[None] == pytest.approx(state)
+    two = nulled.withColumn("k2", F.lit(None).cast("int"))
+    again = {r["id"]: r["m"] for r in ordered.running_max(two, ["k", "k2"], ["t", "id"], "v", "m", 9).collect()}
+    assert again == top
