@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import context, documents, similarity
+from ..plans.shared import through_table
 from . import views
 from .joins import PAIRS
 from .registry import query
@@ -49,5 +50,6 @@ def similarity_graph(spark, folder):
                PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
     FROM segments""")
 def segment_offsets(spark, folder):
+    """Offsets of a stored table of segments; cutting the texts is done once, before."""
     segments = documents.segment_documents(views.md_documents(spark, folder)).select("doc_id", "seq", "seg")
-    return documents.segment_offsets(segments)
+    return documents.segment_offsets(through_table(segments, "segments"))
