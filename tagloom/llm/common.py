@@ -39,8 +39,9 @@ class WordTable(dict):
     """Numbers words as they come; new ones wait in ``words`` to be worked out together.
 
     ``compute(words)`` returns arrays with a value for each new word, which ``column(k)``
-    then holds for all. The table starts anew before it outgrows ``most`` words, so its
-    memory is bounded; numbers are only good until the next ``index``.
+    then holds for all. Before the table outgrows ``most`` words it falls back to its first
+    ones, the frequent ones mostly, so its memory is bounded; numbers are only good until
+    the next ``index``.
     """
 
     def __init__(self, compute: Callable[[list[str]], Sequence[np.ndarray]], most: int = 300_000):
@@ -50,6 +51,8 @@ class WordTable(dict):
         self.done = 0
         self.arrays: list[np.ndarray] = []
 
+    __hash__ = object.__hash__
+
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self.words)
         self.words.append(word)
@@ -58,8 +61,10 @@ class WordTable(dict):
     def index(self, words: Sequence[str]) -> np.ndarray:
         """Number of each word; every column is filled for all of them afterwards."""
         if len(self.words) > self.most:
+            self.words = self.words[:self.most // 8]
             self.clear()
-            self.words, self.done, self.arrays = [], 0, []
+            self.update(zip(self.words, range(len(self.words))))
+            self.done = len(self.words)
         found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.done < len(self.words):
             new = self.compute(self.words[self.done:])

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..plans.shared import fresh_path
-from . import licenses, tokencounts
+from . import bpe, licenses, tokencounts
 from .common import table
 from .registry import query
 
@@ -21,3 +21,14 @@ def token_counts(spark, folder):
     """Starts from an empty cache, so that every distinct text is encoded in each run."""
     return tokencounts.count_tokens(
         table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), fresh_path(spark, "token-cache"))
+
+
+@query("op7_byte_bpe")
+def byte_bpe(spark, folder):
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = bpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+    told = coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
+    return bpe.decode(told, ranks).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
