@@ -6,11 +6,21 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..plans.shared import fresh_path
-from . import bpe, licenses, tokencounts
+from . import bpe, licenses, quality, tokencounts, toxicity
 from .common import table
 from .registry import query
 
 
+@query("op1_quality_classifier")
+def quality_classifier(spark, folder):
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op4_toxicity")
+def toxicity_classifier(spark, folder):
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op8_license_scan")
 def license_scan(spark, folder):
     return licenses.scan_licenses(table(spark, folder, "documents")).drop("detections")
