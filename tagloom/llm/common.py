@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -93,6 +96,27 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers once per application, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = os.path.basename(package)
+    archive = os.path.join(tempfile.mkdtemp(), f"{name}_workers.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(package):
+            for file in files:
+                if file.endswith(".py"):
+                    path = os.path.join(folder, file)
+                    out.write(path, os.path.join(name, os.path.relpath(path, package)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]],
               schema: str) -> DataFrame:
     """``mapInArrow`` with a state per task: ``make()`` runs once, its result on each batch."""
@@ -101,6 +125,7 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
         for batch in batches:
             yield from each(batch)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
