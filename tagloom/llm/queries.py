@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..plans.shared import fresh_path
-from . import bpe, licenses, quality, tokencounts, toxicity
+from . import bpe, jaccard, licenses, quality, tokencounts, toxicity
 from .common import table
 from .registry import query
 
@@ -42,3 +42,8 @@ def byte_bpe(spark, folder):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
     return bpe.decode(told, ranks).select(
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op9_ngram_jaccard_join")
+def ngram_jaccard_join(spark, folder):
+    return jaccard.similar(table(spark, folder, "documents"), 4, 85)
