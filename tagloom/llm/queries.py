@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..plans.shared import fresh_path
-from . import bpe, jaccard, licenses, quality, tokencounts, toxicity
+from . import bpe, decontaminate, jaccard, licenses, quality, tokencounts, toxicity
 from .common import table
 from .registry import query
 
@@ -47,3 +47,8 @@ def byte_bpe(spark, folder):
 @query("op9_ngram_jaccard_join")
 def ngram_jaccard_join(spark, folder):
     return jaccard.similar(table(spark, folder, "documents"), 4, 85)
+
+
+@query("op5_decontamination")
+def decontamination(spark, folder):
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
