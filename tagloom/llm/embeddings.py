@@ -99,29 +99,29 @@ class Model:
 
 def rows_of(features: Features, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Distinct buckets of each text and the weight of each."""
-    held: dict[str, tuple] = {}
     out = []
     for _, part in slices(texts):
         split = [features.words(t) for t in part]
-        new = [w for w in dict.fromkeys(w for words in split for w in words) if w not in held]
-        if len(held) > 500_000:
-            held, new = {}, list(dict.fromkeys(w for words in split for w in words))
-        if new:
-            own, numbers, buckets, weight = features.of_words(new)
-            order = np.argsort(numbers, kind="stable")
-            ends = np.cumsum(np.bincount(numbers, minlength=len(new)))
-            for w, h, x, k in zip(new, own, np.split(buckets[order], ends[:-1]), np.split(weight[order], ends[:-1])):
-                held[w] = h, x, k
+        number: dict[str, int] = {}
+        for words in split:
+            for w in words:
+                number.setdefault(w, len(number))
+        own, at, buckets, weight = features.of_words(list(number))
+        order = np.argsort(at, kind="stable")
+        buckets, weight, many = buckets[order].astype(np.int32), weight[order], np.bincount(at, minlength=len(number))
+        starts = np.cumsum(many) - many
         for words in split:
             if not words:
-                out.append((np.zeros(0, np.int64), np.zeros(0, np.float32)))
+                out.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
                 continue
-            buckets, weight = [held[w][1] for w in words], [held[w][2] for w in words]
+            here = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            found = ragged(starts[here], many[here])
+            x, k = buckets[found], weight[found]
             if features.pairs and len(words) > 1:
-                buckets.append(features.of_pairs(np.array([held[w][0] for w in words], np.uint64)))
-                weight.append(np.ones(len(words) - 1))
-            distinct, at = np.unique(np.concatenate(buckets), return_inverse=True)
-            out.append((distinct, np.bincount(at, np.concatenate(weight)).astype(np.float32)))
+                x = np.append(x, features.of_pairs(own[here]).astype(np.int32))
+                k = np.append(k, np.ones(len(words) - 1))
+            distinct, place = np.unique(x, return_inverse=True)
+            out.append((distinct, np.bincount(place, k).astype(np.float32)))
     return out
 
 
@@ -152,7 +152,7 @@ def train(texts: list[str], labels: list[int], features: Features, how: Training
     mass = np.where(telling, 1, how.rest).astype(np.float32)
     for i, (b, x) in enumerate(rows):
         total, own = max(float((x * mass[b]).sum()), 1e-9), telling[b]
-        rows[i] = b[own].astype(np.int32), x[own] / total
+        rows[i] = b[own], (x[own] / total).astype(np.float32)
     order = rng.permutation(len(y))
     # Vectors start at zero, so that features never seen in training say nothing.
     vectors = np.zeros((1 << features.bits, how.width), np.float32)
@@ -163,11 +163,12 @@ def train(texts: list[str], labels: list[int], features: Features, how: Training
         part = order[k:k + how.batch]
         buckets = np.concatenate([rows[i][0] for i in part])
         shares = np.concatenate([rows[i][1] for i in part])
-        of = np.repeat(np.arange(len(part)), [len(rows[i][0]) for i in part])
-        by = np.argsort(buckets, kind="stable")
+        of = np.repeat(np.arange(len(part), dtype=np.int32), [len(rows[i][0]) for i in part])
+        by = np.argsort(buckets, kind="stable").astype(np.int32)
         if len(by):
             firsts = np.flatnonzero(np.append(True, np.diff(buckets[by]) > 0))
             batches.append((part, buckets, shares, of, by, firsts))
+    del rows
     for epoch in range(how.epochs):
         rate = how.rate * (1 - epoch / how.epochs)
         for b in rng.permutation(len(batches)):
