@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..plans.shared import fresh_path
-from . import bpe, decontaminate, jaccard, licenses, quality, tokencounts, toxicity
+from . import bpe, decontaminate, jaccard, licenses, pii, quality, tokencounts, toxicity
 from .common import table
 from .registry import query
 
@@ -52,3 +52,14 @@ def ngram_jaccard_join(spark, folder):
 @query("op5_decontamination")
 def decontamination(spark, folder):
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op6_pii")
+def personal_data(spark, folder):
+    """Counts are of base spans; ``n_added`` has those of the method."""
+    found = pii.find(table(spark, folder, "documents"))
+    of = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", *(of(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)),
+        F.sha2(pii.told(F.col("base")), 256).alias("base_sha256"),
+        pii.told(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"))
