@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..plans.shared import fresh_path
-from . import bpe, decontaminate, jaccard, licenses, pii, quality, tokencounts, toxicity
+from . import bpe, decontaminate, jaccard, licenses, pii, quality, tokencounts, toxicity, urls
 from .common import table
 from .registry import query
 
@@ -63,3 +63,8 @@ def personal_data(spark, folder):
         "doc_id", *(of(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)),
         F.sha2(pii.told(F.col("base")), 256).alias("base_sha256"),
         pii.told(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
+@query("op3_url_filters")
+def url_filters(spark, folder):
+    return urls.judge(table(spark, folder, "pages"))
