@@ -15,6 +15,7 @@ per bucket; scoring adds the numbers of a text's features and divides by their w
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -97,9 +98,8 @@ class Model:
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
-def rows_of(features: Features, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+def rows_of(features: Features, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Distinct buckets of each text and the weight of each."""
-    out = []
     for _, part in slices(texts):
         split = [features.words(t) for t in part]
         number: dict[str, int] = {}
@@ -112,7 +112,7 @@ def rows_of(features: Features, texts: list[str]) -> list[tuple[np.ndarray, np.n
         starts = np.cumsum(many) - many
         for words in split:
             if not words:
-                out.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
+                yield np.zeros(0, np.int32), np.zeros(0, np.float32)
                 continue
             here = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
             found = ragged(starts[here], many[here])
@@ -121,17 +121,17 @@ def rows_of(features: Features, texts: list[str]) -> list[tuple[np.ndarray, np.n
                 x = np.append(x, features.of_pairs(own[here]).astype(np.int32))
                 k = np.append(k, np.ones(len(words) - 1))
             distinct, place = np.unique(x, return_inverse=True)
-            out.append((distinct, np.bincount(place, k).astype(np.float32)))
-    return out
+            yield distinct, np.bincount(place, k).astype(np.float32)
 
 
-def _telling(rows: list, y: np.ndarray, size: int, least: float) -> np.ndarray:
+def _telling(features: Features, texts: list[str], y: np.ndarray, least: float) -> np.ndarray:
     """Which buckets' share of documents differs between classes by ``least`` standard errors."""
+    size = 1 << features.bits
     if least <= 0:
         return np.ones(size, bool)
     n1, n0 = y.sum(), len(y) - y.sum()
     in1, in0 = np.zeros(size), np.zeros(size)
-    for (b, _), label in zip(rows, y):
+    for (b, _), label in zip(rows_of(features, texts), y):
         (in1 if label else in0)[b] += 1
     p = (in1 + in0 + 1) / (len(y) + 2)
     return np.abs(in1 / n1 - in0 / n0) >= least * np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
@@ -147,12 +147,12 @@ def train(texts: list[str], labels: list[int], features: Features, how: Training
         none = np.zeros(1 << features.bits, np.float32)
         return Model(features, none, none, float((y.mean() * 2 - 1) * 8) if len(y) else 0.0)
     rng = np.random.default_rng(how.seed)
-    rows = rows_of(features, texts)
-    telling = _telling(rows, y, 1 << features.bits, how.telling)
+    telling = _telling(features, texts, y, how.telling)
     mass = np.where(telling, 1, how.rest).astype(np.float32)
-    for i, (b, x) in enumerate(rows):
+    rows = []
+    for b, x in rows_of(features, texts):
         total, own = max(float((x * mass[b]).sum()), 1e-9), telling[b]
-        rows[i] = b[own], (x[own] / total).astype(np.float32)
+        rows.append((b[own], (x[own] / total).astype(np.float32)))
     order = rng.permutation(len(y))
     # Vectors start at zero, so that features never seen in training say nothing.
     vectors = np.zeros((1 << features.bits, how.width), np.float32)
