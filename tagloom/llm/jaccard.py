@@ -45,8 +45,9 @@ BLOCK = 2_000_000  # hashes that a task holds before it passes them on
 HOT = 256  # texts of one block that share a hash before it is counted apart
 
 PACKED = ("kind int, part int, doc_id long, own long, n int, owners binary, sizes binary, totals binary, "
-          "tokens binary, counts binary")
-FOUND = "kind int, doc_id long, own long, n int, token long, df int, tokens array<long>, dfs array<int>"
+          "tokens binary, counts binary, hot array<long>")
+FOUND = ("kind int, part int, doc_id long, own long, n int, token long, df long, owners binary, sizes binary, "
+         "totals binary, tokens binary, counts binary, hot array<long>")
 SETS = "own long, n int, m int, tokens array<long>, first array<long>, second array<long>, third array<long>"
 
 
@@ -92,10 +93,11 @@ def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 
 _PACKED = pa.schema([
     ("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("own", pa.int64()), ("n", pa.int32()),
-    ("owners", pa.binary()), ("sizes", pa.binary()), ("totals", pa.binary()), ("tokens", pa.binary()), ("counts", pa.binary())])
+    ("owners", pa.binary()), ("sizes", pa.binary()), ("totals", pa.binary()), ("tokens", pa.binary()), ("counts", pa.binary()),
+    ("hot", pa.list_(pa.int64()))])
 
 
-def _pack(owners: list[int], sets: list[np.ndarray], parts: int) -> Iterator[dict]:
+def _pack(owners: list[int], sets: list[np.ndarray], parts: int, most: int) -> Iterator[dict]:
     """Rows of one block: hashes by range with their owners, counts of hot ones, hot ones by owner."""
     owner = np.array(owners, np.int64)
     total = np.fromiter(map(len, sets), np.int32, len(sets))
@@ -106,15 +108,15 @@ def _pack(owners: list[int], sets: list[np.ndarray], parts: int) -> Iterator[dic
     starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     runs = np.diff(np.append(starts, len(ordered)))
     hot = np.zeros(len(tokens), bool)
-    hot[order] = np.repeat(runs > HOT, runs)
+    hot[order] = np.repeat(runs > most, runs)
     if hot.any():
-        names, counts = ordered[starts][runs > HOT], runs[runs > HOT]
+        names, counts = ordered[starts][runs > most], runs[runs > most]
         for p in np.unique(names % np.uint64(parts)):
             own = names % np.uint64(parts) == p
             yield {"kind": 2, "part": int(p), "tokens": names[own].tobytes(), "counts": counts[own].astype(np.int64).tobytes()}
         for own in np.split(np.flatnonzero(hot), np.flatnonzero(np.diff(of[hot])) + 1):
             i = int(of[own[0]])
-            yield {"kind": 3, "part": int(owner[i] % parts), "own": int(owner[i]), "n": int(total[i]), "tokens": tokens[own].tobytes()}
+            yield {"kind": 3, "part": int(owner[i] % parts), "own": int(owner[i]), "n": int(total[i]), "hot": tokens[own].astype(np.int64).tolist()}
     by = np.argsort(part[~hot], kind="stable")
     rest, rest_of, rest_part = tokens[~hot][by], of[~hot][by], part[~hot][by]
     edges = np.searchsorted(rest_part, np.arange(parts + 1))
@@ -128,7 +130,7 @@ def _pack(owners: list[int], sets: list[np.ndarray], parts: int) -> Iterator[dic
                    "totals": total[here[firsts]].tobytes(), "tokens": rest[a:b].tobytes()}
 
 
-def _sets_of(width: int, parts: int):
+def _sets_of(width: int, parts: int, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         owners, sets, held = [], [], 0
@@ -150,76 +152,80 @@ def _sets_of(width: int, parts: int):
                     rows.append(row)
                 yield _batch(rows, _PACKED)
                 if held >= BLOCK:
-                    for row in _pack(owners, sets, parts):
+                    for row in _pack(owners, sets, parts, hot):
                         yield _batch([row], _PACKED)
                     owners, sets, held = [], [], 0
         if held:
-            for row in _pack(owners, sets, parts):
+            for row in _pack(owners, sets, parts, hot):
                 yield _batch([row], _PACKED)
     return run
 
 
 _FOUND = pa.schema([
-    ("kind", pa.int32()), ("doc_id", pa.int64()), ("own", pa.int64()), ("n", pa.int32()), ("token", pa.int64()),
-    ("df", pa.int32()), ("tokens", pa.list_(pa.int64())), ("dfs", pa.list_(pa.int32()))])
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A range of hashes: how many classes have each; those of several go out by class."""
-    owners, sizes, totals, tokens, names, counts = [], [], [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for batch in batches:
-        passed = []
-        for row in batch.to_pylist():
-            if row["kind"] == 0:
-                passed.append(row)
-            elif row["kind"] == 3:
-                passed.append(row | {"tokens": np.frombuffer(row["tokens"], np.int64).tolist()})
-            elif row["kind"] == 2:
-                names.append(np.frombuffer(row["tokens"], np.uint64))
-                counts.append(np.frombuffer(row["counts"], np.int64))
-            else:
-                owners.append(np.frombuffer(row["owners"], np.int64))
-                sizes.append(np.frombuffer(row["sizes"], np.int32))
-                totals.append(np.frombuffer(row["totals"], np.int32))
-                tokens.append(np.frombuffer(row["tokens"], np.uint64))
-        if passed:
-            yield _batch(passed, _FOUND)
-    hot, inverse = np.unique(np.concatenate(names), return_inverse=True)
-    hot_df = np.bincount(inverse, np.concatenate(counts), len(hot)).astype(np.int64)
-    owner, size, total, token = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owners, sizes, totals, tokens))
-    # Copies of a class from several tasks: the first counts.
-    _, first = np.unique(owner, return_index=True)
-    one = np.zeros(len(owner), bool)
-    one[first] = True
-    token = token[np.repeat(one, size)]
-    of = np.repeat(np.flatnonzero(one), size[one])
-    if len(token):
-        order = np.argsort(token, kind="stable")
-        token, of = token[order], of[order]
-        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        runs = np.diff(np.append(starts, len(token)))
-        df = runs.copy()
-        at = np.searchsorted(hot, token[starts]).clip(0, max(0, len(hot) - 1))
+    ("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("own", pa.int64()), ("n", pa.int32()), ("token", pa.int64()),
+    ("df", pa.int64()), ("owners", pa.binary()), ("sizes", pa.binary()), ("totals", pa.binary()), ("tokens", pa.binary()),
+    ("counts", pa.binary()), ("hot", pa.list_(pa.int64()))])
+
+
+def _joined(parts: list[np.ndarray], kind=np.int64) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _counted(parts: int):
+    """A range of hashes: how many classes have each; those of several go back, packed by range of classes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owners, sizes, totals, tokens, names, counts = [], [], [], [], [], []
+        for batch in batches:
+            passed = []
+            for row in batch.to_pylist():
+                if row["kind"] in (0, 3):
+                    passed.append(row)
+                elif row["kind"] == 2:
+                    names.append(np.frombuffer(row["tokens"], np.uint64))
+                    counts.append(np.frombuffer(row["counts"], np.int64))
+                else:
+                    owners.append(np.frombuffer(row["owners"], np.int64))
+                    sizes.append(np.frombuffer(row["sizes"], np.int32))
+                    totals.append(np.frombuffer(row["totals"], np.int32))
+                    tokens.append(np.frombuffer(row["tokens"], np.uint64))
+            if passed:
+                yield _batch(passed, _FOUND)
+        hot, inverse = np.unique(_joined(names, np.uint64), return_inverse=True)
+        hot_df = np.bincount(inverse, _joined(counts), len(hot)).astype(np.int64)
+        owner, size, total, token = _joined(owners), _joined(sizes), _joined(totals), _joined(tokens, np.uint64)
+        # Copies of a class from several tasks: the first counts.
+        one = np.zeros(len(owner), bool)
+        one[np.unique(owner, return_index=True)[1]] = True
+        token = token[np.repeat(one, size)]
+        of = np.repeat(np.flatnonzero(one), size[one])
+        if len(token):
+            order = np.argsort(token, kind="stable")
+            token, of = token[order], of[order]
+            starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            runs = np.diff(np.append(starts, len(token)))
+            df = runs.copy()
+            if len(hot):
+                at = np.searchsorted(hot, token[starts]).clip(0, len(hot) - 1)
+                both = hot[at] == token[starts]
+                hot_df[at[both]] += runs[both]
+                df[both] = hot_df[at[both]]
+            keep = np.repeat(df > 1, runs)
+            token, df, of = token[keep], np.repeat(df, runs)[keep], of[keep]
+            part = owner[of] % parts
+            order = np.lexsort((of, part))
+            token, df, of, part = token[order], df[order], of[order], part[order]
+            edges = np.searchsorted(part, np.arange(parts + 1))
+            for p in np.unique(part).tolist():
+                a, b = int(edges[p]), int(edges[p + 1])
+                firsts = np.flatnonzero(np.append(True, of[a + 1:b] != of[a:b - 1]))
+                who = of[a:b][firsts]
+                yield _batch([{
+                    "kind": 1, "part": p, "owners": owner[who].tobytes(), "totals": total[who].astype(np.int32).tobytes(),
+                    "sizes": np.diff(np.append(firsts, b - a)).astype(np.int32).tobytes(),
+                    "tokens": token[a:b].tobytes(), "counts": df[a:b].tobytes()}], _FOUND)
         if len(hot):
-            both = hot[at] == token[starts]
-            np.add.at(hot_df, at[both], runs[both])
-            df[both] = hot_df[at[both]]
-        keep = np.repeat(df > 1, runs)
-        token, df, of = token[keep], np.repeat(df, runs)[keep], of[keep]
-        order = np.argsort(of, kind="stable")
-        token, df, of = token[order].astype(np.int64), np.minimum(df[order], 2**31 - 1), of[order]
-        cuts = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64), len(of))
-        for k in range(0, len(cuts) - 1, 20_000):
-            part = cuts[k:k + 20_001]
-            who, a, b = of[part[:-1]], part[0], part[-1]
-            none = pa.nulls(len(who), pa.int64())
-            ends = pa.array(part - a, pa.int32())
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.ones(len(who)), pa.int32()), none, pa.array(owner[who]), pa.array(total[who], pa.int32()), none,
-                pa.nulls(len(who), pa.int32()), pa.ListArray.from_arrays(ends, pa.array(token[a:b], pa.int64())),
-                pa.ListArray.from_arrays(ends, pa.array(df[a:b], pa.int32()))], schema=_FOUND)
-    if len(hot):
-        yield _batch([{"kind": 2, "token": int(t), "df": min(int(d), 2**31 - 1)} for t, d in zip(hot.astype(np.int64), hot_df)], _FOUND)
+            yield _batch([{"kind": 2, "token": t, "df": d} for t, d in zip(hot.astype(np.int64).tolist(), hot_df.tolist())], _FOUND)
+    return run
 
 
 def needed(n, percent: int):
@@ -237,20 +243,41 @@ def prefixes(n: int, tokens: np.ndarray, dfs: np.ndarray, percent: int) -> list[
 
 
 def _prefixed(percent: int):
+    """A range of classes: the shared tokens and the prefixes of those with enough of them."""
+    kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 4]
+    names = ["own", "n", "m", "tokens", "first", "second", "third"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owners, totals, tokens, counts = [], [], [], []
         for batch in batches:
-            rows = []
             for row in batch.to_pylist():
-                tokens, at = np.unique(np.concatenate([np.array(x["tokens"], np.int64) for x in row["found"]]), return_index=True)
-                dfs = np.concatenate([np.array(x["dfs"], np.int64) for x in row["found"]])[at]
-                if len(tokens) < needed(row["n"], percent):
-                    continue
-                first, second, third = prefixes(row["n"], tokens, dfs, percent)
-                rows.append((row["own"], row["n"], len(tokens), tokens, first, second, third))
-            columns = list(zip(*rows)) or [[]] * 7
-            kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)],
-                                             ["own", "n", "m", "tokens", "first", "second", "third"])
+                if row["kind"] == 1:
+                    sizes = np.frombuffer(row["sizes"], np.int32)
+                    owners.append(np.repeat(np.frombuffer(row["owners"], np.int64), sizes))
+                    totals.append(np.repeat(np.frombuffer(row["totals"], np.int32), sizes))
+                    tokens.append(np.frombuffer(row["tokens"], np.int64))
+                    counts.append(np.frombuffer(row["counts"], np.int64))
+                else:
+                    owners.append(np.array([row["own"]]))
+                    totals.append(np.array([row["n"]], np.int32))
+                    tokens.append(np.array([row["token"]]))
+                    counts.append(np.array([row["df"]]))
+        owner, total, token, df = _joined(owners), _joined(totals, np.int32), _joined(tokens), _joined(counts)
+        order = np.lexsort((token, owner))
+        # A copy in another block may bring a token twice.
+        new = np.append(True, (owner[order][1:] != owner[order][:-1]) | (token[order][1:] != token[order][:-1]))[:len(order)]
+        order = order[new]
+        owner, total, token, df = owner[order], total[order], token[order], df[order]
+        starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))[:len(owner)]
+        stops = np.append(starts[1:], len(owner))
+        enough = np.flatnonzero(stops - starts >= needed(total[starts].astype(np.int64), percent))
+        for k in range(0, len(enough), 2000):
+            rows = []
+            for i in enough[k:k + 2000]:
+                a, b = starts[i], stops[i]
+                n = int(total[a])
+                rows.append((int(owner[a]), n, int(b - a), token[a:b], *prefixes(n, token[a:b], df[a:b], percent)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), x) for c, x in zip(zip(*rows), kinds)], names)
     return run
 
 
@@ -267,24 +294,24 @@ def _pair(a: str, b: str):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def similar(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
+def similar(docs: DataFrame, width: int = 4, percent: int = 85, hot: int = HOT) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row.
+
+    ``hot``: texts of one block from which a shared hash is counted apart.
+    """
     spark = docs.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    packed = rows.mapInArrow(_sets_of(width, parts), PACKED)
-    found = through_table(packed.repartitionById(parts, F.col("part")).mapInArrow(_count, FOUND), "shingles")
+    packed = rows.mapInArrow(_sets_of(width, parts, hot), PACKED)
+    found = through_table(packed.repartitionById(parts, F.col("part")).mapInArrow(_counted(parts), FOUND), "shingles")
 
     members = found.where("kind = 0").select("doc_id", "own", F.col("n").cast("long").alias("n_shingles"))
-    shared = found.where("kind = 1").select("own", "n", "tokens", "dfs")
-    hot = found.where("kind = 2").select("token", "df")
-    of_hot = (found.where("kind = 3").select("own", "n", F.explode("tokens").alias("token")).distinct().join(hot, "token")
-              .select("own", "n", F.array("token").alias("tokens"), F.array("df").alias("dfs")))
-    gathered = shared.union(of_hot).groupBy("own").agg(
-        F.max("n").alias("n"), F.sum(F.size("tokens")).alias("m"), F.collect_list(F.struct("tokens", "dfs")).alias("found"))
-    enough = gathered.where(100 * F.col("m") >= percent * F.col("n")).select("own", "n", "found")
-    sets = through_table(enough.mapInArrow(_prefixed(percent), SETS), "prefixes")
+    counted = found.where("kind = 2").select("token", "df")
+    held = found.where("kind = 3").select("part", "own", "n", F.explode("hot").alias("token"))
+    of_hot = held.distinct().join(counted, "token").selectExpr("3 AS kind", "part", "own", "n", "token", "df")
+    back = found.where("kind = 1").unionByName(of_hot, allowMissingColumns=True)
+    sets = through_table(back.repartitionById(parts, F.col("part")).mapInArrow(_prefixed(percent), SETS), "prefixes")
 
     lists = through_table(sets.select("own", "n", "m", F.posexplode("first").alias("pos", "token")), "lists")
     fits = lambda a, b: F.least(a, b) * 100 >= percent * F.greatest(a, b)
