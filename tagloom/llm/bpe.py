@@ -10,7 +10,7 @@ Pieces are cached per task in a table of bounded size, as words repeat.
 
 Defined results: a null text is the empty text and has no ids; ids of null decode to
 null; text of any length is one row; repeated rows give repeated results; ``encode``
-keeps only ``doc_id`` and ``ids``.
+keeps the columns it is asked for.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordTable, map_arrow, ragged, slices, text_of
+from .common import WordTable, held, map_arrow, ragged, slices, text_of
 
 NONE = np.int64(1) << 40  # rank of a pair that is no token
 CELLS = 1 << 21  # tree nodes worked on together
@@ -141,8 +141,8 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         self.ranks, self.pieces = ranks_of(path), regex.compile(pattern).findall
-        self.chunks = WordTable(self._chunks, 400_000)
-        self.merged = WordTable(self._merge, 300_000)
+        self.chunks = WordTable(self._chunks, 300_000)
+        self.merged = WordTable(self._merge, 200_000)
         # Ids of chunks and of pieces, one after another; columns say where each begins.
         self.ids = {self.chunks: np.empty(1 << 16, np.int64), self.merged: np.empty(1 << 16, np.int64)}
 
@@ -204,27 +204,22 @@ class Encoder:
         return ids, np.diff(np.append(0, np.cumsum(counts))[edges])
 
 
-@lru_cache(maxsize=2)
-def encoder_of(path: str, pattern: str) -> Encoder:
-    """One per worker, which keeps its tables from task to task."""
-    return Encoder(path, pattern)
-
+def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and ``ids``: the ids of each whole text, without special tokens. No shuffle."""
+    rows = docs.select(*keep, text_of().alias("llm_text"))
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id``, ``ids``: the ids of each whole text, without special tokens. No shuffle."""
     def make():
-        encoder = encoder_of(path, pattern)
+        encoder = held((path, pattern), lambda: Encoder(path, pattern))
 
         def run(batch: pa.RecordBatch):
-            for start, texts in slices(batch.column("text").to_pylist()):
+            for start, texts in slices(batch.column("llm_text").to_pylist()):
                 ids, counts = encoder.encode(texts)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(texts)), lists], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, len(texts)) for c in keep), lists], [*keep, "ids"])
         return run
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), make,
-                     "doc_id long, ids array<int>")
+    return map_arrow(rows, make, rows.select(*keep, F.lit(None).cast("array<int>").alias("ids")).schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:

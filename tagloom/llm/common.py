@@ -87,6 +87,21 @@ class WordTable(dict):
         return self.arrays[k] if self.arrays else np.zeros(1)
 
 
+_HELD: dict = {}
+
+
+def held(key, build: Callable):
+    """What ``build`` made under ``key`` in this worker, kept from task to task.
+
+    One operator's tables at a time: those of the one before are let go, so that a worker
+    that serves several operators does not hold the tables of all.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions start, start + 1, ... of every (start, length), one after another."""
     total = int(lengths.sum())

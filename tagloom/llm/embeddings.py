@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordTable, map_arrow, mix, ragged, slices, text_of
+from .common import WordTable, held, map_arrow, mix, ragged, slices, text_of
 
 
 @dataclass(frozen=True)
@@ -194,22 +194,12 @@ def train(texts: list[str], labels: list[int], features: Features, how: Training
     return Model(features, vectors @ (head[:, 1] - head[:, 0]) * telling, mass, float(offset[1] - offset[0]))
 
 
-_SCORERS: dict[str, "Scorer"] = {}
-
-
 class Scorer:
     """Adds up a model over texts; the numbers of words are kept from task to task."""
 
     def __init__(self, model: Model):
         self.model, self.words = model, WordTable(self._compute)
 
-    @classmethod
-    def of(cls, model: Model) -> "Scorer":
-        if model.name not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[model.name] = cls(model)
-        return _SCORERS[model.name]
-
     def _compute(self, words: list[str]):
         own, numbers, buckets, weight = self.model.features.of_words(words)
         total = np.bincount(numbers, self.model.weights[buckets] * weight, len(words))
@@ -251,7 +241,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, how: Training) -> tup
 def score_rows(docs: DataFrame, model: Model, into: str, text: str = "text") -> DataFrame:
     """``docs`` with the score of class 1 in the column ``into``. One pass, no shuffle."""
     def make():
-        scorer = Scorer.of(model)
+        scorer = held(model.name, lambda: Scorer(model))
 
         def run(batch: pa.RecordBatch):
             found = [scorer.score(texts) for _, texts in slices(batch.column(text).to_pylist())]

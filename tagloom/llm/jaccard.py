@@ -30,7 +30,6 @@ class but names no component.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.shared import through_table
-from .common import WordTable, mix, ship, slices, text_of
+from .common import WordTable, held, mix, ship, slices, text_of
 from .components import components
 
 BLOCK = 2_000_000  # hashes that a task holds before it passes them on
@@ -55,16 +54,11 @@ def _hash_words(words: list[bytes]):
     return [np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))]
 
 
-@lru_cache(maxsize=1)
-def _words() -> WordTable:
-    return WordTable(_hash_words, 400_000)
-
-
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the word shingles of each text."""
     split = [t.encode().lower().split() for t in texts]
     counts = np.fromiter(map(len, split), np.int64, len(split))
-    table = _words()
+    table = held("shingles", lambda: WordTable(_hash_words))
     at = table.index([w for words in split for w in words])
     if not len(at):
         return [np.zeros(0, np.uint64)] * len(texts)
@@ -353,3 +347,13 @@ def similar(docs: DataFrame, width: int = 4, percent: int = 85, hot: int = HOT)
         F.col("own").alias("of"), F.coalesce("smallest", "least").alias("smallest"))
     return members.join(ids, members.own == ids.of, "left").select(
         "doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their component, with their columns.
+
+    Rows that share an id are one document; rows with a null id stay. Texts cross the
+    network once, hashed by id, and meet a narrow table of ids.
+    """
+    kept = similar(docs, width, percent).where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("llm_kept")).distinct()
+    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("llm_kept")), "left_semi")
