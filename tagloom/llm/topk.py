@@ -6,8 +6,9 @@ work evenly. In a block there is a list of its rows per dimension, sorted by val
 query the lists are read from the end that its component favours, a stretch at a time;
 what was read gives each row a lower and an upper bound of its score (unread components
 lie between the list's far end and the place reached). Reading stops when the rows whose
-upper bound reaches the k-th lower bound are few; outsiders cannot qualify, and the few
-get their final scores in whole numbers. The best of all blocks are then ranked.
+upper bound reaches the k-th lower bound, or the k-th final score of the blocks that the
+task has done before, are few; outsiders cannot qualify, and the few get their final
+scores in whole numbers. The best of all tasks are then ranked.
 
 Defined results: vectors that are null, or hold null or non-finite components, and rows
 with a null id take no part; rows that repeat an id count once, with their least vector;
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.shared import through_table
-from .common import map_arrow, ship
+from .common import ship
 
 ROWS, QUERIES = 2048, 1024  # rows of a block, on average
 SCALE = 256
@@ -61,53 +62,61 @@ class SortedLists:
         self.rising = np.argsort(vectors, axis=0, kind="stable")
         self.values = np.take_along_axis(vectors, self.rising, axis=0).astype(np.float64)
 
-    def best(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows other than ``own``, ties to smaller ids."""
-        n = len(self.ids)
-        lists = np.flatnonzero(query)
+    def best(self, own: int, query: np.ndarray, k: int, bar: float = -math.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows other than ``own`` that reach ``bar``, ties to smaller ids."""
         others = self.ids != own
-        if len(lists) and others.sum() > 4 * k:
-            keep = self._survivors(query[lists].astype(np.float64), lists, others, k)
-        else:
-            keep = others
+        keep = others
+        if query.any() and others.sum() > 4 * k:
+            keep = self._survivors(query.astype(np.float64), others, k, bar)
         ids, scores = self.ids[keep], self.vectors[keep] @ query
         first = np.lexsort((ids, -scores))[:k]
         return ids[first], scores[first]
 
-    def _survivors(self, q: np.ndarray, lists: np.ndarray, others: np.ndarray, k: int) -> np.ndarray:
-        n, few = len(self.ids), max(4 * k, 64)
-        down = q > 0
-        rows, values = self.rising[:, lists], self.values[:, lists] * q
-        rows[:, down], values[:, down] = rows[::-1, down], values[::-1, down]
-        partial, unread = np.zeros(n), np.ones((n, len(lists)))
-        far, places = values[-1], np.arange(len(lists))
-        slack = 1e-12 * np.abs(values[[0, -1]]).max(0).sum()
-        lo, hi = 0, max(1, n // 4)
+    def _survivors(self, q: np.ndarray, others: np.ndarray, k: int, bar: float) -> np.ndarray:
+        n, width = self.vectors.shape
+        few, places = max(4 * k, n // 8), np.arange(width)
+        down = q > 0  # lists that are read from their large end
+        ends = self.values[[0, -1]] * q
+        far, slack = ends.min(0), 1e-12 * np.abs(ends).max(0).sum()
+        partial, unread = np.zeros(n), np.ones((n, width))
+        lo, hi = 0, max(1, 5 * n // 8)
         while True:
-            partial += np.bincount(rows[lo:hi].ravel(), values[lo:hi].ravel(), n)
-            unread[rows[lo:hi], places] = 0
-            low, high = (partial[:, None] + unread @ np.stack([far, values[hi - 1]], 1)).T
-            bar = np.partition(low[others], -k)[-k]
-            keep = others & (high >= bar - slack)
+            rows = np.where(down, self.rising[::-1][lo:hi], self.rising[lo:hi])
+            read = np.where(down, self.values[::-1][lo:hi], self.values[lo:hi]) * q
+            partial += np.bincount(rows.ravel(), read.ravel(), n)
+            unread.ravel()[(rows * width + places).ravel()] = 0
+            low, high = (partial[:, None] + unread @ np.stack([far, read[-1]], 1)).T
+            reached = max(bar, np.partition(low[others], -k)[-k])
+            keep = others & (high >= reached - slack)
             if hi == n or keep.sum() <= few:
                 return keep
             lo, hi = hi, min(n, hi + max(1, n // 8))
 
 
 def _searched(k: int):
-    def make():
-        def run(batch: pa.RecordBatch):
-            out: list[tuple] = []
-            for row in batch.to_pylist():
+    def run(batches):
+        best: dict[tuple, tuple] = {}  # per query block: its ids, and the best ids and scores so far
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
                 width = row["width"]
                 block = SortedLists(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.int64).reshape(-1, width))
+                asked = np.frombuffer(row["query_ids"], np.int64)
                 queries = np.frombuffer(row["query_vectors"], np.int64).reshape(-1, width)
-                for own, query in zip(np.frombuffer(row["query_ids"], np.int64).tolist(), queries):
-                    ids, scores = block.best(own, query, k)
-                    out += [(own, i, s) for i, s in zip(ids.tolist(), scores.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*out)) or [[]] * 3)], ["query_id", "vec_id", "score"])
-        return run
-    return make
+                none = np.zeros(0, np.int64)
+                held = best.setdefault((row["asked"], width), (asked.tolist(), [(none, none)] * len(asked)))[1]
+                for j, (own, query) in enumerate(zip(asked.tolist(), queries)):
+                    ids, scores = held[j]
+                    bar = float(scores[-1]) if len(scores) == k else -math.inf
+                    more_ids, more = block.best(own, query, k, bar)
+                    ids, scores = np.append(ids, more_ids), np.append(scores, more)
+                    first = np.lexsort((ids, -scores))[:k]
+                    held[j] = ids[first], scores[first]
+        for asked, found in best.values():
+            counts = [len(x) for x, _ in found]
+            columns = [np.repeat(asked, counts), *(np.concatenate([x[c] for x in found]) for c in (0, 1))]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["query_id", "vec_id", "score"])
+    return run
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -122,6 +131,6 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id",
         "asked", "width", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     met = left.join(right, ["block", "asked", "width"]).repartition(F.col("block"), F.col("asked"))
-    found = map_arrow(met, _searched(k), "query_id long, vec_id long, score long")
+    found = met.mapInArrow(_searched(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

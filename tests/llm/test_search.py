@@ -50,9 +50,10 @@ def test_lists_stop_early_and_lose_nothing():
         want = np.lexsort((ids, -scores))[:5]
         got, best = block.best(q, vectors[q], 5)
         assert got.tolist() == want.tolist() and best.tolist() == scores[want].tolist()
-    lists = np.arange(6)
-    keep = block._survivors(vectors[0].astype(float), lists, ids != 0, 5)
-    assert keep.sum() < 200
+        again, _ = block.best(q, vectors[q], 5, float(best[-1]))
+        assert again.tolist() == want.tolist()
+    keep = block._survivors(vectors[0].astype(float), ids != 0, 5, float(best[-1]))
+    assert keep.sum() < 600
 
 
 def test_op2_against_all_scores(spark):
