@@ -186,12 +186,12 @@ def segment_documents(spark, folder):
     return documents.segment_documents(views.md_documents(spark, folder))
 
 
-@query("rebuild_documents", "SELECT doc_id, text, TRUE AS same FROM md_documents WHERE text <> ''")
+@query("rebuild_documents", "SELECT doc_id, text, TRUE AS same FROM md_documents")
 def rebuild_documents(spark, folder):
     docs = views.md_documents(spark, folder)
     rebuilt = documents.rebuild_documents(documents.segment_documents(docs))
     return rebuilt.join(docs.select("doc_id", F.col("text").alias("was")), "doc_id").select(
-        "doc_id", "text", (F.col("text") == F.col("was")).alias("same"))
+        "doc_id", "text", F.col("text").eqNullSafe(F.col("was")).alias("same"))
 
 
 @query("segment_tags", rf"""

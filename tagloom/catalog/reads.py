@@ -37,9 +37,9 @@ def scan_rt_latest(spark, folder):
 
 
 def _label_rows(spark, folder):
-    """New rows at three times the labelled ids: some keys exist, some do not."""
+    """New rows at a third of the labelled ids, three times: some keys exist, and most come more than once."""
     return views.table(spark, folder, "labels").select(
-        (F.col("doc_id") * 3).alias("tid"),
+        (F.floor(F.col("doc_id") / 3) * 3).alias("tid"),
         F.concat(F.lit("label "), F.col("doc_id").cast("string")).alias("txt"),
         F.concat(F.lit("label/"), F.col("doc_id").cast("string")).alias("ref"),
         F.when(F.col("toxic") == 1, F.array(F.lit("toxic"))).alias("sts"),
@@ -48,14 +48,14 @@ def _label_rows(spark, folder):
 
 
 @query("upsert_tags", f"""
-    WITH fresh AS (SELECT doc_id * 3 AS tid, 'label ' || doc_id AS txt, 'label/' || doc_id AS ref,
+    WITH fresh AS (SELECT doc_id // 3 * 3 AS tid, 'label ' || doc_id AS txt, 'label/' || doc_id AS ref,
             CASE WHEN toxic = 1 THEN ['toxic'] END AS sts, TIMESTAMP '2024-05-01 12:00:00' AS dt,
-            'label' AS type FROM labels),
+            'label' AS type FROM labels QUALIFY row_number() OVER (PARTITION BY doc_id // 3 ORDER BY 'label/' || doc_id DESC) = 1),
          merged AS (SELECT tid, txt, ref, sts, dt, type FROM tags_documents
                     WHERE tid NOT IN (SELECT tid FROM fresh) UNION ALL SELECT * FROM fresh)
     SELECT {TAG_SQL} FROM merged""")
 def upsert_tags(spark, folder):
-    return tags(tables.upsert(views.tags_documents(spark, folder), _label_rows(spark, folder)))
+    return tags(tables.upsert(views.tags_documents(spark, folder), _label_rows(spark, folder), order=["ref"]))
 
 
 @query("bulk_update", f"""

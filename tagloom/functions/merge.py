@@ -77,11 +77,15 @@ def rec_merge(target: Column, source: Column, depth: int = 3) -> Column:
 
     At depth 0 the source is laid over the target without recursion; two arrays are
     then laid over each other place by place and become an object of places. A null
-    that the source states wins like any other value. A missing text counts as {}.
+    that the source states wins like any other value. A missing text counts as {}, and
+    so does one that is not JSON; of two that are not, the target stays as it is written.
     """
-    left = F.parse_json(F.coalesce(target, F.lit("{}")))
-    right = F.parse_json(F.coalesce(source, F.lit("{}")))
-    return let(left, lambda l: let(right, lambda r: F.to_json(_merge(l, r, depth))))
+    empty = F.parse_json(F.lit("{}"))
+    sides = F.struct(F.try_parse_json(target).alias("l"), F.try_parse_json(source).alias("r"))
+    return let(sides, lambda s: F.when(
+        s["l"].isNull() & s["r"].isNull() & target.isNotNull(), target,
+    ).otherwise(let(F.coalesce(s["l"], empty), lambda l: let(
+        F.coalesce(s["r"], empty), lambda r: F.to_json(_merge(l, r, depth))))))
 
 
 def _kind(value: Column) -> Column:

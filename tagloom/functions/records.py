@@ -21,14 +21,15 @@ DEFAULT_KIND = "paragraph"
 def line_segments(text: Column) -> Column:
     """Lines with their line ends: array of struct(start, seg, kind), without gaps.
 
-    Everything happens inside the row, so a document is cut without a shuffle.
+    An empty text is one empty line. Everything happens inside the row, so a document is cut without a shuffle.
     """
     def cut(segs: Column) -> Column:
         starts = running_starts(F.transform(segs, F.length))
         return F.transform(F.arrays_zip(starts.alias("start"), segs.alias("seg")), lambda p: F.struct(
             p["start"].alias("start"), p["seg"].alias("seg"), line_kind(p["seg"]).alias("kind")))
 
-    return let(F.regexp_extract_all(text, F.lit(r"([^\n]*\n|[^\n]+)"), F.lit(1)), cut)
+    lines = F.regexp_extract_all(text, F.lit(r"([^\n]*\n|[^\n]+)"), F.lit(1))
+    return let(F.when(text == "", F.array(F.lit(""))).otherwise(lines), cut)
 
 
 def line_kind(seg: Column) -> Column:
@@ -63,9 +64,9 @@ def segment_tags(kind: Column, seg: Column, seq: Column, start: Column) -> Colum
 def outline(record: Column, depth: int = 4) -> Column:
     """Nested JSON text -> indented bullet list, keys in the order they are written.
 
-    Levels below ``depth`` are shown as JSON text.
+    Levels below ``depth`` are shown as JSON text, a text that is not JSON as it is.
     """
-    return _outline(record, F.parse_json(record), F.lit(""), depth)
+    return _outline(record, F.try_parse_json(record), F.lit(""), depth)
 
 
 def _is_nested(text: Column, typed: Column) -> Column:

@@ -9,8 +9,11 @@ from ..plans.ordered import running_sum
 
 
 def segment_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, seq, start, seg, kind): the lines of each text, without gaps."""
-    return (docs.select(doc_id, F.posexplode(line_segments(F.col(text))).alias("seq", "s"))
+    """(doc_id, seq, start, seg, kind): the lines of each text, without gaps.
+
+    An empty text is one empty segment; a null text one row without segment.
+    """
+    return (docs.select(doc_id, F.posexplode_outer(line_segments(F.col(text))).alias("seq", "s"))
             .select(doc_id, F.col("seq").cast("bigint").alias("seq"), "s.start", "s.seg", "s.kind"))
 
 
@@ -25,10 +28,10 @@ def segment_offsets(segments: DataFrame, doc_id: str = "doc_id", parts: int | No
 
 
 def rebuild_documents(segments: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Texts put together from their segments, in order of their start."""
+    """Texts put together from their segments, in order of their start; null where there is none."""
     parts = F.array_sort(F.collect_list(F.struct("start", "seg")))
-    return segments.groupBy(doc_id).agg(
-        F.array_join(F.transform(parts, lambda p: p["seg"]), "").alias("text"))
+    text = F.array_join(F.transform(parts, lambda p: p["seg"]), "")
+    return segments.groupBy(doc_id).agg(F.when(F.count("seg") > 0, text).alias("text"))
 
 
 def tag_segments(segments: DataFrame) -> DataFrame:

@@ -69,13 +69,14 @@ def occ_classify(base: DataFrame, mods: DataFrame, last_dt, newest: Column | Non
 
 
 def ack_clean(local: DataFrame, acked: DataFrame, server_now) -> DataFrame:
-    """Dirty rows whose key was accepted become clean and take the server's time."""
+    """Dirty rows whose key was accepted become clean and take the server's time and tid."""
     now = F.lit(server_now).cast("timestamp")
     hit = F.col("_ok").isNotNull()
     # Only dirty rows can be accepted; the clean ones take no part in the join.
     dirty = (
         local.where("modAt is not null")
-        .join(acked.select(*KEY).distinct().withColumn("_ok", F.lit(True)), KEY, "left")
+        .join(acked.groupBy(*KEY).agg(F.max("tid").alias("_tid")).withColumn("_ok", F.lit(True)), KEY, "left")
+        .withColumn("tid", F.coalesce("_tid", "tid"))
         .withColumn("dt", F.when(hit, now).otherwise(F.col("dt")))
         .withColumn("modAt", F.when(~hit, F.col("modAt")))
         .select(*local.columns))
@@ -113,22 +114,45 @@ def with_prev_dt(rec: Column, prev_dt: Column) -> Column:
     return F.when(prev_dt.isNull(), rec).otherwise(rec_merge(rec, stamp, 1))
 
 
+def free_tids(accepted: DataFrame, base: DataFrame, above: int, parts: int | None = None) -> DataFrame:
+    """Accepted rows as the server may store them: no ``tid`` that another key has.
+
+    A row whose ``tid`` belongs to another key of ``base``, or is claimed by several
+    accepted rows (the smallest key keeps it), gets a fresh one above ``above``.
+    """
+    keyed = accepted.where("tid IS NOT NULL").select("tid", F.struct(*KEY).alias("k"))
+    held = base.where("tid IS NOT NULL").join(keyed.select("tid").distinct(), "tid", "left_semi").select("tid", F.struct(*KEY).alias("k"))
+    first = keyed.groupBy("tid").agg(F.min("k").alias("first"))
+    other = keyed.join(held.withColumnRenamed("k", "of"), "tid").where("k <> of").select("tid", "k")
+    late = keyed.join(first, "tid").where("k <> first").select("tid", "k")
+    taken = other.union(late).distinct().select("k.*")
+    moved = accepted.join(taken, KEY, "left_semi")
+    return accepted.join(taken, KEY, "left_anti").select(*TAG_COLUMNS).unionByName(
+        reassign_pk(moved.select(*TAG_COLUMNS), KEY, above, parts))
+
+
 def sync_reconcile(local: DataFrame, incoming: DataFrame, now) -> DataFrame:
     """Rows to put for the server rows in ``incoming``, each with an ``action``.
 
     server: the server's row, clean. merged: my dirty row with the same unique key,
     merged with it; it takes the server's key. moved: a local row of another unique key
-    that held the server row's ``tid``; it loses the key and becomes dirty.
+    that held the server row's ``tid``; it loses the key and becomes dirty. split: of
+    several server rows on one ``tid`` the newest keeps it; the others lose it and become
+    dirty, so that the server learns their fresh keys.
     """
     stamp = F.lit(now).cast("timestamp")
+    owner = F.struct("dt", *KEY)
+    owners = incoming.where("tid IS NOT NULL").groupBy("tid").agg(F.max(owner).alias("owner"))
     dirty = local.where("modAt is not null").select(*KEY, tag_struct().alias("mine"))
     # Reduced by a semi join first: the incoming keys are few, the local rows many.
     holders = (local.where("tid is not null")
                .join(incoming.select("tid").distinct(), "tid", "left_semi")
                .select("tid", tag_struct().alias("holder")))
-    joined = (
-        incoming.select(*KEY, "tid", tag_struct().alias("theirs"))
-        .join(dirty, KEY, "left").join(holders, "tid", "left"))
+    rows = incoming.select(*KEY, "tid", tag_struct().alias("theirs"), owner.alias("own")).join(dirty, KEY, "left")
+    # Rows without a tid meet no holder; they go around the joins instead of into one task.
+    keyless = rows.where("tid IS NULL").withColumns({
+        "owner": F.col("own"), "holder": F.lit(None).cast(holders.schema["holder"].dataType)})
+    joined = rows.where("tid IS NOT NULL").join(owners, "tid").join(holders, "tid", "left").unionByName(keyless)
     theirs, mine, holder = F.col("theirs"), F.col("mine"), F.col("holder")
     merged = let(merge_row(mine, theirs, stamp), lambda m: _struct_with(
         m, tid=F.coalesce(theirs["tid"], m["tid"])))
@@ -136,29 +160,32 @@ def sync_reconcile(local: DataFrame, incoming: DataFrame, now) -> DataFrame:
     other = holder.isNotNull() & ~(
         (holder["type"] == theirs["type"]) & (holder["ref"] == theirs["ref"]))
     moved = _struct_with(holder, tid=F.lit(None), modAt=stamp)
+    owns = F.col("own").eqNullSafe(F.col("owner"))
+    row = let(put, lambda p: F.when(owns, p).otherwise(_struct_with(p, tid=F.lit(None), modAt=stamp)))
     outputs = F.array(
-        F.struct(F.when(mine.isNotNull(), "merged").otherwise("server").alias("action"), put.alias("row")),
-        F.when(other, F.struct(F.lit("moved").alias("action"), moved.alias("row"))))
+        F.struct(F.when(~owns, "split").when(mine.isNotNull(), "merged").otherwise("server").alias("action"), row.alias("row")),
+        F.when(other & owns, F.struct(F.lit("moved").alias("action"), moved.alias("row"))))
     return (joined.select(F.inline(F.filter(outputs, lambda o: o.isNotNull())))
             .select("action", "row.*"))
 
 
 def renumber_moved(puts: DataFrame, incoming: DataFrame, above: int,
                    parts: int | None = None) -> DataFrame:
-    """Moved rows with new keys above ``above``, the largest key in use anywhere.
+    """Moved and split rows with new keys above ``above``, the largest key in use anywhere.
 
     A moved row is left out when the server sent its unique key too: that key's own
     put row already stands for it.
     """
     moved = puts.where("action = 'moved'").drop("action")
-    orphans = moved.join(incoming.select(*KEY).distinct(), KEY, "left_anti")
-    return reassign_pk(orphans.select(*TAG_COLUMNS).dropDuplicates(KEY), KEY, above, parts)
+    orphans = moved.join(incoming.select(*KEY).distinct(), KEY, "left_anti").select(*TAG_COLUMNS).dropDuplicates(KEY)
+    split = puts.where("action = 'split'").select(*TAG_COLUMNS)
+    return reassign_pk(orphans.unionByName(split), KEY, above, parts)
 
 
 def apply_reconciled(local: DataFrame, incoming: DataFrame, puts: DataFrame,
                      renumbered: DataFrame) -> DataFrame:
     """The next local table: put and renumbered rows in, what they replace out."""
-    settled = puts.where("action <> 'moved'").drop("action")
+    settled = puts.where("action NOT IN ('moved', 'split')").drop("action")
     server_keys = incoming.select(*KEY).distinct()
     keyless = local.where("tid is null")
     untouched = (
@@ -214,5 +241,5 @@ def audit_rows(incoming: DataFrame, local: DataFrame, puts: DataFrame, now) -> D
     dirty = local.where("modAt is not null").join(incoming.select(*KEY).distinct(), KEY, "left_semi")
     held = (local.where("tid is not null")
             .join(incoming.select("tid").distinct(), "tid", "left_semi"))
-    return (log(dirty, F.lit("modrw")).unionByName(log(held, F.lit("local")))
+    return (log(dirty, F.lit("edited")).unionByName(log(held, F.lit("local")))
             .unionByName(log(puts, F.col("action"))))

@@ -13,20 +13,36 @@ def _keyed(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col(key).isNotNull()), df.where(F.col(key).isNull())
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "tid") -> DataFrame:
+def last_per_key(rows: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """One row per key: the last along ``order``, else along all columns as they stand.
+
+    Combined before the shuffle, so a key that comes very often stays cheap.
+    """
+    order = order or [c for c in rows.columns if c != key]
+    best = F.max_by(F.struct(*rows.columns), F.struct(*order)) if order else F.max(F.struct(*rows.columns))
+    return rows.groupBy(F.col(key).alias("_last")).agg(best.alias("_row")).select("_row.*")
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str = "tid", order: list[str] | None = None) -> DataFrame:
     """Rows of ``new`` replace those with the same key, and are added otherwise.
 
-    Keys are unique within ``new``; rows without a key are always added.
+    Of several new rows with one key the last along ``order`` is put; without ``order``,
+    the largest. Rows without a key are always added.
     """
     keyed, keyless = _keyed(old, key)
-    keys = new.select(key).where(F.col(key).isNotNull())
-    return keyed.join(keys, key, "left_anti").select(*old.columns).unionByName(
-        keyless).unionByName(new.select(*old.columns))
+    fresh, added = _keyed(new, key)
+    put = last_per_key(fresh, key, order).select(*old.columns)
+    return keyed.join(fresh.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(
+        keyless).unionByName(put).unionByName(added.select(*old.columns))
+
 
+def bulk_update(old: DataFrame, changes: DataFrame, key: str = "tid", order: list[str] | None = None) -> DataFrame:
+    """Patch the columns that ``changes`` has, where it states a value.
 
-def bulk_update(old: DataFrame, changes: DataFrame, key: str = "tid") -> DataFrame:
-    """Patch the columns that ``changes`` has, where it states a value."""
+    Of several changes of one key the last along ``order`` counts, as in ``upsert``.
+    """
     keyed, keyless = _keyed(old, key)
+    changes = last_per_key(changes.where(F.col(key).isNotNull()), key, order)
     patched = [c for c in changes.columns if c != key]
     joined = keyed.alias("o").join(changes.alias("c"), key, "left")
     return joined.select([

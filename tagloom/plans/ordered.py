@@ -1,202 +1,116 @@
 """Ordered scans that never put a whole group, or the whole table, into one task.
 
 A window over a key runs each key in one task, and a window without a key runs
-everything in one. Here the rows are first cut into chunks of about equal size along
-``(key, order)``, at split points taken from a bounded sample. Keys that hold more than
-a chunk show up with several split points; only they are divided, all others keep a
-window of their own. A chunk is a pure function of the row, so a recomputed task puts
-each row where it was before. Windows then run inside (key, chunk), and what one chunk
-hands to the next is worked out on a summary with a row per chunk. With a unique last
-order column even a key that holds a third of all rows, at one point in time, is split
-evenly.
+everything in one. Here the rows are stored once, then cut into ranges along
+``(key, order)`` by Spark's range partitioning and stored with the number of their
+range, the chunk. How many chunks there are follows from the rows alone, and a chunk is
+part of the stored row, so a recomputed task finds each row where it was. Windows then run
+inside (key, chunk); what one chunk hands to the next is worked out on a summary with a
+row per key and chunk, of which only keys that span chunks are joined back. With a unique
+last order column even a key that holds a third of all rows, at one point in time, is
+split evenly.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.core import let
-
-# Sampled rows per wanted chunk: evens out chunk sizes, and bounds what is collected.
-SAMPLE_PER_CHUNK = 20
-# Below this many rows per chunk, more chunks cost more than they help.
-MIN_ROWS_PER_CHUNK = 4_096
-# Several chunks per shuffle partition even out what each partition gets; the upper
-# bound keeps split points, sample and summaries small however large the table is.
-CHUNKS_PER_PARTITION = 4
-MAX_CHUNKS = 8_192
-
-
-class Chunks:
-    """Split points along some columns, and the expression that finds a row's chunk."""
-
-    def __init__(self, columns: list[str], points: list[tuple], types: list[str]):
-        self.columns, self.points, self.types = columns, points, types
-
-    @property
-    def count(self) -> int:
-        return len(self.points) + 1
-
-    def _row(self, values: list[Column]) -> Column:
-        """Structs compare field by field, with null before everything else."""
-        return F.struct(*[v.alias(f"k{i}") for i, v in enumerate(values)])
-
-    def index(self) -> Column:
-        """Zero-based chunk: how many split points are at or below the row."""
-        if not self.points:
-            return F.lit(0)
-        bounds = F.array(*[
-            self._row([F.lit(v).cast(t) for v, t in zip(point, self.types)]) for point in self.points])
-        steps = F.array(*[F.lit(1 << k) for k in range(len(self.points).bit_length() - 1, -1, -1)])
-        return let(self._row([F.col(c) for c in self.columns]), lambda key: F.aggregate(
-            steps, F.lit(0), lambda got, step: F.when(
-                (got + step <= len(self.points)) & (F.get(bounds, got + step - 1) <= key),
-                got + step).otherwise(got)))
-
-    def heavy_keys(self, width: int) -> list[tuple]:
-        """Leading keys with two split points or more: those larger than a chunk."""
-        found = Counter(p[:width] for p in self.points)
-        return [key for key, n in found.items() if n > 1]
-
-    def is_heavy(self, keys: list[str]) -> Column:
-        found = self.heavy_keys(len(keys))
-        if not found:
-            return F.lit(False)
-        if len(keys) == 1:
-            key, values = F.col(keys[0]), [v for (v,) in found if v is not None]
-            hit = F.coalesce(key.isin(values), F.lit(False)) if values else F.lit(False)
-            return hit | key.isNull() if (None,) in found else hit
-        return F.struct(*keys).isin([
-            F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, values, self.types)])
-            for values in found])
-
-    def within(self, keys: list[str]) -> Column:
-        """Chunk of a row of a heavy key; all rows of any other key share one."""
-        if not self.heavy_keys(len(keys)):
-            return F.lit(0)
-        return F.when(self.is_heavy(keys), self.index()).otherwise(-1)
-
-
-def split(df: DataFrame, columns: list[str], parts: int | None = None) -> Chunks:
-    """Choose split points so that each chunk gets about the same number of rows."""
-    keys = df.select(*columns)
-    total = keys.count()
-    if parts is None:
-        wanted = math.ceil(total / MIN_ROWS_PER_CHUNK)
-        shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        parts = max(1, min(wanted, CHUNKS_PER_PARTITION * shuffle, MAX_CHUNKS))
-    if parts <= 1 or total <= 1:
-        return Chunks(columns, [], [])
-    fraction = min(1.0, SAMPLE_PER_CHUNK * parts / total)
-    drawn = keys if fraction >= 1.0 else keys.sample(False, fraction, seed=17)
-    # The sample's size is set by `parts`, not by the table; limit only guards the tail.
-    rows = sorted((tuple(r) for r in drawn.limit(4 * SAMPLE_PER_CHUNK * parts).collect()),
-                  key=lambda row: [(v is not None, v) for v in row])
-    points = dict.fromkeys(rows[len(rows) * i // parts] for i in range(1, parts)) if rows else {}
-    return Chunks(columns, list(points), [f.dataType.simpleString() for f in keys.schema.fields])
+from .shared import through_table
 
+ROWS_PER_CHUNK = 65_536
 
-def with_position(df: DataFrame, order: list[str], name: str = "pos", start: int = 0,
-                  parts: int | None = None) -> DataFrame:
-    """Add a dense number along ``order``, counting from ``start``.
 
-    ``order`` must be a total order. Pass a narrow table: all its columns go through the
-    exchange.
+def chunked(df: DataFrame, columns: list[str], parts: int | None = None) -> tuple[DataFrame, bool]:
+    """``df`` with its ``_chunk`` along ``columns``, and whether there are several.
+
+    The input is computed once, for the stored copy; its rows are counted there.
     """
-    chunks = split(df, order, parts)
-    chunked = df.withColumn("_chunk", chunks.index())
-    if chunks.count == 1:
-        offsets = [start]
-    else:
-        # One count per chunk: as many numbers as there are split points.
-        counts = dict(chunked.groupBy("_chunk").count().collect())
-        offsets, at = [], start
-        for i in range(chunks.count):
-            offsets.append(at)
-            at += counts.get(i, 0)
-    in_chunk = F.row_number().over(Window.partitionBy("_chunk").orderBy(*order))
-    base = F.get(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("_chunk"))
-    return chunked.withColumn(name, base + in_chunk - 1).drop("_chunk")
+    stored = through_table(df, "ordered")
+    parts = parts or max(1, math.ceil(stored.count() / ROWS_PER_CHUNK))
+    if parts == 1:
+        return stored.withColumn("_chunk", F.lit(0)), False
+    ranged = stored.repartitionByRange(parts, *columns).withColumn("_chunk", F.spark_partition_id())
+    return through_table(ranged, "chunks"), True
 
 
-def _join_carry(local: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
-    """Bring each chunk what the chunks before or after it hand over.
+def _same(left: list[str], right: list[str]) -> Column:
+    out = F.lit(True)
+    for a, b in zip(left, right):
+        out = out & F.col(a).eqNullSafe(F.col(b))
+    return out
 
-    A row per chunk and heavy key, so the broadcast is bounded by the number of chunks.
-    """
+
+def _with_carry(local: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    """Bring each chunk what the chunks before or after it hand over; few rows have any."""
     names = {k: f"_key{i}" for i, k in enumerate([*keys, "_chunk"])}
     right = carry.withColumnsRenamed(names)
-    same = F.lit(True)
-    for own, other in names.items():
-        same = same & F.col(own).eqNullSafe(F.col(other))
-    return local.join(F.broadcast(right), same, "left").drop(*names.values(), "_chunk")
+    return local.join(right, _same(list(names), list(names.values())), "left").drop(*names.values(), "_chunk")
+
+
+def _before(keys: list[str]):
+    return Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def with_position(df: DataFrame, order: list[str], name: str = "pos", start: int = 0,
+                  parts: int | None = None) -> DataFrame:
+    """Add a dense number along ``order``, counting from ``start``.
+
+    ``order`` must be a total order. Pass a narrow table: all its columns are stored. One
+    task adds up the chunks' counts, a row for every ``ROWS_PER_CHUNK`` rows.
+    """
+    rows, several = chunked(df, order, parts)
+    in_chunk = F.row_number().over(Window.partitionBy("_chunk").orderBy(*order))
+    numbered = rows.withColumn(name, F.lit(start).cast("bigint") + in_chunk - 1)
+    if not several:
+        return numbered.drop("_chunk")
+    counts = rows.groupBy("_chunk").count()
+    offsets = counts.select("_chunk", F.sum("count").over(_before([])).alias("_offset")).where("_offset > 0")
+    return _with_carry(numbered, offsets, []).withColumn(name, F.col(name) + F.coalesce("_offset", F.lit(0))).drop("_offset")
 
 
 def running_max(df: DataFrame, keys: list[str], order: list[str], value: str,
                 name: str = "running_max", parts: int | None = None) -> DataFrame:
     """Add the largest ``value`` so far within ``keys`` along ``order``."""
-    chunks = split(df, keys + order, parts)
-    chunked = df.withColumn("_chunk", chunks.within(keys))
-    here = F.max(value).over(
-        Window.partitionBy(*keys, "_chunk").orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = chunked.withColumn(name, here)
-    if not chunks.heavy_keys(len(keys)):
+    rows, several = chunked(df, keys + order, parts)
+    local = rows.withColumn(name, F.max(value).over(
+        Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    if not several:
         return local.drop("_chunk")
-    carry = (
-        chunked.where(chunks.is_heavy(keys)).groupBy(*keys, "_chunk").agg(F.max(value).alias("_top"))
-        .withColumn("_before", F.max("_top").over(
-            Window.partitionBy(*keys).orderBy("_chunk")
-            .rowsBetween(Window.unboundedPreceding, -1)))
-        .drop("_top")
-    )
-    return _join_carry(local, carry, keys).withColumn(
-        name, F.greatest(F.col(name), F.col("_before"))).drop("_before")
+    tops = rows.groupBy(*keys, "_chunk").agg(F.max(value).alias("_top"))
+    carry = tops.withColumn("_earlier", F.max("_top").over(_before(keys))).drop("_top").where("_earlier IS NOT NULL")
+    return _with_carry(local, carry, keys).withColumn(name, F.greatest(F.col(name), F.col("_earlier"))).drop("_earlier")
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str,
                 name: str = "before", parts: int | None = None) -> DataFrame:
     """Add the sum of ``value`` over all earlier rows within ``keys`` along ``order``."""
-    chunks = split(df, keys + order, parts)
-    chunked = df.withColumn("_chunk", chunks.within(keys))
+    rows, several = chunked(df, keys + order, parts)
     zero = F.lit(0).cast("bigint")
-    here = F.coalesce(F.sum(value).over(
-        Window.partitionBy(*keys, "_chunk").orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)), zero)
-    local = chunked.withColumn(name, here)
-    if not chunks.heavy_keys(len(keys)):
+    local = rows.withColumn(name, F.coalesce(F.sum(value).over(
+        Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), zero))
+    if not several:
         return local.drop("_chunk")
-    carry = (
-        chunked.where(chunks.is_heavy(keys)).groupBy(*keys, "_chunk").agg(F.sum(value).alias("_sum"))
-        .withColumn("_before", F.sum("_sum").over(
-            Window.partitionBy(*keys).orderBy("_chunk")
-            .rowsBetween(Window.unboundedPreceding, -1)))
-        .drop("_sum")
-    )
-    return _join_carry(local, carry, keys).withColumn(
-        name, F.col(name) + F.coalesce("_before", zero)).drop("_before")
+    sums = rows.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_sum"))
+    carry = sums.withColumn("_earlier", F.sum("_sum").over(_before(keys))).drop("_sum").where("_earlier IS NOT NULL")
+    return _with_carry(local, carry, keys).withColumn(name, F.col(name) + F.coalesce("_earlier", zero)).drop("_earlier")
 
 
 def with_next(df: DataFrame, keys: list[str], order: list[str], value: str,
               name: str = "next", parts: int | None = None) -> DataFrame:
     """Add the ``value`` of the following row within ``keys`` along ``order``."""
-    chunks = split(df, keys + order, parts)
-    chunked = df.withColumn("_chunk", chunks.within(keys))
-    local = chunked.withColumn(
-        name, F.lead(value).over(Window.partitionBy(*keys, "_chunk").orderBy(*order)))
-    if not chunks.heavy_keys(len(keys)):
+    rows, several = chunked(df, keys + order, parts)
+    within = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    local = rows.withColumn(name, F.lead(value).over(within))
+    if not several:
         return local.drop("_chunk")
-    first = F.min_by(F.col(value), F.struct(*order)).alias("_first")
-    carry = (
-        chunked.where(chunks.is_heavy(keys)).groupBy(*keys, "_chunk").agg(first)
-        .withColumn("_after", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_chunk")))
-        .drop("_first")
-    )
-    return _join_carry(local, carry, keys).withColumn(
-        name, F.coalesce(F.col(name), F.col("_after"))).drop("_after")
+    # The last row of a chunk looks at the next one; a null value there is a value too.
+    local = local.withColumn("_last", F.lead(F.lit(1)).over(within).isNull())
+    firsts = rows.groupBy(*keys, "_chunk").agg(F.min_by(F.struct(value), F.struct(*order)).alias("_first"))
+    carry = firsts.withColumn("_after", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_chunk"))).drop("_first")
+    return _with_carry(local, carry.where("_after IS NOT NULL"), keys).withColumn(
+        name, F.when(F.col("_last"), F.col(f"_after.{value}")).otherwise(F.col(name))).drop("_after", "_last")
 
 
 def moving_average(df: DataFrame, keys: list[str], order: list[str], value: str,
@@ -207,12 +121,11 @@ def moving_average(df: DataFrame, keys: list[str], order: list[str], value: str,
     follow, so chunks are summed on their own and then put together with the weight
     ``(1 - alpha) ** rows that follow``.
     """
-    chunks = split(df, keys + order, parts)
+    rows, _ = chunked(df, keys + order, parts)
     within = Window.partitionBy(*keys, "_chunk")
     place = F.row_number().over(within.orderBy(*order))
     weighed = (
-        df.withColumn("_chunk", chunks.within(keys))
-        .withColumn("_behind", F.count(F.lit(1)).over(within) - place)
+        rows.withColumn("_behind", F.count(F.lit(1)).over(within) - place)
         .withColumn("_part", F.lit(alpha) * F.pow(F.lit(1 - alpha), F.col("_behind")) * F.col(value))
     )
     summed = weighed.groupBy(*keys, "_chunk").agg(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.search import dirty_rows
 from ..operators.sync import (
-    ACCEPTED, KEY, SENT_BACK, ack_clean, apply_reconciled, audit_rows, occ_classify,
+    ACCEPTED, KEY, SENT_BACK, ack_clean, apply_reconciled, audit_rows, free_tids, occ_classify,
     occ_relevant, renumber_moved, require_unique, sync_reconcile, with_prev_dt,
 )
 from ..schema import TAG_COLUMNS
@@ -33,9 +33,12 @@ class Round:
 
 
 def sync_once(base: DataFrame, local: DataFrame, now, parts: int | None = None,
-              check_keys: bool = False) -> Round:
+              check_keys: bool = True) -> Round:
     """One round: classify, accept on the server, clean what was accepted, reconcile.
 
+    Both sides keep one owner for each ``tid``. ``check_keys`` asserts that (type, ref) is
+    unique on either side, which the rules rest on.
+
     What the round changes is written as tables of its own size: categories, accepted
     rows, put rows and renumbered rows. The next base and local table are the old ones
     with these laid over, as plans; no round rewrites a whole table. The numbers that
@@ -59,18 +62,19 @@ def sync_once(base: DataFrame, local: DataFrame, now, parts: int | None = None,
         F.count_if(F.col("category").isin(*SENT_BACK)).alias("downloaded")).first()
 
     next_base, cleaned = base, local
+    top = max(marks["tid"] or 0, server["tid"] or 0)
     if sizes["accepted"]:
         stored = through_table(
-            accepted.withColumn("rec", with_prev_dt(F.col("rec"), F.col("dt")))
+            free_tids(accepted, base, top, parts).withColumn("rec", with_prev_dt(F.col("rec"), F.col("dt")))
             .withColumn("dt", F.lit(now).cast("timestamp"))
             .withColumn("modAt", F.lit(None).cast("timestamp")).select(*TAG_COLUMNS), "stored")
         # The server identifies rows by unique key; an edited row replaces its old version.
         next_base = base.join(stored.select(*KEY), KEY, "left_anti").select(
             *TAG_COLUMNS).unionByName(stored)
-        cleaned = ack_clean(local, accepted, now)
+        cleaned = ack_clean(local, stored, now)
+        top = max(top, stored.agg(F.max("tid").alias("tid")).first()["tid"] or 0)
     if sizes["downloaded"]:
         puts = through_table(sync_reconcile(cleaned, incoming, now), "puts")
-        top = max(marks["tid"] or 0, server["tid"] or 0)
         renumbered = through_table(renumber_moved(puts, incoming, top, parts), "renumbered")
         next_local = apply_reconciled(cleaned, incoming, puts, renumbered)
     else:
@@ -84,19 +88,24 @@ def sync_once(base: DataFrame, local: DataFrame, now, parts: int | None = None,
     )
 
 
-def sync_until_settled(base: DataFrame, local: DataFrame, times: list,
-                       parts: int | None = None) -> tuple[DataFrame, DataFrame, list[Round]]:
-    """Rounds until nothing moves, at most ``MAX_ROUNDS``; ``times`` are the rounds' clocks.
+def sync_until_settled(base: DataFrame, local: DataFrame, times: list, parts: int | None = None,
+                       most: int = MAX_ROUNDS, must_settle: bool = False) -> tuple[DataFrame, DataFrame, list[Round]]:
+    """Rounds until nothing moves; ``times`` are the rounds' clocks, at most ``most`` of them.
 
-    The two tables are written once, at the end.
+    ``rounds[-1].settled`` tells whether the tables have settled; with ``must_settle``
+    tables that have not are an error. The two tables are written once, at the end.
     """
+    if len(times) > most:
+        raise ValueError(f"{len(times)} clocks for at most {most} rounds")
     rounds: list[Round] = []
-    for now in times[:MAX_ROUNDS]:
-        done = sync_once(base, local, now, parts)
+    for now in times:
+        done = sync_once(base, local, now, parts, check_keys=not rounds)
         rounds.append(done)
         base, local = done.base, done.local
         if done.settled:
             break
+    if must_settle and not (rounds and rounds[-1].settled):
+        raise RuntimeError(f"not settled after {len(rounds)} rounds")
     return through_table(base, "base"), through_table(local, "local"), rounds
 
 

@@ -8,6 +8,8 @@ costs what it holds, not what the table holds.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,17 +29,43 @@ def last_changes(changes: DataFrame) -> DataFrame:
             .agg(F.max_by(F.struct(*changes.columns), "seq").alias("c")).select("c.*"))
 
 
+def known_tids(changes: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """entry_id, known: the ``tid`` of each entry that is named by its entry alone somewhere.
+
+    Table and changes tell it where they have both; the larger, should they differ.
+    """
+    named = [t for t in (changes, tags) if t is not None]
+    alone, both = None, None
+    for t in named:
+        a = t.where("tid IS NULL AND entry_id IS NOT NULL").select("entry_id")
+        b = t.where("tid IS NOT NULL AND entry_id IS NOT NULL").select("entry_id", "tid")
+        alone, both = (a, b) if alone is None else (alone.union(a), both.union(b))
+    return both.join(alone.distinct(), "entry_id", "left_semi").groupBy("entry_id").agg(F.max("tid").alias("known"))
+
+
+def _identified(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows with ``_id``, their ``tid`` or what is known of it. Few rows lack one; only they are joined."""
+    lack = F.col("tid").isNull() & F.col("entry_id").isNotNull()
+    found = rows.where(lack).join(known, "entry_id", "left").select(*rows.columns, F.col("known").alias("_id"))
+    return rows.where(~lack).withColumn("_id", F.col("tid")).unionByName(found)
+
+
 def apply_changes(tags: DataFrame, changes: DataFrame) -> DataFrame:
-    """The table after all changes, in order of ``seq``; the later change of a key wins.
+    """The table after all changes, in order of ``seq``; the later change of a row wins.
 
-    ``tags`` may carry ``entry_id``. A table without it is identified by ``tid`` alone.
+    A row is known by its ``tid``, by its ``entry_id``, or by both: a change that names
+    only the entry meets the row that has the entry's ``tid``. ``tags`` may carry
+    ``entry_id``; without it, entries are known from the changes alone.
     """
     has_entry = "entry_id" in tags.columns
-    latest = last_changes(changes)
+    known = known_tids(changes, tags if has_entry else None)
+    key = F.coalesce(F.col("_id").cast("string"), F.concat(F.lit("entry:"), F.col("entry_id")))
+    latest = (_identified(changes, known).groupBy(key.alias("_key"))
+              .agg(F.max_by(F.struct(*changes.columns, "_id"), "seq").alias("c")).select("_key", "c.*")
+              .withColumn("tid", F.coalesce("tid", "_id")))
     out = [*TAG_COLUMNS, "entry_id"] if has_entry else TAG_COLUMNS
-    own = change_key() if has_entry else F.col("tid").cast("string")
-    gone = latest.select(change_key().alias("_key"))
-    kept = tags.withColumn("_key", own).join(gone, "_key", "left_anti").select(*out)
+    own = _identified(tags, known).withColumn("_key", key) if has_entry else tags.withColumn("_key", F.col("tid").cast("string"))
+    kept = own.join(latest.select("_key"), "_key", "left_anti").select(*out)
     return kept.unionByName(latest.where(F.col("op") != DELETE).select(*out))
 
 
@@ -48,8 +76,11 @@ def bootstrap(initial: DataFrame, changes: DataFrame, from_seq: int) -> DataFram
 
 def write_changes(stream: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Start the stream that stores each batch's last changes under ``root``."""
+    # A new checkpoint counts its batches from 0 again; its name keeps them apart.
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
     def store(batch: DataFrame, batch_id: int) -> None:
-        last_changes(batch).write.mode("overwrite").parquet(f"{root}/changes/batch={batch_id}")
+        last_changes(batch).write.mode("overwrite").parquet(f"{root}/changes/stream={name}/batch={batch_id}")
 
     return (stream.writeStream.foreachBatch(store)
             .option("checkpointLocation", checkpoint)
@@ -60,14 +91,24 @@ def stored_changes(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(CHANGES).parquet(f"{root}/changes").select(*CHANGES.fieldNames())
 
 
-def current_table(base: DataFrame, root: str) -> DataFrame:
-    return apply_changes(base, stored_changes(base.sparkSession, root))
+def current_table(base: DataFrame, root: str, from_seq: int | None = None) -> DataFrame:
+    """``base`` with the stored changes, those after ``from_seq`` where it is given."""
+    changes = stored_changes(base.sparkSession, root)
+    return apply_changes(base, changes if from_seq is None else changes.where(F.col("seq") > from_seq))
 
 
-def compact(base: DataFrame, root: str, target: str) -> DataFrame:
-    """Write base and stored changes as a new base; the old ones stay until removed."""
-    current_table(base, root).write.parquet(target)
-    return base.sparkSession.read.schema(base.schema).parquet(target)
+def compact(base: DataFrame, root: str, target: str, from_seq: int | None = None) -> tuple[DataFrame, int | None]:
+    """Write base and stored changes as a new base; returns it and its position.
+
+    The position is the last ``seq`` folded in: reading from there on leaves out what the
+    new base holds. It is taken first, so a change that comes meanwhile is read again,
+    which changes nothing. The old files stay until removed.
+    """
+    changes = stored_changes(base.sparkSession, root)
+    last = changes.agg(F.max("seq").alias("seq")).first()["seq"]
+    position = last if last is not None else from_seq
+    current_table(base, root, from_seq).write.parquet(target)
+    return base.sparkSession.read.schema(base.schema).parquet(target), position
 
 
 def latest_by_key_stream(stream: DataFrame) -> DataFrame:

@@ -15,11 +15,20 @@ def test_rebuild_gives_the_text_back(spark, texts):
     for s in sorted(segments, key=lambda r: (r["doc_id"], r["start"])):
         assert s["start"] == len(rebuilt.get(s["doc_id"], ""))
         rebuilt[s["doc_id"]] = rebuilt.get(s["doc_id"], "") + s["seg"]
-    assert rebuilt == {i: t for i, t in enumerate(texts) if t}
+    assert rebuilt == dict(enumerate(texts))
     again = documents.rebuild_documents(documents.segment_documents(docs)).collect()
     assert {r["doc_id"]: r["text"] for r in again} == rebuilt
 
 
+def test_empty_and_null_texts_stay(spark):
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, "a\n")], "doc_id int, text string")
+    segments = documents.segment_documents(docs)
+    assert sorted((r["doc_id"], r["seq"] if r["seq"] is not None else -1, r["seg"]) for r in segments.collect()) == [
+        (1, 0, ""), (2, -1, None), (3, 0, "a\n")]
+    again = {r["doc_id"]: r["text"] for r in documents.rebuild_documents(segments).collect()}
+    assert again == {1: "", 2: None, 3: "a\n"}
+
+
 def test_segmenting_needs_no_shuffle(spark):
     docs = spark.createDataFrame([(1, "# a\nb")], "doc_id int, text string")
     plan = documents.segment_documents(docs)._jdf.queryExecution().executedPlan().toString()

@@ -35,12 +35,18 @@ def by_key(rows):
 
 @pytest.mark.parametrize("parts", [1, 2, 7, 40])
 def test_chunks_are_even_and_ordered(df, parts):
-    chunks = ordered.split(df, ["k", "t", "id"], parts)
-    got = df.select("k", "t", "id", chunks.index().alias("c")).orderBy("k", "t", "id").collect()
-    numbers = [r["c"] for r in got]
-    assert numbers == sorted(numbers)
-    assert chunks.count == len(set(numbers)) == parts
-    assert max(numbers.count(c) for c in set(numbers)) <= 2 * len(got) / parts + 1
+    chunks, several = ordered.chunked(df, ["k", "t", "id"], parts)
+    got = chunks.orderBy("k", "t", "id").collect()
+    numbers = [r["_chunk"] for r in got]
+    assert numbers == sorted(numbers) and several == (parts > 1)
+    assert 0.7 * parts <= len(set(numbers)) <= parts
+    assert max(numbers.count(c) for c in set(numbers)) <= 3 * len(got) / parts + 1
+
+
+def test_chunks_follow_from_the_rows(df, rows, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_PER_CHUNK", 10)
+    chunks, several = ordered.chunked(df, ["k", "t", "id"])
+    assert several and chunks.select("_chunk").distinct().count() > len(rows) / 20
 
 
 @pytest.mark.parametrize("parts", [1, 9])
@@ -143,9 +149,8 @@ def test_spread_only_where_partitions_are_few(spark):
 
 def test_a_null_key_may_be_the_hot_one(df, rows):
     nulled = df.withColumn("k", F.when(F.col("k") != "hot", F.col("k")))
-    chunks = ordered.split(nulled, ["k", "t", "id"], 9)
-    sizes = nulled.groupBy("k", chunks.within(["k"])).count().agg(F.max("count")).first()[0]
-    assert (None,) in chunks.heavy_keys(1) and sizes < len(rows) / 3
+    chunks, _ = ordered.chunked(nulled, ["k", "t", "id"], 9)
+    assert chunks.groupBy("k", "_chunk").count().agg(F.max("count")).first()[0] < len(rows) / 3
     top = {r["id"]: r["m"] for r in ordered.running_max(nulled, ["k"], ["t", "id"], "v", "m", 9).collect()}
     nxt = {r["id"]: r["n"] for r in ordered.with_next(nulled, ["k"], ["t", "id"], "v", "n", 9).collect()}
     ema = {r["k"]: r["ema"] for r in ordered.moving_average(nulled, ["k"], ["t", "id"], "v", parts=9).collect()}

@@ -39,9 +39,27 @@ def test_changes_over_several_batches(spark):
     assert state(changes.current_table(base, root)) == want
     run()  # nothing new
     assert state(changes.current_table(base, root)) == want
-    compacted = changes.compact(base, root, fresh_path(spark, "compact"))
-    assert state(compacted) == want
+    compacted, position = changes.compact(base, root, fresh_path(spark, "compact"))
+    assert state(compacted) == want and position == 209
     assert state(changes.current_table(compacted, root)) == want
+    write(spark, source, change(300, "DELETE", 7))
+    run()
+    assert state(changes.current_table(compacted, root, position)) == [w for w in want if w[0] != 7]
+    # Another stream on the same folder keeps its batches to itself.
+    again = spark.readStream.schema(CHANGES).parquet(source)
+    changes.write_changes(again, root, fresh_path(spark, "other")).awaitTermination()
+    assert state(changes.current_table(base, root)) == [w for w in want if w[0] != 7]
+
+
+def test_changes_meet_by_entry_and_by_tid(spark):
+    start = table(spark).withColumn("entry_id", F.concat(F.lit("e"), F.col("tid").cast("string")))
+    gone = spark.createDataFrame([change(1, "DELETE", None, "", "e1")], CHANGES)
+    assert 1 not in [r["tid"] for r in changes.apply_changes(start, gone).collect()]
+    both = spark.createDataFrame(
+        [change(1, "INSERT", 50, "a", "x"), change(2, "UPDATE", None, "b", "x"), change(3, "INSERT", 51, "c", "y"),
+         change(4, "DELETE", None, "", "y"), change(5, "INSERT", None, "d", "z")], CHANGES)
+    got = {(r["tid"], r["txt"]) for r in changes.apply_changes(table(spark), both).collect()} - {tuple(r) for r in table(spark).select("tid", "txt").collect()}
+    assert got == {(50, "b"), (None, "d")}
 
 
 def test_rows_without_tid_go_by_entry(spark):
