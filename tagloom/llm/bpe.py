@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordTable, held, map_arrow, ragged, slices, text_of
+from .common import WordTable, held, map_arrow, ragged, text_of, text_slices
 
 NONE = np.int64(1) << 40  # rank of a pair that is no token
 CELLS = 1 << 21  # tree nodes worked on together
@@ -212,11 +212,11 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
         encoder = held((path, pattern), lambda: Encoder(path, pattern))
 
         def run(batch: pa.RecordBatch):
-            for start, texts in slices(batch.column("llm_text").to_pylist()):
+            for part, texts in text_slices(batch, "llm_text"):
                 ids, counts = encoder.encode(texts)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, len(texts)) for c in keep), lists], [*keep, "ids"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lists], [*keep, "ids"])
         return run
 
     return map_arrow(rows, make, rows.select(*keep, F.lit(None).cast("array<int>").alias("ids")).schema)

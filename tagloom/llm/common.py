@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Characters of text handled at once inside a task: bounds the memory of word lists.
@@ -24,18 +25,31 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def slices(texts: Sequence[str | None], most: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """Consecutive runs of texts of about ``most`` characters, each with its first position."""
-    start, held, size = 0, [], 0
-    for i, text in enumerate(texts):
-        text = text or ""
+def slices(texts: Sequence[str], most: int = SLICE_CHARS) -> Iterator[list[str]]:
+    """Consecutive runs of texts of about ``most`` characters."""
+    held, size = [], 0
+    for text in texts:
         if held and size + len(text) > most:
-            yield start, held
-            start, held, size = i, [], 0
+            yield held
+            held, size = [], 0
         held.append(text)
         size += len(text)
     if held:
-        yield start, held
+        yield held
+
+
+def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """A batch in parts of about ``most`` bytes of text, each with its texts; null is the empty text.
+
+    Only one part at a time is turned into Python strings.
+    """
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+    ends, start = np.cumsum(sizes), 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        part = batch.slice(start, stop - start)
+        yield part, [x or "" for x in part.column(column).to_pylist()]
+        start = stop
 
 
 class WordTable(dict):
@@ -47,7 +61,7 @@ class WordTable(dict):
     the next ``index``.
     """
 
-    def __init__(self, compute: Callable[[list[str]], Sequence[np.ndarray]], most: int = 300_000):
+    def __init__(self, compute: Callable[[list[str]], Sequence[np.ndarray]], most: int = 200_000):
         super().__init__()
         self.compute, self.most = compute, most
         self.words: list[str] = []

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordTable, held, map_arrow, mix, ragged, slices, text_of
+from .common import WordTable, held, map_arrow, mix, ragged, slices, text_of, text_slices
 
 
 @dataclass(frozen=True)
@@ -100,7 +100,7 @@ class Model:
 
 def rows_of(features: Features, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Distinct buckets of each text and the weight of each."""
-    for _, part in slices(texts):
+    for part in slices(texts):
         split = [features.words(t) for t in part]
         number: dict[str, int] = {}
         for words in split:
@@ -244,9 +244,8 @@ def score_rows(docs: DataFrame, model: Model, into: str, text: str = "text") ->
         scorer = held(model.name, lambda: Scorer(model))
 
         def run(batch: pa.RecordBatch):
-            found = [scorer.score(texts) for _, texts in slices(batch.column(text).to_pylist())]
-            scores = pa.array(np.concatenate(found) if found else [], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, into])
+            for part, texts in text_slices(batch, text):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scorer.score(texts))], [*part.schema.names, into])
         return run
 
     return map_arrow(docs, make, docs.withColumn(into, F.lit(0.0)).schema)

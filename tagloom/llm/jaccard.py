@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.shared import through_table
-from .common import WordTable, held, mix, ship, slices, text_of
+from .common import WordTable, held, mix, ship, text_of, text_slices
 from .components import components
 
 BLOCK = 2_000_000  # hashes that a task holds before it passes them on
@@ -129,12 +129,10 @@ def _sets_of(width: int, parts: int, hot: int):
         seen: set[int] = set()
         owners, sets, held = [], [], 0
         for batch in batches:
-            ids, done = batch.column("doc_id").to_pylist(), 0
-            for _, texts in slices(batch.column("text").to_pylist()):
+            for some, texts in text_slices(batch):
                 rows = []
-                for own_set in shingle_sets(texts, width):
-                    row = {"kind": 0, "part": 0, "doc_id": ids[done], "n": len(own_set)}
-                    done += 1
+                for doc_id, own_set in zip(some.column("doc_id").to_pylist(), shingle_sets(texts, width)):
+                    row = {"kind": 0, "part": 0, "doc_id": doc_id, "n": len(own_set)}
                     if len(own_set):
                         own = xxhash.xxh3_64_intdigest(own_set.tobytes()) >> 1
                         row |= {"own": own, "part": own % parts}

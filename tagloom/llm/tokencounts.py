@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.shared import through_table
-from .common import map_arrow, slices, text_of
+from .common import map_arrow, text_of, text_slices
 
 CACHE = "digest binary, version binary, n_tokens long"
 
@@ -47,12 +47,11 @@ def _counter(model: str, version: bytes):
         encode = _encoder(model)
 
         def run(batch: pa.RecordBatch):
-            counts: list[int] = []
-            for _, texts in slices(batch.column("text").to_pylist()):
-                counts += encode(texts)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("digest"), pa.array([version] * len(counts), pa.binary()), pa.array(counts, pa.int64())],
-                ["digest", "version", "n_tokens"])
+            for part, texts in text_slices(batch):
+                counts = encode(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("digest"), pa.array([version] * len(counts), pa.binary()), pa.array(counts, pa.int64())],
+                    ["digest", "version", "n_tokens"])
         return run
     return make
 
