@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import search, tables
 from ..plans.shared import fresh_path
-from ..schema import TAGS
 from ..sources import remote
 from ..streaming import changes, live
 from . import views
@@ -24,7 +23,8 @@ def _start(spark, folder):
     return keys.select(
         "tid", F.lit("start").alias("txt"), F.lit("cust").alias("ref"), F.array(F.lit("start")).alias("sts"),
         views.at("2023-12-31 00:00:00").alias("dt"), F.lit("user").alias("type"),
-        F.lit(None).cast("timestamp").alias("modAt"), F.lit(None).cast("string").alias("rec"))
+        F.lit(None).cast("timestamp").alias("modAt"), F.lit(None).cast("string").alias("rec"),
+        F.concat(F.lit("e"), F.col("tid").cast("string")).alias("entry_id"))
 
 
 @query("cdc_apply", f"""
@@ -40,16 +40,14 @@ def cdc_apply(spark, folder):
 
 
 @query("cdc_bootstrap", f"""
-    WITH {LAST_OP}, half AS (SELECT (max(seq) // 2) AS s FROM cdc_events),
-    early AS (SELECT * FROM cdc_events WHERE seq <= (SELECT s FROM half)
-              QUALIFY row_number() OVER (PARTITION BY tid ORDER BY seq DESC) = 1)
-    SELECT tid, printf('%.2f', value) AS txt, {ts('ts')} AS dt FROM last WHERE op <> 'DELETE'""")
+    WITH {LAST_OP}, {START}
+    SELECT tid, txt, '2023-12-31 00:00:00.000000' AS dt FROM start WHERE tid NOT IN (SELECT tid FROM last)
+    UNION ALL SELECT tid, printf('%.2f', value) AS txt, {ts('ts')} AS dt FROM last WHERE op <> 'DELETE'""")
 def cdc_bootstrap(spark, folder):
     """A load taken half-way, then the changes after its position: the same table."""
     all_changes = views.cdc_events(spark, folder)
     half = all_changes.agg(F.max("seq").alias("m")).first()["m"] // 2
-    nothing = spark.createDataFrame([], TAGS)
-    loaded = changes.apply_changes(nothing, all_changes.where(F.col("seq") <= half))
+    loaded = changes.apply_changes(_start(spark, folder), all_changes.where(F.col("seq") <= half))
     return changes.bootstrap(loaded, all_changes, half).select("tid", "txt", "dt")
 
 

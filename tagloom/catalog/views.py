@@ -137,14 +137,14 @@ def remote_rt(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cdc_events(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
-    """Changes of a table with one row per user; also on a stream of events."""
+    """Changes of a table with one row per user; deletes name the entry alone. Also on a stream of events."""
     events = table(spark, folder, "events") if events is None else events
     return events.select(
         F.col("event_id").alias("seq"),
         F.when(F.col("event_type") == "signup", "INSERT")
         .when(F.col("event_type") == "error", "DELETE").otherwise("UPDATE").alias("op"),
         F.concat(F.lit("e"), F.col("user_id").cast("string")).alias("entry_id"),
-        F.col("user_id").alias("tid"), F.format_string("%.2f", "value").alias("txt"),
+        F.when(F.col("event_type") != "error", F.col("user_id")).alias("tid"), F.format_string("%.2f", "value").alias("txt"),
         F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("ref"),
         F.array("event_type").alias("sts"), F.col("ts").cast("timestamp").alias("dt"),
         F.lit("user").alias("type"), F.lit(None).cast("timestamp").alias("modAt"),

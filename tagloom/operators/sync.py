@@ -69,13 +69,14 @@ def occ_classify(base: DataFrame, mods: DataFrame, last_dt, newest: Column | Non
 
 
 def ack_clean(local: DataFrame, acked: DataFrame, server_now) -> DataFrame:
-    """Dirty rows whose key was accepted become clean and take the server's time and tid."""
+    """Dirty rows whose key was accepted become clean and take the server's time, and its tid if it has one."""
     now = F.lit(server_now).cast("timestamp")
     hit = F.col("_ok").isNotNull()
+    given = F.max("tid") if "tid" in acked.columns else F.max(F.lit(None).cast("bigint"))
     # Only dirty rows can be accepted; the clean ones take no part in the join.
     dirty = (
         local.where("modAt is not null")
-        .join(acked.groupBy(*KEY).agg(F.max("tid").alias("_tid")).withColumn("_ok", F.lit(True)), KEY, "left")
+        .join(acked.groupBy(*KEY).agg(given.alias("_tid")).withColumn("_ok", F.lit(True)), KEY, "left")
         .withColumn("tid", F.coalesce("_tid", "tid"))
         .withColumn("dt", F.when(hit, now).otherwise(F.col("dt")))
         .withColumn("modAt", F.when(~hit, F.col("modAt")))

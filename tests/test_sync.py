@@ -249,3 +249,45 @@ def test_hundred_rows_half_of_them_edited(spark, server):
     rounds = a.sync(clocks(0))
     assert rounds[0].accepted == 50 and len(a.all()) == 100
     assert all(r["modAt"] is None for r in a.all().values())
+
+
+def unique_tids(rows):
+    held = [r["tid"] for r in rows if r["tid"] is not None]
+    assert len(held) == len(set(held)) and len({(r["type"], r["ref"]) for r in rows}) == len(rows)
+
+
+def test_two_server_rows_on_one_tid_are_parted(spark):
+    base = table(spark, tag(99, "ra", "a", dt=day(2)), tag(99, "rb", "b", dt=day(3)), tag(5, "rc", "c", dt=day(1)))
+    server_rows, rows, rounds = sync_until_settled(base, table(spark), CLOCKS, must_settle=True)
+    for found in (server_rows.collect(), rows.collect()):
+        unique_tids(found)
+        assert {r["ref"]: r["txt"] for r in found} == {"ra": "a", "rb": "b", "rc": "c"}
+        assert {r["ref"]: r["tid"] for r in found}["rb"] == 99 and None not in [r["tid"] for r in found]
+
+
+def test_an_inserted_row_takes_no_tid_that_is_held(spark):
+    base = table(spark, tag(99, "ra", "a", dt=day(2)))
+    local = table(spark, tag(3, "ra", "a", dt=day(2)), tag(99, "mine", "m", dt=None, dirty=True), tag(99, "other", "o", dt=None, dirty=True))
+    server_rows, rows, _ = sync_until_settled(base, local, CLOCKS, must_settle=True)
+    for found in (server_rows.collect(), rows.collect()):
+        unique_tids(found)
+    tids = {r["ref"]: r["tid"] for r in server_rows.collect()}
+    assert tids["ra"] == 99 and set(tids) == {"ra", "mine", "other"}
+    assert {r["ref"]: r["tid"] for r in rows.collect()}["mine"] == tids["mine"]
+
+
+def test_rounds_say_when_they_have_not_settled(spark):
+    base, local = table(spark, tag(1, "a", dt=day(1))), table(spark, tag(2, "b", dt=None, dirty=True))
+    _, _, rounds = sync_until_settled(base, local, CLOCKS[:1])
+    assert not rounds[-1].settled
+    with pytest.raises(RuntimeError, match="not settled"):
+        sync_until_settled(base, local, CLOCKS[:1], must_settle=True)
+    with pytest.raises(ValueError, match="clocks"):
+        sync_until_settled(base, local, [*CLOCKS, *CLOCKS])
+
+
+def test_records_that_are_not_json_stay_readable(spark):
+    from tagloom.functions.merge import rec_merge
+    df = spark.createDataFrame([("nope", '{"a":1}'), ('{"a":1}', "nope"), ("no", "nope"), (None, "nope")], "t string, s string")
+    got = [r["m"] for r in df.select(rec_merge(F.col("t"), F.col("s")).alias("m")).collect()]
+    assert got == ['{"a":1}', '{"a":1}', "no", "{}"]
