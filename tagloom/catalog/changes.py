@@ -80,9 +80,9 @@ def debounce_events(spark, folder):
     WITH b AS (SELECT *, lead(ts) OVER (PARTITION BY key ORDER BY ts, id) AS nxt FROM bursts),
     mark AS (SELECT epoch_us(max(ts)) // 1000 - 60000 AS ms FROM bursts)
     SELECT key, id, {ts('ts')} AS ts, value FROM b, mark
-    WHERE (nxt IS NULL OR epoch_us(nxt) - epoch_us(ts) > 3600000000) AND epoch_us(ts) + 3600000000 <= ms * 1000""")
+    WHERE value = 0 OR ((nxt IS NULL OR epoch_us(nxt) - epoch_us(ts) > 3600000000) AND epoch_us(ts) + 3600000000 <= ms * 1000)""")
 def debounce_stream(spark, folder):
-    """Bursts that the final watermark, a minute before the last row, has closed."""
+    """Zero values, and bursts that the final watermark, a minute before the last row, has closed."""
     target = fresh_path(spark, "debounce")
     events = views.stream_events(spark, folder).select(
         F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), "value")

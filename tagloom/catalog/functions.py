@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, tags as tagfns, text, vectors
 from ..operators import documents, links
-from ..plans.spread import spread
 from . import views
 from .registry import query
 
@@ -216,4 +215,4 @@ def segment_tags(spark, folder):
            || json_extract_string(props, '$.k') || chr(10) || '- **kinds**: ' || chr(10) || '  - ' || event_type
            || chr(10) || '  - **z**: 1' || chr(10) || '  - **a**: null' AS outline FROM events""")
 def outline_records(spark, folder):
-    return documents.outline_records(spread(views.records(spark, folder), "event_id")).select("event_id", "outline")
+    return documents.outline_records(views.records(spark, folder).repartition("event_id")).select("event_id", "outline")

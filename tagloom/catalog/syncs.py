@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions.merge import merge3_tags, merge3_text, rec_merge
 from ..operators import sync, tables
-from ..plans.spread import spread
 from ..plans.sync_round import sync_once
 from ..schema import tag_struct
 from . import views
@@ -47,7 +46,7 @@ def merge3_text_(spark, folder):
                 F.concat(text, F.lit(" [mine]")), F.concat(F.lit("§"), rest))
     theirs = pick(F.concat(F.lit("base "), text), text, F.concat(F.lit("theirs: "), text),
                   F.concat(text, F.lit(" [theirs]")), F.concat(F.lit("¶"), rest))
-    return spread(views.table(spark, folder, "documents").select("doc_id", "text"), "doc_id").select(
+    return views.table(spark, folder, "documents").select("doc_id", "text").repartition("doc_id").select(
         "doc_id", merge3_text(text, mine, theirs).alias("merged"))
 
 
@@ -68,8 +67,8 @@ def merge3_tags_(spark, folder):
            '[1,2,3]' AS list, CAST(user_id AS VARCHAR) AS mine, 'yes' AS theirs,
            '{"y":2}' AS replaced FROM events""")
 def rec_merge_(spark, folder):
-    events = spread(views.table(spark, folder, "events").select(
-        "event_id", "user_id", "event_type", "props"), "event_id")
+    events = views.table(spark, folder, "events").select(
+        "event_id", "user_id", "event_type", "props").repartition("event_id")
     target = F.concat(F.lit('{"plain":0,"gone":1,"list":[1,2],"o":{"mine":'), F.col("user_id").cast("string"),
                       F.lit('},"replaced":[5],"k":"old"}'))
     source = F.concat(F.lit('{"gone":null,"list":[3],"o":{"theirs":"yes","k":'),

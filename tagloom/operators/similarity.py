@@ -235,6 +235,23 @@ def similarity_graph(vectors: DataFrame, threshold: float = EDGE_THRESHOLD,
         .select("src", "b.dst", (-F.col("b.nw")).alias("w"), (F.col("rank") + 1).alias("rank")))
 
 
+def per_model(vectors: DataFrame, operator, **options) -> DataFrame:
+    """``operator`` on the vectors of each model by themselves, with the model as ``mdl``.
+
+    Vectors of different lengths do not meet either, so neither ends the job. The models
+    in use are few, as are their lengths: their names come to the driver.
+    """
+    groups = vectors.where("vec IS NOT NULL").select("mdl", F.size("vec").alias("n")).distinct().orderBy("mdl", "n").collect()
+    found = None
+    for g in groups:
+        own = vectors.where(F.col("mdl").eqNullSafe(F.lit(g["mdl"])) & (F.size("vec") == g["n"])).drop("mdl")
+        part = operator(own, **options).withColumn("mdl", F.lit(g["mdl"]).cast("string"))
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = operator(vectors.drop("mdl").limit(0), **options).withColumn("mdl", F.lit(None).cast("string"))
+    return found
+
+
 def cosine_with(vectors: DataFrame, other: list[float]) -> DataFrame:
     """Similarity of every vector with one given vector."""
     given = F.array(*[F.lit(float(x)) for x in other])

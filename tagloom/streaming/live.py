@@ -56,11 +56,17 @@ def _empty(events: DataFrame):
 
 
 def debounce_stream(events: DataFrame, gap: str = "400 milliseconds", late: str = "1 minute") -> DataFrame:
-    """The same on a stream, as session windows: the last value of each closed burst."""
-    return (events.withWatermark("ts", late)
+    """The same on a stream: the last value of each burst, once the watermark has closed it.
+
+    Bursts are session windows; empty and zero values pass at once. A burst that is still
+    open when the stream stops comes out after a later event has moved the watermark on.
+    """
+    last = (events.withWatermark("ts", late)
             .groupBy(F.session_window("ts", gap), "key")
             .agg(F.max_by(F.struct("ts", "id", "value"), F.struct("ts", "id")).alias("last"))
             .select("key", "last.*"))
+    at_once = F.coalesce(_empty(events), F.lit(False))
+    return last.where(~at_once).unionByName(events.where(at_once).select(*last.columns))
 
 
 def upload_queue(stream: DataFrame, push: Callable[[DataFrame], DataFrame], target: str,

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tagloom.operators.context import rows_around, rows_around_each
 from tagloom.plans import ordered
-from tagloom.plans.spread import spread
 from tagloom.streaming.live import debounce_events
 
 
@@ -140,13 +139,6 @@ def test_running_sum(df, rows, parts):
     assert got == want
 
 
-def test_spread_only_where_partitions_are_few(spark):
-    cores = spark.sparkContext.defaultParallelism
-    few, many = spark.range(100).coalesce(1), spark.range(0, 100, 1, cores)
-    assert spread(few, "id").rdd.getNumPartitions() == cores
-    assert spread(many, "id") is many
-
-
 def test_a_null_key_may_be_the_hot_one(df, rows):
     nulled = df.withColumn("k", F.when(F.col("k") != "hot", F.col("k")))
     chunks, _ = ordered.chunked(nulled, ["k", "t", "id"], 9)

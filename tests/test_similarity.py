@@ -65,3 +65,13 @@ def test_empty(spark):
     none = spark.createDataFrame([], "tid bigint, vec array<float>")
     assert similarity.cosine_pairs(none).count() == 0
     assert similarity.similarity_graph(none).count() == 0
+
+
+def test_models_and_lengths_do_not_meet(spark):
+    rows = [(1, "a", [1.0, 0.0]), (2, "a", [0.9, 0.1]), (3, "b", [1.0, 0.0]), (4, "b", [0.9, 0.1]), (5, "a", [1.0, 0.0, 0.0]),
+            (6, None, [1.0, 0.0]), (7, None, [0.9, 0.1]), (8, "a", None)]
+    df = spark.createDataFrame(rows, "tid bigint, mdl string, vec array<float>")
+    got = similarity.per_model(df, similarity.cosine_pairs, threshold=0.8).collect()
+    assert sorted((r["mdl"] or "", r["src"], r["dst"]) for r in got) == [
+        ("", 6, 7), ("", 7, 6), ("a", 1, 2), ("a", 2, 1), ("b", 3, 4), ("b", 4, 3)]
+    assert similarity.per_model(df.limit(0), similarity.similarity_graph, threshold=0.8).count() == 0
