@@ -131,10 +131,10 @@ def read_snapshot(spark, folder):
 
 
 @query("backup_rows", """
-    SELECT 'bak dl-tags' AS backup_key, count(*) AS n, sum(tid) AS tids FROM local_snap""")
+    SELECT 'before download' AS backup_key, count(*) AS n, sum(tid) AS tids FROM local_snap""")
 def backup_rows(spark, folder):
     root = fresh_path(spark, "backup")
-    snapshots.backup_rows(views.local_snap(spark, folder), root, "bak dl-tags", views.NOW)
+    snapshots.backup_rows(views.local_snap(spark, folder), root, "before download", views.NOW)
     return snapshots.read_backups(spark, root).groupBy("backup_key").agg(
         F.count(F.lit(1)).alias("n"), F.sum("tid").alias("tids"))
 
