@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Characters of text handled at once inside a task: bounds the memory of word lists.
 SLICE_CHARS = 1 << 20
+# Bytes of the batches that travel between Spark and its Python workers, at most.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -129,7 +132,13 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the workers once per application, as ``--py-files`` would."""
+    """Send this package to the workers once per application, as ``--py-files`` would.
+
+    Also holds the session's Arrow batches to ``BATCH_BYTES``, whole rows at least: long
+    texts otherwise fill batches of 64 MB, several times over in an executor.
+    """
+    if int(spark.conf.get(BATCH_SETTING).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return

@@ -40,7 +40,7 @@ from ..plans.shared import through_table
 from .common import WordTable, held, mix, ship, text_of, text_slices
 from .components import components
 
-BLOCK = 2_000_000  # hashes that a task holds before it passes them on
+BLOCK = 1_000_000  # hashes that a task holds before it passes them on
 HOT = 256  # texts of one block that share a hash before it is counted apart
 
 PACKED = ("kind int, part int, doc_id long, own long, n int, owners binary, sizes binary, totals binary, "
