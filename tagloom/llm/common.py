@@ -137,7 +137,7 @@ def ship(spark: SparkSession) -> None:
     Also holds the session's Arrow batches to ``BATCH_BYTES``, whole rows at least: long
     texts otherwise fill batches of 64 MB, several times over in an executor.
     """
-    if int(spark.conf.get(BATCH_SETTING).rstrip("b")) > BATCH_BYTES:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_SETTING)) > BATCH_BYTES:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
