@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +26,33 @@ from pyspark.sql import DataFrame, functions as F
 from .common import WordTable, held, map_arrow, ragged, text_of, text_slices
 
 NONE = np.int64(1) << 40  # rank of a pair that is no token
-CELLS = 1 << 21  # tree nodes worked on together
+CELLS = 1 << 18  # tree nodes worked on together
+DECODED = 1 << 17  # ids decoded together
+
+
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, f.read().splitlines()))}
+
+
+class Tokens:
+    """The bytes of every token in one array, which is all that decoding needs."""
+
+    def __init__(self, path: str):
+        ranks = read_ranks(path)
+        table = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            table[rank] = token
+        self.lengths = np.array([len(t) for t in table], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.blob = np.frombuffer(b"".join(table), np.uint8)
 
 
 class Ranks:
     """The tokens of a rank file, and the rank of each pair of tokens that makes a token."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, f.read().splitlines()))}
+        self.ranks = read_ranks(path)
         known = self.ranks.get
         pairs = {}
         for token, rank in self.ranks.items():
@@ -49,13 +66,6 @@ class Ranks:
         self.keys = np.append(keys[order], np.iinfo(np.int64).max)
         self.values = np.append(np.fromiter(pairs.values(), np.int64, len(pairs))[order], NONE)
         self.bytes = np.array([known(bytes([b]), -1) for b in range(256)], np.int64)
-        size = max(self.ranks.values()) + 1
-        table = [b""] * size
-        for token, rank in self.ranks.items():
-            table[rank] = token
-        self.lengths = np.array([len(t) for t in table], np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.blob = np.frombuffer(b"".join(table), np.uint8)
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
@@ -63,11 +73,6 @@ class Ranks:
         return np.where(self.keys[at] == key, self.values[at], NONE)
 
 
-@lru_cache(maxsize=2)
-def ranks_of(path: str) -> Ranks:
-    return Ranks(path)
-
-
 def merge_pieces(ranks: Ranks, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all pieces one after another, and how many each has."""
     lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -140,9 +145,9 @@ class Encoder:
     _crowded = re.compile(r"[^\S ] |(?<= )[^\S ]")
 
     def __init__(self, path: str, pattern: str):
-        self.ranks, self.pieces = ranks_of(path), regex.compile(pattern).findall
-        self.chunks = WordTable(self._chunks, 300_000)
-        self.merged = WordTable(self._merge, 200_000)
+        self.ranks, self.pieces = Ranks(path), regex.compile(pattern).findall
+        self.chunks = WordTable(self._chunks, 100_000)
+        self.merged = WordTable(self._merge, 80_000)
         # Ids of chunks and of pieces, one after another; columns say where each begins.
         self.ids = {self.chunks: np.empty(1 << 16, np.int64), self.merged: np.empty(1 << 16, np.int64)}
 
@@ -228,7 +233,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") ->
     schema = df.select(*others, F.lit(None).cast("binary").alias(into)).schema
 
     def make():
-        ranks = ranks_of(path)
+        tokens = held(("tokens", path), lambda: Tokens(path))
 
         def run(batch: pa.RecordBatch):
             column = batch.column(ids)
@@ -237,11 +242,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") ->
             start = 0
             while start < len(sizes):
                 done = ends[start - 1] if start else 0
-                stop = max(start + 1, int(np.searchsorted(ends, done + (1 << 20), "right")))
+                stop = max(start + 1, int(np.searchsorted(ends, done + DECODED, "right")))
                 part = column.slice(start, stop - start)
                 numbers = np.asarray(part.flatten()).astype(np.int64)
-                lengths = ranks.lengths[numbers]
-                blob = ranks.blob[ragged(ranks.starts[numbers], lengths)].tobytes()
+                lengths = tokens.lengths[numbers]
+                blob = tokens.blob[ragged(tokens.starts[numbers], lengths)].tobytes()
                 cuts = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(sizes[start:stop]))]
                 texts = [blob[a:b] if ok.as_py() else None
                          for a, b, ok in zip(cuts[:-1].tolist(), cuts[1:].tolist(), part.is_valid())]
