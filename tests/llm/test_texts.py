@@ -97,6 +97,15 @@ def test_leaks_verbatim_edited_and_answered(spark):
     assert decontaminate.find_leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def test_full_blocks_keep_whole_items(spark):
+    """Each of 300 unlike items in one block has cosine 1 with its own text."""
+    texts = [" ".join(f"u{i}x{k}" for k in range(15)) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.find_leaks(docs, docs.withColumnRenamed("doc_id", "item_id"), 512).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, i) for i in range(300)}
+    assert min(r["cosine"] for r in found) > 0.999
+
+
 def test_op5_finds_every_passage(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
