@@ -21,8 +21,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id."""
-    return jaccard.one_of_each(docs)
+    """Of each group of near copies, by shingles of five words and 0.8, the document with the smallest id."""
+    return jaccard.one_of_each(docs, 5, 80)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

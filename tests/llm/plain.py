@@ -60,9 +60,9 @@ def shingles(text: str | None, width: int = 4) -> frozenset:
     return frozenset(tuple(words[k:k + width]) for k in range(len(words) - width + 1))
 
 
-def groups(rows, percent: int = 85) -> dict:
+def groups(rows, percent: int = 85, width: int = 4) -> dict:
     """doc_id -> (set size, smallest id reachable), trying every pair that shares a shingle."""
-    sets = {i: shingles(t) for i, t in rows}
+    sets = {i: shingles(t, width) for i, t in rows}
     parent = {i: i for i in sets}
 
     def root(x):

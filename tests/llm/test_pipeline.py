@@ -49,6 +49,23 @@ def test_each_stage_on_its_own_input(spark):
     assert not texts
 
 
+def test_near_copies_by_five_words(spark):
+    """Copies at 0.8 on five words but not 0.85 on four, on the given documents and beside them."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    base = [f"v{k}" for k in range(240)]
+    edited = [f"e{k}" if k in (20, 70, 120, 170, 220) else w for k, w in enumerate(base)]
+    tail = base[:120] + [f"t{k}" for k in range(28)]
+    own = [(10**6, " ".join(base)), (10**6 + 1, " ".join(edited)), (10**6 + 2, " ".join(base[:120])), (10**6 + 3, " ".join(tail))]
+    more = spark.createDataFrame(own, "doc_id long, text string").selectExpr(
+        "doc_id", "text", "'en' AS lang", "'s' AS source", "CAST(length(text) AS BIGINT) AS n_chars")
+    every = docs.unionByName(more)
+    rows = [(r["doc_id"], r["text"]) for r in every.collect()]
+    want = {i for i, (_, least) in groups(rows, 80, 5).items() if i == least}
+    assert 10**6 + 1 not in want and 10**6 + 3 not in want and {10**6 + 1, 10**6 + 3} <= {
+        i for i, (_, least) in groups(rows).items() if i == least}
+    assert {r["doc_id"] for r in corpus_pipeline.distinct_documents(spark, every, DATA).collect()} == want
+
+
 def test_stages_take_hard_rows_and_none(spark):
     docs = hard(spark, extra=False).selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "CAST(length(text) AS BIGINT) AS n_chars")
     for table in (docs, docs.limit(0)):
