@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import WordTable, held, map_arrow, ragged, text_of, text_slices
 
-NONE = np.int64(1) << 40  # rank of a pair that is no token
+NONE = np.int64(1) << 24  # rank of a pair that is no token: above all ranks, and its product with a tree's width fits to 2^38
 CELLS = 1 << 18  # tree nodes worked on together
 DECODED = 1 << 17  # ids decoded together
 

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -42,6 +43,22 @@ def test_tables_that_run_full_change_nothing(library):
         assert encoded(encoder, texts) == [library.encode_ordinary(t) for t in texts]
 
 
+def test_keys_of_wide_trees_do_not_overflow():
+    ranks = bpe.Ranks(RANKS)
+    assert max(ranks.ranks.values()) < bpe.NONE
+    for w in (1 << 23, 1 << 38):
+        assert bpe.NONE * np.int64(w) > (int(bpe.NONE) - 1) * w + w - 1
+
+
+def test_long_runs_are_merged():
+    """A short piece in a tree as wide as a run of more than 4 MiB needs."""
+    ranks = bpe.Ranks(RANKS)
+    w = 1 << 23
+    ids, counts = bpe._merge(ranks, [b"ab" * 40], np.array([80]), w)
+    want, few = bpe._merge(ranks, [b"ab" * 40], np.array([80]), 128)
+    assert ids.tolist() == want.tolist() and counts.tolist() == few.tolist() and len(ids) < 80
+
+
 def test_round_trip(spark):
     docs = hard(spark)
     coded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
