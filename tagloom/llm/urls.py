@@ -6,8 +6,12 @@ trusted seed hosts along links (personalised PageRank), distrust from blocked se
 against them (what links to a bad host is suspect), and a host whose distrust outweighs
 its trust is blocked. Seeds are hosts most of whose pages a rule allows or blocks.
 
-Links are absolute addresses in ``href`` or ``src``; pages of one host share their edges,
+Links are addresses with a host in ``href`` or ``src``, with a scheme or without; pages of one host share their edges,
 which are counted before any shuffle. Scores are held per host, in a table per round.
+Rounds go on until the summed change of all scores is at most ``TOLERANCE`` and no further
+host was reached: each round's change is at most ``DAMPING`` of the one before, so about 90
+rounds end the first, whatever the size, and the second lasts as long as the longest shortest
+path from a seed.
 DataFrame functions throughout.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule
@@ -17,16 +21,16 @@ a path to any seed are allowed; extra columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..plans.shared import through_table
 
 # Fixed values: (host and path, verdict).
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 DAMPING = 0.85
-ROUNDS = 8
+TOLERANCE = 1e-6  # summed change of all scores in the last round
 SEED_SHARE = 0.5  # of a host's pages that rules must decide one way
-EDGE = r"""(?:href|src)\s*=\s*["']?[A-Za-z][A-Za-z0-9+.-]*://([^/?#"'\s>]+)"""
+EDGE = r"""(?:href|src)\s*=\s*["']?(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
 def lower_ascii(text: Column) -> Column:
@@ -60,8 +64,9 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """host, trust, distrust after ``rounds`` of personalised PageRank.
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = DAMPING,
+              tolerance: float = TOLERANCE) -> DataFrame:
+    """host, trust, distrust of personalised PageRank, after ``rounds`` or when it has converged.
 
     ``seeds``: host, trusted, blocked (0 or more). Each kind's restart sums to one. Trust
     is handed to link targets in proportion to a host's links, distrust to link sources
@@ -69,21 +74,36 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("out"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("into"))
-    edges = through_table(edges.join(out, "src").join(into, "dst").select(
-        "src", "dst", (F.col("n") / F.col("out")).alias("along"), (F.col("n") / F.col("into")).alias("against")), "edges")
+    shares = edges.join(out, "src").join(into, "dst").select(
+        "src", "dst", (F.col("n") / F.col("out")).alias("along"), (F.col("n") / F.col("into")).alias("against"))
+    zero = F.lit(0.0)
+    links = through_table(shares.select(F.col("src").alias("host"), F.col("dst").alias("to"), "along", zero.alias("against")).union(
+        shares.select(F.col("dst").alias("host"), F.col("src").alias("to"), zero.alias("along"), "against")), "edges")
     total = seeds.agg(F.sum("trusted").alias("t"), F.sum("blocked").alias("b")).first()
     restart = through_table(seeds.select(
         "host", (F.col("trusted") / max(total["t"] or 0, 1)).alias("t0"),
         (F.col("blocked") / max(total["b"] or 0, 1)).alias("b0")).where("t0 > 0 OR b0 > 0"), "restart")
     state = restart.select("host", F.col("t0").alias("trust"), F.col("b0").alias("distrust"))
-    for _ in range(rounds):
-        ahead = state.join(edges, state.host == edges.src).select(
-            F.col("dst").alias("host"), (damping * F.col("trust") * F.col("along")).alias("trust"), F.lit(0.0).alias("distrust"))
-        back = state.join(edges, state.host == edges.dst).select(
-            F.col("src").alias("host"), F.lit(0.0).alias("trust"), (damping * F.col("distrust") * F.col("against")).alias("distrust"))
-        again = restart.select("host", ((1 - damping) * F.col("t0")).alias("trust"), ((1 - damping) * F.col("b0")).alias("distrust"))
-        state = through_table(ahead.union(back).union(again).groupBy("host").agg(
-            F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "scores")
+    hosts, n = 0, 0
+    while rounds is None or n < rounds:
+        n += 1
+        moved = state.join(links, "host").select(
+            F.col("to").alias("host"), (damping * F.col("trust") * F.col("along")).alias("trust"),
+            (damping * F.col("distrust") * F.col("against")).alias("distrust"), zero.alias("t1"), zero.alias("b1"))
+        again = restart.select("host", (1 - damping) * F.col("t0"), (1 - damping) * F.col("b0"), zero, zero)
+        before = state.select("host", zero, zero, "trust", "distrust")
+        sums = moved.union(again).union(before).groupBy("host").agg(*(F.sum(c).alias(c) for c in ("trust", "distrust", "t1", "b1")))
+        told = Observation()
+        # Hosts never leave: each round reaches those of the one before.
+        state = through_table(sums.observe(
+            told, F.sum(F.abs(F.col("trust") - F.col("t1")) + F.abs(F.col("distrust") - F.col("b1"))).alias("change"),
+            F.count_if(F.col("trust") > 0).alias("t"), F.count_if(F.col("distrust") > 0).alias("b")).select(
+            "host", "trust", "distrust"), "scores")
+        if rounds is None:
+            reached = told.get["t"] + told.get["b"]
+            if (told.get["change"] or 0) <= tolerance and reached == hosts:
+                break
+            hosts = reached
     return state
 
 

@@ -104,6 +104,24 @@ def test_propagation_against_matrix_products(spark):
         assert np.allclose(got.get(f"h{h}", (0, 0)), (t[h], b[h]), atol=1e-12)
 
 
+def test_propagation_ends_when_it_has_converged(spark):
+    """A host twelve links above a blocked one, by links without a scheme, and the walk's fixed point."""
+    pages = [(i, f"http://h{i}.com/", f"<a href=\"//h{i + 1}.com/x\">") for i in range(11)]
+    pages += [(11, "http://h11.com/", "<a href=//bad.net/> <a href='/own//path'>"), (12, "http://bad.net/", ""), (13, "http://far.com/", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    verdicts = {r["page_id"]: r["verdict"] for r in urls.judge(df).collect()}
+    assert verdicts == {i: "allow" if i == 13 else "block" for i in range(14)}
+
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1), ("b", "c", 1)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("a", 1, 0), ("c", 0, 1)], "host string, trusted long, blocked long")
+    along = np.array([[0, 1, 0], [.5, 0, .5], [0, 0, 0]])
+    against = np.array([[0, 1, 0], [1, 0, 1], [0, 0, 0]])
+    t = np.linalg.solve(np.eye(3) - .5 * along.T, .5 * np.array([1, 0, 0]))
+    b = np.linalg.solve(np.eye(3) - .5 * against, .5 * np.array([0, 0, 1]))
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in urls.propagate(edges, seeds, damping=0.5, tolerance=1e-5).collect()}
+    assert all(np.allclose(got[h], (t[k], b[k]), atol=2e-5) for k, h in enumerate("abc"))
+
+
 def test_op3_rules_against_plain(spark):
     rules = dict(urls.RULES)
     pages = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
