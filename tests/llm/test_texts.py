@@ -106,6 +106,21 @@ def test_full_blocks_keep_whole_items(spark):
     assert min(r["cosine"] for r in found) > 0.999
 
 
+def test_long_items_are_found(spark):
+    """An item of 2,000 words copied whole, and half of another's words with its answer."""
+    items = [[f"l{i}x{k}" for k in range(n)] for i, n in enumerate((2000, 600))]
+    text = lambda w: " ".join(w[:-6]) + ". " + " ".join(w[-6:])
+    noise = lambda k: [f"n{k}x{j}" for j in range(100)]
+    half = [x if k % 2 or k >= 594 else f"o{k}" for k, x in enumerate(items[1])]
+    rows = [(0, noise(0) + items[0] + noise(1)), (1, noise(2) + half + noise(3)), (2, noise(4) + items[0][:900])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, text(w)) for i, w in enumerate(items)], "item_id long, text string")
+    for size in (512, 16):
+        found = decontaminate.find_leaks(docs, bench, size).collect()
+        assert {(r["doc_id"], r["item_id"], r["answer"]) for r in found} == {(0, 0, True), (1, 1, True)}
+        assert {r["doc_id"]: r["covered"] for r in found}[0] == 1
+
+
 def test_op5_finds_every_passage(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
