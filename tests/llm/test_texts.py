@@ -121,6 +121,18 @@ def test_long_items_are_found(spark):
         assert {r["doc_id"]: r["covered"] for r in found}[0] == 1
 
 
+def test_common_words_among_rare_ones_are_found(spark):
+    """Verbatim items of common words, among words that no other document has, in a corpus of 40,000."""
+    common = [f"c{k}" for k in range(12)]
+    rare = lambda i, n: [f"r{i}x{k}" for k in range(n)]
+    filler = spark.range(40_000).selectExpr("id AS doc_id", "IF(id %% 4 = 0, concat_ws(' ', reverse(array(%s))), 'f') AS text" % ", ".join(f"'{w}'" for w in common))
+    leaks = [(10**6, rare(0, 40) + common + rare(1, 40)), (10**6 + 1, rare(2, 41) + common[:3] + rare(3, 40))]
+    docs = filler.union(spark.createDataFrame([(i, " ".join(w)) for i, w in leaks], "doc_id long, text string"))
+    bench = spark.createDataFrame([(0, " ".join(common)), (1, " ".join(common[:3]))], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).where("doc_id >= 1000000").collect()}
+    assert found == {(10**6, 0), (10**6, 1), (10**6 + 1, 1)}
+
+
 def test_op5_finds_every_passage(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
