@@ -97,6 +97,28 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str,
     return _with_carry(local, carry, keys).withColumn(name, F.col(name) + F.coalesce("_earlier", zero)).drop("_earlier")
 
 
+# Aggregates that `running` can carry from chunk to chunk: the aggregate, and how two of them add up.
+SUM = (F.sum, lambda a, b: a + b)
+XOR = (F.bit_xor, lambda a, b: a.bitwiseXOR(b))
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple],
+            parts: int | None = None) -> DataFrame:
+    """Replace each column of ``values`` by its aggregate over this row and all earlier ones
+    within ``keys`` along ``order``. Values are not null."""
+    rows, several = chunked(df, keys + order, parts)
+    within = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = rows.withColumns({name: of(name).over(within) for name, (of, _) in values.items()})
+    if not several:
+        return local.drop("_chunk")
+    tops = rows.groupBy(*keys, "_chunk").agg(*(of(name).alias(name) for name, (of, _) in values.items()))
+    carry = tops.select(*keys, "_chunk", *(of(name).over(_before(keys)).alias(f"_{name}") for name, (of, _) in values.items()))
+    found = _with_carry(local, carry.where(F.col(f"_{next(iter(values))}").isNotNull()), keys)
+    return found.withColumns({
+        name: F.coalesce(plus(F.col(name), F.col(f"_{name}")), F.col(name)) for name, (_, plus) in values.items()
+    }).drop(*(f"_{name}" for name in values))
+
+
 def with_next(df: DataFrame, keys: list[str], order: list[str], value: str,
               name: str = "next", parts: int | None = None) -> DataFrame:
     """Add the ``value`` of the following row within ``keys`` along ``order``."""

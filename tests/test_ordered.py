@@ -155,3 +155,17 @@ def test_a_null_key_may_be_the_hot_one(df, rows):
     two = nulled.withColumn("k2", F.lit(None).cast("int"))
     again = {r["id"]: r["m"] for r in ordered.running_max(two, ["k", "k2"], ["t", "id"], "v", "m", 9).collect()}
     assert again == top
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_running(spark, rows, parts):
+    df = spark.createDataFrame([(k, t, i, int(v), int(v) * 7 + i) for k, t, i, v in rows], "k string, t int, id int, s long, x long")
+    got = {r["id"]: (r["s"], r["x"]) for r in ordered.running(
+        df, ["k"], ["t", "id"], {"s": ordered.SUM, "x": ordered.XOR}, parts).collect()}
+    want = {}
+    for group in by_key(rows).values():
+        total = mixed = 0
+        for _, _, i, v in group:
+            total, mixed = total + int(v), mixed ^ (int(v) * 7 + i)
+            want[i] = total, mixed
+    assert got == want
