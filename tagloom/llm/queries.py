@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..plans.shared import fresh_path
-from . import bpe, decontaminate, jaccard, licenses, pii, quality, tokencounts, topk, toxicity, urls
+from . import bpe, decontaminate, jaccard, licenses, pii, prefixes, quality, tokencounts, topk, toxicity, urls
 from .common import table
 from .registry import query
 
@@ -95,3 +95,38 @@ def url_filters(spark, folder):
     FROM scored QUALIFY rank <= 5""")
 def topk_search(spark, folder):
     return topk.top_k(table(spark, folder, "embeddings"), 50, 5)
+
+
+@query("op11_conversation_trie", """
+    WITH o AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+               ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                   sha256(CAST(octet_length(encode(coalesce(role, ''))) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+        FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (
+        SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS head, xor(list_reduce(
+            list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(conv_id AS VARCHAR)[i]) AS BIGINT)),
+            lambda x, byte: list_reduce(list_transform(range(8), lambda i: CAST(i AS BIGINT)),
+                lambda y, i: xor(y >> 1, 3988292384 * (y & 1)), xor(x, byte)), 4294967295), 4294967295) % 6 AS h
+        FROM o),
+    r AS (
+        SELECT c.conv_id, 0 AS part, o.pos, o.role, o.text FROM c JOIN o ON o.conv_id = c.head AND o.pos <= c.h
+        UNION ALL SELECT c.conv_id, 1, o.pos, o.role, o.text FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos > c.h),
+    s AS (
+        SELECT c.conv_id, coalesce(list({'r': r.role, 't': r.text} ORDER BY part, pos) FILTER (r.pos IS NOT NULL), []) AS turns
+        FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+    m AS (SELECT conv_id, unnest(range(0, len(turns) + 1)) AS depth, turns FROM s),
+    n AS (
+        SELECT turns[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+               string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(turns) = depth) AS ends
+        FROM m GROUP BY 1, 2),
+    k AS (
+        SELECT n.*, up.conv_id AS parent_conv_id, (SELECT count(*) FROM n x WHERE x.depth = n.depth + 1 AND x.path[1:n.depth] = n.path) AS n_children
+        FROM n LEFT JOIN n up ON up.depth = n.depth - 1 AND up.path = n.path[1:n.depth - 1])
+    SELECT k.conv_id, k.depth, k.parent_conv_id, k.n_convs, k.n_children,
+           count(*) FILTER (x.n_children = 0) AS n_leaves,
+           CAST(sum(CASE WHEN x.depth > 0 THEN (x.n_convs - 1) * length(x.path[x.depth].t) ELSE 0 END) AS BIGINT) AS saved_tokens,
+           sha256(coalesce(k.ends, '')) AS ends_sha256
+    FROM k JOIN k x ON x.depth >= k.depth AND x.path[1:k.depth] = k.path GROUP BY ALL""")
+def conversation_trie(spark, folder):
+    return prefixes.trie(table(spark, folder, "conversations"))
