@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..plans.shared import fresh_path
-from . import bpe, decontaminate, jaccard, licenses, pii, prefixes, quality, tokencounts, topk, toxicity, urls
+from . import bpe, decontaminate, jaccard, langid, licenses, merkle, pii, prefixes, quality, tokencounts, topk, toxicity, urls
 from .common import table
 from .registry import query
 
@@ -130,3 +130,17 @@ def topk_search(spark, folder):
     FROM k JOIN k x ON x.depth >= k.depth AND x.path[1:k.depth] = k.path GROUP BY ALL""")
 def conversation_trie(spark, folder):
     return prefixes.trie(table(spark, folder, "conversations"))
+
+
+@query("op12_language_id")
+def language_id(spark, folder):
+    return langid.predict(table(spark, folder, "documents"))
+
+
+@query("op13_merkle_manifest")
+def merkle_manifest(spark, folder):
+    """Tampering lower-cases A-Z where 3 divides crc32 of the id."""
+    docs = table(spark, folder, "documents")
+    chosen = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
+    text = F.when(chosen, F.translate("text", merkle.CAPITALS, merkle.SMALL)).otherwise(F.col("text"))
+    return merkle.verify(merkle.manifest(docs, text))
