@@ -44,11 +44,17 @@ def cdc_apply(spark, folder):
     SELECT tid, txt, '2023-12-31 00:00:00.000000' AS dt FROM start WHERE tid NOT IN (SELECT tid FROM last)
     UNION ALL SELECT tid, printf('%.2f', value) AS txt, {ts('ts')} AS dt FROM last WHERE op <> 'DELETE'""")
 def cdc_bootstrap(spark, folder):
-    """A load taken half-way, then the changes after its position: the same table."""
-    all_changes = views.cdc_events(spark, folder)
-    half = all_changes.agg(F.max("seq").alias("m")).first()["m"] // 2
-    loaded = changes.apply_changes(_start(spark, folder), all_changes.where(F.col("seq") <= half))
-    return changes.bootstrap(loaded, all_changes, half).select("tid", "txt", "dt")
+    """A load taken half-way, then the stored changes after its position: the same table.
+
+    The log holds two streams that overlap, and changes from before the load's position.
+    """
+    every = views.cdc_events(spark, folder)
+    half = every.agg(F.max("seq").alias("m")).first()["m"] // 2
+    loaded = changes.apply_changes(_start(spark, folder), every.where(F.col("seq") <= half))
+    root, streamed = fresh_path(spark, "cdc"), views.cdc_events(spark, folder, views.stream_events(spark, folder))
+    for part in (F.col("seq") <= half + half // 2, F.col("seq") > half // 2):
+        changes.write_changes(streamed.where(part), root, fresh_path(spark, "checkpoint")).awaitTermination()
+    return changes.current_table(loaded, root, half).select("tid", "txt", "dt")
 
 
 @query("incremental_pull", f"SELECT {TAG_SQL} FROM tags_documents WHERE dt > TIMESTAMP '2024-01-16'")
@@ -61,10 +67,14 @@ def incremental_pull(spark, folder):
 @query("live_query", """
     SELECT tid, txt FROM tags_events WHERE list_contains(sts, 'signup') ORDER BY tid DESC LIMIT 555""")
 def live_query(spark, folder):
-    target = fresh_path(spark, "live")
-    found = lambda: search.search_and_tags(
-        views.tags_events(spark, folder), wanted=["signup"]).select("tid", "txt")
-    live.live_query(views.stream_events(spark, folder), found, target, fresh_path(spark, "checkpoint")).awaitTermination()
+    """The table as it was half-way, read once; then all events as changes of it."""
+    target, rows = fresh_path(spark, "live"), views.tags_events(spark, folder)
+    half = rows.agg(F.max("tid").alias("m")).first()["m"] // 2
+    events = views.stream_events(spark, folder).select(
+        F.col("event_id").alias("seq"), F.lit("INSERT").alias("op"), F.col("event_id").alias("tid"),
+        F.col("event_type").alias("txt"), F.array("event_type").alias("sts"), F.lit(None).cast("string").alias("entry_id"))
+    live.live_query(events, lambda found: search.filter_all_tags(found, ["signup"]).select("tid", "txt"), target,
+                    fresh_path(spark, "checkpoint"), load=lambda: rows.where(F.col("tid") <= half)).awaitTermination()
     results = spark.read.schema("tid bigint, txt string, result long").parquet(target)
     return results.where(F.col("result") == results.select(F.max("result")).scalar()).select("tid", "txt")
 

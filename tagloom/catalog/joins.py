@@ -187,3 +187,14 @@ PAIRS = """SELECT a.tid AS src, b.tid AS dst,
 def cosine_pairs(spark, folder):
     return similarity.cosine_pairs(views.vecs(spark, folder), 0.3).select(
         "src", "dst", F.round("w", 6).alias("w"))
+
+
+@query("vector_copies", "SELECT tid, min(tid) OVER (PARTITION BY vec) AS rep FROM vecs_copied")
+def vector_copies(spark, folder):
+    """The name that each vector has in the pairs."""
+    return similarity.copies_of(views.vecs_copied(spark, folder))
+
+
+@query("cosine_pairs_approx")
+def cosine_pairs_approx(spark, folder):
+    return similarity.cosine_pairs_approx(views.vecs(spark, folder), 0.3).select("src", "dst", F.round("w", 6).alias("w"))

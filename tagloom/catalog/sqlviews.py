@@ -61,6 +61,11 @@ VIEWS = {
     "durations": "SELECT event_type AS scope, ts, event_id AS id, value AS ms FROM events",
     "bursts": "SELECT user_id AS key, ts, event_id AS id, value FROM events",
     "vecs": "SELECT vec_id AS tid, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings",
+    "vecs_held": """
+        SELECT tid, CASE WHEN tid % 3 = 0 THEN (SELECT arg_min(vec, tid) FROM vecs) ELSE vec END AS vec FROM vecs""",
+    "vecs_copied": """
+        SELECT tid, vec FROM vecs_held UNION ALL SELECT -tid - 1, vec FROM vecs_held WHERE tid % 10 = 1""",
+    "models": "SELECT *, CASE WHEN tid % 3 = 0 THEN 'small' ELSE 'large' END AS mdl FROM vecs",
     "md_documents": r"""
         SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)),
                lambda line, i: CASE (i - 1) % 4 WHEN 0 THEN '# ' WHEN 1 THEN '- ' WHEN 2 THEN '> ' ELSE '' END || line),

@@ -171,6 +171,20 @@ def vecs(spark: SparkSession, folder: str) -> DataFrame:
         F.col("vec_id").alias("tid"), F.col("embedding").alias("vec"))
 
 
+def vecs_copied(spark: SparkSession, folder: str) -> DataFrame:
+    """Every third id has the first vector, and every tenth vector stands under a second id."""
+    rows = vecs(spark, folder)
+    first = rows.agg(F.min_by("vec", "tid").alias("v")).first()["v"]  # one vector
+    hot = F.array(*(F.lit(x) for x in first or [])).cast("array<float>")
+    held = rows.withColumn("vec", F.when(F.col("tid") % 3 == 0, hot).otherwise(F.col("vec")))
+    return held.unionByName(held.where("tid % 10 = 1").withColumn("tid", -F.col("tid") - 1))
+
+
+def models(spark: SparkSession, folder: str) -> DataFrame:
+    """The vectors as those of two models, by id."""
+    return vecs(spark, folder).withColumn("mdl", F.when(F.col("tid") % 3 == 0, "small").otherwise("large"))
+
+
 def md_links(spark: SparkSession, folder: str) -> DataFrame:
     """One markdown document per host: here a document is one page's line."""
     number = F.when(F.col("page_id") % 3 == 2, F.lit("1. ")).otherwise(F.lit(""))

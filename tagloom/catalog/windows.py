@@ -10,8 +10,10 @@ from . import views
 from .joins import PAIRS
 from .registry import query
 
-EDGES = f"""SELECT src, dst, round(w, 6) AS w, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS rank
-            FROM ({PAIRS}) p WHERE w >= 0.3 QUALIFY rank <= 6"""
+EDGES = """SELECT src, dst, round(w, 6) AS w, row_number() OVER (PARTITION BY src ORDER BY round(w, 12) DESC, dst) AS rank
+           FROM ({}) p WHERE w >= 0.3 QUALIFY rank <= 6"""
+EDGES_WITH_COPIES = EDGES.format(PAIRS.replace("vecs", "vecs_copied"))
+EDGES_BY_MODEL = EDGES.format(PAIRS.replace("vecs", "models") + " AND a.mdl = b.mdl")
 
 
 @query("rows_around", """
@@ -32,17 +34,20 @@ def rows_around_each(spark, folder):
     return context.rows_around_each(views.local_snap(spark, folder), anchors)
 
 
-@query("topk_neighbours", EDGES)
+@query("topk_neighbours", EDGES_WITH_COPIES)
 def topk_neighbours(spark, folder):
-    pairs = similarity.cosine_pairs(views.vecs(spark, folder), 0.2)
-    return similarity.topk_neighbours(pairs, 6, 0.3).select(
+    """Of vectors of which more than a third are copies."""
+    vectors = views.vecs_copied(spark, folder)
+    pairs = similarity.cosine_pairs(vectors, 0.2)
+    return similarity.topk_neighbours(pairs, 6, 0.3, vectors).select(
         "src", "dst", F.round("w", 6).alias("w"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("similarity_graph", EDGES)
+@query("similarity_graph", f"SELECT e.*, m.mdl FROM ({EDGES_BY_MODEL}) e JOIN models m ON m.tid = e.src")
 def similarity_graph(spark, folder):
-    return similarity.similarity_graph(views.vecs(spark, folder), 0.3).select(
-        "src", "dst", F.round("w", 6).alias("w"), F.col("rank").cast("bigint").alias("rank"))
+    """The graph of each model by itself."""
+    graph = similarity.per_model(views.models(spark, folder), similarity.similarity_graph, threshold=0.3)
+    return graph.select("src", "dst", F.round("w", 6).alias("w"), F.col("rank").cast("bigint").alias("rank"), "mdl")
 
 
 @query("segment_offsets", """

@@ -4,53 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .core import array_or_empty, common_prefix, common_suffix, let, slice_text
-
-
-def _hunk(before: Column, after: Column) -> Column:
-    """The one stretch in which two texts differ: struct(start, end, put).
-
-    ``start`` and ``end`` are places in ``before``; ``put`` is what replaces them.
-    """
-    def with_prefix(p: Column) -> Column:
-        def with_suffix(raw: Column) -> Column:
-            s = F.least(raw, F.least(F.length(before), F.length(after)) - p)
-            return F.struct(
-                p.alias("start"), (F.length(before) - s).alias("end"),
-                slice_text(after, p, F.length(after) - s).alias("put"))
-        return let(common_suffix(before, after), with_suffix)
-
-    return let(common_prefix(before, after), with_prefix)
+from . import stretches
+from .core import array_or_empty, let
 
 
 def merge3_text(before: Column, mine: Column, theirs: Column) -> Column:
-    """Three-way merge of texts: my edit of ``before`` applied to ``theirs``.
+    """Three-way merge of texts: my edits of ``before`` applied to ``theirs``.
 
-    Both edits are single stretches. Edits that touch different places are both kept;
-    two insertions at one place keep mine first. Edits that overlap leave ``theirs``
-    as it is, as a patch that finds no place does.
+    Each side may have edited several stretches. Edits that touch different places are
+    kept; two insertions at one place keep mine first. Where edits of one place differ,
+    ``theirs`` stands there, as with a patch that finds no place. Only rows that both sides
+    edited leave the JVM. Not for use inside a lambda.
     """
-    def merge(texts: Column) -> Column:
-        b, m, t = texts["before"], texts["mine"], texts["theirs"]
-        edits = F.struct(_hunk(b, m).alias("mine"), _hunk(b, t).alias("theirs"))
-        return (F.when(b.isNull() | m.isNull() | t.isNull(), t)
-                .when((b == m) | (m == t), t).when(b == t, m)
-                .otherwise(let(edits, lambda e: both(texts, e["mine"], e["theirs"]))))
-
-    def both(texts: Column, m: Column, t: Column) -> Column:
-        b = texts["before"]
-
-        def put(first: Column, second: Column) -> Column:
-            return F.concat(
-                slice_text(b, F.lit(0), first["start"]), first["put"],
-                slice_text(b, first["end"], second["start"]), second["put"],
-                slice_text(b, second["end"], F.length(b)))
-
-        return (F.when(m["end"] <= t["start"], put(m, t))
-                .when(t["end"] <= m["start"], put(t, m))
-                .otherwise(texts["theirs"]))
-
-    return let(F.struct(before.alias("before"), mine.alias("mine"), theirs.alias("theirs")), merge)
+    conflict = (before != mine) & (mine != theirs) & (before != theirs)
+    patch = F.pandas_udf(stretches.merge_columns, "string")
+    easy = (F.when(before.isNull() | mine.isNull() | theirs.isNull(), theirs)
+            .when((before == mine) | (mine == theirs), theirs).when(before == theirs, mine))
+    return easy.otherwise(patch(*(F.when(conflict, x) for x in (before, mine, theirs))))
 
 
 def merge3_tags(before: Column, mine: Column, theirs: Column) -> Column:

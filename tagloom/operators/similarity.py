@@ -7,7 +7,10 @@ leave it. Blocks lie around pivots, and the angle between unit vectors obeys the
 triangle inequality, so blocks too far apart for the threshold never meet; how much
 that saves depends on how clustered the vectors are. No pair is missed or capped.
 
-The work still grows with the square of the vectors where they are not clustered.
+The work still grows with the square of the vectors where they are not clustered. The
+approximate form, ``cosine_pairs_approx``, hashes vectors by random hyperplanes instead and
+lets only buckets meet whose signatures differ in few bits; how many bits, tables and
+differing bits follows from the threshold, the recall asked for and the number of vectors.
 """
 
 from __future__ import annotations
@@ -15,7 +18,8 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Iterator
-from typing import Any, Tuple
+from itertools import combinations
+from typing import Any, NamedTuple, Tuple
 
 import numpy as np
 import pandas as pd
@@ -40,6 +44,12 @@ MAX_PIVOTS = 256
 # Added to every angle bound, against rounding at the edge of a block.
 ANGLE_SLACK = 1e-6
 
+# Of the approximate form: recall asked for, and bounds of what a plan may use. A shipped
+# vector costs about as much as this many products.
+RECALL = 0.95
+MAX_BITS, MAX_FLIPS, MAX_TABLES = 14, 2, 24
+SHIPPING = 200
+
 PAIR_SCHEMA = "src bigint, dst bigint, w double"
 
 
@@ -189,32 +199,143 @@ def cosine_pairs(vectors: DataFrame, threshold: float = EDGE_THRESHOLD,
     return blocks.groupBy("lo", "hi").applyInPandas(_meet(threshold, None), PAIR_SCHEMA)
 
 
-def topk_neighbours(pairs: DataFrame, k: int = EDGES_PER_NODE,
-                    threshold: float = EDGE_THRESHOLD) -> DataFrame:
-    """Per node the k most similar others over the threshold; ties by the smaller id."""
+def copies_of(vectors: DataFrame) -> DataFrame:
+    """(tid, rep): every vector and the smallest id that has the same one, its name in ``cosine_pairs``."""
+    names = distinct_vectors(vectors).select("content", F.col("tid").alias("rep"))
+    # The names are unique by content; adaptive execution can split the side of a hot content.
+    return vector_copies(vectors).join(names, "content").select("tid", "rep")
+
+
+class BucketPlan(NamedTuple):
+    """How hyperplanes hash: bits of a signature, bits in which buckets that meet differ at most, tables."""
+
+    bits: int
+    flips: int
+    tables: int
+
+    def recall(self, threshold: float) -> float:
+        """Chance that two vectors of this similarity meet; more similar ones meet more often."""
+        differ = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+        meet = sum(math.comb(self.bits, f) * differ ** f * (1 - differ) ** (self.bits - f) for f in range(self.flips + 1))
+        return 1 - (1 - min(1.0, meet)) ** self.tables
+
+    def cost(self, count: int) -> float:
+        """Products of two vectors, for vectors without any structure, and vectors shipped."""
+        shipped = self.tables * sum(math.comb(self.bits, f) for f in range(self.flips + 1))
+        return count * (shipped * count / 2 ** (self.bits + 1) + SHIPPING * shipped)
+
+
+def bucket_plan(threshold: float, count: int, recall: float = RECALL) -> BucketPlan:
+    """The cheapest plan that keeps the recall at the threshold; without bits all vectors meet."""
+    best = BucketPlan(0, 0, 1)
+    for bits in range(1, MAX_BITS + 1):
+        for flips in range(min(bits, MAX_FLIPS + 1)):
+            one = BucketPlan(bits, flips, 1).recall(threshold)
+            tables = math.ceil(math.log(1 - recall) / math.log(1 - one)) if one < recall else 1
+            plan = BucketPlan(bits, flips, tables)
+            if tables <= MAX_TABLES and plan.cost(count) < best.cost(count):
+                best = plan
+    return best
+
+
+def _bucket_pairs(vectors: DataFrame, plan: BucketPlan, block_rows: int) -> DataFrame:
+    """As ``_block_pairs``, for blocks of equal signatures: (lo, hi, side, ...) once per meeting.
+
+    Large buckets are cut into blocks of about ``block_rows``, so no meeting is large
+    however many vectors share a signature.
+    """
+    first = vectors.select(F.size("vec").alias("n")).limit(1).collect()
+    if not first:
+        return vectors.sparkSession.createDataFrame([], "lo bigint, hi bigint, own bigint, tid bigint, vec array<float>")
+    bits, flips, tables = plan
+    planes = np.random.default_rng(11).standard_normal((first[0]["n"], tables * bits)) if bits else None
+    powers = 1 << np.arange(bits, dtype=np.int64)
+
+    def signatures(vecs: pd.Series) -> np.ndarray:
+        if not bits:
+            return np.zeros((len(vecs), tables), dtype=np.int64)
+        sides = (_unit_rows(vecs) @ planes > 0).reshape(len(vecs), tables, bits)
+        return sides @ powers
+
+    def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                found = signatures(pdf["vec"])
+                yield pd.DataFrame({"bucket": (found + (np.arange(tables) << bits)).ravel()})
+
+    # At most MAX_TABLES << MAX_BITS buckets, whatever the vectors.
+    sizes = np.zeros(tables << bits, dtype=np.int64)
+    counted = vectors.select("vec").mapInPandas(locate, "bucket bigint").groupBy("bucket").count()
+    for row in counted.collect():
+        sizes[row["bucket"]] = row["count"]
+    blocks = np.maximum(1, -(-sizes // block_rows))
+    start = np.concatenate([[0], np.cumsum(blocks)[:-1]])
+    masks = [sum(1 << b for b in chosen) for f in range(flips + 1) for chosen in combinations(range(bits), f)]
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            found, salt = signatures(pdf["vec"]), pdf["salt"].to_numpy()
+            for table in range(tables):
+                base = table << bits
+                home = found[:, table] + base
+                own = start[home] + salt % blocks[home]
+                for mask in masks:
+                    other = (found[:, table] ^ mask) + base
+                    for turn in range(int(blocks[other].max())):
+                        rows = np.flatnonzero((turn < blocks[other]) & (sizes[other] > 0))
+                        if not len(rows):
+                            continue
+                        block, mine, part = start[other[rows]] + turn, own[rows], pdf.iloc[rows]
+                        yield pd.DataFrame({
+                            "lo": np.minimum(mine, block), "hi": np.maximum(mine, block), "own": mine,
+                            "tid": part["tid"].to_numpy(), "vec": part["vec"].to_numpy()})
+
+    salted = vectors.select("tid", "vec", F.pmod(F.xxhash64("tid"), F.lit(1 << 30)).alias("salt"))
+    return salted.mapInPandas(spread, "lo bigint, hi bigint, own bigint, tid bigint, vec array<float>")
+
+
+def cosine_pairs_approx(vectors: DataFrame, threshold: float = EDGE_THRESHOLD, recall: float = RECALL,
+                        block_rows: int = BLOCK_ROWS, plan: BucketPlan | None = None) -> DataFrame:
+    """``cosine_pairs`` that finds each pair with a chance of ``recall`` at least.
+
+    What it finds is exact: pairs are compared by their vectors, and none below the
+    threshold is returned. Where hashing does not pay (few vectors, a low threshold) all
+    vectors meet and nothing is missed.
+    """
+    single = through_table(distinct_vectors(vectors), "vectors")
+    chosen = plan or bucket_plan(threshold, single.count(), recall)
+    found = _bucket_pairs(single, chosen, block_rows).groupBy("lo", "hi").applyInPandas(_meet(threshold, None), PAIR_SCHEMA)
+    # A pair that meets in several tables has the same similarity, but for rounding, in each.
+    return found.groupBy("src", "dst").agg(F.max("w").alias("w"))
+
+
+def topk_neighbours(pairs: DataFrame, k: int = EDGES_PER_NODE, threshold: float = EDGE_THRESHOLD,
+                    vectors: DataFrame | None = None) -> DataFrame:
+    """Per node the k most similar others over the threshold; ties by the smaller id.
+
+    Pairs of ``cosine_pairs`` are between the names of equal vectors. With ``vectors``,
+    every id gets its neighbours, copies of it and copies of its neighbours included;
+    without, the ids are those of the pairs.
+    """
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "dst"))
-    return (pairs.where((F.col("src") != F.col("dst")) & (F.col("w") >= threshold))
+    near = (pairs.where((F.col("src") != F.col("dst")) & (F.col("w") >= threshold))
             .withColumn("rank", rank).where(F.col("rank") <= k))
+    return near if vectors is None else _for_all_copies(near, vectors, threshold, k)
 
 
-def similarity_graph(vectors: DataFrame, threshold: float = EDGE_THRESHOLD,
-                     k: int = EDGES_PER_NODE, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Edges (src, dst, w, rank) to the k nearest neighbours over the threshold.
+def _for_all_copies(near: DataFrame, vectors: DataFrame, threshold: float, k: int) -> DataFrame:
+    """The k best of every id, given the k best different vectors of every different vector.
 
-    Exact, copies included. Neighbours are found among different vectors, and each
-    meeting of blocks keeps k candidates per vector: the k best overall are among the k
-    best of every meeting. A vector stands for all ids that have it, of which no node
-    can use more than the k + 1 smallest.
+    A vector stands for all ids that have it, of which no node can use more than the
+    k + 1 smallest; these are carried through the ranking.
     """
     per_content = Window.partitionBy("content").orderBy("tid")
     members = (vector_copies(vectors).withColumn("n", F.row_number().over(per_content))
                .where(F.col("n") <= k + 1)
                .groupBy("content").agg(F.collect_list("tid").alias("ids"), F.min("tid").alias("rep")))
-    single = through_table(distinct_vectors(vectors), "vectors")
-    blocks = _block_pairs(single, threshold, block_rows)
-    near = topk_neighbours(
-        blocks.groupBy("lo", "hi").applyInPandas(_meet(threshold, k), PAIR_SCHEMA), k, threshold)
-    own = (single.select("tid", F.round(cosine(F.col("vec"), F.col("vec")), 12).alias("w"))
+    own = (distinct_vectors(vectors).select("tid", F.round(cosine(F.col("vec"), F.col("vec")), 12).alias("w"))
            .where(F.col("w") >= threshold))
     reached = near.select("src", "dst", "w").unionByName(
         own.select(F.col("tid").alias("src"), F.col("tid").alias("dst"), "w"))
@@ -235,6 +356,20 @@ def similarity_graph(vectors: DataFrame, threshold: float = EDGE_THRESHOLD,
         .select("src", "b.dst", (-F.col("b.nw")).alias("w"), (F.col("rank") + 1).alias("rank")))
 
 
+def similarity_graph(vectors: DataFrame, threshold: float = EDGE_THRESHOLD,
+                     k: int = EDGES_PER_NODE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Edges (src, dst, w, rank) to the k nearest neighbours over the threshold.
+
+    Exact, copies included. Neighbours are found among different vectors, and each
+    meeting of blocks keeps k candidates per vector: the k best overall are among the k
+    best of every meeting.
+    """
+    single = through_table(distinct_vectors(vectors), "vectors")
+    blocks = _block_pairs(single, threshold, block_rows)
+    near = blocks.groupBy("lo", "hi").applyInPandas(_meet(threshold, k), PAIR_SCHEMA)
+    return topk_neighbours(near, k, threshold, vectors)
+
+
 def per_model(vectors: DataFrame, operator, **options) -> DataFrame:
     """``operator`` on the vectors of each model by themselves, with the model as ``mdl``.
 

@@ -96,17 +96,16 @@ def merge_row(mine: Column, theirs: Column, now: Column) -> Column:
     server's previous time, my edit is applied to the server's row, the records are
     merged and the row stays dirty. Otherwise my row stays and takes the server's time.
     """
-    def decide(origin: Column) -> Column:
-        same_origin = F.coalesce(
-            origin["dt"] == F.from_json(theirs["rec"], ORIGIN)["prev_dt"], F.lit(False))
-        patched = _struct_with(
-            theirs, modAt=now,
-            txt=merge3_text(origin["txt"], mine["txt"], theirs["txt"]),
-            sts=merge3_tags(origin["sts"], mine["sts"], theirs["sts"]),
-            rec=rec_merge(mine["rec"], theirs["rec"], MERGE_DEPTH))
-        return F.when(same_origin, patched).otherwise(_struct_with(mine, dt=theirs["dt"]))
-
-    return let(F.from_json(mine["rec"], ORIGIN)["b4mod"], decide)
+    origin = F.from_json(mine["rec"], ORIGIN)["b4mod"]
+    same_origin = F.coalesce(
+        origin["dt"] == F.from_json(theirs["rec"], ORIGIN)["prev_dt"], F.lit(False))
+    # Texts are merged outside of any lambda, and only those that the row below takes.
+    txt = merge3_text(*(F.when(same_origin, x) for x in (origin["txt"], mine["txt"], theirs["txt"])))
+    patched = _struct_with(
+        theirs, modAt=now, txt=txt,
+        sts=merge3_tags(origin["sts"], mine["sts"], theirs["sts"]),
+        rec=rec_merge(mine["rec"], theirs["rec"], MERGE_DEPTH))
+    return F.when(same_origin, patched).otherwise(_struct_with(mine, dt=theirs["dt"]))
 
 
 def with_prev_dt(rec: Column, prev_dt: Column) -> Column:
@@ -155,8 +154,8 @@ def sync_reconcile(local: DataFrame, incoming: DataFrame, now) -> DataFrame:
         "owner": F.col("own"), "holder": F.lit(None).cast(holders.schema["holder"].dataType)})
     joined = rows.where("tid IS NOT NULL").join(owners, "tid").join(holders, "tid", "left").unionByName(keyless)
     theirs, mine, holder = F.col("theirs"), F.col("mine"), F.col("holder")
-    merged = let(merge_row(mine, theirs, stamp), lambda m: _struct_with(
-        m, tid=F.coalesce(theirs["tid"], m["tid"])))
+    joined = joined.withColumn("both", merge_row(mine, theirs, stamp))
+    merged = _struct_with(F.col("both"), tid=F.coalesce(theirs["tid"], F.col("both.tid")))
     put = F.when(mine.isNotNull(), merged).otherwise(_struct_with(theirs, modAt=F.lit(None)))
     other = holder.isNotNull() & ~(
         (holder["type"] == theirs["type"]) & (holder["ref"] == theirs["ref"]))
@@ -202,30 +201,36 @@ def apply_reconciled(local: DataFrame, incoming: DataFrame, puts: DataFrame,
 def bulk_merge(live: DataFrame, incoming: DataFrame, now) -> DataFrame:
     """Overlay incoming rows on live rows with the same ``tid``, each with an ``action``.
 
-    Same unique key: the two are merged. Another one: the incoming row takes the place
-    and the live row is given back without key, to be numbered anew. All become dirty.
-    Live rows that no incoming row meets are not part of the result.
+    merged: same unique key, the two are merged. placed: another one, the incoming row takes
+    the place. displaced: the live row it took it from, without key, to be numbered anew.
+    split: of several incoming rows on one ``tid`` the newest owns it; the others come
+    without key too, once each. All become dirty. Live rows that no incoming row meets are
+    not part of the result.
     """
     stamp = F.lit(now).cast("timestamp")
+    claims = incoming.where("tid IS NOT NULL").select("tid", tag_struct().alias("inc")).distinct()
+    owners = claims.groupBy("tid").agg(F.max(F.struct("inc.dt", "inc.type", "inc.ref", "inc")).alias("owner"))
     joined = (live.where("tid is not null").select("tid", tag_struct().alias("live"))
-              .join(incoming.select("tid", tag_struct().alias("inc")), "tid"))
-    inc, old = F.col("inc"), F.col("live")
+              .join(claims, "tid").join(owners.select("tid", F.col("owner.inc").alias("owner")), "tid"))
+    joined = joined.withColumn("owns", F.col("inc").eqNullSafe(F.col("owner")))
+    inc, old, owns = F.col("inc"), F.col("live"), F.col("owns")
     same = (inc["type"] == old["type"]) & (inc["ref"] == old["ref"])
-    placed = let(F.when(same, merge_row(inc, old, stamp)).otherwise(inc),
-                 lambda row: _struct_with(row, modAt=stamp))
-    displaced = _struct_with(old, tid=F.lit(None), modAt=stamp)
+    joined = joined.withColumn("both", merge_row(inc, old, stamp))
+    placed = _struct_with(F.when(same, F.col("both")).otherwise(inc), modAt=stamp)
+    keyless = lambda row: _struct_with(row, tid=F.lit(None), modAt=stamp)
     outputs = F.array(
-        F.struct(F.when(same, "merged").otherwise("placed").alias("action"), placed.alias("row")),
-        F.when(~same, F.struct(F.lit("displaced").alias("action"), displaced.alias("row"))))
+        F.when(owns, F.struct(F.when(same, "merged").otherwise("placed").alias("action"), placed.alias("row"))),
+        F.when(owns & ~same, F.struct(F.lit("displaced").alias("action"), keyless(old).alias("row"))),
+        F.when(~owns, F.struct(F.lit("split").alias("action"), keyless(inc).alias("row"))))
     return (joined.select(F.inline(F.filter(outputs, lambda o: o.isNotNull())))
             .select("action", "row.*"))
 
 
 def apply_bulk_merge(live: DataFrame, merged: DataFrame, above: int,
                      parts: int | None = None) -> DataFrame:
-    """The next table after ``bulk_merge``: displaced rows get new keys above ``above``."""
-    placed = merged.where("action <> 'displaced'").select(*TAG_COLUMNS)
-    displaced = merged.where("action = 'displaced'").select(*TAG_COLUMNS)
+    """The next table after ``bulk_merge``: displaced and split rows get new keys above ``above``."""
+    placed = merged.where("action IN ('merged', 'placed')").select(*TAG_COLUMNS)
+    displaced = merged.where("action IN ('displaced', 'split')").select(*TAG_COLUMNS)
     return upsert(live.select(*TAG_COLUMNS), placed).unionByName(
         reassign_pk(displaced, KEY, above, parts))
 

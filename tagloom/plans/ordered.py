@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .shared import through_table
 
 ROWS_PER_CHUNK = 65_536
+# Beyond this many chunks they grow instead, so that a shuffle has no more parts than this.
+MOST_CHUNKS = 16_384
 
 
 def chunked(df: DataFrame, columns: list[str], parts: int | None = None) -> tuple[DataFrame, bool]:
@@ -28,7 +30,7 @@ def chunked(df: DataFrame, columns: list[str], parts: int | None = None) -> tupl
     The input is computed once, for the stored copy; its rows are counted there.
     """
     stored = through_table(df, "ordered")
-    parts = parts or max(1, math.ceil(stored.count() / ROWS_PER_CHUNK))
+    parts = parts or max(1, min(MOST_CHUNKS, math.ceil(stored.count() / ROWS_PER_CHUNK)))
     if parts == 1:
         return stored.withColumn("_chunk", F.lit(0)), False
     ranged = stored.repartitionByRange(parts, *columns).withColumn("_chunk", F.spark_partition_id())

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 # Folders made for single-machine sessions, by application.
@@ -42,3 +43,32 @@ def through_table(df: DataFrame, label: str, path: str | None = None) -> DataFra
     path = path or fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# Versions of a small table that are kept side by side.
+SLOTS = 4
+
+
+def store_version(df: DataFrame, path: str, version: int, schema: T.StructType) -> DataFrame:
+    """Write a small table as a version of ``path``, in place of the one ``SLOTS`` before it.
+
+    A repeated version replaces itself. Versions that readers may be at stay untouched.
+    """
+    slot = f"{path}/slot={version % SLOTS}"
+    df.withColumn("_version", F.lit(version).cast("long")).write.mode("overwrite").parquet(slot)
+    return df.sparkSession.read.schema(schema).parquet(slot)
+
+
+def latest_version(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame | None:
+    """The newest version of ``path``, of those below ``before`` if that is given; None without any."""
+    full = T.StructType([*schema.fields]).add("_version", "long").add("slot", "integer")
+    try:
+        rows = spark.read.schema(full).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if before is not None:
+        rows = rows.where(F.col("_version") < before)
+    last = rows.agg(F.max("_version")).first()[0]
+    return None if last is None else rows.where(F.col("_version") == last).select(*schema.fieldNames())

@@ -9,7 +9,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..functions.dates import fmt_ym
 from ..schema import MANIFEST, TAGS
@@ -21,12 +21,22 @@ PREFIX = "tags"
 
 def content_hash(df: DataFrame) -> DataFrame:
     """(row_count, content_hash) of a table, whatever its row order."""
+    return df.agg(*_content(df))
+
+
+def _content(df: DataFrame) -> list[Column]:
     # Hashed as JSON, so that null, empty and shifted values stay apart.
     h = F.xxhash64(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
-    return df.agg(
+    return [
         F.count(F.lit(1)).alias("row_count"),
         # Summed as decimals: 64-bit sums overflow, and equal rows would cancel in an xor.
-        F.coalesce(F.sum(h.cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)").alias("content_hash"))
+        F.coalesce(F.sum(h.cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)").alias("content_hash")]
+
+
+def folder_size(spark: SparkSession, path: str) -> int:
+    """Bytes of the files of a folder, from the file system's own records."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(there).getLength()
 
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -73,12 +83,11 @@ def write_snapshot(df: DataFrame, root: str, now: datetime, prefix: str = PREFIX
     label = spark.range(1).select(
         fmt_ym(stamp).alias("month"), F.date_format(stamp, "yyyyMMddHHmmssSSS").alias("time")).first()
     path = f"{root}/data/{prefix}.{label['time']}"
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    # Counted on what was written, so that ``df`` is computed once.
-    written = spark.read.schema(df.schema).parquet(path)
-    facts = content_hash(written).first()
-    files = written.select("_metadata.file_path", "_metadata.file_size").distinct()
-    size = files.agg(F.coalesce(F.sum("file_size"), F.lit(0)).alias("b")).first()["b"]
+    # Counted and hashed in the tasks that write, so that the rows pass by once.
+    facts = Observation()
+    seen = df.observe(facts, *_content(df))
+    seen.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    facts, size = facts.get, folder_size(spark, path)
     row = spark.createDataFrame([(
         f"{prefix}{label['month']}.{facts['row_count']}", path, facts["row_count"], size,
         facts["content_hash"], size > OVERSIZE_BYTES, now)], MANIFEST)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.search import SEARCH_ROWS, newest
 from ..plans.ordered import with_next
+from ..plans.shared import latest_version, store_version
+from .changes import DELETE, last_changes
 
 # Fixed value: pause, in seconds, that ends a burst.
 BURST_GAP = 0.4
@@ -23,19 +26,90 @@ def high_water_mark(tags: DataFrame):
     return tags.agg(F.max("dt").alias("m")).first()["m"]
 
 
-def live_query(stream: DataFrame, search: Callable[[], DataFrame], target: str, checkpoint: str,
+def live_query(stream: DataFrame, search: Callable[..., DataFrame], target: str, checkpoint: str,
+               load: Callable[[], DataFrame] | None = None, limit: int = SEARCH_ROWS, reserve: int = SEARCH_ROWS,
                **trigger) -> StreamingQuery:
-    """Run a bounded search again whenever rows arrive, and keep its newest result.
+    """Keep the newest result of a search while rows arrive; batch n writes ``target/result=n``.
 
-    ``search`` reads the table itself; the arriving rows only say that it changed.
+    With ``load`` the result is maintained: ``search(rows)`` picks the matching rows of any
+    rows, ``load()`` is the table as it is, and the stream carries its changes (``seq``, ``op``,
+    ``tid``, ...). The newest ``limit + reserve`` hits are the state. A batch takes its
+    changed keys out and its own hits in, so it costs what it and the state hold; the table
+    is read at the start, and again when deletions have used up the reserve or a change
+    does not tell its ``tid``.
+
+    Without it ``search()`` reads the table itself and runs again with every batch; the
+    arriving rows only say that it changed.
     """
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        search().write.mode("overwrite").parquet(f"{target}/result={batch_id}")
+        found = search() if load is None else _maintained(batch, batch_id, search, load, f"{target}/_state", limit, reserve)
+        found.write.mode("overwrite").parquet(f"{target}/result={batch_id}")
 
     return (stream.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+def _maintained(batch: DataFrame, batch_id: int, search: Callable[[DataFrame], DataFrame], load: Callable[[], DataFrame],
+                path: str, limit: int, reserve: int) -> DataFrame:
+    """The state after a batch, stored for the next; returns its newest ``limit`` rows.
+
+    A marker row says whether the table may hold more hits, all below ``_floor``.
+    """
+    found = search(batch).schema
+    columns, full = found.fieldNames(), _state_schema(found)
+    changed = last_changes(batch).persist()
+    told_all = changed.where("tid IS NULL").isEmpty()
+
+    def scanned():
+        rows = newest(search(load()).select(*columns), limit + reserve).persist()
+        told = _facts(rows)
+        return rows, told["n"] == limit + reserve, told["floor"]
+
+    def applied(rows: DataFrame, more: bool, floor):
+        hits = search(changed.where(F.col("op") != DELETE)).select(*columns)
+        if more:
+            hits = hits.where(F.col("tid") >= floor)
+        kept = rows.join(changed.select("tid"), "tid", "left_anti").select(*columns)
+        rows = newest(kept.unionByName(hits), limit + reserve).persist()
+        return rows, _facts(rows)
+
+    held = latest_version(batch.sparkSession, path, full, batch_id)
+    if held is None or not told_all:
+        fresh, base = True, scanned()
+    else:
+        marker = held.where("_marker").first()
+        fresh, base = False, (held.where("NOT _marker").select(*columns), marker["_more"], marker["_floor"])
+    rows, told = applied(*base)
+    if base[1] and told["n"] < limit and not fresh:
+        base = scanned()
+        rows, told = applied(*base)
+    more = base[1] or told["n"] == limit + reserve
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in found.fields]
+    marker = batch.sparkSession.range(1).select(
+        *none, F.lit(True).alias("_marker"), F.lit(more).alias("_more"), F.lit(told["floor"]).cast("long").alias("_floor"))
+    state = rows.select("*", F.lit(False).alias("_marker"), F.lit(None).cast("boolean").alias("_more"),
+                        F.lit(None).cast("long").alias("_floor")).unionByName(marker)
+    stored = store_version(state.coalesce(1), path, batch_id, full)
+    return newest(stored.where("NOT _marker").select(*columns), limit)
+
+
+def _state_schema(found: T.StructType) -> T.StructType:
+    return T.StructType([*found.fields]).add("_marker", "boolean").add("_more", "boolean").add("_floor", "long")
+
+
+def maintained_result(spark: SparkSession, target: str, found: T.StructType, limit: int = SEARCH_ROWS) -> DataFrame | None:
+    """The newest rows that a maintained search holds, also when they are none; None before its first batch.
+
+    ``found``: the schema of what the search picks.
+    """
+    held = latest_version(spark, f"{target}/_state", _state_schema(found))
+    return None if held is None else newest(held.where("NOT _marker").select(*found.fieldNames()), limit)
+
+
+def _facts(rows: DataFrame):
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("floor")).first()
+
+
 def debounce_events(events: DataFrame, gap_seconds: float = BURST_GAP,
                     parts: int | None = None) -> DataFrame:
     """The last value of each burst: ``events(key, ts, id, value)``.

@@ -1,10 +1,11 @@
 import json
+import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.functions import core, dates, merge, records, tags, text, vectors
+from tagloom.functions import core, dates, merge, records, stretches, tags, text, vectors
 
 L = F.lit
 
@@ -140,6 +141,12 @@ def test_cosine(value):
     ("", "mine", "theirs", "minetheirs"),
     ("日本語", "日本語。", "新日本語", "新日本語。"),
     (None, "mine", "theirs", "theirs"),
+    ("one two three four", "ONE two three FOUR", "one two 3 four", "ONE two 3 FOUR"),
+    ("one two three four", "ONE two THREE four", "one 2 THREE 4", "ONE 2 THREE 4"),
+    ("a b c d e f", "a B c d E f", "a b C d e F", "a B C d E F"),
+    ("a b c d e f", "a X c d e F", "a Y c D e f", "a Y c D e F"),
+    ("one two three four five", "two three five", "one two 3 four five!", "two 3 five!"),
+    ("a\nb\nc\nd\n", "a\nB\nc\nd\nnew mine\n", "first\na\nb\nc\nD\n", "first\na\nB\nc\nD\nnew mine\n"),
 ])
 def test_merge3_text(value, before, mine, theirs, merged):
     got = value(merge.merge3_text(L(before).cast("string"), L(mine), L(theirs)))
@@ -196,3 +203,57 @@ def test_line_kinds(spark):
              "<div>": "html", "[a](b)": "link", "text": "paragraph", "#tag": "paragraph"}
     df = spark.createDataFrame([(k,) for k in lines], "seg string")
     assert dict(df.select("seg", records.line_kind(F.col("seg"))).collect()) == lines
+
+
+def test_stretches_of_random_edits():
+    """Edits of different words are all kept, whichever side made them."""
+    rng = random.Random(4)
+    for _ in range(300):
+        words = [rng.choice([f"w{k}", f"é😀{k}"]) for k in range(rng.randint(1, 60))]
+        mine, theirs, both = words[:], words[:], words[:]
+        for k in range(0, len(words), 2):  # the words between two edits stay
+            side = rng.randrange(4)
+            if side < 2:
+                new = rng.choice([f"new{k}", f"two new{k}"])
+                (mine if side else theirs)[k] = new
+                both[k] = new
+        b, m, t = " ".join(words), " ".join(mine), " ".join(theirs)
+        assert stretches.merge(b, m, b) == m and stretches.merge(b, b, t) == t
+        assert stretches.merge(b, m, t).split() == " ".join(both).split()
+
+
+def test_alignment_is_a_longest_common_subsequence(monkeypatch):
+    rng = random.Random(5)
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = _next(row, x, b)
+        return row[-1]
+
+    def _next(row, x, b):
+        out = [0]
+        for j, y in enumerate(b):
+            out.append(row[j] + 1 if x == y else max(row[j + 1], out[-1]))
+        return out
+
+    for few, most in ((50_000, 2_000_000), (0, 2_000_000), (0, 20)):
+        monkeypatch.setattr(stretches, "FEW_PAIRS", few)
+        monkeypatch.setattr(stretches, "MOST_PAIRS", most)
+        monkeypatch.setattr(stretches, "MOST_EDITS", 200 if most > 100 else 6)
+        for _ in range(200):
+            a, b = ([rng.choice("abcdefgh") + rng.choice(["", "", str(rng.randrange(9))]) for _ in range(rng.randint(0, 30))] for _ in range(2))
+            got = stretches.align(a, b)
+            assert all(a[i] == b[j] for i, j in got)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
+            assert len(got) == longest(a, b) if most > 100 else len(got) <= longest(a, b)
+
+
+def test_long_texts_merge_in_time():
+    words = [f"w{(k * k) % 977}" for k in range(40_000)]
+    mine, theirs = words[:], words[:]
+    mine[5], mine[-5], theirs[20_000] = "MINE", "END", "THEIRS"
+    merged = stretches.merge(" ".join(words), " ".join(mine), " ".join(theirs)).split()
+    assert [merged[5], merged[-5], merged[20_000], len(merged)] == ["MINE", "END", "THEIRS", 40_000]
+    same = "x " * 30_000
+    assert stretches.merge(same, "a " + same + "b", same[:30_000] + "mid " + same[30_000:]).split().count("x") == 30_000

@@ -75,3 +75,53 @@ def test_models_and_lengths_do_not_meet(spark):
     assert sorted((r["mdl"] or "", r["src"], r["dst"]) for r in got) == [
         ("", 6, 7), ("", 7, 6), ("a", 1, 2), ("a", 2, 1), ("b", 3, 4), ("b", 4, 3)]
     assert similarity.per_model(df.limit(0), similarity.similarity_graph, threshold=0.8).count() == 0
+
+
+def test_neighbours_of_copies(spark):
+    """Ids 1 and 2 have one vector, 3 is near: each is in the others' lists."""
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.9, 0.1]), (4, [-1.0, 0.5]), (5, None)]
+    df = spark.createDataFrame(rows, "tid bigint, vec array<float>")
+    got = similarity.topk_neighbours(similarity.cosine_pairs(df), vectors=df).collect()
+    assert sorted((r["src"], r["dst"], r["rank"]) for r in got) == [
+        (1, 2, 1), (1, 3, 2), (2, 1, 1), (2, 3, 2), (3, 1, 1), (3, 2, 2)]
+    assert {(r["tid"], r["rep"]) for r in similarity.copies_of(df).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4)}
+
+
+@pytest.mark.parametrize("threshold, k", [(0.8, 6), (0.5, 2), (0.99, 40)])
+def test_neighbours_with_copies(vectors, threshold, k):
+    ids, sims = brute(vectors)
+    want = set()
+    for a, src in enumerate(ids):
+        best = sorted((-round(sims[a, b], 9), dst) for b, dst in enumerate(ids)
+                      if a != b and round(sims[a, b], 9) >= threshold)[:k]
+        want |= {(src, dst, rank + 1) for rank, (_, dst) in enumerate(best)}
+    pairs = similarity.cosine_pairs(vectors, threshold - 0.1)
+    got = {(r["src"], r["dst"], r["rank"]) for r in similarity.topk_neighbours(pairs, k, threshold, vectors).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("threshold, plan", [
+    (0.3, similarity.bucket_plan(0.3, 10**8)), (0.8, similarity.bucket_plan(0.8, 10**5)), (0.8, similarity.BucketPlan(6, 1, 5)),
+    (0.3, None)])
+def test_recall_of_the_approximate_form(spark, threshold, plan):
+    """Unclustered vectors, most of whose pairs lie just over the threshold; also with small blocks."""
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((250, 64))
+    spread = 0.7 if threshold > 0.5 else 1.4
+    rows = [(i, [float(x) for x in (base[i % 250] + spread * (i >= 250) * rng.standard_normal(64)).astype(np.float32)]) for i in range(750)]
+    df = spark.createDataFrame(rows, "tid bigint, vec array<float>").repartition(4)
+    ids, sims = brute(df)
+    want = {(ids[a], ids[b]) for a, b in zip(*np.nonzero(sims >= threshold)) if a != b}
+    got = {(r["src"], r["dst"]): r["w"] for r in similarity.cosine_pairs_approx(df, threshold, block_rows=50, plan=plan).collect()}
+    assert len(want) > 400 and set(got) <= want
+    assert len(got) >= (0.9 if plan else 1.0) * len(want)
+    assert all(w == pytest.approx(sims[a, b], abs=1e-9) for (a, b), w in got.items())
+
+
+def test_plans_keep_their_recall():
+    for threshold in (0.0, 0.3, 0.5, 0.8, 0.95):
+        for count in (10, 10**4, 10**6, 10**9):
+            plan = similarity.bucket_plan(threshold, count)
+            assert plan.recall(threshold) >= similarity.RECALL and plan.recall(0.99) >= plan.recall(threshold)
+    assert similarity.bucket_plan(0.8, 10).bits == 0 and similarity.bucket_plan(0.8, 10**7).bits > 8
+    assert similarity.bucket_plan(-0.5, 10**7).bits == 0

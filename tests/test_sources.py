@@ -40,6 +40,24 @@ def test_snapshots(spark, rows):
     assert snapshots.read_snapshot(spark, root).where("sts is null").count() == 0
 
 
+def test_snapshot_passes_its_rows_once(spark, rows):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    root = fresh_path(spark, "test-snap")
+    row = snapshots.write_snapshot(rows.mapInPandas(count, rows.schema), root, datetime(2024, 4, 1)).first()
+    written = snapshots.read_snapshot(spark, root)
+    assert seen.value == 30 and row["row_count"] == 30
+    assert snapshots.content_hash(written).first()["content_hash"] == row["content_hash"]
+    assert row["bytes"] == snapshots.folder_size(spark, row["path"]) > 0
+    none = snapshots.write_snapshot(rows.limit(0), root, datetime(2024, 4, 2)).first()
+    assert (none["row_count"], none["content_hash"]) == (0, 0)
+
+
 def test_backups_and_tables(spark, rows):
     root = fresh_path(spark, "test-backup")
     snapshots.backup_rows(rows, root, "before merge", day(1))

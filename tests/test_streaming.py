@@ -107,6 +107,88 @@ def test_live_query_follows_the_table(spark):
     assert run() == [(2, "b"), (3, "c")]
 
 
+def test_live_query_is_maintained(spark):
+    """The table is read at the start, and when deletions have used up the reserve."""
+    source, target, checkpoint = (fresh_path(spark, n) for n in ("src", "live", "cp"))
+    content, scans = {i: f"hit {i}" if i % 2 else "other" for i in range(1, 41)}, []
+
+    def load():
+        scans.append(1)
+        return spark.createDataFrame(sorted(content.items()), "tid bigint, txt string")
+
+    def search(rows):
+        return rows.where(F.startswith("txt", F.lit("hit"))).select("tid", "txt")
+
+    seq = iter(range(1, 10_000))
+
+    def run(*rows):
+        for op, tid, txt in rows:
+            if op == "DELETE":
+                content.pop(tid, None)
+            else:
+                content[tid] = txt
+        write(spark, source, *[change(next(seq), op, tid, txt) for op, tid, txt in rows])
+        stream = spark.readStream.schema(CHANGES).parquet(source)
+        live.live_query(stream, search, target, checkpoint, load, limit=4, reserve=3).awaitTermination()
+        found = spark.createDataFrame([], "tid bigint, txt string").schema
+        got = state(live.maintained_result(spark, target, found, 4))
+        want = sorted(((i, t) for i, t in content.items() if t.startswith("hit")), reverse=True)[:4]
+        assert got == sorted(want)
+
+    run(("INSERT", 41, "hit 41"))
+    assert len(scans) == 1
+    run(("UPDATE", 39, "no more"), ("INSERT", 50, "hit 50"), ("UPDATE", 50, "hit again"), ("INSERT", 3, "hit old"))
+    run(("DELETE", 50, ""), ("DELETE", 41, ""), ("UPDATE", 38, "hit 38"))
+    run(("INSERT", 60, "other"), ("UPDATE", 36, "hit 36"))
+    assert len(scans) == 1
+    run(*[("DELETE", i, "") for i in (38, 37, 36, 35, 33, 31)])
+    assert len(scans) == 2
+    run(*[("DELETE", i, "") for i in range(1, 41)])
+    run(("INSERT", 5, "hit 5"))
+    run(("DELETE", 5, ""), ("INSERT", 6, "hit 6"))
+    assert len(scans) == 3
+
+
+def test_levels_of_the_change_log(spark, monkeypatch):
+    """Entries fold into levels; a read from a position opens no older files."""
+    monkeypatch.setattr(changes, "FAN", 3)
+    source, root, checkpoint = (fresh_path(spark, n) for n in ("src", "root", "cp"))
+    base, every = table(spark, tag(1, "a", "old"), tag(50, "z", "old")), []
+    for turn in range(10):
+        rows = [change(10 * turn + k, ["INSERT", "UPDATE", "DELETE"][(turn + k) % 3], (turn * k) % 7, f"v{turn}.{k}") for k in range(6)]
+        every += rows
+        write(spark, source, *rows)
+        changes.write_changes(spark.readStream.schema(CHANGES).parquet(source), root, checkpoint).awaitTermination()
+        if turn not in (2, 3, 9):
+            continue
+        whole = spark.createDataFrame(every, CHANGES)
+        assert state(changes.current_table(base, root)) == state(changes.apply_changes(base, whole))
+        entries = changes.log_entries(spark, root)
+        assert len(entries) <= 2 * (1 + max(e["level"] for e in entries))
+    assert max(e["level"] for e in changes.log_entries(spark, root)) == 2
+    for mark in (0, 45, 200):
+        loaded = changes.apply_changes(base, whole.where(F.col("seq") <= mark))
+        assert state(changes.current_table(loaded, root, mark)) == state(changes.apply_changes(base, whole))
+        opened = changes.stored_changes(spark, root, mark).inputFiles()
+        older = [e["path"] for e in changes.log_entries(spark, root) if e["last"] <= mark]
+        assert not any(p.split("/changes/")[1] in f for p in older for f in opened)
+    assert changes.stored_changes(spark, root, 200).inputFiles() == []
+
+
+def test_hand_over_with_overlap(spark):
+    """A base taken at a position, and a log whose batches lie before, across and after it."""
+    root, base = fresh_path(spark, "root"), table(spark, tag(1, "a", "old"), tag(2, "b", "old"))
+    rows = [change(i, ["INSERT", "UPDATE", "DELETE"][i * i % 3], i % 5, f"v{i}") for i in range(60)]
+    for first, last in ((0, 30), (20, 45), (40, 60)):  # the streams overlap
+        source = fresh_path(spark, "src")
+        write(spark, source, *rows[first:last])
+        changes.write_changes(spark.readStream.schema(CHANGES).parquet(source), root, fresh_path(spark, "cp")).awaitTermination()
+    full = state(changes.apply_changes(base, spark.createDataFrame(rows, CHANGES)))
+    for mark in (-1, 10, 25, 42, 59):
+        loaded = changes.apply_changes(base, spark.createDataFrame(rows[:mark + 1], CHANGES)) if mark >= 0 else base
+        assert state(changes.current_table(loaded, root, mark)) == full
+
+
 def test_pull_above_the_mark(spark):
     tags = table(spark, *[tag(i, f"r{i}", dt=DAY0 + timedelta(days=i)) for i in range(5)], tag(9, "n", dt=None))
     mark = live.high_water_mark(tags.where("tid < 3"))

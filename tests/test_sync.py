@@ -127,6 +127,20 @@ def test_bulk_merge(spark):
     assert rows == [(1, "a"), (2, "B"), (3, "c"), (10, "b")]
 
 
+def test_bulk_merge_has_one_owner_per_tid(spark):
+    live = table(spark, tag(1, "a", "live a"), tag(2, "b", "live b"), tag(3, "c", "live c"))
+    incoming = table(spark, tag(1, "x", "new x", dt=day(3)), tag(1, "y", "new y", dt=day(2)),
+                     tag(2, "b", "mine b", dt=day(1)), tag(2, "q", "old q", dt=day(0)), tag(2, "q", "old q", dt=day(0)),
+                     tag(3, "z", dt=None), tag(None, "n", "no key"))
+    rows = sync.bulk_merge(live, incoming, day(150))
+    got = sorted((r["action"], r["tid"] or 0, r["ref"], r["modAt"] == day(150)) for r in rows.collect())
+    assert got == [("displaced", 0, "a", True), ("displaced", 0, "c", True), ("merged", 2, "b", True),
+                   ("placed", 1, "x", True), ("placed", 3, "z", True), ("split", 0, "q", True), ("split", 0, "y", True)]
+    after = sorted((r["tid"], r["ref"]) for r in sync.apply_bulk_merge(live, rows, 9).collect())
+    assert [r for _, r in after[:3]] == ["x", "b", "z"] and {r for _, r in after[3:]} == {"a", "c", "q", "y"}
+    assert len({t for t, _ in after}) == 7
+
+
 class Device:
     """One client and the shared server, for whole rounds."""
 
