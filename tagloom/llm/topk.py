@@ -11,9 +11,12 @@ task has done before, are few; outsiders cannot qualify, and the few get their f
 scores in whole numbers. The best of all tasks are then ranked.
 
 Defined results: vectors that are null, or hold null or non-finite components, and rows
-with a null id take no part; rows that repeat an id count once, with their least vector;
-vectors of different lengths do not meet; equal scores are ranked by the smaller id; an
-empty table has no results; extra columns are not read.
+with a null id take no part; every other row is a candidate of all queries but itself, so
+of rows that repeat an id each counts, and each is a query of its own; vectors of
+different lengths do not meet, and two empty ones score 0; equal scores are ranked by the
+smaller id; scores are exact, and one among the best that 64 bits cannot hold ends the
+job, as does a component whose whole number they cannot hold; an empty table has no
+results; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,44 +35,64 @@ SCALE = 256
 
 
 def whole_numbers(vectors: DataFrame, key: str, vector: str, scale: int = SCALE) -> DataFrame:
-    """id and floor(scale * x) of every component x, of the rows that take part."""
+    """row (a number of its own), id and floor(scale * x) of every component x, of the rows that take part."""
     x = F.col(vector).cast("array<double>")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = vectors.select(F.col(key).cast("long").alias("id"), x.alias("x")).where(
         F.col("id").isNotNull() & F.col("x").isNotNull() & ~bad)
-    whole = rows.select("id", F.transform("x", lambda v: F.floor(v * scale).cast("long")).alias("x"))
-    return whole.groupBy("id").agg(F.min("x").alias("x")).withColumn("width", F.size("x"))
+    fits = lambda v: F.when(F.abs(v * scale) < 2.0 ** 63, F.floor(v * scale).cast("long")).otherwise(
+        F.raise_error(F.lit("a component does not fit 64 bits")).cast("long"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "id", F.transform("x", fits).alias("x"), F.size("x").alias("width"))
 
 
 def _pack(rows: DataFrame, count: int, name: str) -> DataFrame:
-    """A row per block and vector length, with all ids and components."""
+    """A table row per block and vector length, with all row numbers, ids and components."""
     def one(key: tuple, table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
+        numbers, ids = (table.column(c).to_numpy() for c in ("row", "id"))
         x = table.column("x").combine_chunks().flatten().to_numpy()
-        return pa.table({name: [key[0].as_py()], "width": [key[1].as_py()], "ids": [ids.tobytes()], "vectors": [x.tobytes()]},
-                        pa.schema([(name, pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())]))
+        return pa.table(
+            {name: [key[0].as_py()], "width": [key[1].as_py()], "rows": [numbers.tobytes()], "ids": [ids.tobytes()], "vectors": [x.tobytes()]},
+            pa.schema([(name, pa.int32()), ("width", pa.int32()), ("rows", pa.binary()), ("ids", pa.binary()), ("vectors", pa.binary())]))
 
-    block = F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias(name)
-    return rows.select(block, "width", "id", "x").groupBy(name, "width").applyInArrow(
-        one, f"{name} int, width int, ids binary, vectors binary")
+    block = F.pmod(F.xxhash64("row"), F.lit(count)).cast("int").alias(name)
+    return rows.select(block, "width", "row", "id", "x").groupBy(name, "width").applyInArrow(
+        one, f"{name} int, width int, rows binary, ids binary, vectors binary")
+
+
+def largest(vectors: np.ndarray) -> int:
+    return max(int(vectors.max(initial=0)), -int(vectors.min(initial=0)))
+
+
+def products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products in whole numbers, of any size where 64 bits might not do."""
+    if largest(vectors) * largest(query) * max(1, len(query)) < 1 << 63:
+        return vectors @ query
+    return np.array([sum(a * b for a, b in zip(v, query.tolist())) for v in vectors.tolist()], dtype=object)
+
+
+def first_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best, ties to smaller ids."""
+    if scores.dtype != object:
+        return np.lexsort((ids, -scores))[:k]
+    return np.array(sorted(range(len(ids)), key=lambda j: (-scores[j], ids[j]))[:k], dtype=np.int64)
 
 
 class SortedLists:
     """One block's rows, with a sorted list per dimension."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
+        self.rows, self.ids, self.vectors = rows, ids, vectors
         self.rising = np.argsort(vectors, axis=0, kind="stable")
         self.values = np.take_along_axis(vectors, self.rising, axis=0).astype(np.float64)
 
     def best(self, own: int, query: np.ndarray, k: int, bar: float = -math.inf) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows other than ``own`` that reach ``bar``, ties to smaller ids."""
-        others = self.ids != own
+        others = self.rows != own
         keep = others
         if query.any() and others.sum() > 4 * k:
             keep = self._survivors(query.astype(np.float64), others, k, bar)
-        ids, scores = self.ids[keep], self.vectors[keep] @ query
-        first = np.lexsort((ids, -scores))[:k]
+        ids, scores = self.ids[keep], products(self.vectors[keep], query)
+        first = first_of(ids, scores, k)
         return ids[first], scores[first]
 
     def _survivors(self, q: np.ndarray, others: np.ndarray, k: int, bar: float) -> np.ndarray:
@@ -95,27 +118,29 @@ class SortedLists:
 
 def _searched(k: int):
     def run(batches):
-        best: dict[tuple, tuple] = {}  # per query block: its ids, and the best ids and scores so far
+        best: dict[tuple, tuple] = {}  # per query block: its rows and ids, and the best ids and scores so far
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                width = row["width"]
-                block = SortedLists(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.int64).reshape(-1, width))
-                asked = np.frombuffer(row["query_ids"], np.int64)
-                queries = np.frombuffer(row["query_vectors"], np.int64).reshape(-1, width)
+                width, of = row["width"], lambda name: np.frombuffer(row[name], np.int64)
+                block = SortedLists(of("rows"), of("ids"), of("vectors").reshape(len(of("ids")), width))
+                asked, asked_ids = of("query_rows"), of("query_ids")
+                queries = of("query_vectors").reshape(len(asked), width)
                 none = np.zeros(0, np.int64)
-                held = best.setdefault((row["asked"], width), (asked.tolist(), [(none, none)] * len(asked)))[1]
+                held = best.setdefault((row["asked"], width), (asked, asked_ids, [(none, none)] * len(asked)))[2]
                 for j, (own, query) in enumerate(zip(asked.tolist(), queries)):
                     ids, scores = held[j]
                     bar = float(scores[-1]) if len(scores) == k else -math.inf
                     more_ids, more = block.best(own, query, k, bar)
                     ids, scores = np.append(ids, more_ids), np.append(scores, more)
-                    first = np.lexsort((ids, -scores))[:k]
+                    first = first_of(ids, scores, k)
                     held[j] = ids[first], scores[first]
-        for asked, found in best.values():
+        for asked, asked_ids, found in best.values():
             counts = [len(x) for x, _ in found]
-            columns = [np.repeat(asked, counts), *(np.concatenate([x[c] for x in found]) for c in (0, 1))]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["query_id", "vec_id", "score"])
+            columns = [np.repeat(asked, counts), np.repeat(asked_ids, counts), *(np.concatenate([x[c] for x in found]) for c in (0, 1))]
+            # A score beyond 64 bits raises here.
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c.astype(np.int64)) for c in columns], ["query_row", "query_id", "vec_id", "score"])
     return run
 
 
@@ -128,9 +153,9 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id",
     left = through_table(_pack(rows, blocks, "block"), "blocks").withColumn(
         "asked", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     right = through_table(_pack(asked, query_blocks, "asked"), "queries").select(
-        "asked", "width", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"),
+        "asked", "width", F.col("rows").alias("query_rows"), F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     met = left.join(right, ["block", "asked", "width"]).repartition(F.col("block"), F.col("asked"))
-    found = met.mapInArrow(_searched(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = met.mapInArrow(_searched(k), "query_row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

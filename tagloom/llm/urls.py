@@ -8,11 +8,12 @@ its trust is blocked. Seeds are hosts most of whose pages a rule allows or block
 
 Links are addresses with a host in ``href`` or ``src``, with a scheme or without; pages of one host share their edges,
 which are counted before any shuffle. Scores are held per host, in a table per round.
-Rounds go on until the summed change of all scores is at most ``TOLERANCE`` and no further
-host was reached: each round's change is at most ``DAMPING`` of the one before, so about 90
-rounds end the first, whatever the size, and the second lasts as long as the longest shortest
-path from a seed.
-DataFrame functions throughout.
+Rounds go on until no further host is reached and no verdict can change. A round changes
+all scores together by at most ``DAMPING`` times as much as the one before, so what all
+later rounds can still change is known, the slack; a host whose trust and distrust differ
+by more keeps its verdict. Where some differ by less, rounds go on until the slack is below
+``TOLERANCE``, about 190 rounds whatever the size; a host whose scores are equal within it
+is tied. Ties are allowed. DataFrame functions throughout.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule
 and the verdict ``allow``; null pages have no links; repeated rows repeat; hosts without
@@ -23,12 +24,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from ..plans.shared import through_table
+from ..plans.shared import fresh_path, through_table
 
 # Fixed values: (host and path, verdict).
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 DAMPING = 0.85
-TOLERANCE = 1e-6  # summed change of all scores in the last round
+TOLERANCE = 1e-12  # of the scores, which sum to one at most for each kind
+SLOTS = 3  # tables of scores side by side: one is read while the next is written
 SEED_SHARE = 0.5  # of a host's pages that rules must decide one way
 EDGE = r"""(?:href|src)\s*=\s*["']?(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
@@ -66,7 +68,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = DAMPING,
               tolerance: float = TOLERANCE) -> DataFrame:
-    """host, trust, distrust of personalised PageRank, after ``rounds`` or when it has converged.
+    """host, trust, distrust, slack of personalised PageRank, after ``rounds`` or when no verdict can change.
 
     ``seeds``: host, trusted, blocked (0 or more). Each kind's restart sums to one. Trust
     is handed to link targets in proportion to a host's links, distrust to link sources
@@ -84,7 +86,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, dam
         "host", (F.col("trusted") / max(total["t"] or 0, 1)).alias("t0"),
         (F.col("blocked") / max(total["b"] or 0, 1)).alias("b0")).where("t0 > 0 OR b0 > 0"), "restart")
     state = restart.select("host", F.col("t0").alias("trust"), F.col("b0").alias("distrust"))
-    hosts, n = 0, 0
+    hosts, n, slack, place = 0, 0, 2.0 / (1 - damping), fresh_path(edges.sparkSession, "scores")
     while rounds is None or n < rounds:
         n += 1
         moved = state.join(links, "host").select(
@@ -93,18 +95,21 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, dam
         again = restart.select("host", (1 - damping) * F.col("t0"), (1 - damping) * F.col("b0"), zero, zero)
         before = state.select("host", zero, zero, "trust", "distrust")
         sums = moved.union(again).union(before).groupBy("host").agg(*(F.sum(c).alias(c) for c in ("trust", "distrust", "t1", "b1")))
-        told = Observation()
+        told, slack = Observation(), slack * damping
         # Hosts never leave: each round reaches those of the one before.
-        state = through_table(sums.observe(
+        seen = sums.observe(
             told, F.sum(F.abs(F.col("trust") - F.col("t1")) + F.abs(F.col("distrust") - F.col("b1"))).alias("change"),
-            F.count_if(F.col("trust") > 0).alias("t"), F.count_if(F.col("distrust") > 0).alias("b")).select(
-            "host", "trust", "distrust"), "scores")
-        if rounds is None:
-            reached = told.get["t"] + told.get["b"]
-            if (told.get["change"] or 0) <= tolerance and reached == hosts:
-                break
-            hosts = reached
-    return state
+            F.count_if(F.abs(F.col("trust") - F.col("distrust")) <= slack).alias("open"),
+            F.count_if(F.col("trust") > 0).alias("t"), F.count_if(F.col("distrust") > 0).alias("b"))
+        path = f"{place}/{n % SLOTS}"
+        seen.select("host", "trust", "distrust").write.mode("overwrite").parquet(path)
+        state = edges.sparkSession.read.schema("host string, trust double, distrust double").parquet(path)
+        reached = told.get["t"] + told.get["b"]
+        if rounds is None and reached == hosts and (not told.get["open"] or slack <= tolerance):
+            break
+        # All later rounds together change the scores by this much at most.
+        hosts, slack = reached, min(slack, (told.get["change"] or 0) * damping / (1 - damping))
+    return state.withColumn("slack", F.lit(max(slack, tolerance)))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, share: float = SEED_SHARE) -> DataFrame:
@@ -120,7 +125,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, share: float =
         "host", F.when(F.col("good") > share * F.col("pages"), F.col("good")).otherwise(0).alias("trusted"),
         F.when(F.col("bad") > share * F.col("pages"), F.col("bad")).otherwise(0).alias("blocked")), "seeds")
     scores = propagate(host_edges(pages), seeds)
-    bad = scores.where("distrust > trust").select(F.col("host").alias("bad_host"))
+    bad = scores.where("distrust > trust + slack").select(F.col("host").alias("bad_host"))
     return judged.join(bad, F.col("host") == F.col("bad_host"), "left").select(
         "page_id", "host", "path", F.col("found.rule").alias("rule"),
         F.coalesce("found.verdict", F.when(F.col("bad_host").isNotNull(), "block").otherwise("allow")).alias("verdict"))

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from tagloom.llm import catalog, topk, urls
 
@@ -8,16 +9,16 @@ from .plain import DATA
 
 
 def plain_best(rows, every, k):
-    whole = {}
+    whole = []
     for i, v in rows:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        x = [math.floor(256 * y) for y in v]
-        whole[i] = min(whole.get(i, x), x)
+        whole.append((i, [math.floor(256 * y) for y in v]))
     out = []
-    for q in (i for i in whole if i % every == 0):
-        scored = sorted((-sum(a * b for a, b in zip(whole[q], x)), i) for i, x in whole.items() if i != q and len(x) == len(whole[q]))
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
+    for own, (q, x) in enumerate(whole):
+        if q % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(x, y)), i) for n, (i, y) in enumerate(whole) if n != own and len(x) == len(y))
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
 
@@ -31,6 +32,7 @@ def test_topk_against_all_scores(spark, monkeypatch):
     rows += [(1000 + i, [0.5] * 8) for i in range(300)]  # ties
     rows += [(2000, None), (2050, [1.0, None, *[0.0] * 6]), (2100, [math.nan] * 8), (2150, [math.inf] * 8), (None, [1.0] * 8)]
     rows += [(3000, [0.0] * 8), (50, [9.0] * 8), (3, rows[3][1]), (4000, [1.0, 2.0]), (4001, [3.0, -1.0])]
+    rows += [(3, rows[3][1]), (100, rows[100][1]), (100, [2.0] * 8), (5000, []), (5001, []), (5000, [])]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, score string, rank int")
     monkeypatch.setattr(topk, "ROWS", 200)
     monkeypatch.setattr(topk, "QUERIES", 7)
@@ -38,12 +40,23 @@ def test_topk_against_all_scores(spark, monkeypatch):
     assert topk.top_k(df.limit(0), 50, 5).count() == 0
 
 
+def test_scores_of_any_size(spark):
+    """Products beyond 64 bits rank rightly, and end the job only where one is among the best."""
+    big = 2.0 ** 40
+    rows = [(50, [big, 1.0])] + [(i, [-big * i, float(i)]) for i in range(1, 8)] + [(20 + i, [i / 256, 1.0]) for i in range(6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert told(topk.top_k(df, 50, 5)) == plain_best(rows, 50, 5)
+    for bad in ([(50, [big, 1.0]), (1, [big, 1.0])], [(50, [1e30, 1.0]), (1, [1.0, 1.0])]):
+        with pytest.raises(Exception, match="64|too large|long"):
+            topk.top_k(spark.createDataFrame(bad, "vec_id long, embedding array<double>"), 50, 5).collect()
+
+
 def test_lists_stop_early_and_lose_nothing():
     rng = np.random.default_rng(1)
     vectors = rng.integers(-300, 300, (2000, 6))
     vectors[:20] *= 4
     ids = np.arange(2000)
-    block = topk.SortedLists(ids, vectors)
+    block = topk.SortedLists(ids, ids, vectors)
     for q in range(0, 200, 20):
         scores = vectors @ vectors[q]
         scores[q] = -(10**9)
@@ -122,6 +135,66 @@ def test_propagation_ends_when_it_has_converged(spark):
     assert all(np.allclose(got[h], (t[k], b[k]), atol=2e-5) for k, h in enumerate("abc"))
 
 
+def plain_scores(edges, seeds, damping=urls.DAMPING, rounds=400):
+    """Trust and distrust of every host number, by plain sums over the links."""
+    size = 1 + max(max(a, b) for a, b, _ in edges)
+    src, dst, n = (np.array(x) for x in zip(*edges))
+    along, against = n / np.bincount(src, n, size)[src], n / np.bincount(dst, n, size)[dst]
+    t0, b0 = (np.array([seeds.get(h, (0, 0))[k] for h in range(size)], float) for k in (0, 1))
+    t0, b0 = t0 / max(t0.sum(), 1), b0 / max(b0.sum(), 1)
+    t, b = t0, b0
+    for _ in range(rounds):
+        t, b = ((1 - damping) * t0 + damping * np.bincount(dst, along * t[src], size),
+                (1 - damping) * b0 + damping * np.bincount(src, against * b[dst], size))
+    return t, b
+
+
+def test_verdicts_against_plain_sums(spark):
+    """Random links between pages whose rules make some hosts seeds."""
+    rng = np.random.default_rng(9)
+    names = [f"h{k}.com" if k % 9 else (f"bad{k}.net" if k % 2 else f"ok{k}.org") for k in range(60)]
+    links = [(int(a), int(b), 1) for a, b in rng.integers(0, 60, (150, 2)) if a != b]
+    pages = [(k, f"http://{names[k]}/fr/", "".join(f"<a href='//{names[b]}/x'>" for a, b, _ in links if a == k)) for k in range(60)]
+    seeds = {k: (int(names[k].endswith(".org")), int(names[k].endswith(".net"))) for k in range(60)}
+    t, b = plain_scores(links, seeds)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(df).collect()}
+    assert all(abs(x - y) > 1e-9 or x == y for x, y in zip(t, b))
+    for k in range(60):
+        assert got[k] == ("block" if seeds[k][1] or (not seeds[k][0] and b[k] > t[k]) else "allow")
+
+
+def test_ties_are_allowed(spark):
+    """A host midway between a trusted and a blocked one, also on a cycle that never settles."""
+    pages = [(1, "http://ok.org/fr/", "<a href='//mid.com'>"), (2, "http://mid.com/", "<a href='//bad.net'>"), (3, "http://bad.net/", ""),
+             (4, "http://worse.com/", "<a href='//bad.net'><a href='//bad.net/2'>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    scores = {r["host"]: r for r in urls.propagate(
+        spark.createDataFrame([("ok", "mid", 1), ("mid", "bad", 1)], "src string, dst string, n long"),
+        spark.createDataFrame([("ok", 1, 0), ("bad", 0, 1)], "host string, trusted long, blocked long")).collect()}
+    assert abs(scores["mid"]["trust"] - scores["mid"]["distrust"]) <= scores["mid"]["slack"] <= urls.TOLERANCE
+    # With two more links to the blocked host, a third of its distrust reaches the middle.
+    assert {r["page_id"]: r["verdict"] for r in urls.judge(df).collect()} == {1: "allow", 2: "allow", 3: "block", 4: "block"}
+    edges = spark.createDataFrame([("ok", "a", 1), ("a", "b", 1), ("b", "a", 1), ("b", "bad", 1)], "src string, dst string, n long")
+    again = urls.propagate(edges, spark.createDataFrame([("ok", 1, 0), ("bad", 0, 1)], "host string, trusted long, blocked long"), tolerance=1e-4)
+    assert all(r["slack"] <= 1e-4 for r in again.collect())
+
+
+def test_verdicts_do_not_depend_on_size(spark):
+    """A hundred thousand hosts, whose scores are far below any bound on their sum."""
+    rng = np.random.default_rng(2)
+    layer = 20_000
+    links = [(k, int(layer * (k // layer + 1) + rng.integers(layer)), int(rng.integers(1, 4))) for k in range(4 * layer) for _ in range(2)]
+    links = [(a, b, n) for (a, b), n in {(a, b): n for a, b, n in links}.items()]
+    seeds = {k: (1, 0) if k < 300 else (0, 1) for k in [*range(300), *range(5 * layer - 200, 5 * layer)]}
+    t, b = plain_scores(links, seeds, rounds=8)
+    edges = spark.createDataFrame([(f"h{a}", f"h{c}", n) for a, c, n in links], "src string, dst string, n long")
+    given = spark.createDataFrame([(f"h{k}", *x) for k, x in seeds.items()], "host string, trusted long, blocked long")
+    got = {r["host"]: r["distrust"] > r["trust"] + r["slack"] for r in urls.propagate(edges, given).collect()}
+    bad = [k for k in range(len(t)) if b[k] > t[k] + 1e-12]
+    assert len(bad) > 1000 and {f"h{k}" for k in bad} == {h for h, x in got.items() if x}
+
+
 def test_op3_rules_against_plain(spark):
     rules = dict(urls.RULES)
     pages = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
