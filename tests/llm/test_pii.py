@@ -1,11 +1,14 @@
 import hashlib
 import random
+import re
+import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from tagloom.llm import catalog, pii
 
-from .plain import DATA, HARD, hard, personal
+from .plain import DATA, HARD, KINDS, hard, personal
 
 
 def test_base_spans_of_odd_texts(spark):
@@ -31,6 +34,83 @@ def test_contexts_discover_what_the_base_misses(spark):
     assert texts[100] == "tel: <PHONE> end"
 
 
+def plain_added(texts):
+    """doc number -> (kind, start, stop) that patterns add, by the docstring's rules, one by one."""
+    tokens, graph, words = [], {}, Counter()
+    for i, text in enumerate(texts):
+        words.update(re.split(r"\s+", text.lower()))
+        base = [(k.split(":")[0], *map(int, k.split(":")[1:])) for k in personal(text)]
+        for kind, a, b in base:
+            # The text between this match of the kind and the one before it, valid or not.
+            gaps = [m.end() for m in re.finditer(KINDS[kind], text) if m.end() <= a]
+            before = re.search(r"(\S+)\s*$", text[max([0, *gaps]):a][-64:])
+            if before:
+                edge = graph.setdefault((before[1].lower(), kind), {}).setdefault(text[a:b].lower(), [0, 0.0])
+                edge[0], edge[1] = edge[0] + 1, 1.0
+        last = 0
+        for m in re.finditer(r"(?<!\S)[^\s0-9@]*[0-9@]\S*", text):
+            before = re.search(r"(\S+)\s*$", text[last:m.start()][-64:])
+            last = m.end()
+            cut = len(re.match(r"^[^\w(:]*", m[0])[0])
+            value = re.sub(r"^[^\w(:]+|[^\w:]+$", "", m[0])
+            a, b = m.start() + cut, m.start() + cut + len(value)
+            if any(x < b and a < y for _, x, y in base):
+                continue
+            for kind in pii.KINDS:
+                if re.search(pii.SHAPES[kind].replace(r"\p{L}", "A-Za-z"), value):
+                    word = before[1].lower() if before else ""
+                    tokens.append((i, kind, a, b, word))
+                    if word:
+                        graph.setdefault((word, kind), {}).setdefault(value.lower(), [0, 0.0])[0] += 1
+    graph = {p: e for p, e in graph.items() if len(e) >= pii.SEEDS}
+    sure = {}
+    for (_, kind), e in graph.items():
+        for value, (_, seed) in e.items():
+            sure[kind, value] = max(seed, sure.get((kind, value), 0))
+    while True:
+        known = [p for p, e in graph.items() if sum(sure[p[1], v] >= pii.CONFIDENT for v in e) >= pii.SEEDS]
+        c, score = sure, {}
+        for _ in range(pii.ROUNDS):
+            score = {p: min(1.0, sum(c[p[1], v] * n for v, (n, _) in graph[p].items()) / words[p[0]]) for p in known}
+            doubt, seeds = {}, {}
+            for p in known:
+                for v, (_, seed) in graph[p].items():
+                    doubt[p[1], v] = doubt.get((p[1], v), 1.0) * max(1 - score[p], 1e-9)
+                    seeds[p[1], v] = max(seed, seeds.get((p[1], v), 0))
+            c = {k: max(seeds[k], 1 - doubt[k]) for k in doubt}
+        new = {k: max(sure[k], c.get(k, 0)) for k in sure}
+        done = sum(x >= pii.CONFIDENT for x in new.values()) == sum(x >= pii.CONFIDENT for x in sure.values())
+        sure = new
+        if done:
+            return {(i, kind, a, b) for i, kind, a, b, word in tokens if score.get((word, kind), 0) >= pii.CONFIDENT}
+
+
+def test_discovered_identifiers_induce_patterns(spark):
+    """"ring" stands before no seed, only before what "tel:" discovers; what else follows it is found too."""
+    rng = random.Random(8)
+    plain = [f"55500{k:05d}" for k in range(6)]
+    texts = [f"tel: +1 555 {i:03d} 4{i:03d} end" for i in range(100, 140)]
+    texts += [f"tel: {p}, x" for p in plain] + [f"please ring {p} now" for p in plain] + ["ring 7771112222 and ring 7771113333."]
+    texts += ["of +1 555 100 4100 or of 6660001111 of this of that " * 2 + str(k) for k in range(4)]
+    texts += [" ".join(rng.choices(["of", "tel:", "mail", "a@b.com", "12345678", "x", "10.0.0.1", "me@home,"], k=12)) for _ in range(30)]
+    texts += [f"mail u{k}@host.org" for k in range(12)] + ["mail root@localhost"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], pii.KINDS[x["kind"]], x["start"], x["stop"]) for r in pii.find(docs).collect() for x in r["added"]}
+    assert got == plain_added(texts)
+    at = texts.index("ring 7771112222 and ring 7771113333.")
+    assert {(at, "phone", 5, 15), (at, "phone", 25, 35)} <= got
+
+
+def test_many_matches_in_one_text_take_seconds(spark):
+    text = " ".join(f"{k:08d}" for k in range(200_000)) + "; " + " ".join(f"u{k}@b.com" for k in range(20_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.monotonic()
+    found = pii.find(docs).select(F.size("base").alias("n")).first()["n"]
+    clean = pii.redact(docs).first()["text"]
+    assert found == 20_000 and clean.endswith("<EMAIL> <EMAIL>") and clean.count("<EMAIL>") == 20_000
+    assert clean.startswith(text[:1000]) and time.monotonic() - began < 120
+
+
 def test_redaction_of_hard_rows(spark):
     docs = hard(spark)
     clean = pii.redact(docs)
