@@ -34,6 +34,9 @@ BASE = [
 SCHEMA = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, "
           "labels string, score double, detections array<struct<label:string,rule:string,start:int,stop:int>>")
 
+# Names that a number follows for other reasons than a license's version.
+LANGUAGES = ("python", "php")
+
 # Every byte that is not part of a word becomes a space; A-Z become a-z.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
               for c in range(256))
@@ -91,7 +94,10 @@ def _rules() -> list[Rule]:
             tail = version.replace(" ", "-")
             add(f"{family}-{tail}", "title", keyword, rf"{title} {said}{version}", 10, 1.0)
             add(f"{family}-{tail}", "spdx", "spdx", rf"spdx license identifier {family} {version}(?: only| or later)?", 5, 1.0)
-            add(f"{family}-{tail}", "short", family, rf"{family} ?v ?{version}(?: only| or later)?", 20, 0.8)
+            add(f"{family}-{tail}", "of", keyword, rf"version {version} of (?:the )?{title}", 10, 1.0)
+            add(f"{family}-{tail}", "short", family, rf"{family} ?(?:v|version|ver) ?{version}(?: plus| only| or (?:any )?later(?: version)?)?", 20, 0.8)
+            if family not in LANGUAGES:
+                add(f"{family}-{tail}", "bare", family, rf"(?:gnu )?{family} ?{version}(?: plus| only| or (?:any )?later(?: version)?)?", 22, 0.7)
         add(family, "grant", keyword, rf"under (?:the )?(?:terms of (?:the )?)?{title}", 30, 0.9)
         add(family, "title", keyword, title, 40, 0.7)
     # Creative Commons: by terms and version.
@@ -113,6 +119,8 @@ def _rules() -> list[Rule]:
     # Permissive licenses, by title and by the sentences of their texts.
     for label, keyword, patterns in (
         ("mit", "mit", [r"(?:the )?(?:expat|mit) licen[sc]e", r"under (?:the )?(?:terms of (?:the )?)?mit licen[sc]e", r"spdx license identifier mit"]),
+        ("gpl", "or at your option", [r"gnu general public licen[sc]e as published by the free software foundation either version \d of the licen[sc]e or at your option any later version"]),
+        ("apache", "apache", [r"asl 2 0", r"licensed under the apache licen[sc]e", r"apache org licenses licen[sc]e 2 0"]),
         ("mit", "permission is hereby granted", [r"permission is hereby granted free of charge to any person obtaining a copy"]),
         ("isc", "isc", [r"isc licen[sc]e", r"spdx license identifier isc"]),
         ("isc", "permission to use", [r"permission to use copy modify and or distribute this software for any purpose with or without fee"]),
@@ -181,11 +189,16 @@ def detect(folded: bytes) -> list[tuple[int, int, int]]:
 
 def places(folded: bytes) -> list[tuple[int, str]]:
     """(word number, label) of every place where a base phrase stands."""
-    found = []
+    found: list[tuple[int, str]] = []
+    spaces = None
     for phrase, label in BASE:
-        needle, at = f" {phrase} ".encode(), -1
+        needle, at, hits = f" {phrase} ".encode(), -1, []
         while (at := folded.find(needle, at + 1)) >= 0:
-            found.append((folded.count(b" ", 0, at), label))
+            hits.append(at)
+        if hits:
+            if spaces is None:
+                spaces = np.flatnonzero(np.frombuffer(folded, np.uint8) == 32)
+            found += [(n, label) for n in np.searchsorted(spaces, hits).tolist()]
     return found
 
 
