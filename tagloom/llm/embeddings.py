@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordTable, held, map_arrow, mix, ragged, slices, text_of, text_slices
+from .common import WordTable, held, map_arrow, mix, ragged, ship, slices, text_of, text_slices
 
 
 @dataclass(frozen=True)
@@ -77,7 +77,7 @@ class Features:
 
 @dataclass(frozen=True)
 class Training:
-    """``most`` bounds the labelled documents that are fetched to the driver."""
+    """``most`` bounds the labelled documents that the training sees."""
 
     most: int = 4096
     width: int = 16
@@ -124,22 +124,28 @@ def rows_of(features: Features, texts: list[str]) -> Iterator[tuple[np.ndarray,
             yield distinct, np.bincount(place, k).astype(np.float32)
 
 
-def _telling(features: Features, texts: list[str], y: np.ndarray, least: float) -> np.ndarray:
+def _telling(features: Features, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, least: float) -> np.ndarray:
     """Which buckets' share of documents differs between classes by ``least`` standard errors."""
     size = 1 << features.bits
     if least <= 0:
         return np.ones(size, bool)
     n1, n0 = y.sum(), len(y) - y.sum()
     in1, in0 = np.zeros(size), np.zeros(size)
-    for (b, _), label in zip(rows_of(features, texts), y):
+    for (b, _), label in zip(rows, y):
         (in1 if label else in0)[b] += 1
     p = (in1 + in0 + 1) / (len(y) + 2)
     return np.abs(in1 / n1 - in0 / n0) >= least * np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
 
 
 def train(texts: list[str], labels: list[int], features: Features, how: Training = Training()) -> Model:
+    return train_rows(list(rows_of(features, texts)), labels, features, how)
+
+
+def train_rows(found: list[tuple[np.ndarray, np.ndarray]], labels: list[int], features: Features,
+               how: Training = Training()) -> Model:
     """Vectors and softmax by stochastic gradient descent, rows scaled by their past gradients.
 
+    ``found`` are the distinct buckets of each document and their weights; it is emptied.
     Without rows the score is 1/2 everywhere; with one class it is that class's.
     """
     y = np.asarray(labels, np.int64)
@@ -147,10 +153,12 @@ def train(texts: list[str], labels: list[int], features: Features, how: Training
         none = np.zeros(1 << features.bits, np.float32)
         return Model(features, none, none, float((y.mean() * 2 - 1) * 8) if len(y) else 0.0)
     rng = np.random.default_rng(how.seed)
-    telling = _telling(features, texts, y, how.telling)
+    telling = _telling(features, found, y, how.telling)
     mass = np.where(telling, 1, how.rest).astype(np.float32)
     rows = []
-    for b, x in rows_of(features, texts):
+    found.reverse()
+    while found:
+        b, x = found.pop()
         total, own = max(float((x * mass[b]).sum()), 1e-9), telling[b]
         rows.append((b[own], (x[own] / total).astype(np.float32)))
     order = rng.permutation(len(y))
@@ -223,19 +231,42 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, how: Training) -> tuple[list[str], list[int]]:
-    """At most ``how.most`` labelled whole texts, chosen by a hash of the id.
+MODEL = "weights binary, mass binary, bias double"
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str, features: Features, how: Training) -> Model:
+    """A model from at most ``how.most`` labelled documents, chosen by a hash of the id.
 
-    Labels that are null, or whose document is missing, take no part. One label per
-    document (the larger, should there be several).
+    The sample is trained on in one task, which turns texts into features as they come;
+    only the model, whose size ``features`` fixes, reaches the driver. Labels that are
+    null, or whose document is missing, take no part. One label per document (the larger,
+    should there be several).
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max(F.col(label).cast("int")).alias("label"))
     # The ids of the sample fit a broadcast: their number is bounded.
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.most)
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text")
-    found = rows.limit(2 * how.most).select("text", "label").toArrow()
-    return found.column("text").to_pylist(), found.column("label").to_pylist()
+    sample = rows.limit(2 * how.most).select("text", "label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, classes = [], []
+        for batch in batches:
+            for part, texts in text_slices(batch):
+                found += rows_of(features, texts)
+                classes += part.column("label").to_pylist()
+        model = train_rows(found, classes, features, how)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([model.weights.astype(np.float32).tobytes()], pa.binary()),
+             pa.array([model.mass.astype(np.float32).tobytes()], pa.binary()), pa.array([float(model.bias)])],
+            ["weights", "mass", "bias"])
+
+    ship(docs.sparkSession)
+    rows = sample.coalesce(1).mapInArrow(run, MODEL).collect()
+    if not rows:
+        return train_rows([], [], features, how)
+    weights, mass = (np.frombuffer(rows[0][name], np.float32) for name in ("weights", "mass"))
+    return Model(features, weights, mass, rows[0]["bias"])
 
 
 def score_rows(docs: DataFrame, model: Model, into: str, text: str = "text") -> DataFrame:

@@ -24,8 +24,7 @@ def fold_of(count: int, column: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, how: embeddings.Training = TRAINING) -> embeddings.Model:
-    texts, known = embeddings.sample(docs, labels, "quality", how)
-    return embeddings.train(texts, known, FEATURES, how)
+    return embeddings.fit(docs, labels, "quality", FEATURES, how)
 
 
 def classify(docs: DataFrame, labels: DataFrame, how: embeddings.Training = TRAINING,

@@ -24,8 +24,7 @@ def classify(docs: DataFrame, labels: DataFrame, how: embeddings.Training = TRAI
              threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted; learns from rows outside fold 0 of 5 only."""
     held_out = fold_of(5) == 0
-    texts, known = embeddings.sample(docs, labels.where(~held_out), "toxic", how)
-    model = embeddings.train(texts, known, FEATURES, how)
+    model = embeddings.fit(docs, labels.where(~held_out), "toxic", FEATURES, how)
     return embeddings.score(docs, model).select(
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tagloom.llm import catalog, embeddings, quality, toxicity
@@ -49,6 +50,41 @@ def test_scores_do_not_depend_on_neighbours_or_tables():
     assert np.allclose(together, [scorer.score([t])[0] for t in texts])
 
 
+@pytest.mark.parametrize("features", [quality.FEATURES, toxicity.FEATURES])
+def test_scores_against_plain_means_and_softmax(features):
+    """The sum of numbers per bucket against the mean of the features, one by one."""
+    random.seed(3)
+    texts = [" ".join(random.choices(["good", "Good", "bad!", "BAD", "é", "plain", "text", "x"], k=random.randint(0, 40))) for _ in range(60)]
+    model = embeddings.train(texts, [int("bad!" in t) for t in texts], features, embeddings.Training(most=60, batch=8, telling=1.0))
+    got = embeddings.Scorer(model).score(texts)
+    for text, score in zip(texts, got):
+        words, total, count = features.words(text), 0.0, 0.0
+        hashes = []
+        for word in words:
+            own, _, buckets, weights = features.of_words([word])
+            hashes.append(own[0])
+            for bucket, weight in zip(buckets, weights):
+                total += float(model.weights[bucket]) * weight
+                count += float(model.mass[bucket]) * weight
+        if features.pairs:
+            for a, b in zip(hashes, hashes[1:]):
+                bucket = int(features.of_pairs(np.array([a, b], np.uint64))[0])
+                total, count = total + float(model.weights[bucket]), count + float(model.mass[bucket])
+        z = np.array([0, total / max(count, 1e-9) + model.bias])
+        assert score == pytest.approx((np.exp(z) / np.exp(z).sum())[1], abs=1e-5)
+
+
+def test_model_is_the_one_of_the_sample(spark):
+    """Trained in a task, on the chosen rows in order of ids."""
+    rows = [(i, f"text {i % 7} of {'good' if i % 2 else 'BAD!!'} words") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    how = embeddings.Training(most=500, batch=16)
+    model = embeddings.fit(docs, labels, "quality", quality.FEATURES, how)
+    want = embeddings.train([t for _, t in rows], [i % 2 for i, _ in rows], quality.FEATURES, how)
+    assert np.array_equal(model.weights, want.weights) and model.bias == pytest.approx(want.bias)
+
+
 def test_hard_rows_and_missing_labels(spark):
     docs = hard(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
