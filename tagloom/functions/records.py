@@ -69,13 +69,13 @@ def outline(record: Column, depth: int = 4) -> Column:
     return _outline(record, F.try_parse_json(record), F.lit(""), depth)
 
 
-def _is_nested(text: Column, typed: Column) -> Column:
+def is_nested(text: Column, typed: Column) -> Column:
     """The type is looked up only where the text may be that of an object or a list."""
     return F.substring(text, 1, 1).isin("{", "[") & F.substring(
         F.schema_of_variant(typed), 1, 5).isin("OBJEC", "ARRAY")
 
 
-def _entries(text: Column, typed: Column) -> Column:
+def entries(text: Column, typed: Column) -> Column:
     """Members of an object, or items of a list (without key), in written order.
 
     ``text`` keeps the order in which keys are written; ``typed`` tells objects from
@@ -101,13 +101,13 @@ def _outline(text: Column, typed: Column, pad: Column, depth: int) -> Column:
     def line(node: Column, e: Column) -> Column:
         head = F.concat(node["pad"], F.lit("- **"), e["key"], F.lit("**: "))
         below = F.when(e["key"].isNull(), node["pad"]).otherwise(F.concat(node["pad"], F.lit("  ")))
-        return F.when(_is_nested(e["text"], e["typed"]), F.concat(
+        return F.when(is_nested(e["text"], e["typed"]), F.concat(
             F.coalesce(F.concat(head, F.lit("\n")), F.lit("")),
             _outline(e["text"], e["typed"], below, depth - 1),
         )).otherwise(F.concat(
             F.coalesce(head, F.concat(node["pad"], F.lit("- "))), F.coalesce(e["text"], F.lit("null"))))
 
     node = F.struct(text.alias("text"), typed.alias("typed"), pad.alias("pad"))
-    return let(node, lambda n: F.when(_is_nested(F.ltrim(n["text"]), n["typed"]), F.array_join(F.transform(
-        _entries(n["text"], n["typed"]), lambda e: line(n, e)), "\n")
+    return let(node, lambda n: F.when(is_nested(F.ltrim(n["text"]), n["typed"]), F.array_join(F.transform(
+        entries(n["text"], n["typed"]), lambda e: line(n, e)), "\n")
     ).otherwise(F.concat(n["pad"], F.lit("- "), F.coalesce(n["text"], F.lit("null")))))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.records import line_segments, outline, segment_tags
+from ..functions.records import entries, is_nested, line_segments, segment_tags
 from ..plans.ordered import running_sum
+from ..plans.shared import through_table
 
 
 def segment_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -40,6 +41,45 @@ def tag_segments(segments: DataFrame) -> DataFrame:
         F.col("kind"), F.col("seg"), F.col("seq"), F.col("start")))
 
 
-def outline_records(records: DataFrame, column: str = "record", depth: int = 4) -> DataFrame:
-    """Nested JSON records as indented bullet outlines."""
-    return records.withColumn("outline", outline(F.col(column), depth))
+def outline_records(records: DataFrame, column: str = "record", depth: int | None = None) -> DataFrame:
+    """Nested JSON records as indented bullet outlines, keys in the order they are written.
+
+    Goes down one level at a time, as deep as the records really nest: a level is a table of
+    lines with their places, and of what nests below them. ``depth`` shows deeper levels as
+    JSON text. No expression grows with the depth.
+    """
+    rows = through_table(records.withColumn("_row", F.monotonically_increasing_id()), "records")
+    place = F.array().cast("array<int>")
+    root = F.lit(depth != 0) & is_nested(F.ltrim(F.col(column)), F.try_parse_json(column))
+    plain = F.concat(F.lit("- "), F.coalesce(F.col(column), F.lit("null")))
+    top = rows.select("_row", place.alias("place"), F.coalesce(root, F.lit(False)).alias("nested"), F.col(column).alias("text"))
+    lines = rows.where(~F.coalesce(root, F.lit(False))).select("_row", place.alias("place"), plain.alias("line"))
+    todo, level = top.where("nested").select("_row", "place", F.lit("").alias("pad"), "text"), 0
+    while True:
+        level += 1
+        found = through_table(_level_of(todo, depth is None or level < depth), "outline")
+        lines = lines.unionByName(found.where("line IS NOT NULL").select("_row", "place", "line"))
+        todo = found.where("text IS NOT NULL").select("_row", "place", "pad", "text")
+        if todo.isEmpty():
+            break
+    whole = lines.groupBy("_row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct("place", "line"))), lambda x: x["line"]), "\n").alias("outline"))
+    return rows.join(whole, "_row").drop("_row")
+
+
+def _level_of(nodes: DataFrame, deeper: bool) -> DataFrame:
+    """The members of nested nodes: a line each, and for those that nest their text and indent.
+
+    A node without members is an empty line; a list in a list has no line of its own.
+    """
+    members = nodes.select("_row", "place", "pad", F.posexplode_outer(
+        entries(F.col("text"), F.try_parse_json("text"))).alias("at", "e"))
+    nested = F.coalesce(F.lit(deeper) & is_nested(F.col("e.text"), F.col("e.typed")), F.lit(False))
+    head = F.concat("pad", F.lit("- **"), "e.key", F.lit("**: "))
+    text = F.coalesce("e.text", F.lit("null"))
+    line = (F.when(F.col("at").isNull(), F.lit("")).when(nested, head)
+            .otherwise(F.concat(F.coalesce(head, F.concat("pad", F.lit("- "))), text)))
+    return members.select(
+        "_row", F.concat("place", F.array(F.coalesce("at", F.lit(0)))).alias("place"), line.alias("line"),
+        F.when(F.col("e.key").isNull(), F.col("pad")).otherwise(F.concat("pad", F.lit("  "))).alias("pad"),
+        F.when(nested, text).alias("text"))

@@ -1,3 +1,5 @@
+import json
+
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -52,3 +54,42 @@ def test_tags(spark):
         ["#link;link_2", "#ref=link", "#seq=5", "#parent=root", "#val=[a](http://u)", "#meta=url:http://u"],
         ["#code;code_3", "#ref=code", "#seq=19", "#parent=root", "#val=```py", "#meta=lang:py"],
         ["#paragraph;paragraph_4", "#ref=paragraph", "#seq=25", "#parent=root"]]
+
+
+def plain_outline(value, pad=""):
+    if not isinstance(value, (dict, list)):
+        return [pad + "- " + shown(value)]
+    out = []
+    for key, item in value.items() if isinstance(value, dict) else ((None, x) for x in value):
+        if isinstance(item, (dict, list)):
+            out += [] if key is None else [f"{pad}- **{key}**: "]
+            out += plain_outline(item, pad if key is None else pad + "  ")
+        else:
+            out.append(f"{pad}- **{key}**: {shown(item)}" if key is not None else f"{pad}- {shown(item)}")
+    return out or [""]
+
+
+def shown(value):
+    return value if isinstance(value, str) else json.dumps(value)
+
+
+def test_outlines_of_any_depth(spark):
+    deep = "leaf"
+    for k in range(9):
+        deep = {f"k{k}": deep, "n": k} if k % 3 else [deep, k, "x"]
+    records = [
+        {"name": "x", "of": [{"b": 1, "a": "t"}, {"b": 2}], "deep": {"k": {"z": None}}, "s": [1, "two"], "j": "{}"},
+        {"a": {"b": {"c": {"d": {"e": {"f": "six"}}}}}}, deep, {}, [], {"e": {}, "l": []}, [[1, [2, [3]]], {"z": [[4]]}], [{"x": 1}] * 3]
+    rows = [(k % 5, json.dumps(r)) for k, r in enumerate(records)] + [(0, None), (1, "not json"), (2, json.dumps(records[1])), (3, "7")]
+    df = spark.createDataFrame(rows, "id int, record string").repartition(3)
+    got = documents.outline_records(df)
+    assert got.columns == ["id", "record", "outline"]
+    def want(text):
+        try:
+            return "\n".join(plain_outline(json.loads(text)))
+        except (TypeError, ValueError):
+            return f"- {text}" if text is not None else "- null"
+    assert sorted((r["id"], str(r["record"]), r["outline"]) for r in got.collect()) == sorted((i, str(t), want(t)) for i, t in rows)
+    limited = {r["record"]: r["outline"] for r in documents.outline_records(df, depth=2).collect()}
+    assert limited[json.dumps(records[1])] == '- **a**: \n  - **b**: {"c":{"d":{"e":{"f":"six"}}}}'
+    assert documents.outline_records(df.limit(0)).count() == 0
