@@ -57,11 +57,13 @@ def _maintained(batch: DataFrame, batch_id: int, search: Callable[[DataFrame], D
     """
     found = search(batch).schema
     columns, full = found.fieldNames(), _state_schema(found)
-    changed = last_changes(batch).persist()
+    held_rows = [last_changes(batch).persist()]
+    changed = held_rows[0]
     told_all = changed.where("tid IS NULL").isEmpty()
 
     def scanned():
         rows = newest(search(load()).select(*columns), limit + reserve).persist()
+        held_rows.append(rows)
         told = _facts(rows)
         return rows, told["n"] == limit + reserve, told["floor"]
 
@@ -71,6 +73,7 @@ def _maintained(batch: DataFrame, batch_id: int, search: Callable[[DataFrame], D
             hits = hits.where(F.col("tid") >= floor)
         kept = rows.join(changed.select("tid"), "tid", "left_anti").select(*columns)
         rows = newest(kept.unionByName(hits), limit + reserve).persist()
+        held_rows.append(rows)
         return rows, _facts(rows)
 
     held = latest_version(batch.sparkSession, path, full, batch_id)
@@ -90,6 +93,8 @@ def _maintained(batch: DataFrame, batch_id: int, search: Callable[[DataFrame], D
     state = rows.select("*", F.lit(False).alias("_marker"), F.lit(None).cast("boolean").alias("_more"),
                         F.lit(None).cast("long").alias("_floor")).unionByName(marker)
     stored = store_version(state.coalesce(1), path, batch_id, full)
+    for rows in held_rows:
+        rows.unpersist()
     return newest(stored.where("NOT _marker").select(*columns), limit)
 
 
