@@ -8,8 +8,9 @@ answers for ``f ** HASHES`` of the n-grams that the language does not have; each
 corrected for that, and the language with the largest share of the text's n-grams is it.
 
 A language has the n-grams, of two to four characters of a word between boundary marks and
-whole short words, that enough of its documents contain, among at most ``PER_LANGUAGE``
-labelled documents of each language, chosen by a hash of the id. Nothing else is sampled.
+whole short words, that enough of its documents contain, among about ``PER_LANGUAGE``
+labelled documents of each language, or all if it has fewer, chosen by a hash of the id.
+Nothing else is sampled.
 
 Defined results: a null text, or one without a letter, is ``und`` with the score 0, as is
 everything if no document has a label; a text whose n-grams no language has is the first
@@ -27,19 +28,18 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..plans.shared import through_table
 from .common import WordTable, held, map_arrow, ship, text_of, text_slices
 from .quality import fold_of
 
-PER_LANGUAGE = 2000  # labelled documents of a language that its filter is made from, at most
+PER_LANGUAGE = 2000  # labelled documents of a language that its filter is made from, on average where there are more
 HASHES = 3
 SHARE = 0.01  # of a language's documents that have an n-gram, for the filter to hold it
 LEAST = 2  # documents at least
 SHORTEST, LONGEST = 2, 4
 MOST_ROWS = 1 << 22  # of the table; eight for each n-gram of the largest language below that
-BROADCAST = 1 << 20  # ids of the sample that are sent to every task; more are joined as Spark sees fit
 UNKNOWN = "und"
 
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -103,17 +103,17 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, share: float = SHAR
     rows they set reach the driver as bitmaps of the table, whose size is bounded.
     """
     spark = docs.sparkSession
-    rows = docs.where("lang IS NOT NULL").select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    chosen = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
-    counts = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    lang = F.col("lang").cast("string")
+    known = docs.where("lang IS NOT NULL").select("doc_id", lang.alias("lang"), text_of().alias("text"))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return Filters([], np.zeros((1, 1), np.uint8))
     number = {x: k for k, x in enumerate(languages)}
-    ids = chosen.select("doc_id").distinct()
-    if sum(counts.values()) <= BROADCAST:
-        ids = F.broadcast(ids)
+    # A share of each language by the hash of the id: no rows are ranked, joined or shuffled.
+    share_of = F.element_at(F.create_map(*(F.lit(v) for x in languages for v in (x, min(1 << 30, (per_language << 30) // counts[x])))), F.col("lang"))
+    chosen = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < share_of)
+    sizes = {x: min(n, per_language) for x, n in counts.items()}
 
     def count(batches):
         found: Counter = Counter()
@@ -134,10 +134,8 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, share: float = SHAR
             [pa.array(langs, pa.int32()), pa.array(grams, pa.int64()), pa.array(list(found.values()), pa.int64())], ["lang", "gram", "n"])
 
     ship(spark)
-    texts = docs.where("lang IS NOT NULL").select("doc_id", F.col("lang").cast("string").alias("lang"), text_of().alias("text"))
-    texts = texts.join(ids, texts.doc_id.eqNullSafe(ids.doc_id), "left_semi").select("lang", "text")
-    grams = texts.mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    least = F.element_at(F.array(*(F.lit(max(LEAST, share * counts[x])) for x in languages)), F.col("lang") + 1)
+    grams = chosen.select("lang", "text").mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    least = F.element_at(F.array(*(F.lit(max(LEAST, share * sizes[x])) for x in languages)), F.col("lang") + 1)
     kept = through_table(grams.where(F.col("n") >= least).select("lang", "gram"), "grams")
     largest = kept.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
     size = 1 << 15
