@@ -1,5 +1,10 @@
+import math
 import random
 import re
+import time
+from collections import Counter
+
+import numpy as np
 
 from tagloom.llm import catalog, decontaminate, licenses
 
@@ -37,6 +42,18 @@ def test_rules_priority_and_containment():
     assert labels("a text about a limited licence to kill, apache dances and mozilla") == set()
 
 
+def test_versions_before_names_and_bare_names():
+    assert labels("GPL-2.0-or-later") >= {"gpl-2-0"} and labels("version 2 of the GNU General Public License") >= {"gpl-2"}
+    assert labels("Apache 2.0") >= {"apache-2-0"} and labels("python 2 and php 3") == set()
+
+
+def test_many_phrases_in_one_text_take_seconds(spark):
+    began = time.monotonic()
+    docs = spark.createDataFrame([(1, "mit license " * 200_000)], "doc_id long, text string")
+    row = licenses.scan_licenses(docs).select("n_words", "n_base", "first_word", "last_word").first()
+    assert tuple(row) == (400_000, 200_000, 0, 399_998) and time.monotonic() - began < 60
+
+
 def test_license_scan_of_hard_rows(spark):
     rows = licenses.scan_licenses(hard(spark)).collect()
     assert len(rows) == len(HARD)
@@ -133,6 +150,85 @@ def test_common_words_among_rare_ones_are_found(spark):
     assert found == {(10**6, 0), (10**6, 1), (10**6 + 1, 1)}
 
 
+def paraphrases(seed=6):
+    """Documents of topics whose words are used alike, items, and copies with all rare words replaced."""
+    rng = random.Random(seed)
+    topics = [[f"t{k}w{j}" for j in range(150)] for k in range(20)]
+    common = [f"c{k}" for k in range(40)]
+
+    def mixed(of, n):
+        return [w for _ in range(n) for w in (rng.choice(common), rng.choice(topics[rng.choice(of)]))]
+
+    rows = [" ".join(mixed(rng.sample(range(20), 2), 60)) for _ in range(2500)]
+    items, leaks = [], []
+    for k in range(60):
+        of = rng.sample(range(20), 2)
+        body, answer = mixed(of, 12), rng.sample(common, 4)
+        topic = {w: t for t in topics for w in t}
+        other = [rng.choice([x for x in topic[w] if x != w]) if w in topic else w for w in body]
+        items.append((k, " ".join(body) + ". " + " ".join(answer)))
+        leaks.append((10_000 + k, " ".join(mixed(of, 20)) + " " + " ".join(other + answer) + " " + " ".join(mixed(of, 20))))
+    return list(enumerate(rows)) + leaks, items
+
+
+def test_paraphrases_in_other_words_are_found(spark, monkeypatch):
+    """Half of an item's words, the common ones, and its answer; every rare word is another of its topic."""
+    rows, items = paraphrases()
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(10_000 + k, k) for k, _ in items}
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert len(want & got) >= 0.9 * len(want)
+    monkeypatch.setattr(decontaminate, "LATENT", 2.0)
+    exact = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert len(want & exact) < 0.5 * len(want) and exact <= got
+
+
+def test_exact_search_against_all_pairs(monkeypatch):
+    """Every passage of a document against every passage of an item, by plain sums."""
+    rng = random.Random(12)
+    words = [f"w{min(int(rng.expovariate(0.02)), 400)}" for _ in range(6000)]
+    texts = [" ".join(rng.choices(words, k=rng.choice([0, 1, 5, 17, 33, 70, 200]))) for _ in range(60)]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([3, 12, 17, 18, 40])))) for i in range(30)]
+    idf = np.linspace(0.2, 6, decontaminate.BUCKETS).astype(np.float32)
+    rng.shuffle(words)
+    corpus = decontaminate.Corpus(idf, np.zeros((decontaminate.LATENT_WORDS, 4), np.float32))
+    searcher = decontaminate.Searcher(decontaminate.prepare(corpus, [(i, decontaminate.words_of(t), t) for i, t in items]))
+    seen = []
+    monkeypatch.setattr(searcher, "_verify", lambda words, i, places, found: seen.append((b" ".join(words), i, places)))
+    searcher.search(texts)
+    weight = lambda w: float(idf[decontaminate.buckets_of([w])[0]])
+    want = []
+    for text in texts:
+        split = decontaminate.words_of(text)
+        for i, (_, item) in enumerate(items):
+            places = {}
+            for start in range(0, max(1, len(split) - 16) if split else 0, 16):
+                window = Counter(split[start:start + 32])
+                heavy = math.sqrt(sum((n * weight(w)) ** 2 for w, n in window.items()))
+                for piece in decontaminate.pieces_of(decontaminate.words_of(item)):
+                    own = Counter(piece)
+                    norm = math.sqrt(sum((n * weight(w)) ** 2 for w, n in own.items()))
+                    product = sum(min(n, window[w]) * n * weight(w) ** 2 for w, n in own.items()) / norm
+                    if product >= decontaminate.CANDIDATE * min(heavy, norm):
+                        places[start] = max(places.get(start, 0), product / heavy)
+            if places:
+                want.append((b" ".join(split), i, places))
+    key = lambda x: (x[0], x[1])
+    assert [key(x) for x in sorted(seen, key=key)] == [key(x) for x in sorted(want, key=key)] and len(want) > 100
+    for a, b in zip(sorted(seen, key=key), sorted(want, key=key)):
+        assert a[2].keys() == b[2].keys() and all(abs(a[2][k] - b[2][k]) < 1e-5 for k in b[2])
+
+
+def test_items_that_share_an_id_are_all_searched(spark):
+    one, two = (" ".join(f"{x}{k}" for k in range(20)) for x in "ab")
+    docs = spark.createDataFrame([(1, f"x {one} y"), (2, f"x {two} y"), (3, "x y")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, one), (7, two), (7, one)], "item_id long, text string")
+    for size in (512, 2):
+        got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench, size).collect())
+        assert got == [(1, 7), (2, 7)]
+    assert [r["doc_id"] for r in decontaminate.drop_leaking(docs, bench).collect()] == [3]
+
+
 def test_op5_finds_every_passage(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
