@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.search import dirty_rows
 from ..operators.sync import (
@@ -12,12 +13,41 @@ from ..operators.sync import (
     occ_relevant, renumber_moved, require_unique, sync_reconcile, with_prev_dt,
 )
 from ..schema import TAG_COLUMNS
-from .shared import through_table
+from .shared import latest_version, store_version, through_table
 
 # Fixed value: rounds tried before giving up.
 MAX_ROUNDS = 5
 
 
+@dataclass(frozen=True)
+class Facts:
+    """What a round must know of the whole server table; its unique keys are checked once."""
+
+    dt: datetime | None
+    tid: int | None
+
+
+FACTS = T.StructType([T.StructField("dt", T.TimestampType()), T.StructField("tid", T.LongType())])
+
+
+def facts_of(base: DataFrame, check_keys: bool = True) -> Facts:
+    """Maxima of a table, by a scan; with ``check_keys`` its (type, ref) must be unique."""
+    if check_keys:
+        require_unique(base, "server table")
+    return Facts(*base.agg(F.max("dt"), F.max("tid")).first())
+
+
+def write_facts(spark: SparkSession, path: str, version: int, facts: Facts) -> None:
+    """Keep the facts of a version of the table beside it."""
+    store_version(spark.createDataFrame([(facts.dt, facts.tid)], FACTS).coalesce(1), path, version, FACTS)
+
+
+def read_facts(spark: SparkSession, path: str) -> Facts | None:
+    """The newest version's facts, None where none are kept."""
+    held = latest_version(spark, path, FACTS)
+    return None if held is None else Facts(*held.first())
+
+
 @dataclass
 class Round:
     base: DataFrame
@@ -26,6 +56,7 @@ class Round:
     dirty: int
     accepted: int
     downloaded: int
+    facts: Facts
 
     @property
     def settled(self) -> bool:
@@ -33,11 +64,13 @@ class Round:
 
 
 def sync_once(base: DataFrame, local: DataFrame, now, parts: int | None = None,
-              check_keys: bool = True) -> Round:
+              check_keys: bool = True, facts: Facts | None = None) -> Round:
     """One round: classify, accept on the server, clean what was accepted, reconcile.
 
     Both sides keep one owner for each ``tid``. ``check_keys`` asserts that (type, ref) is
-    unique on either side, which the rules rest on.
+    unique on either side, which the rules rest on. ``facts`` are those of ``base``, as the
+    round before or ``read_facts`` gives them; a round keeps keys unique and knows the new
+    maxima from what it stores, so with them no scan of the server table looks for either.
 
     What the round changes is written as tables of its own size: categories, accepted
     rows, put rows and renumbered rows. The next base and local table are the old ones
@@ -45,14 +78,13 @@ def sync_once(base: DataFrame, local: DataFrame, now, parts: int | None = None,
     come to the driver are counts and maxima.
     """
     mods = dirty_rows(local)
+    server = facts or facts_of(base, check_keys)
     if check_keys:
-        require_unique(base, "server table")
         require_unique(mods, "dirty rows")
     marks = local.agg(F.max("dt").alias("dt"), F.max("tid").alias("tid")).first()
-    server = base.agg(F.max("dt").alias("dt"), F.max("tid").alias("tid")).first()
     classified = through_table(occ_classify(
         occ_relevant(base, mods, marks["dt"]), mods, marks["dt"],
-        newest=F.lit(server["dt"]).cast("timestamp"),
+        newest=F.lit(server.dt).cast("timestamp"),
     ).where("category <> 'unchanged'"), "classified")
     accepted = classified.where(F.col("category").isin(*ACCEPTED)).select("mod.*")
     incoming = classified.where(F.col("category").isin(*SENT_BACK)).select("base.*")
@@ -62,7 +94,7 @@ def sync_once(base: DataFrame, local: DataFrame, now, parts: int | None = None,
         F.count_if(F.col("category").isin(*SENT_BACK)).alias("downloaded")).first()
 
     next_base, cleaned = base, local
-    top = max(marks["tid"] or 0, server["tid"] or 0)
+    top = max(marks["tid"] or 0, server.tid or 0)
     if sizes["accepted"]:
         stored = through_table(
             free_tids(accepted, base, top, parts).withColumn("rec", with_prev_dt(F.col("rec"), F.col("dt")))
@@ -72,7 +104,9 @@ def sync_once(base: DataFrame, local: DataFrame, now, parts: int | None = None,
         next_base = base.join(stored.select(*KEY), KEY, "left_anti").select(
             *TAG_COLUMNS).unionByName(stored)
         cleaned = ack_clean(local, stored, now)
-        top = max(top, stored.agg(F.max("tid").alias("tid")).first()["tid"] or 0)
+        new = Facts(*stored.agg(F.max("dt"), F.max("tid")).first())
+        top = max(top, new.tid or 0)
+        server = Facts(*(max((x for x in pair if x is not None), default=None) for pair in ((server.dt, new.dt), (server.tid, new.tid))))
     if sizes["downloaded"]:
         puts = through_table(sync_reconcile(cleaned, incoming, now), "puts")
         renumbered = through_table(renumber_moved(puts, incoming, top, parts), "renumbered")
@@ -85,11 +119,12 @@ def sync_once(base: DataFrame, local: DataFrame, now, parts: int | None = None,
     return Round(
         base=next_base, local=next_local, audit=audit_rows(incoming, cleaned, puts, now),
         dirty=sizes["dirty"], accepted=sizes["accepted"], downloaded=sizes["downloaded"],
+        facts=server,
     )
 
 
 def sync_until_settled(base: DataFrame, local: DataFrame, times: list, parts: int | None = None,
-                       most: int = MAX_ROUNDS, must_settle: bool = False) -> tuple[DataFrame, DataFrame, list[Round]]:
+                       most: int = MAX_ROUNDS, must_settle: bool = False, facts: Facts | None = None) -> tuple[DataFrame, DataFrame, list[Round]]:
     """Rounds until nothing moves; ``times`` are the rounds' clocks, at most ``most`` of them.
 
     ``rounds[-1].settled`` tells whether the tables have settled; with ``must_settle``
@@ -99,9 +134,9 @@ def sync_until_settled(base: DataFrame, local: DataFrame, times: list, parts: in
         raise ValueError(f"{len(times)} clocks for at most {most} rounds")
     rounds: list[Round] = []
     for now in times:
-        done = sync_once(base, local, now, parts, check_keys=not rounds)
+        done = sync_once(base, local, now, parts, check_keys=not rounds, facts=facts)
         rounds.append(done)
-        base, local = done.base, done.local
+        base, local, facts = done.base, done.local, done.facts
         if done.settled:
             break
     if must_settle and not (rounds and rounds[-1].settled):
@@ -109,4 +144,4 @@ def sync_until_settled(base: DataFrame, local: DataFrame, times: list, parts: in
     return through_table(base, "base"), through_table(local, "local"), rounds
 
 
-__all__ = ["MAX_ROUNDS", "Round", "sync_once", "sync_until_settled"]
+__all__ = ["Facts", "MAX_ROUNDS", "Round", "facts_of", "read_facts", "sync_once", "sync_until_settled", "write_facts"]

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from helpers import by, day, table, tag
 from tagloom.catalog import views
 from tagloom.operators import search, sync
+from tagloom.plans import sync_round
+from tagloom.plans.shared import fresh_path
 from tagloom.plans.sync_round import sync_once, sync_until_settled
 
 SF = "/root/testdata/sf0.01"
@@ -305,3 +307,25 @@ def test_records_that_are_not_json_stay_readable(spark):
     df = spark.createDataFrame([("nope", '{"a":1}'), ('{"a":1}', "nope"), ("no", "nope"), (None, "nope")], "t string, s string")
     got = [r["m"] for r in df.select(rec_merge(F.col("t"), F.col("s")).alias("m")).collect()]
     assert got == ['{"a":1}', '{"a":1}', "no", "{}"]
+
+
+def test_rounds_with_kept_facts_look_for_no_keys(spark, monkeypatch):
+    """The same rounds, from facts that are kept with the table; the server's keys are not checked again."""
+    base = table(spark, *[tag(i, f"r{i}", dt=day(i)) for i in range(8)])
+    local = table(spark, tag(1, "r1", "mine", day(1), dirty=True), tag(5, "other", "new", None, dirty=True), tag(7, "r7", dt=day(7)))
+    facts = sync_round.facts_of(base)
+    assert (facts.dt, facts.tid) == (day(7), 7)
+    path = fresh_path(spark, "facts")
+    assert sync_round.read_facts(spark, path) is None
+    plain = sync_until_settled(base, local, CLOCKS[:2])
+    checked = []
+    monkeypatch.setattr(sync_round, "require_unique", lambda df, what: checked.append(what))
+    sync_round.write_facts(spark, path, 1, facts)
+    kept = sync_until_settled(base, local, CLOCKS[:2], facts=sync_round.read_facts(spark, path))
+    assert checked == ["dirty rows"]
+    for a, b in zip(plain[:2], kept[:2]):
+        assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+    last = kept[2][-1].facts
+    assert last == sync_round.facts_of(kept[0], check_keys=False)
+    sync_round.write_facts(spark, path, 2, last)
+    assert sync_round.read_facts(spark, path) == last
