@@ -96,11 +96,32 @@ def link_line(line: Column) -> Column:
         F.regexp_extract(line, LINK_LINE, 1).alias("title"), ref.alias("ref")))
 
 
+# Entities that are decoded by name; the ampersand last, so that nothing is decoded twice.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")]
+NUMBERED = r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def unescape_html(text: Column) -> Column:
+    """Entities by number and the common ones by name as the characters they stand for."""
+    def character(n: Column) -> Column:
+        code = F.when(F.lower(F.substring(n, 1, 1)) == "x", F.conv(F.substring(n, 2, 6), 16, 10)).otherwise(n).cast("int")
+        known = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+
+    parts = F.zip_with(F.split(text, NUMBERED, -1), F.regexp_extract_all(text, F.lit(NUMBERED), F.lit(1)),
+                       lambda gap, n: F.when(n.isNull(), gap).otherwise(F.concat(gap, character(n))))
+    out = F.when(F.contains(text, F.lit("&#")), F.array_join(parts, "")).otherwise(text)
+    for entity, raw in ENTITIES:
+        out = F.replace(out, F.lit(entity), F.lit(raw))
+    return out
+
+
 def extract_links(html: Column) -> Column:
-    """Anchor targets, then plain addresses in the text, each once, in order."""
-    hrefs = F.regexp_extract_all(
-        html, F.lit(r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*["']([^"'>]*)["']"""), F.lit(1))
-    text = F.replace(F.regexp_replace(html, "<[^>]+>", " "), F.lit("&amp;"), F.lit("&"))
+    """Anchor targets, quoted or not, then plain addresses in the text, each once, in order."""
+    hrefs = F.transform(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)), lambda x: unescape_html(
+        F.regexp_replace(x, r"""^["']|["']$""", "")))
+    text = unescape_html(F.regexp_replace(html, "<[^>]+>", " "))
     return F.array_distinct(F.concat(hrefs, F.regexp_extract_all(text, F.lit(PLAIN_URL), F.lit(1))))
 
 

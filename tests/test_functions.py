@@ -257,3 +257,13 @@ def test_long_texts_merge_in_time():
     assert [merged[5], merged[-5], merged[20_000], len(merged)] == ["MINE", "END", "THEIRS", 40_000]
     same = "x " * 30_000
     assert stretches.merge(same, "a " + same + "b", same[:30_000] + "mid " + same[30_000:]).split().count("x") == 30_000
+
+
+def test_links_in_the_forms_that_browsers_accept(value):
+    html = """<a href=plain.html>1</a> <A class=x HREF = 'single.html?a=1&amp;b=2' >2</A> <a\nhref="two words.html">3</a>
+              <a href=/x/y>4</a> <a data-href=no.html href="&#x2F;num&#47;&#233;">5</a> <a href="">6</a> <a name=x>7</a>
+              <p>see https://a.b/c?d=1&amp;e=&#50;&lt; and &amp;#50; </p><a href="plain.html">again</a>"""
+    got = value(text.extract_links(L(html)))
+    assert got == ["plain.html", "single.html?a=1&b=2", "two words.html", "/x/y", "/num/é", "", "https://a.b/c?d=1&e=2<"]
+    assert value(text.unescape_html(L("&amp;lt; &#128512;&#xD800;&#0; &nope; &#9999999;"))) == "&lt; 😀\ufffd\ufffd &nope; \ufffd"
+    assert value(text.unescape_html(L(None).cast("string"))) is None
