@@ -91,7 +91,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, dam
         n += 1
         moved = state.join(links, "host").select(
             F.col("to").alias("host"), (damping * F.col("trust") * F.col("along")).alias("trust"),
-            (damping * F.col("distrust") * F.col("against")).alias("distrust"), zero.alias("t1"), zero.alias("b1"))
+            (damping * F.col("distrust") * F.col("against")).alias("distrust"), zero.alias("t1"), zero.alias("b1")).where("trust > 0 OR distrust > 0")
         again = restart.select("host", (1 - damping) * F.col("t0"), (1 - damping) * F.col("b0"), zero, zero)
         before = state.select("host", zero, zero, "trust", "distrust")
         sums = moved.union(again).union(before).groupBy("host").agg(*(F.sum(c).alias(c) for c in ("trust", "distrust", "t1", "b1")))
@@ -99,7 +99,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, dam
         # Hosts never leave: each round reaches those of the one before.
         seen = sums.observe(
             told, F.sum(F.abs(F.col("trust") - F.col("t1")) + F.abs(F.col("distrust") - F.col("b1"))).alias("change"),
-            F.count_if(F.abs(F.col("trust") - F.col("distrust")) <= slack).alias("open"),
+            F.count_if((F.abs(F.col("trust") - F.col("distrust")) <= slack) & (F.col("trust") + F.col("distrust") > 0)).alias("open"),
             F.count_if(F.col("trust") > 0).alias("t"), F.count_if(F.col("distrust") > 0).alias("b"))
         path = f"{place}/{n % SLOTS}"
         seen.select("host", "trust", "distrust").write.mode("overwrite").parquet(path)
