@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.records import entries, is_nested, line_segments, segment_tags
+from ..functions.records import entries, is_nested, line_segments, outline, segment_tags
 from ..plans.ordered import running_sum
 from ..plans.shared import through_table
 
@@ -41,13 +41,27 @@ def tag_segments(segments: DataFrame) -> DataFrame:
         F.col("kind"), F.col("seg"), F.col("seq"), F.col("start")))
 
 
+# Brackets up to which a record's outline is one expression.
+SHALLOW = 4
+
+
 def outline_records(records: DataFrame, column: str = "record", depth: int | None = None) -> DataFrame:
     """Nested JSON records as indented bullet outlines, keys in the order they are written.
 
-    Goes down one level at a time, as deep as the records really nest: a level is a table of
+    A record with few brackets cannot nest deep and is one expression of fixed size. The
+    others go down one level at a time, as deep as they really nest: a level is a table of
     lines with their places, and of what nests below them. ``depth`` shows deeper levels as
     JSON text. No expression grows with the depth.
     """
+    if depth is None:
+        brackets = F.length(column) - F.length(F.translate(column, "{[", ""))
+        deep = F.coalesce(brackets > SHALLOW, F.lit(False))
+        return records.where(~deep).withColumn("outline", outline(F.col(column), SHALLOW)).unionByName(
+            _level_by_level(records.where(deep), column, None))
+    return _level_by_level(records, column, depth)
+
+
+def _level_by_level(records: DataFrame, column: str, depth: int | None) -> DataFrame:
     rows = through_table(records.withColumn("_row", F.monotonically_increasing_id()), "records")
     place = F.array().cast("array<int>")
     root = F.lit(depth != 0) & is_nested(F.ltrim(F.col(column)), F.try_parse_json(column))
