@@ -244,8 +244,12 @@ def trie(conversations: DataFrame, most_cells: int = CELLS) -> DataFrame:
     parents = nodes.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("conv_id").alias("up"))
 
     def with_parent(rows: DataFrame) -> DataFrame:
-        """The parent's speaker as ``up``; the root's is known, so that it is no hot key."""
-        deep = rows.where("depth > 1").join(parents, ["pa", "pb"], "left")
+        """The parent's speaker as ``up``; the root's is known, so that it is no hot key.
+
+        A single prefix that the sketch could not prove single may have a parent that it did: then
+        the parent is no node of ``parents``, and its one conversation is the prefix's own.
+        """
+        deep = rows.where("depth > 1").join(parents, ["pa", "pb"], "left").withColumn("up", F.coalesce("up", "conv_id"))
         return deep.unionByName(rows.where("depth = 1").withColumn("up", F.lit(top["least"])))
 
     ends = _digests_of_ends(shared.where("last").select("a", "b", "conv_id").unionByName(

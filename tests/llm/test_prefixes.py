@@ -79,6 +79,15 @@ def test_trie_against_plain(spark, monkeypatch, cells, chunk):
     assert got(prefixes.trie(df, cells)) == plain(rows)
 
 
+def test_sketch_that_proves_a_parent_single_but_not_its_child(spark, monkeypatch):
+    """Long conversations of their own turns, with a cell or two a prefix."""
+    monkeypatch.setattr(prefixes, "BLOCK", 16)
+    rng = random.Random(9)
+    rows = [(c, t, "user", f"own {rng.randrange(10**9)}" if t > 1 else f"shared {rng.randrange(2)}") for c in range(1, 31) for t in range(9)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert got(prefixes.trie(df, 256)) == plain(rows)
+
+
 def test_estimates_are_never_too_low(spark):
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 1 << 60, (2, 4000))
