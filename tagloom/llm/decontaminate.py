@@ -4,9 +4,9 @@ Items and documents are cut into passages, each a TF-IDF vector; document freque
 counted over all documents, by hashed words, in one pass. Candidates come from two cosine
 searches over all passages of all documents:
 
-- in a latent space: a randomised SVD of passages of the items and of a bounded sample of
-  documents, whose products with the matrix are summed up over Spark's partitions, keeps
-  ``RANK`` directions, in which words that are used alike lie close, so that a paraphrase in
+- in a latent space: a randomised SVD of the passages of all items and of all documents,
+  whose products with the matrix are summed up over Spark's partitions, keeps ``RANK``
+  directions, in which words that are used alike lie close, so that a paraphrase in
   other words stays near its item. Passages are folded in, and those whose cosine with an
   item's passage reaches ``LATENT`` are candidates;
 - of the vectors themselves, exactly: a passage whose cosine with an item's passage reaches
@@ -56,8 +56,7 @@ SHORT = 8
 MARKS = 8  # numbers of 64 bits that mark a passage's words
 BUCKETS = 1 << 18  # hashed words whose documents are counted
 LATENT_WORDS, RANK = 1 << 14, 24  # hashed words of the latent space, and its directions
-SAMPLE = 4096  # documents that the latent space is fitted on, on average, with two passages each
-PARTS = 8  # partitions of the fitted passages
+PARTS = 16  # blocks of terms in which a product with the passages is summed up
 
 _BREAK = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -176,62 +175,134 @@ class Items:
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents that have a word of each bucket, and documents, over the whole table."""
+HASHED = "codes array<int>, sizes array<int>, bucket array<int>, n array<long>"
+
+
+def hashed_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """All passages of all documents and items, and how many documents have a word of each bucket.
+
+    Rows hold passages one after another: ``sizes`` distinct words of each, ``codes`` their
+    buckets and, above these bits, how often each stands. A document's passages are ``WINDOW``
+    words each and follow one another; items are cut as by ``pieces_of``. The last row of a task
+    has its counts (``bucket``, ``n``) instead, those of bucket -1 being of documents.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, rows = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            for _, texts in text_slices(batch):
-                words, many = split_words(texts), len(texts)
-                both = np.unique(np.repeat(np.arange(many), words.sizes) * BUCKETS + buckets(words.hashes))
-                counts += np.bincount(both & (BUCKETS - 1), minlength=BUCKETS)
-                rows += many
+            for part, texts in text_slices(batch):
+                words, item = split_words(texts), part.column("item").to_numpy(zero_copy_only=False).astype(bool)
+                n = words.sizes
+                many = np.where(item, -(-n // PIECE), -(-n // WINDOW))
+                of = np.repeat(np.arange(len(n)), n)
+                place = np.arange(len(of)) - (np.cumsum(n) - n)[of]
+                own = np.where(item[of], ((place + 1) * many[of] - 1) // np.maximum(n[of], 1), place // WINDOW)
+                passage = (np.cumsum(many) - many)[of] + own
+                both, times = np.unique(passage * BUCKETS + buckets(words.hashes), return_counts=True)
+                passage, bucket = both // BUCKETS, both & (BUCKETS - 1)
+                of = np.repeat(np.arange(len(n)), many)[passage]
+                had = np.unique((of * BUCKETS + bucket)[~item[of]])
+                counts += np.bincount(had & (BUCKETS - 1), minlength=BUCKETS)
+                rows += int((~item).sum())
+                if len(both):
+                    yield told(bucket | times * BUCKETS, np.bincount(passage), None, None)
         some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(counts[some], rows), pa.int64())], ["bucket", "n"])
+        yield told(None, None, np.append(some, -1), np.append(counts[some], rows))
+
+    def told(*columns):
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x], pa.list_(kind)) for x, kind in zip(columns, kinds)], ["codes", "sizes", "bucket", "n"])
 
     ship(docs.sparkSession)
-    found = docs.select(text_of().alias("text")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    texts = docs.select(text_of().alias("text"), F.lit(False).alias("item")).union(items.select(text_of().alias("text"), F.lit(True).alias("item")))
+    return through_table(texts.mapInArrow(run, HASHED), "passages")
+
+
+def document_frequencies(passages: DataFrame) -> tuple[np.ndarray, int]:
+    """Documents that have a word of each bucket, and documents, over the whole table."""
+    pairs = passages.where("bucket IS NOT NULL").select(F.explode(F.arrays_zip("bucket", "n")).alias("x")).select("x.bucket", "x.n")
+    found = pairs.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(BUCKETS)
     at, many = (found.column(c).to_numpy() for c in ("bucket", "n"))
     df[at[at >= 0]] = many[at >= 0]
     return df, int(many[at < 0].sum())
 
 
-def randomised_svd(passages: DataFrame, terms: int, rank: int, rounds: int = 6, seed: int = 5) -> np.ndarray:
-    """Right singular vectors (terms x rank) of the rows (at, weights) of ``passages``.
+def product(passages: DataFrame, idf: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """A'(A m) for the matrix A of all passages, rows of length one.
 
-    Subspace iteration: each product A'(A M) is summed within partitions and over them;
-    the driver orthogonalises a matrix of terms x rank.
+    Each task sums up its passages; blocks of terms are added up over the tasks.
     """
+    m = m.astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, any_rows = np.zeros(m.shape), False
+        for batch in batches:
+            for codes, sizes in zip(batch.column("codes"), batch.column("sizes")):
+                any_rows = True
+                codes, sizes = codes.values.to_numpy(), sizes.values.to_numpy()
+                ends = np.cumsum(sizes)
+                first = 0
+                while first < len(sizes):  # some ten thousand words at a time, whole passages
+                    start = ends[first - 1] if first else 0
+                    last = max(first + 1, int(np.searchsorted(ends, start + 32_768, "right")))
+                    add(total, codes[start:ends[last - 1]], sizes[first:last])
+                    first = last
+        if any_rows:
+            blocks = total.reshape(PARTS, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], ["block", "sums"])
+
+    def add(total: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> None:
+        bucket = codes & (BUCKETS - 1)
+        x = (codes // BUCKETS) * idf[bucket]
+        firsts = np.cumsum(sizes) - sizes
+        x /= np.repeat(np.sqrt(np.add.reduceat(x * x, firsts)), sizes)
+        at = (bucket & (LATENT_WORDS - 1)).astype(np.uint16)
+        rows = np.add.reduceat(m[at] * x[:, None], firsts, axis=0)
+        order = np.argsort(at, kind="stable")
+        by = at[order]
+        new = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
+        of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        total[by[new]] += np.add.reduceat(rows[of] * x[order][:, None], new, axis=0)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, part in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist()):
+                sums[block] = sums.get(block, 0) + np.frombuffer(part)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "sums"])
+
     ship(passages.sparkSession)
+    schema = "block int, sums binary"
+    parts = passages.where("codes IS NOT NULL").select("codes", "sizes").mapInArrow(run, schema)
+    out = np.zeros((PARTS, m.size // PARTS))
+    for row in parts.repartition(PARTS, "block").mapInArrow(merge, schema).collect():  # a matrix like ``m`` in all
+        out[row["block"]] = np.frombuffer(row["sums"])
+    return out.reshape(m.shape)
 
-    def product(m: np.ndarray) -> np.ndarray:
-        m = m.astype(np.float32)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(m.shape)
-            for batch in batches:
-                for at, weights in zip(batch.column("at").to_pylist(), batch.column("weights").to_pylist()):
-                    x = np.array(weights)
-                    np.add.at(total, at, x[:, None] * (x @ m[at]))
-            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["part"])
-        out = np.zeros(m.shape)
-        for part in passages.mapInArrow(run, "part binary").toLocalIterator():  # one per partition, PARTS of them
-            out += np.frombuffer(part["part"], np.float32).reshape(m.shape)
-        return out
 
+def randomised_svd(passages: DataFrame, idf: np.ndarray, terms: int, rank: int, rounds: int = 4, seed: int = 5) -> np.ndarray:
+    """Right singular vectors (terms x rank) of the matrix of all passages.
+
+    A block Krylov space: each round multiplies the last block, and the best vectors are those
+    of the matrix seen from all blocks together, which the products at hand already tell. The
+    driver orthogonalises matrices of terms x rank.
+    """
     rank = min(rank, terms)
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(terms, rank)))[0]
+    bases, images = [], []
     for _ in range(rounds):
-        y = product(q)
-        small = q.T @ y
-        values, turn = np.linalg.eigh((small + small.T) / 2)
-        best = q @ turn[:, ::-1]
-        q = np.linalg.qr(y)[0]
-    keep = values[::-1] > 1e-6 * max(values.max(initial=0), 1e-300)
-    # The last step's rotation, so that directions come by falling singular value.
-    return best[:, keep] if len(keep) else best
+        y = product(passages, idf, q)
+        bases.append(q)
+        images.append(y)
+        space = np.hstack(bases)
+        q = np.linalg.qr(y - space @ (space.T @ y))[0]
+        q = np.linalg.qr(q - space @ (space.T @ q))[0]  # once more, against rounding
+    small = space.T @ np.hstack(images)
+    values, turn = np.linalg.eigh((small + small.T) / 2)
+    values, turn = values[::-1][:rank], turn[:, ::-1][:, :rank]  # by falling singular value
+    keep = values > 1e-6 * max(values.max(initial=0), 1e-300)
+    return space @ turn[:, keep]
 
 
 def pieces_of(words: list[bytes]) -> list[list[bytes]]:
@@ -240,40 +311,12 @@ def pieces_of(words: list[bytes]) -> list[list[bytes]]:
     return [words[k * len(words) // many:(k + 1) * len(words) // many] for k in range(many)]
 
 
-def _vector(words: list[bytes], idf: np.ndarray) -> tuple[list[int], list[float]]:
-    """Hashed words of a passage and their weights, of length one."""
-    count = Counter(buckets_of(words).tolist())
-    x = np.fromiter(count.values(), float) * idf[list(count)]
-    folded: dict[int, float] = {}
-    for bucket, weight in zip(count, x / np.linalg.norm(x)):
-        folded[bucket & (LATENT_WORDS - 1)] = folded.get(bucket & (LATENT_WORDS - 1), 0) + float(weight)
-    return list(folded), list(folded.values())
-
-
-def fit(docs: DataFrame, texts: list[str], most: int = SAMPLE) -> Corpus:
-    """Weights from all documents; the latent space from passages of ``texts`` and of about ``most`` documents."""
-    df, total = document_frequencies(docs)
+def fit(docs: DataFrame, items: DataFrame) -> Corpus:
+    """Weights from all documents; the latent space from all passages of them and of the items."""
+    passages = hashed_passages(docs, items)
+    df, total = document_frequencies(passages)
     idf = (np.log((total + 2) / (np.minimum(df, total) + 1)) + 0.01).astype(np.float32)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, chosen in text_slices(batch):
-                rows = []
-                for text in chosen:
-                    words = words_of(text)
-                    for start in {(len(words) - WINDOW) // 4, 3 * (len(words) - WINDOW) // 4} if len(words) > WINDOW else {0}:
-                        if words:
-                            rows.append(_vector(words[start:start + WINDOW], idf))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], ["at", "weights"])
-
-    share = min(1.0, most / max(total, 1))
-    rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select(text_of().alias("text"))
-    own = [_vector(piece, idf) for text in texts for piece in pieces_of(words_of(text))]
-    schema = "at array<int>, weights array<double>"
-    passages = rows.mapInArrow(run, schema).union(docs.sparkSession.createDataFrame(own, schema))
-    factors = randomised_svd(through_table(passages.repartition(PARTS), "passages"), LATENT_WORDS, RANK)
-    return Corpus(idf, factors.astype(np.float32))
+    return Corpus(idf, randomised_svd(passages, idf, LATENT_WORDS, RANK).astype(np.float32))
 
 
 def prepare(corpus: Corpus, rows: list) -> Items:
@@ -529,7 +572,7 @@ def blocks(docs: DataFrame, benchmark: DataFrame, size: int = PASSAGES) -> Itera
             pieces += own
         kept = [x for x in taken if x[1]]
         if kept:
-            corpus = corpus or fit(docs, [text for _, _, text in kept])
+            corpus = corpus or fit(docs, items)
             yield prepare(corpus, kept)
         if len(taken) == len(rows) < size:
             return

@@ -180,6 +180,30 @@ def test_paraphrases_in_other_words_are_found(spark):
     assert len(want & got) >= 0.9 * len(want)
 
 
+def test_latent_space_of_all_passages(spark):
+    """The directions hold as much of all passages, middles of documents and all items too, as the best can."""
+    rng = random.Random(8)
+    topics = [[f"t{k}w{j}" for j in range(30)] for k in range(40)]
+    text = lambda k, n: " ".join(rng.choice(topics[k]) for _ in range(n))
+    # Each document has a topic of its own place: ends from the first ten, the middle from all.
+    docs = [" ".join([text(i % 10, 96), text(rng.randrange(10, 40), 160), text(i % 7, 96)]) for i in range(150)]
+    items = [text(rng.randrange(40), n) for n in (5, 17, 18, 60)]
+    made = lambda rows: spark.createDataFrame([(t,) for t in [*rows, None, ""]], "text string").repartition(3)
+    corpus = decontaminate.fit(made(docs), made(items))
+    passages = [w[k:k + 32] for w in map(decontaminate.words_of, docs) for k in range(0, len(w), 32)]
+    passages += [p for t in items for p in decontaminate.pieces_of(decontaminate.words_of(t))]
+    df = Counter(b for t in docs for b in set(decontaminate.buckets_of(decontaminate.words_of(t)).tolist()))
+    rows = np.zeros((len(passages), decontaminate.LATENT_WORDS), np.float32)
+    for row, words in zip(rows, passages):
+        count = Counter(decontaminate.buckets_of(words).tolist())
+        x = np.array([n * (np.log((len(docs) + 4) / (df[b] + 1)) + 0.01) for b, n in count.items()])
+        np.add.at(row, np.array(list(count)) & (decontaminate.LATENT_WORDS - 1), x / np.linalg.norm(x))
+    used = rows.any(0)
+    best = np.linalg.svd(rows[:, used], compute_uv=False)[:decontaminate.RANK]
+    assert np.allclose(corpus.factors.T @ corpus.factors, np.eye(decontaminate.RANK), atol=1e-5)
+    assert ((rows @ corpus.factors) ** 2).sum() >= 0.99 * (best ** 2).sum()
+
+
 def test_exact_search_against_all_pairs(monkeypatch):
     """Every passage of a document against every passage of an item, by plain sums."""
     rng = random.Random(12)
