@@ -49,12 +49,17 @@ ANGLE_SLACK = 1e-6
 RECALL = 0.95
 MAX_BITS, MAX_FLIPS, MAX_TABLES = 14, 2, 24
 SHIPPING = 200
+# Files that blocks are stored in where all of them meet, at most.
+MAX_FILES = 1024
 
 PAIR_SCHEMA = "src bigint, dst bigint, w double"
 
 
 def _unit_rows(column: pd.Series) -> np.ndarray:
-    matrix = np.stack([np.asarray(v, dtype=np.float64) for v in column])
+    return _unit(np.stack([np.asarray(v, dtype=np.float64) for v in column]))
+
+
+def _unit(matrix: np.ndarray) -> np.ndarray:
     norms = np.sqrt((matrix * matrix).sum(axis=1))
     norms[norms == 0] = NORM_FLOOR
     return matrix / norms[:, None]
@@ -136,8 +141,8 @@ def _block_pairs(vectors: DataFrame, threshold: float, block_rows: int) -> DataF
     return salted.mapInPandas(spread, "lo bigint, hi bigint, own bigint, tid bigint, vec array<float>")
 
 
-def _meet(threshold: float, best: int | None):
-    """Grouped function: similar pairs between the two blocks that meet in a task."""
+def _between(threshold: float, best: int | None):
+    """Function of two blocks, or twice the same one: their similar pairs, slice by slice."""
 
     def strongest(ids: np.ndarray, others: np.ndarray, sims: np.ndarray) -> pd.DataFrame:
         src, dst = np.nonzero((sims >= threshold) & (ids[:, None] != others[None, :]))
@@ -147,6 +152,23 @@ def _meet(threshold: float, best: int | None):
                      .groupby("src").head(best))
         return found
 
+    def between(left_ids: np.ndarray, left: np.ndarray, right_ids: np.ndarray, right: np.ndarray,
+                same: bool) -> Iterator[pd.DataFrame]:
+        for at in range(0, len(left), SLICE_ROWS):
+            cut = slice(at, at + SLICE_ROWS)
+            yield strongest(left_ids[cut], right_ids, left[cut] @ right.T)
+        if not same:
+            for at in range(0, len(right), SLICE_ROWS):
+                cut = slice(at, at + SLICE_ROWS)
+                yield strongest(right_ids[cut], left_ids, right[cut] @ left.T)
+
+    return between
+
+
+def _meet(threshold: float, best: int | None):
+    """Grouped function: similar pairs between the two blocks that meet in a task."""
+    between = _between(threshold, best)
+
     def meet(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lo, hi = key
         pdf = pd.concat(list(batches), ignore_index=True)  # two blocks
@@ -154,19 +176,45 @@ def _meet(threshold: float, best: int | None):
         b = pdf[pdf["own"] == hi] if hi != lo else a
         if not len(a) or not len(b):
             return
-        left, right = _unit_rows(a["vec"]), _unit_rows(b["vec"])
-        left_ids, right_ids = a["tid"].to_numpy(), b["tid"].to_numpy()
-        for at in range(0, len(left), SLICE_ROWS):
-            cut = slice(at, at + SLICE_ROWS)
-            yield strongest(left_ids[cut], right_ids, left[cut] @ right.T)
-        if hi != lo:
-            for at in range(0, len(right), SLICE_ROWS):
-                cut = slice(at, at + SLICE_ROWS)
-                yield strongest(right_ids[cut], left_ids, right[cut] @ left.T)
+        yield from between(a["tid"].to_numpy(), _unit_rows(a["vec"]), b["tid"].to_numpy(), _unit_rows(b["vec"]), hi == lo)
 
     return meet
 
 
+def _all_pairs(vectors: DataFrame, threshold: float, total: int, block_rows: int) -> DataFrame:
+    """Similar pairs of all vectors, for plans without bits.
+
+    Vectors are shuffled once, into blocks of a row each, which are stored; then each task
+    reads the blocks that it compares. Nothing that grows with the pairs is shuffled.
+    """
+    count = max(1, math.ceil(total / block_rows))
+
+    def pack(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches), ignore_index=True)  # one block
+        matrix = np.stack([np.asarray(v, dtype=np.float32) for v in pdf["vec"]])
+        ids = [None if pd.isna(x) else int(x) for x in pdf["tid"]]
+        yield pd.DataFrame({"block": [key[0]], "ids": [ids], "vecs": [matrix.tobytes()]})
+
+    salt = F.pmod(F.xxhash64("tid"), F.lit(1 << 30)) % F.lit(count)
+    packed = vectors.select(salt.alias("block"), "tid", "vec").repartition(min(count, MAX_FILES), "block").groupBy("block").applyInPandas(
+        pack, "block bigint, ids array<bigint>, vecs binary")
+    blocks = through_table(packed, "blocks")
+    left = blocks.select(F.col("block").alias("lo"), F.col("ids").alias("lo_ids"), F.col("vecs").alias("lo_vecs"))
+    right = blocks.select(F.col("block").alias("hi"), F.col("ids").alias("hi_ids"), F.col("vecs").alias("hi_vecs"))
+    between = _between(threshold, None)
+
+    def rows(ids: np.ndarray, vecs: bytes) -> np.ndarray:
+        return _unit(np.frombuffer(vecs, np.float32).reshape(len(ids), -1).astype(np.float64))
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo, a, x, hi, b, y in zip(*(pdf[c] for c in ("lo", "lo_ids", "lo_vecs", "hi", "hi_ids", "hi_vecs"))):
+                yield from between(np.asarray(a), rows(a, x), np.asarray(b), rows(b, y), lo == hi)
+
+    # The hint asks for a product of partitions read where they are compared: no exchange, no broadcast.
+    return left.join(right.hint("shuffle_replicate_nl"), F.col("lo") <= F.col("hi")).mapInPandas(meet, PAIR_SCHEMA)
+
+
 def vector_copies(vectors: DataFrame) -> DataFrame:
     """(tid, content): which vectors are the same, number for number."""
     return vectors.where("vec is not null").select("tid", _content())
@@ -305,8 +353,13 @@ def cosine_pairs_approx(vectors: DataFrame, threshold: float = EDGE_THRESHOLD, r
     vectors meet and nothing is missed.
     """
     single = through_table(distinct_vectors(vectors), "vectors")
-    chosen = plan or bucket_plan(threshold, single.count(), recall)
+    total = single.count()
+    chosen = plan or bucket_plan(threshold, total, recall)
+    if not chosen.bits:
+        return _all_pairs(single, threshold, total, block_rows)
     found = _bucket_pairs(single, chosen, block_rows).groupBy("lo", "hi").applyInPandas(_meet(threshold, None), PAIR_SCHEMA)
+    if chosen.tables == 1:  # in one table a pair meets once
+        return found
     # A pair that meets in several tables has the same similarity, but for rounding, in each.
     return found.groupBy("src", "dst").agg(F.max("w").alias("w"))
 

@@ -118,6 +118,21 @@ def test_recall_of_the_approximate_form(spark, threshold, plan):
     assert all(w == pytest.approx(sims[a, b], abs=1e-9) for (a, b), w in got.items())
 
 
+def test_pairs_of_all_vectors_are_not_shuffled(spark, vectors):
+    """Without bits each pair is found once, where two stored blocks are read; in one table too."""
+    ids, sims = brute(similarity.distinct_vectors(vectors).select("tid", "vec"))
+    want = {(ids[a], ids[b]) for a, b in zip(*np.nonzero(sims >= 0.3)) if a != b}
+    found = similarity.cosine_pairs_approx(vectors, 0.3, block_rows=7)
+    rows = [(r["src"], r["dst"]) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "HashAggregate" not in plan
+    once = similarity.cosine_pairs_approx(vectors, 0.3, block_rows=7, plan=similarity.BucketPlan(2, 1, 1))
+    rows = [(r["src"], r["dst"]) for r in once.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) <= want
+    assert "HashAggregate" not in once._jdf.queryExecution().executedPlan().toString()
+
+
 def test_plans_keep_their_recall():
     for threshold in (0.0, 0.3, 0.5, 0.8, 0.95):
         for count in (10, 10**4, 10**6, 10**9):
