@@ -254,16 +254,20 @@ def product(passages: DataFrame, idf: np.ndarray, m: np.ndarray) -> np.ndarray:
 
     def add(total: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> None:
         bucket = codes & (BUCKETS - 1)
-        x = (codes // BUCKETS) * idf[bucket]
+        x = (codes // BUCKETS).astype(np.float32) * idf[bucket]
         firsts = np.cumsum(sizes) - sizes
         x /= np.repeat(np.sqrt(np.add.reduceat(x * x, firsts)), sizes)
         at = (bucket & (LATENT_WORDS - 1)).astype(np.uint16)
-        rows = np.add.reduceat(m[at] * x[:, None], firsts, axis=0)
+        seen = m[at]
+        seen *= x[:, None]
+        rows = np.add.reduceat(seen, firsts, axis=0)
         order = np.argsort(at, kind="stable")
         by = at[order]
         new = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
         of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
-        total[by[new]] += np.add.reduceat(rows[of] * x[order][:, None], new, axis=0)
+        back = rows[of]
+        back *= x[order][:, None]
+        total[by[new]] += np.add.reduceat(back, new, axis=0)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
