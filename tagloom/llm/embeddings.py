@@ -4,26 +4,30 @@ A document is the mean of the learned vectors of its features: each word, each p
 neighbouring words (a repeated word is one feature of its own, whatever the word) and, as
 much as one of these together, the character n-grams of each word between boundary
 marks. Where asked, features whose share of documents hardly differs between the classes
-of the training sample have no vector and a small weight in the mean, so that a few
-telling words are not lost in a long text, nor one chance n-gram taken for many. A linear softmax on that mean gives the class; vectors and softmax are trained together by stochastic gradient descent
-in numpy on a sample whose size is a parameter.
+have no vector and a small weight in the mean, so that a few telling words are not lost in
+a long text, nor one chance n-gram taken for many. A linear softmax on that mean gives the
+class; vectors and softmax are trained together by gradient descent on all labelled documents.
 
 As everything between the vectors and the class is linear, a trained model is one number
-per bucket; scoring adds the numbers of a text's features and divides by their weight.
+per bucket; scoring adds the numbers of a text's features and divides by their weight. The
+same holds in training: all that a step needs of the documents is, per bucket, the sum of
+their errors times the bucket's share in them. Spark adds these sums up over a table of
+features; the driver holds the vectors, whose size ``Features`` and ``Training`` fix.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordTable, held, map_arrow, mix, ragged, ship, slices, text_of, text_slices
+from ..plans.shared import through_table
+from .common import WordTable, held, map_arrow, mix, ragged, ship, text_of, text_slices
 
 
 @dataclass(frozen=True)
@@ -77,13 +81,14 @@ class Features:
 
 @dataclass(frozen=True)
 class Training:
-    """``most`` bounds the labelled documents that the training sees."""
+    """``most`` bounds the documents of one row of the table of features, ``batch`` those whose
+    distinct features are listed at once; every labelled document is trained on, in every round."""
 
     most: int = 4096
     width: int = 16
-    epochs: int = 8
+    rounds: int = 16
     batch: int = 64
-    rate: float = 0.3
+    rate: float = 0.5
     seed: int = 7
     telling: float = 0.0  # standard errors by which a feature's share must differ between classes
     rest: float = 0.01  # weight of the features that differ less
@@ -98,108 +103,148 @@ class Model:
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
-def rows_of(features: Features, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct buckets of each text and the weight of each."""
-    for part in slices(texts):
-        split = [features.words(t) for t in part]
+# Numbers are added up as multiples of these, so that sums do not depend on how rows are dealt.
+WEIGHT, VALUE, ERROR = 2.0 ** -16, 2.0 ** -24, 2.0 ** -32
+
+
+@dataclass
+class Chunk:
+    """Features of some labelled documents: what a row of the table of features holds."""
+
+    label: np.ndarray  # 0 or 1, of each document
+    sizes: np.ndarray  # distinct words of each
+    word: np.ndarray  # their numbers, one document after another
+    times: np.ndarray  # and how often each stands
+    many: np.ndarray  # buckets of each word: its own, then its n-grams'
+    grams: np.ndarray
+    pairs: np.ndarray  # pairs of neighbouring words of each document
+    pair: np.ndarray  # their buckets
+
+    def __post_init__(self):
+        documents, of = np.arange(len(self.label)), np.repeat(np.arange(len(self.many)), self.many)
+        self.doc, self.pair_doc = np.repeat(documents, self.sizes), np.repeat(documents, self.pairs)
+        self.of, self.first = of, np.cumsum(self.many) - self.many
+        self.weight = np.rint(1 / np.maximum(self.many - 1, 1) / WEIGHT)[of] * WEIGHT
+        self.weight[self.first] = 1
+
+    def per_text(self, x: np.ndarray) -> np.ndarray:
+        """Sum over each document's features of a number per bucket times the feature's weight."""
+        words = np.rint(np.bincount(self.of, x[self.grams] * self.weight, len(self.many)) / VALUE)
+        pairs = np.rint(x / VALUE)[self.pair]
+        return (np.bincount(self.doc, words[self.word] * self.times, len(self.label))
+                + np.bincount(self.pair_doc, pairs, len(self.label))) * VALUE
+
+    def per_bucket(self, x: np.ndarray, size: int) -> np.ndarray:
+        """Sum over the documents that have a bucket of a number per document times the weight."""
+        words = np.bincount(self.word, x[self.doc] * self.times, len(self.many))
+        return np.bincount(self.grams, words[self.of] * self.weight, size) + np.bincount(self.pair, x[self.pair_doc], size)
+
+    def classes(self, size: int, batch: int) -> np.ndarray:
+        """How many documents of class 0 and of class 1 have each bucket; ``batch`` documents at a time."""
+        out = np.zeros((2, size))
+        words, pairs = np.append(0, np.cumsum(self.sizes)), np.append(0, np.cumsum(self.pairs))
+        for c in range(0, len(self.label), batch):
+            d = min(c + batch, len(self.label))
+            own, two = slice(words[c], words[d]), slice(pairs[c], pairs[d])
+            many = self.many[self.word[own]]
+            keys = np.unique(np.append(np.repeat(self.doc[own], many) * size + self.grams[ragged(self.first[self.word[own]], many)],
+                                       self.pair_doc[two] * size + self.pair[two]))
+            of, bucket = np.divmod(keys, size)
+            for k in (0, 1):
+                out[k] += np.bincount(bucket[self.label[of] == k], minlength=size)
+        return out
+
+
+COLUMNS = [x.name for x in fields(Chunk)]
+
+
+def chunks_of(features: Features, texts: list[str], labels: list[int], most: int) -> Iterator[Chunk]:
+    """The features of labelled texts, ``most`` of them at a time."""
+    for c in range(0, len(texts), most):
+        split = [features.words(t) for t in texts[c:c + most]]
         number: dict[str, int] = {}
         for words in split:
             for w in words:
                 number.setdefault(w, len(number))
-        own, at, buckets, weight = features.of_words(list(number))
-        order = np.argsort(at, kind="stable")
-        buckets, weight, many = buckets[order].astype(np.int32), weight[order], np.bincount(at, minlength=len(number))
-        starts = np.cumsum(many) - many
-        for words in split:
-            if not words:
-                yield np.zeros(0, np.int32), np.zeros(0, np.float32)
-                continue
-            here = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-            found = ragged(starts[here], many[here])
-            x, k = buckets[found], weight[found]
-            if features.pairs and len(words) > 1:
-                x = np.append(x, features.of_pairs(own[here]).astype(np.int32))
-                k = np.append(k, np.ones(len(words) - 1))
-            distinct, place = np.unique(x, return_inverse=True)
-            yield distinct, np.bincount(place, k).astype(np.float32)
-
-
-def _telling(features: Features, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, least: float) -> np.ndarray:
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        doc, here = np.repeat(np.arange(len(split)), sizes), np.fromiter((number[w] for words in split for w in words), np.int64, sizes.sum())
+        if number:
+            own, at, buckets, _ = features.of_words(list(number))
+            grams, many = buckets[np.argsort(at, kind="stable")], np.bincount(at, minlength=len(number))
+        else:
+            own, grams, many = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        pair, pairs = np.zeros(0, np.int64), np.zeros(len(split), np.int64)
+        if features.pairs and len(here):
+            inside = doc[:-1] == doc[1:]
+            pair, pairs = features.of_pairs(own[here])[inside], np.maximum(sizes - 1, 0)
+        both, times = np.unique(doc * max(len(number), 1) + here, return_counts=True)
+        of, word = np.divmod(both, max(len(number), 1))
+        label = (np.asarray(labels[c:c + most], np.int64) != 0).astype(np.int64)
+        yield Chunk(label, np.bincount(of, minlength=len(split)), word, times, many, grams, pairs, pair)
+
+
+#: Adds up an array over all chunks: given what to make of each, and the array's length.
+Sums = Callable[[Callable[[Chunk], np.ndarray], int], np.ndarray]
+
+
+def _telling(in0: np.ndarray, in1: np.ndarray, n0: float, n1: float, least: float) -> np.ndarray:
     """Which buckets' share of documents differs between classes by ``least`` standard errors."""
-    size = 1 << features.bits
-    if least <= 0:
-        return np.ones(size, bool)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    in1, in0 = np.zeros(size), np.zeros(size)
-    for (b, _), label in zip(rows, y):
-        (in1 if label else in0)[b] += 1
-    p = (in1 + in0 + 1) / (len(y) + 2)
+    p = (in1 + in0 + 1) / (n0 + n1 + 2)
     return np.abs(in1 / n1 - in0 / n0) >= least * np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
 
 
 def train(texts: list[str], labels: list[int], features: Features, how: Training = Training()) -> Model:
-    return train_rows(list(rows_of(features, texts)), labels, features, how)
+    """A model from texts at hand."""
+    chunks = list(chunks_of(features, texts, labels, how.most))
+    return descend(lambda each, size: sum(map(each, chunks), np.zeros(size)), features, how)
 
 
-def train_rows(found: list[tuple[np.ndarray, np.ndarray]], labels: list[int], features: Features,
-               how: Training = Training()) -> Model:
-    """Vectors and softmax by stochastic gradient descent, rows scaled by their past gradients.
+def descend(summed: Sums, features: Features, how: Training) -> Model:
+    """Vectors and softmax by gradient descent, vectors scaled by their past gradients.
 
-    ``found`` are the distinct buckets of each document and their weights; it is emptied.
-    Without rows the score is 1/2 everywhere; with one class it is that class's.
+    A step takes all documents. The gradient of a bucket's vector is the difference of the
+    softmax' columns times the sum of errors, each times the bucket's share in the document;
+    the softmax' own gradient is the vectors' sum by the same numbers. So a number per bucket
+    goes out, and one comes back. Without documents the score is 1/2 everywhere; with one
+    class it is that class's.
     """
-    y = np.asarray(labels, np.int64)
-    if not len(y) or len(np.unique(y)) < 2:
-        none = np.zeros(1 << features.bits, np.float32)
-        return Model(features, none, none, float((y.mean() * 2 - 1) * 8) if len(y) else 0.0)
+    size = 1 << features.bits
+    if how.telling > 0:
+        found = summed(lambda chunk: np.append(chunk.classes(size, how.batch), np.bincount(chunk.label, minlength=2)), 2 * size + 2)
+    else:
+        found = summed(lambda chunk: np.bincount(chunk.label, minlength=2).astype(float), 2)
+    n0, n1 = found[-2:]
+    if not n0 or not n1:
+        none = np.zeros(size, np.float32)
+        return Model(features, none, none, float(8 * (n1 - n0) / max(n0 + n1, 1)))
+    telling = _telling(found[:size], found[size:2 * size], n0, n1, how.telling) if how.telling > 0 else np.ones(size, bool)
+    mass = np.where(telling, 1, np.float32(how.rest)).astype(np.float32)
     rng = np.random.default_rng(how.seed)
-    telling = _telling(features, found, y, how.telling)
-    mass = np.where(telling, 1, how.rest).astype(np.float32)
-    rows = []
-    found.reverse()
-    while found:
-        b, x = found.pop()
-        total, own = max(float((x * mass[b]).sum()), 1e-9), telling[b]
-        rows.append((b[own], (x[own] / total).astype(np.float32)))
-    order = rng.permutation(len(y))
     # Vectors start at zero, so that features never seen in training say nothing.
-    vectors = np.zeros((1 << features.bits, how.width), np.float32)
-    head, offset = rng.normal(0, how.width ** -0.5, (how.width, 2)).astype(np.float32), np.zeros(2, np.float32)
-    past, past_head = np.full(len(vectors), 1e-8, np.float32), 1e-8
-    batches = []
-    for k in range(0, len(order), how.batch):
-        part = order[k:k + how.batch]
-        buckets = np.concatenate([rows[i][0] for i in part])
-        shares = np.concatenate([rows[i][1] for i in part])
-        of = np.repeat(np.arange(len(part), dtype=np.int32), [len(rows[i][0]) for i in part])
-        by = np.argsort(buckets, kind="stable").astype(np.int32)
-        if len(by):
-            firsts = np.flatnonzero(np.append(True, np.diff(buckets[by]) > 0))
-            batches.append((part, buckets, shares, of, by, firsts))
-    del rows
-    for epoch in range(how.epochs):
-        rate = how.rate * (1 - epoch / how.epochs)
-        for b in rng.permutation(len(batches)):
-            part, buckets, shares, of, by, firsts = batches[b]
-            edges = np.searchsorted(of, np.arange(len(part)))
-            mean = np.zeros((len(part), how.width), np.float32)
-            full = np.append(np.diff(edges), len(of) - edges[-1]) > 0
-            mean[full] = np.add.reduceat(vectors[buckets] * shares[:, None], edges[full], axis=0)
-            z = mean @ head + offset
-            z -= z.max(1, keepdims=True)
-            p = np.exp(z)
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(part)), y[part]] -= 1
-            back = p @ head.T
-            slope = np.add.reduceat((shares[:, None] * back[of])[by], firsts, axis=0)
-            touched = buckets[by][firsts]
-            past[touched] += (slope ** 2).mean(1)
-            vectors[touched] -= rate * slope / np.sqrt(past[touched])[:, None]
-            g = mean.T @ p / len(part)
-            past_head += float((g ** 2).mean())
-            head -= rate * g / np.sqrt(past_head)
-            offset -= rate * p.mean(0)
-    return Model(features, vectors @ (head[:, 1] - head[:, 0]) * telling, mass, float(offset[1] - offset[0]))
+    vectors = np.zeros((size, how.width), np.float32)
+    head, bias = rng.normal(0, how.width ** -0.5, (how.width, 2)).astype(np.float32), 0.0
+    past, past_head = np.full(size, 1e-16), 1e-8
+    for k in range(how.rounds):
+        rate = how.rate * (1 - k / how.rounds)
+        across = head[:, 1] - head[:, 0]
+        weights, at = (vectors @ across * telling).astype(np.float64), bias
+
+        def errors(chunk: Chunk) -> np.ndarray:
+            total = np.maximum(chunk.per_text(mass.astype(np.float64)), 1e-9)
+            z = chunk.per_text(weights) / total + at
+            wrong = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - chunk.label
+            return np.append(chunk.per_bucket(np.rint(wrong / total / ERROR), size), np.rint(wrong / ERROR).sum()) * ERROR
+
+        found = summed(errors, size + 1) / (n0 + n1)
+        slope = found[:size] * telling
+        moved = np.flatnonzero(slope)
+        past[moved] += slope[moved] ** 2 * float((across ** 2).mean())
+        own = slope[moved] @ vectors[moved]
+        vectors[moved] -= (rate * slope[moved] / np.sqrt(past[moved])).astype(np.float32)[:, None] * across
+        past_head += float((own ** 2).mean())
+        head += (rate * own / np.sqrt(past_head)).astype(np.float32)[:, None] * np.array([1, -1], np.float32)
+        bias -= 2 * rate * float(found[size])
+    return Model(features, vectors @ (head[:, 1] - head[:, 0]) * telling, mass, bias)
 
 
 class Scorer:
@@ -231,42 +276,74 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-MODEL = "weights binary, mass binary, bias double"
+PARTS = 16  # blocks of buckets in which sums are added up over the tasks
+ROW_CHARS = 4 << 20  # of text whose features share a row of the table: a word's stand there once
+
+
+def summed_over(chunks: DataFrame) -> Sums:
+    """Sums over the rows of a table of features; each task adds up its own."""
+    def summed(each: Callable[[Chunk], np.ndarray], size: int) -> np.ndarray:
+        width = -(-size // PARTS)
+
+        def told(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "sums"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, any_rows = np.zeros(PARTS * width), False
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    any_rows = True
+                    total[:size] += each(Chunk(*(batch.column(c)[row].values.to_numpy().astype(np.int64) for c in COLUMNS)))
+            if any_rows:
+                yield told(dict(enumerate(total.reshape(PARTS, width))))
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for block, part in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist()):
+                    sums[block] = sums.get(block, 0) + np.frombuffer(part)
+            yield told(sums)
+
+        schema, out = "block int, sums binary", np.zeros((PARTS, width))
+        parts = chunks.mapInArrow(run, schema).repartition(PARTS, "block")
+        for row in parts.mapInArrow(merge, schema).collect():  # a number per bucket in all
+            out[row["block"]] = np.frombuffer(row["sums"])
+        return out.ravel()[:size]
+
+    return summed
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, features: Features, how: Training) -> Model:
-    """A model from at most ``how.most`` labelled documents, chosen by a hash of the id.
+    """A model from all labelled documents.
 
-    The sample is trained on in one task, which turns texts into features as they come;
-    only the model, whose size ``features`` fixes, reaches the driver. Labels that are
-    null, or whose document is missing, take no part. One label per document (the larger,
-    should there be several).
+    Their features are written as a table once, some documents in a row; each round of the
+    descent adds up a number per bucket over it. Labels that are null, or whose document is
+    missing, take no part. One label per document (the larger, should there be several).
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max(F.col(label).cast("int")).alias("label"))
-    # The ids of the sample fit a broadcast: their number is bounded.
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.most)
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text")
-    sample = rows.limit(2 * how.most).select("text", "label")
+    rows = docs.select("doc_id", text_of().alias("text")).join(known, "doc_id").select("text", "label")
+
+    def told(texts: list[str], classes: list[int]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks_of(features, texts, classes, how.most):
+            yield pa.RecordBatch.from_arrays([pa.array([getattr(chunk, c)], pa.list_(pa.int32())) for c in COLUMNS], COLUMNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, classes = [], []
+        waiting, classes, size = [], [], 0
         for batch in batches:
             for part, texts in text_slices(batch):
-                found += rows_of(features, texts)
+                waiting += texts
                 classes += part.column("label").to_pylist()
-        model = train_rows(found, classes, features, how)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([model.weights.astype(np.float32).tobytes()], pa.binary()),
-             pa.array([model.mass.astype(np.float32).tobytes()], pa.binary()), pa.array([float(model.bias)])],
-            ["weights", "mass", "bias"])
+                size += sum(map(len, texts))
+                if len(waiting) >= how.most or size >= ROW_CHARS:
+                    yield from told(waiting, classes)
+                    waiting, classes, size = [], [], 0
+        yield from told(waiting, classes)
 
     ship(docs.sparkSession)
-    rows = sample.coalesce(1).mapInArrow(run, MODEL).collect()
-    if not rows:
-        return train_rows([], [], features, how)
-    weights, mass = (np.frombuffer(rows[0][name], np.float32) for name in ("weights", "mass"))
-    return Model(features, weights, mass, rows[0]["bias"])
+    chunks = through_table(rows.mapInArrow(run, ", ".join(f"{c} array<int>" for c in COLUMNS)), "features")
+    return descend(summed_over(chunks), features, how)
 
 
 def score_rows(docs: DataFrame, model: Model, into: str, text: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import embeddings
 
 FEATURES = embeddings.Features(bits=17, shortest=3, longest=5, pairs=True)
-TRAINING = embeddings.Training(most=2048, epochs=8, batch=64, rate=0.3)
+TRAINING = embeddings.Training(most=2048)
 THRESHOLD = 0.7
 
 

@@ -16,7 +16,7 @@ from . import embeddings
 from .quality import fold_of
 
 FEATURES = embeddings.Features(bits=18, shortest=3, longest=6, pairs=False, fold=True)
-TRAINING = embeddings.Training(most=6144, epochs=8, batch=32, rate=0.3, telling=4.0, rest=0.03)
+TRAINING = embeddings.Training(most=6144, batch=32, telling=4.0, rest=0.03)
 THRESHOLD = 0.5
 
 

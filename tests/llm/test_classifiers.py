@@ -85,6 +85,52 @@ def test_model_is_the_one_of_the_sample(spark):
     assert np.array_equal(model.weights, want.weights) and model.bias == pytest.approx(want.bias)
 
 
+def test_every_labelled_row_is_learnt_from(spark):
+    """Each of 600 documents has a telling word of its own, and rows of 50 documents hold them."""
+    rows = [(i, f"plain text w{i}x{i * 7919 % 1009} stands here") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    labels = docs.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 2).cast("int").alias("quality"))
+    features, how = embeddings.Features(bits=20, shortest=40, longest=3), embeddings.Training(most=50, rounds=40)
+    model = embeddings.fit(docs, labels, "quality", features, how)
+    truth = np.array([zlib.crc32(str(i).encode()) % 2 for i, _ in rows])
+    assert ((embeddings.Scorer(model).score([t for _, t in rows]) > 0.5) == truth).all()
+    own = np.array([features.of_words([t.split()[2]])[2][0] for _, t in rows])
+    assert len(set(own)) > 590 and (model.weights[own] != 0).all()
+
+
+def test_steps_against_plain_gradients():
+    """One round's weights from dense shares and errors, with and without features that tell nothing."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["good", "bad!", "é", "plain", "text", "longerword", "x"], k=rng.randint(0, 30))) for _ in range(40)]
+    y = np.array([int("bad!" in t and rng.random() < 0.9) for t in texts])
+    for features, telling in ((embeddings.Features(bits=10), 0.0), (embeddings.Features(bits=10, pairs=False, fold=True), 1.0)):
+        how = embeddings.Training(most=9, rounds=1, batch=4, telling=telling)
+        shares = np.zeros((len(texts), 1 << features.bits))
+        for row, text in zip(shares, texts):
+            words = features.words(text)
+            for w in words:
+                _, _, buckets, weights = features.of_words([w])
+                np.add.at(row, buckets, weights)
+            if features.pairs and len(words) > 1:
+                np.add.at(row, features.of_pairs(features.of_words(words)[0]), 1)
+        tells, had = np.ones(shares.shape[1], bool), shares > 0
+        if telling:
+            p = (had.sum(0) + 1) / (len(y) + 2)
+            gap = np.abs(had[y == 1].mean(0) - had[y == 0].mean(0))
+            tells = gap >= telling * np.sqrt(p * (1 - p) * (1 / y.sum() + 1 / (len(y) - y.sum())))
+            assert 0 < tells[had.any(0)].sum() < had.any(0).sum()
+        shares *= np.where(tells, 1, how.rest)
+        shares /= np.maximum(shares.sum(1, keepdims=True), 1e-9)
+        slope = (shares * (0.5 - y)[:, None]).mean(0) * tells
+        model = embeddings.train(texts, y.tolist(), features, how)
+        head = np.random.default_rng(how.seed).normal(0, how.width ** -0.5, (how.width, 2))
+        across = head[:, 1] - head[:, 0]
+        want = -how.rate * np.sign(slope) / np.sqrt((across ** 2).mean()) * (across @ across)
+        some = np.abs(slope) > 1e-6
+        assert some.sum() > 20 and np.allclose(model.weights[some], want[some], rtol=1e-3)
+        assert model.bias == pytest.approx(-2 * how.rate * (0.5 - y).mean())
+
+
 def test_hard_rows_and_missing_labels(spark):
     docs = hard(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
