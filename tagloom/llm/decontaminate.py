@@ -5,7 +5,7 @@ counted over all documents, by hashed words, in one pass. Candidates come from t
 searches over all passages of all documents:
 
 - in a latent space: a randomised SVD of the passages of all items and of all documents,
-  whose products with the matrix are summed up over Spark's partitions, keeps ``RANK``
+  whose sums over the matrix are added up over Spark's partitions, keeps ``RANK``
   directions, in which words that are used alike lie close, so that a paraphrase in
   other words stays near its item. Passages are folded in, and those whose cosine with an
   item's passage reaches ``LATENT`` are candidates;
@@ -36,7 +36,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.shared import through_table
-from .common import held, map_arrow, ragged, ship, text_of, text_slices
+from .common import distinct, held, map_arrow, ragged, ship, text_of, text_slices
 
 PASSAGES = 1 << 16  # of items, searched in one pass over the documents
 WINDOW, STRIDE = 32, 16  # words of a document's passage, and between the starts of two
@@ -56,7 +56,8 @@ SHORT = 8
 MARKS = 8  # numbers of 64 bits that mark a passage's words
 BUCKETS = 1 << 18  # hashed words whose documents are counted
 LATENT_WORDS, RANK = 1 << 14, 24  # hashed words of the latent space, and its directions
-PARTS = 16  # blocks of terms in which a product with the passages is summed up
+SKETCH = 2 * RANK  # random sums of passages that the latent space starts from
+PARTS = 16  # blocks of terms in which sums over the passages are added up
 
 _BREAK = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -200,7 +201,7 @@ def hashed_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
                 both, times = np.unique(passage * BUCKETS + buckets(words.hashes), return_counts=True)
                 passage, bucket = both // BUCKETS, both & (BUCKETS - 1)
                 of = np.repeat(np.arange(len(n)), many)[passage]
-                had = np.unique((of * BUCKETS + bucket)[~item[of]])
+                had = distinct((of * BUCKETS + bucket)[~item[of]])
                 counts += np.bincount(had & (BUCKETS - 1), minlength=BUCKETS)
                 rows += int((~item).sum())
                 if len(both):
@@ -228,15 +229,15 @@ def document_frequencies(passages: DataFrame) -> tuple[np.ndarray, int]:
     return df, int(many[at < 0].sum())
 
 
-def product(passages: DataFrame, idf: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """A'(A m) for the matrix A of all passages, rows of length one.
+def summed(passages: DataFrame, idf: np.ndarray, size: int, add: Callable[..., None]) -> np.ndarray:
+    """An array that ``add(total, at, x, firsts, sizes)`` adds to, summed over all passages.
 
-    Each task sums up its passages; blocks of terms are added up over the tasks.
+    ``at`` and ``x`` are the hashed terms of some passages and their weights, rows of length
+    one; ``firsts`` and ``sizes`` tell the passages apart. Each task sums up its passages;
+    blocks of the array are added up over the tasks.
     """
-    m = m.astype(np.float32)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, any_rows = np.zeros(m.shape), False
+        total, any_rows = np.zeros(size), False
         for batch in batches:
             for codes, sizes in zip(batch.column("codes"), batch.column("sizes")):
                 any_rows = True
@@ -245,29 +246,19 @@ def product(passages: DataFrame, idf: np.ndarray, m: np.ndarray) -> np.ndarray:
                 first = 0
                 while first < len(sizes):  # some ten thousand words at a time, whole passages
                     start = ends[first - 1] if first else 0
-                    last = max(first + 1, int(np.searchsorted(ends, start + 32_768, "right")))
-                    add(total, codes[start:ends[last - 1]], sizes[first:last])
+                    last = max(first + 1, int(np.searchsorted(ends, start + 65_536, "right")))
+                    weigh(total, codes[start:ends[last - 1]], sizes[first:last])
                     first = last
         if any_rows:
             blocks = total.reshape(PARTS, -1)
             yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], ["block", "sums"])
 
-    def add(total: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> None:
+    def weigh(total: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> None:
         bucket = codes & (BUCKETS - 1)
         x = (codes // BUCKETS).astype(np.float32) * idf[bucket]
         firsts = np.cumsum(sizes) - sizes
         x /= np.repeat(np.sqrt(np.add.reduceat(x * x, firsts)), sizes)
-        at = (bucket & (LATENT_WORDS - 1)).astype(np.uint16)
-        seen = m[at]
-        seen *= x[:, None]
-        rows = np.add.reduceat(seen, firsts, axis=0)
-        order = np.argsort(at, kind="stable")
-        by = at[order]
-        new = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
-        of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
-        back = rows[of]
-        back *= x[order][:, None]
-        total[by[new]] += np.add.reduceat(back, new, axis=0)
+        add(total, (bucket & (LATENT_WORDS - 1)).astype(np.int64), x, firsts, sizes)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -279,21 +270,54 @@ def product(passages: DataFrame, idf: np.ndarray, m: np.ndarray) -> np.ndarray:
     ship(passages.sparkSession)
     schema = "block int, sums binary"
     parts = passages.where("codes IS NOT NULL").select("codes", "sizes").mapInArrow(run, schema)
-    out = np.zeros((PARTS, m.size // PARTS))
-    for row in parts.repartition(PARTS, "block").mapInArrow(merge, schema).collect():  # a matrix like ``m`` in all
+    out = np.zeros((PARTS, size // PARTS))
+    for row in parts.repartition(PARTS, "block").mapInArrow(merge, schema).collect():  # the array in all
         out[row["block"]] = np.frombuffer(row["sums"])
-    return out.reshape(m.shape)
+    return out.ravel()
+
+
+def product(passages: DataFrame, idf: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """A'(A m) for the matrix A of all passages, rows of length one; a column of ``m`` at a time."""
+    columns = np.ascontiguousarray(m.T, np.float32)
+
+    def add(total: np.ndarray, at: np.ndarray, x: np.ndarray, firsts: np.ndarray, sizes: np.ndarray) -> None:
+        for own, column in zip(total.reshape(columns.shape), columns):
+            seen = column[at]
+            seen *= x
+            back = np.repeat(np.add.reduceat(seen, firsts), sizes)
+            back *= x
+            own += np.bincount(at, back, len(column))
+
+    return summed(passages, idf, m.size, add).reshape(columns.shape).T
+
+
+def sketch(passages: DataFrame, idf: np.ndarray, terms: int, rows: int) -> np.ndarray:
+    """Random sums (terms x rows) of all passages: each counts in one of them, with one sign, both by its hash."""
+    def add(total: np.ndarray, at: np.ndarray, x: np.ndarray, firsts: np.ndarray, sizes: np.ndarray) -> None:
+        with np.errstate(over="ignore"):
+            own = (at.astype(np.uint64) + np.uint64(1)) * np.uint64(BASE)
+            own = np.add.reduceat((own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9), firsts)
+        row = ((own >> np.uint64(40)) % np.uint64(rows)).astype(np.int64)
+        sign = np.where(own >> np.uint64(39) & np.uint64(1), np.float32(1), np.float32(-1))
+        total += np.bincount(np.repeat(row * terms, sizes) + at, np.repeat(sign, sizes) * x, len(total))
+
+    return summed(passages, idf, rows * terms, add).reshape(rows, terms).T
 
 
-def randomised_svd(passages: DataFrame, idf: np.ndarray, terms: int, rank: int, rounds: int = 4, seed: int = 5) -> np.ndarray:
+def randomised_svd(passages: DataFrame, idf: np.ndarray, terms: int, rank: int, rounds: int = 3, seed: int = 5) -> np.ndarray:
     """Right singular vectors (terms x rank) of the matrix of all passages.
 
-    A block Krylov space: each round multiplies the last block, and the best vectors are those
-    of the matrix seen from all blocks together, which the products at hand already tell. The
-    driver orthogonalises matrices of terms x rank.
+    A block Krylov space: it begins at the best directions of random sums of passages, each
+    round multiplies the last block, and the vectors are those of the Nystroem approximation
+    from all blocks together, for which the products at hand suffice. The driver
+    orthogonalises matrices of terms x rank.
     """
     rank = min(rank, terms)
-    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(terms, rank)))[0]
+    rows = sketch(passages, idf, terms, SKETCH)
+    # A little of random directions, for those that few passages leave open.
+    length = max(np.linalg.norm(rows), 1e-300)
+    best = np.linalg.svd(rows / length, full_matrices=False)[0][:, :rank]
+    q = np.linalg.qr(best + 1e-3 * np.random.default_rng(seed).normal(size=(terms, rank)) / np.sqrt(terms))[0]
     bases, images = [], []
     for _ in range(rounds):
         y = product(passages, idf, q)
@@ -302,11 +326,12 @@ def randomised_svd(passages: DataFrame, idf: np.ndarray, terms: int, rank: int,
         space = np.hstack(bases)
         q = np.linalg.qr(y - space @ (space.T @ y))[0]
         q = np.linalg.qr(q - space @ (space.T @ q))[0]  # once more, against rounding
-    small = space.T @ np.hstack(images)
+    images = np.hstack(images)
+    small = space.T @ images
     values, turn = np.linalg.eigh((small + small.T) / 2)
-    values, turn = values[::-1][:rank], turn[:, ::-1][:, :rank]  # by falling singular value
-    keep = values > 1e-6 * max(values.max(initial=0), 1e-300)
-    return space @ turn[:, keep]
+    some = values > 1e-6 * max(values.max(initial=0), 1e-300)
+    found, sizes, _ = np.linalg.svd(images @ (turn[:, some] / np.sqrt(values[some])), full_matrices=False)
+    return found[:, :rank][:, sizes[:rank] ** 2 > 1e-6 * max(sizes.max(initial=0) ** 2, 1e-300)]
 
 
 def pieces_of(words: list[bytes]) -> list[list[bytes]]:
@@ -396,6 +421,7 @@ class Searcher:
         self.marks = np.bitwise_or.reduce(np.where(items.terms[:, :, None] >= 0, self.bits[items.terms], np.uint64(0)), axis=1)
         self.marked = np.bitwise_count(self.marks).sum(1)
         self.energy = items.corpus.idf.astype(np.float64) ** 2
+        self.factors = np.ascontiguousarray(items.corpus.factors.T)
         hashes = hashes_of(items.vocabulary)
         self.numbers = np.argsort(hashes)
         self.known = hashes[self.numbers]
@@ -446,7 +472,7 @@ class Searcher:
             # The part of the item's passage that the score asks for: less of it where the document's is lighter.
             able = part[inside] >= CANDIDATE * np.minimum(1, light[window] / self.norms[own]) - 1e-9
             keys.append(window[able] * len(self.norms) + own[able])
-        keys = np.unique(np.concatenate(keys))
+        keys = distinct(np.concatenate(keys))
         windows, passages, scores = [], [], []
         for c in range(0, len(keys), 4096):
             window, passage = np.divmod(keys[c:c + 4096], len(self.norms))
@@ -468,7 +494,7 @@ class Searcher:
         place = start[window, None] + np.arange(WINDOW)
         outside = place >= stop[window, None]
         here, wanted = np.where(outside, -1, term[np.minimum(place, len(term) - 1)]), self.items.terms[passage]
-        times = np.zeros(wanted.shape, np.int32)
+        times = np.zeros(wanted.shape, np.uint8)
         for k in range(WINDOW):
             times += here[:, k, None] == wanted
         return place, outside, np.minimum(times, self.items.counts[passage])
@@ -500,7 +526,11 @@ class Searcher:
         for c in range(0, len(edge), 4096):
             own = edge[c:c + 4096]
             end = edge[c + 4096] if c + 4096 < len(edge) else len(bucket)
-            sums[c:c + len(own)] = np.add.reduceat(self.items.corpus.latent(bucket[own[0]:end]), own - own[0], axis=0)
+            at, idf = bucket[own[0]:end].astype(np.int64) & (LATENT_WORDS - 1), self.items.corpus.idf[bucket[own[0]:end]]
+            for column, factor in zip(sums.T, self.factors):
+                weights = factor[at]
+                weights *= idf
+                column[c:c + len(own)] = np.add.reduceat(weights, own - own[0])
             marks[c:c + len(own)] = np.bitwise_or.reduceat(self.bits[term[own[0]:end]], own - own[0], axis=0)
         left = first_block[of] + np.arange(len(of)) - firsts[of]
         right = np.where(left + 1 < first_block[of] + blocks[of], left + 1, len(edge))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.shared import through_table
-from .common import WordTable, held, map_arrow, mix, ragged, ship, text_of, text_slices
+from .common import WordTable, distinct, held, map_arrow, mix, ragged, ship, text_of, text_slices
 
 
 @dataclass(frozen=True)
@@ -147,8 +147,8 @@ class Chunk:
             d = min(c + batch, len(self.label))
             own, two = slice(words[c], words[d]), slice(pairs[c], pairs[d])
             many = self.many[self.word[own]]
-            keys = np.unique(np.append(np.repeat(self.doc[own], many) * size + self.grams[ragged(self.first[self.word[own]], many)],
-                                       self.pair_doc[two] * size + self.pair[two]))
+            keys = distinct(np.append(np.repeat(self.doc[own], many) * size + self.grams[ragged(self.first[self.word[own]], many)],
+                                      self.pair_doc[two] * size + self.pair[two]))
             of, bucket = np.divmod(keys, size)
             for k in (0, 1):
                 out[k] += np.bincount(bucket[self.label[of] == k], minlength=size)

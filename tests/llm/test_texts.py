@@ -204,6 +204,31 @@ def test_latent_space_of_all_passages(spark):
     assert ((rows @ corpus.factors) ** 2).sum() >= 0.99 * (best ** 2).sum()
 
 
+def test_sums_over_passages_in_three_products(spark, monkeypatch):
+    """Products and random sums against dense ones; the latent space asks for three products of all passages."""
+    rng = np.random.default_rng(3)
+    docs = [" ".join(f"w{int(j)}" for j in rng.zipf(1.3, 200) % 500) for _ in range(60)]
+    rows = spark.createDataFrame([(t,) for t in docs], "text string").repartition(4)
+    passages = decontaminate.hashed_passages(rows, rows.limit(0))
+    idf = rng.random(decontaminate.BUCKETS).astype(np.float32) + 1
+    dense = np.zeros((60 * 7, decontaminate.LATENT_WORDS))
+    for k, words in enumerate(w[c:c + 32] for w in map(decontaminate.words_of, docs) for c in range(0, 200, 32)):
+        count = Counter(decontaminate.buckets_of(words).tolist())
+        x = np.array([n * idf[b] for b, n in count.items()])
+        np.add.at(dense[k], np.array(list(count)) & (decontaminate.LATENT_WORDS - 1), x / np.linalg.norm(x))
+    m = rng.normal(size=(decontaminate.LATENT_WORDS, 5)).astype(np.float32)
+    assert np.allclose(decontaminate.product(passages, idf, m), dense.T @ (dense @ m), atol=1e-3)
+    sums = decontaminate.sketch(passages, idf, decontaminate.LATENT_WORDS, 8)
+    used = np.flatnonzero(dense.any(0))
+    seen = np.linalg.lstsq(dense.T[used], sums[used], rcond=None)[0]  # every passage in one of the sums
+    assert np.allclose(dense.T @ seen, sums, atol=1e-4) and np.linalg.matrix_rank(sums) == 8
+    calls, whole = [], decontaminate.product
+    monkeypatch.setattr(decontaminate, "product", lambda *x: calls.append(x) or whole(*x))
+    found = decontaminate.randomised_svd(passages, idf, decontaminate.LATENT_WORDS, 24)
+    best = np.linalg.svd(dense[:, used], compute_uv=False)[:24]
+    assert len(calls) <= 3 and ((dense @ found) ** 2).sum() >= 0.98 * (best ** 2).sum()
+
+
 def test_exact_search_against_all_pairs(monkeypatch):
     """Every passage of a document against every passage of an item, by plain sums."""
     rng = random.Random(12)
