@@ -151,3 +151,45 @@ def test_labels_of_held_out_rows_are_not_used(spark):
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
     turned = labels.withColumn("quality", F.when(quality.fold_of(4) == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
     assert sorted(quality.classify(docs, labels).collect()) == sorted(quality.classify(docs, turned).collect())
+
+
+def test_rows_of_the_table_of_words_are_small(spark):
+    """The table holds words, not their n-grams, and a chunk makes those of each word as ``of_words`` does."""
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdeé𝄞<>", k=rng.randint(1, 12))) for _ in range(rng.randint(0, 60))) for _ in range(90)]
+    for features in (quality.FEATURES, toxicity.FEATURES):
+        for row in embeddings.rows_of(features, texts, [k % 2 for k in range(90)], 40):
+            chunk = embeddings.Chunk(*row, features)
+            assert sum(x.nbytes for x in row) < chunk.grams.nbytes / 2
+            marked, at, words = chunk.text.tobytes().decode(), 0, []
+            for n in chunk.lengths:
+                words.append(marked[at + 1:at + n - 1])
+                at += n
+            _, of, buckets, weights = features.of_words(words)
+            ends = np.cumsum(chunk.many)
+            for k in range(len(words)):
+                assert sorted(buckets[of == k]) == sorted(chunk.grams[ends[k] - chunk.many[k]:ends[k]])
+            assert np.allclose(weights[of == 0].sum(), 1 + (chunk.many[0] - 1) * chunk.weight[0], atol=1e-3)
+
+
+def test_sums_come_from_few_tasks(spark, monkeypatch):
+    """A table of many files is added up by a task per core or less: each task sends a number per bucket on."""
+    features = quality.FEATURES
+    columns, kinds = embeddings.COLUMNS, ", ".join(f"{c} binary" for c in embeddings.COLUMNS)
+    row = next(embeddings.rows_of(features, ["good text", "bad text"], [1, 0], 9))
+    table = spark.createDataFrame([[bytearray(x.tobytes()) for x in row]] * 60, kinds).repartition(60)
+    assert columns == table.columns and table.rdd.getNumPartitions() == 60
+    coalesced, own = [], type(table).coalesce
+    monkeypatch.setattr(type(table), "coalesce", lambda self, n: coalesced.append(n) or own(self, n))
+    summed = embeddings.summed_over(table, features)
+    assert summed(lambda chunk: chunk.label.astype(float), 2).tolist() == [60, 0]
+    assert coalesced == [max(spark.sparkContext.defaultParallelism, 4)]
+
+
+def test_only_labelled_rows_reach_the_join(spark):
+    docs = spark.createDataFrame([(i, str(i)) for i in [*range(3000), 5, None]], "doc_id long, text string")
+    known = spark.createDataFrame([(i,) for i in range(0, 3000, 30)], "doc_id int")
+    kept = [r["doc_id"] for r in embeddings.perhaps_in(docs, known).collect()]
+    assert set(range(0, 3000, 30)) <= set(kept) and len(kept) < 130
+    doubled = spark.createDataFrame([(30, "a"), (30, "b"), (31, "c")], "doc_id long, text string")
+    assert sorted(r["text"] for r in embeddings.perhaps_in(doubled, known).collect()) == ["a", "b"]
