@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -119,6 +120,40 @@ def held(key, build: Callable):
     return _HELD[key]
 
 
+def let_go() -> None:
+    """Let go of what is ``held``; by name, as a function that is sent to workers has a copy of the table."""
+    _HELD.clear()
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system, which Arrow and the C library otherwise keep for later tasks.
+
+    Spark keeps workers that wait, with all they have, beside those that work.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for tasks that need nothing ``held``: what their worker held for another operator goes before."""
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        yield from run(one_by_one(batches))
+        give_back()
+    return tidied
+
+
+def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; the memory that was freed since the one before goes back first."""
+    give_back()
+    for batch in batches:
+        yield batch
+        batch = None
+        give_back()
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions start, start + 1, ... of every (start, length), one after another."""
     total = int(lengths.sum())
@@ -166,7 +201,7 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
     """``mapInArrow`` with a state per task: ``make()`` runs once, its result on each batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
-        for batch in batches:
+        for batch in one_by_one(batches):
             yield from each(batch)
 
     ship(df.sparkSession)

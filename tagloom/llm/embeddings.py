@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.shared import through_table
-from .common import WordTable, distinct, held, map_arrow, mix, ragged, ship, text_of, text_slices
+from .common import WordTable, distinct, held, map_arrow, mix, ragged, ship, text_of, text_slices, tidy
 
 
 @dataclass(frozen=True)
@@ -358,8 +358,8 @@ def summed_over(chunks: DataFrame, features: Features) -> Sums:
             yield told(sums)
 
         schema, out = "block int, sums binary", np.zeros((PARTS, width))
-        parts = chunks.mapInArrow(run, schema).repartition(PARTS, "block")
-        for row in parts.mapInArrow(merge, schema).collect():  # a number per bucket in all
+        parts = chunks.mapInArrow(tidy(run), schema).repartition(PARTS, "block")
+        for row in parts.mapInArrow(tidy(merge), schema).collect():  # a number per bucket in all
             out[row["block"]] = np.frombuffer(row["sums"])
         return out.ravel()[:size]
 
@@ -406,7 +406,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, features: Features, how:
         yield from told(waiting, classes)
 
     ship(docs.sparkSession)
-    chunks = through_table(rows.mapInArrow(run, ", ".join(f"{c} binary" for c in COLUMNS)), "words")
+    chunks = through_table(rows.mapInArrow(tidy(run), ", ".join(f"{c} binary" for c in COLUMNS)), "words")
     return descend(summed_over(chunks, features), features, how)
 
 

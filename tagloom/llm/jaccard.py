@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.shared import through_table
-from .common import WordTable, held, mix, ship, text_of, text_slices
+from .common import WordTable, held, mix, ship, text_of, text_slices, tidy
 from .components import components
 
 BLOCK = 1_000_000  # hashes that a task holds before it passes them on
@@ -296,14 +296,14 @@ def similar(docs: DataFrame, width: int = 4, percent: int = 85, hot: int = HOT)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     packed = rows.mapInArrow(_sets_of(width, parts, hot), PACKED)
-    found = through_table(packed.repartitionById(parts, F.col("part")).mapInArrow(_counted(parts), FOUND), "shingles")
+    found = through_table(packed.repartitionById(parts, F.col("part")).mapInArrow(tidy(_counted(parts)), FOUND), "shingles")
 
     members = found.where("kind = 0").select("doc_id", "own", F.col("n").cast("long").alias("n_shingles"))
     counted = found.where("kind = 2").select("token", "df")
     held = found.where("kind = 3").select("part", "own", "n", F.explode("hot").alias("token"))
     of_hot = held.distinct().join(counted, "token").selectExpr("3 AS kind", "part", "own", "n", "token", "df")
     back = found.where("kind = 1").unionByName(of_hot, allowMissingColumns=True)
-    sets = through_table(back.repartitionById(parts, F.col("part")).mapInArrow(_prefixed(percent), SETS), "prefixes")
+    sets = through_table(back.repartitionById(parts, F.col("part")).mapInArrow(tidy(_prefixed(percent)), SETS), "prefixes")
 
     lists = through_table(sets.select("own", "n", "m", F.posexplode("first").alias("pos", "token")), "lists")
     fits = lambda a, b: F.least(a, b) * 100 >= percent * F.greatest(a, b)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.llm import catalog, embeddings, quality, toxicity
+from tagloom.llm import catalog, common, embeddings, quality, toxicity
 
 from .plain import HARD, hard
 
@@ -193,3 +193,15 @@ def test_only_labelled_rows_reach_the_join(spark):
     assert set(range(0, 3000, 30)) <= set(kept) and len(kept) < 130
     doubled = spark.createDataFrame([(30, "a"), (30, "b"), (31, "c")], "doc_id long, text string")
     assert sorted(r["text"] for r in embeddings.perhaps_in(doubled, known).collect()) == ["a", "b"]
+
+
+def test_training_tasks_let_go_of_another_operators_tables(spark):
+    """A worker that has scored texts holds the scorer; a task of a round holds nothing besides its sums."""
+    rows = spark.createDataFrame([(k, f"some word{k}") for k in range(40)], "doc_id long, text string").repartition(4)
+    size = 1 << quality.FEATURES.bits
+    model = embeddings.Model(quality.FEATURES, np.zeros(size, np.float32), np.ones(size, np.float32), 0.0)
+    assert embeddings.score(rows, model).count() == 40 and len(embeddings.score(rows, model).collect()) == 40
+    own = list(embeddings.rows_of(quality.FEATURES, [f"some word{k}" for k in range(40)], [k % 2 for k in range(40)], 5))
+    chunks = spark.createDataFrame([tuple(x.tobytes() for x in row) for row in own], ", ".join(f"{c} binary" for c in embeddings.COLUMNS))
+    summed = embeddings.summed_over(chunks.repartition(8), quality.FEATURES)
+    assert summed(lambda chunk: np.array([float(len(common._HELD))]), 1).tolist() == [0]
