@@ -36,15 +36,16 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.shared import through_table
-from .common import distinct, held, map_arrow, ragged, ship, text_of, text_slices
+from .common import distinct, held, map_arrow, ragged, ship, text_of, text_slices, tidy
 
 PASSAGES = 1 << 16  # of items, searched in one pass over the documents
 WINDOW, STRIDE = 32, 16  # words of a document's passage, and between the starts of two
@@ -106,6 +107,23 @@ class Words:
         return self.folded[self.ends[text - 1] if text else 0:self.ends[text]].tobytes().split()
 
 
+class Text(Sequence):
+    """The words of one of the texts, made when the first is asked for, and the numbers of those that items have."""
+
+    def __init__(self, split: Words, text: int, terms: np.ndarray):
+        self.split, self.text, self.terms = split, text, terms
+
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.split.of(self.text)
+
+    def __getitem__(self, where):
+        return self.words[where]
+
+    def __len__(self) -> int:
+        return len(self.terms)
+
+
 def split_words(texts: list[str]) -> Words:
     """As ``words_of`` on each, without a Python object per word."""
     own = [t.lower().encode() for t in texts]
@@ -176,14 +194,31 @@ class Items:
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
-HASHED = "codes array<int>, sizes array<int>, bucket array<int>, n array<long>"
+HASHED = "codes binary, sizes binary, bucket array<int>, n array<long>"
+
+
+def counted(bucket: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct buckets of each passage, ascending, how often each stands, and how many there are of each passage.
+
+    Passages lie one after another, ``WINDOW`` words each at most: each is sorted by itself.
+    """
+    firsts = np.cumsum(lengths) - lengths
+    rows = np.full((len(lengths), WINDOW), BUCKETS, np.int32)
+    inside = np.arange(WINDOW) < lengths[:, None]
+    rows[inside] = bucket
+    rows.sort(axis=1)
+    bucket = rows[inside]
+    new = np.append(True, bucket[1:] != bucket[:-1])
+    new[firsts] = True
+    starts = np.flatnonzero(new)
+    return bucket[starts], np.diff(starts, append=len(bucket)), np.add.reduceat(new, firsts, dtype=np.int64)
 
 
 def hashed_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
     """All passages of all documents and items, and how many documents have a word of each bucket.
 
     Rows hold passages one after another: ``sizes`` distinct words of each, ``codes`` their
-    buckets and, above these bits, how often each stands. A document's passages are ``WINDOW``
+    buckets and, above these bits, how often each stands, as 32-bit numbers. A document's passages are ``WINDOW``
     words each and follow one another; items are cut as by ``pieces_of``. The last row of a task
     has its counts (``bucket``, ``n``) instead, those of bucket -1 being of documents.
     """
@@ -198,25 +233,26 @@ def hashed_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
                 place = np.arange(len(of)) - (np.cumsum(n) - n)[of]
                 own = np.where(item[of], ((place + 1) * many[of] - 1) // np.maximum(n[of], 1), place // WINDOW)
                 passage = (np.cumsum(many) - many)[of] + own
-                both, times = np.unique(passage * BUCKETS + buckets(words.hashes), return_counts=True)
-                passage, bucket = both // BUCKETS, both & (BUCKETS - 1)
-                of = np.repeat(np.arange(len(n)), many)[passage]
-                had = distinct((of * BUCKETS + bucket)[~item[of]])
-                counts += np.bincount(had & (BUCKETS - 1), minlength=BUCKETS)
                 rows += int((~item).sum())
-                if len(both):
-                    yield told(bucket | times * BUCKETS, np.bincount(passage), None, None)
+                if not len(of):
+                    continue
+                lengths = np.bincount(passage)
+                bucket, times, sizes = counted(buckets(words.hashes), lengths)
+                of = np.repeat(np.repeat(np.arange(len(n)), many), sizes)
+                kind = np.int32 if len(n) * BUCKETS < 1 << 31 else np.int64  # narrow numbers are sorted faster
+                had = distinct((of.astype(kind) * kind(BUCKETS) + bucket)[~item[of]])
+                counts += np.bincount(had & (BUCKETS - 1), minlength=BUCKETS)
+                yield told((bucket | times * BUCKETS).astype(np.int32).tobytes(), sizes.astype(np.int32).tobytes(), None, None)
         some = np.flatnonzero(counts)
         yield told(None, None, np.append(some, -1), np.append(counts[some], rows))
 
     def told(*columns):
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([x], pa.list_(kind)) for x, kind in zip(columns, kinds)], ["codes", "sizes", "bucket", "n"])
+        kinds = [pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(columns, kinds)], ["codes", "sizes", "bucket", "n"])
 
     ship(docs.sparkSession)
     texts = docs.select(text_of().alias("text"), F.lit(False).alias("item")).union(items.select(text_of().alias("text"), F.lit(True).alias("item")))
-    return through_table(texts.mapInArrow(run, HASHED), "passages")
+    return through_table(texts.mapInArrow(tidy(run), HASHED), "passages")
 
 
 def document_frequencies(passages: DataFrame) -> tuple[np.ndarray, int]:
@@ -241,7 +277,7 @@ def summed(passages: DataFrame, idf: np.ndarray, size: int, add: Callable[..., N
         for batch in batches:
             for codes, sizes in zip(batch.column("codes"), batch.column("sizes")):
                 any_rows = True
-                codes, sizes = codes.values.to_numpy(), sizes.values.to_numpy()
+                codes, sizes = (np.frombuffer(x.as_buffer(), np.int32) for x in (codes, sizes))
                 ends = np.cumsum(sizes)
                 first = 0
                 while first < len(sizes):  # some ten thousand words at a time, whole passages
@@ -269,9 +305,9 @@ def summed(passages: DataFrame, idf: np.ndarray, size: int, add: Callable[..., N
 
     ship(passages.sparkSession)
     schema = "block int, sums binary"
-    parts = passages.where("codes IS NOT NULL").select("codes", "sizes").mapInArrow(run, schema)
+    parts = passages.where("codes IS NOT NULL").select("codes", "sizes").mapInArrow(tidy(run), schema)
     out = np.zeros((PARTS, size // PARTS))
-    for row in parts.repartition(PARTS, "block").mapInArrow(merge, schema).collect():  # the array in all
+    for row in parts.repartition(PARTS, "block").mapInArrow(tidy(merge), schema).collect():  # the array in all
         out[row["block"]] = np.frombuffer(row["sums"])
     return out.ravel()
 
@@ -282,7 +318,7 @@ def product(passages: DataFrame, idf: np.ndarray, m: np.ndarray) -> np.ndarray:
 
     def add(total: np.ndarray, at: np.ndarray, x: np.ndarray, firsts: np.ndarray, sizes: np.ndarray) -> None:
         for own, column in zip(total.reshape(columns.shape), columns):
-            seen = column[at]
+            seen = column.take(at, mode="clip")  # none is outside
             seen *= x
             back = np.repeat(np.add.reduceat(seen, firsts), sizes)
             back *= x
@@ -425,7 +461,19 @@ class Searcher:
         hashes = hashes_of(items.vocabulary)
         self.numbers = np.argsort(hashes)
         self.known = hashes[self.numbers]
-        self.needs = [dict(Counter(words)) for words in items.words]
+        # Of words in order of their buckets: where a bucket's begin, their hashes and numbers. Few buckets have several.
+        order = np.argsort(buckets(hashes), kind="stable")
+        self.own = np.append(hashes[order], np.uint64(0))
+        # By columns and narrow, so that many passages are compared at once.
+        kind = np.int16 if len(items.idf) < 1 << 15 else np.int32
+        self.wanted = np.ascontiguousarray(items.terms.T, kind)
+        self.number = np.append(order, -1).astype(kind)
+        many = np.bincount(buckets(hashes), minlength=BUCKETS)
+        self.begin = np.where(many > 0, np.cumsum(many) - many, len(hashes)).astype(np.int32)
+        self.several = many > 1
+        needs = [Counter(items.vocabulary[w] for w in words) for words in items.words]
+        self.needs = [(np.fromiter(x, np.int64, len(x)), np.fromiter(x.values(), float, len(x))) for x in needs]
+        self.stands = np.zeros(len(items.idf) + 1)  # 1 for words that stand in a part, the last for those that no item has
 
     def search(self, texts: list[str]) -> list[dict[int, tuple[float, float, bool]]]:
         """Of each text: item number -> score, share covered, answer found."""
@@ -434,8 +482,8 @@ class Searcher:
         out: list[dict] = [{} for _ in texts]
         if not len(at):
             return out
-        near_by = np.minimum(np.searchsorted(self.known, at), len(self.known) - 1)
-        term, bucket = np.where(self.known[near_by] == at, self.numbers[near_by], -1), buckets(at)
+        bucket = buckets(at)
+        term = self._terms(at, bucket)
         begins = np.cumsum(sizes) - sizes
         many = np.where(sizes > 0, np.maximum(0, -(-(sizes - WINDOW) // STRIDE)) + 1, 0)
         of = np.repeat(np.arange(len(texts)), many)
@@ -451,11 +499,20 @@ class Searcher:
                 places, first = near[text].setdefault(int(self.items.of[p]), {}), int(start[k] - begins[text])
                 places[first] = max(s, places.get(first, 0.0))
         for text, items in enumerate(near):
-            words = split.of(text) if items else []
+            words = Text(split, text, term[begins[text]:begins[text] + sizes[text]])
             for i, places in items.items():
                 self._verify(words, i, places, out[text])
         return out
 
+    def _terms(self, at: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Number of each word by its hash, -1 for those that no item has."""
+        first = self.begin[bucket]
+        term = np.where(self.own[first] == at, self.number[first], self.number[-1])
+        rest = np.flatnonzero(self.several[bucket])
+        near_by = np.minimum(np.searchsorted(self.known, at[rest]), len(self.known) - 1)
+        term[rest] = np.where(self.known[near_by] == at[rest], self.numbers[near_by], -1)
+        return term
+
     def _exact(self, at, term, bucket, sizes, begins, many, firsts, start, stop):
         """(passage of a document, of an item, cosine) where the score reaches its threshold."""
         summed = np.append(0, np.cumsum(self.energy[bucket]))
@@ -491,13 +548,15 @@ class Searcher:
     def _common(self, term, start, stop, window, passage):
         """Places of the words of a document's passages, which lie outside, and how often each term of the
         item's passage stands there, as often as it has it at most."""
-        place = start[window, None] + np.arange(WINDOW)
-        outside = place >= stop[window, None]
-        here, wanted = np.where(outside, -1, term[np.minimum(place, len(term) - 1)]), self.items.terms[passage]
-        times = np.zeros(wanted.shape, np.uint8)
-        for k in range(WINDOW):
-            times += here[:, k, None] == wanted
-        return place, outside, np.minimum(times, self.items.counts[passage])
+        place = start[window] + np.arange(WINDOW)[:, None]
+        outside = place >= stop[window]
+        here = term.take(place, mode="clip")
+        here[outside] = -1
+        wanted = self.wanted.take(passage, axis=1)
+        times, equal = np.zeros(wanted.shape, np.uint8), np.empty(wanted.shape, bool)
+        for own in here:
+            times += np.equal(own, wanted, out=equal).view(np.uint8)
+        return place.T, outside.T, np.minimum(np.ascontiguousarray(times.T), self.items.counts[passage])
 
     def _norms(self, at, bucket, place, outside) -> np.ndarray:
         """Norms of passages, each a row of places of words."""
@@ -557,13 +616,14 @@ class Searcher:
         none = np.zeros(0, np.int64)
         return tuple(np.concatenate([e, *x]) for e, x in ((none, windows), (none, passages), (np.zeros(0), scores)))
 
-    def _verify(self, words: list[bytes], i: int, places: dict[int, float], found: dict) -> None:
+    def _verify(self, words: Text, i: int, places: dict[int, float], found: dict) -> None:
         """Whether item ``i`` leaks around one of the passages that begin at ``places``.
 
         Passages that begin within a quarter of the item's length are verified together.
         """
         item, answer = self.items.words[i], self.items.answers[i]
-        needs = self.needs[i]
+        needed, times = self.needs[i]
+        share = WITH_ANSWER if len(item) >= SHORT else 1
         starts = sorted(places)
         k = 0
         while k < len(starts):
@@ -571,10 +631,14 @@ class Searcher:
             while last + 1 < len(starts) and starts[last + 1] - starts[first] <= len(item) // 4:
                 last += 1
             k = last + 1
-            part = words[max(0, starts[first] - len(item)):starts[last] + WINDOW + len(item)]
-            share = WITH_ANSWER if len(item) >= SHORT else 1
-            if sum(map(needs.__getitem__, needs.keys() & part)) < share * len(item):  # no subsequence is longer
+            where = slice(max(0, starts[first] - len(item)), starts[last] + WINDOW + len(item))
+            here = words.terms[where]
+            self.stands[here] = 1
+            most = times.dot(self.stands[needed])
+            self.stands[here] = 0
+            if most < share * len(item):  # no subsequence is longer
                 continue
+            part = words[where]
             covered = common_length(item, part) / len(item)
             if len(item) < SHORT:
                 answered, leaks = True, contains(part, item)

@@ -280,3 +280,32 @@ def test_op5_finds_every_passage(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
     want = {(d, i) for d, t in docs for i, x in items if x in t}
     assert {(r["doc_id"], r["item_id"]) for r in catalog.QUERIES["op5_decontamination"](spark, DATA).collect()} == want
+
+
+def test_words_of_items_and_passages_by_narrow_numbers():
+    """Numbers of words whose hashes share a bucket, and distinct buckets of each passage, against plain ones."""
+    words = [f"w{k}".encode() for k in range(6000)]
+    items = [(i, words[c:c + 17], "") for i, c in enumerate(range(0, 3000, 17))]
+    corpus = decontaminate.Corpus(np.ones(decontaminate.BUCKETS, np.float32), np.zeros((decontaminate.LATENT_WORDS, 4), np.float32))
+    prepared = decontaminate.prepare(corpus, items)
+    searcher, hashes = decontaminate.Searcher(prepared), decontaminate.hashes_of(words)
+    assert searcher.several.any()
+    assert searcher._terms(hashes, decontaminate.buckets(hashes)).tolist() == [prepared.vocabulary.get(w, -1) for w in words]
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(1, 33, 300)
+    bucket = rng.integers(0, 40, lengths.sum()).astype(np.int32)
+    ends, found = np.cumsum(lengths), decontaminate.counted(bucket, lengths)
+    want = [np.unique(bucket[e - n:e], return_counts=True) for e, n in zip(ends, lengths)]
+    for k in (0, 1):
+        assert np.array_equal(found[k], np.concatenate([x[k] for x in want]))
+    assert found[2].tolist() == [len(x[0]) for x in want]
+
+
+def test_texts_without_enough_of_an_items_words_are_not_split(monkeypatch):
+    item = " ".join(f"w{k}" for k in range(17))
+    corpus = decontaminate.Corpus(np.ones(decontaminate.BUCKETS, np.float32), np.zeros((decontaminate.LATENT_WORDS, 4), np.float32))
+    searcher = decontaminate.Searcher(decontaminate.prepare(corpus, [(7, decontaminate.words_of(item), item)]))
+    split, of = [], decontaminate.Words.of
+    monkeypatch.setattr(decontaminate.Words, "of", lambda self, text: split.append(text) or of(self, text))
+    found = searcher.search(["w1 w2 w3 w4 w5 x y z", f"x {item} y", "", "x y z"])
+    assert [sorted(x) for x in found] == [[], [0], [], []] and split == [1]
