@@ -51,6 +51,41 @@ def test_scores_of_any_size(spark):
             topk.top_k(spark.createDataFrame(bad, "vec_id long, embedding array<double>"), 50, 5).collect()
 
 
+def test_topk_broadcasts_nothing(spark, monkeypatch):
+    """What meets is read where it is compared: no exchange and no broadcast holds blocks once per pair."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=12).tolist()) for i in range(900)] + [(1000 + i, rng.normal(size=3).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "ROWS", 50)
+    monkeypatch.setattr(topk, "QUERIES", 5)
+    best = topk.top_k(df, 10, 5)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan and "Generate" not in plan
+    assert told(best) == plain_best(rows, 10, 5)
+    monkeypatch.setattr(topk, "GROUP", 3)
+    monkeypatch.setattr(topk, "QUERY_GROUP", 2)
+    monkeypatch.setattr(topk, "COMPONENTS", 300)
+    assert told(topk.top_k(df, 10, 5)) == plain_best(rows, 10, 5)
+
+
+@pytest.mark.parametrize("size", [300, 10**6, 10**9, 10**14])
+def test_queries_meet_blocks_together(size):
+    """In floats of 32 and 64 bits that hold all sums, and in whole numbers of 64 bits and of more."""
+    rng = np.random.default_rng(size)
+    vectors = rng.integers(-size, size, (900, 10))
+    vectors[100:180], vectors[500:520] = vectors[7], 0
+    ids = rng.permutation(900)
+    rows, queries = np.arange(900), np.flatnonzero(np.arange(900) % 6 == 1)
+    asked = topk.Asked(rows[queries], ids[queries], vectors[queries], 5)
+    for at in range(0, 900, 300):
+        asked.meet(topk.SortedLists(rows[at:at + 300], ids[at:at + 300], vectors[at:at + 300]))
+    got = list(zip(asked.asked.tolist(), asked.found.tolist(), asked.scores.tolist()))
+    exact = vectors.astype(object) @ vectors[queries].astype(object).T
+    want = [(n, *b) for n, q in enumerate(queries) for b in (
+        (int(ids[j]), int(exact[j, n])) for j in sorted((j for j in rows if j != q), key=lambda j: (-exact[j, n], ids[j]))[:5])]
+    assert got == want
+
+
 def test_lists_stop_early_and_lose_nothing():
     rng = np.random.default_rng(1)
     vectors = rng.integers(-300, 300, (2000, 6))
